@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipmart.functions.ordered import position_bucket, scan
+from clipmart.operators import transcript
 from clipmart.session import tune
 
 LINE_ORDER = (
@@ -23,6 +24,10 @@ STATUS_CASE = (
     "case p_size % 5 when 0 then 'used' when 1 then 'candidate' when 2 then 'skipped' else 'unused' end"
 )
 
+# Stand-in letters that turn Latin test words into another script.
+LATIN_LETTERS = "abdegiklmnoprstuvz"
+CYRILLIC_LETTERS = "абдегиклмнопрстувз"
+
 
 def _minutes(base: str, n: str) -> Column:
     return F.expr(f"timestamp '{base}' + make_dt_interval(0, 0, {n}, 0)")
@@ -194,6 +199,20 @@ class Tables:
             F.expr("50 + (video_id * 31 + ord * 17) % 50").cast("long").alias("viral_score"),
         )
 
+    def _placed(self):
+        return transcript.caption_positions(self.words)
+
+    def _captions(self):
+        return transcript.group_captions(self.words)
+
+    def _script_words(self):
+        """Words of French documents written in Cyrillic letters, the others unchanged."""
+        lang = self.documents.select(F.col("doc_id").alias("video_id"), "lang")
+        native = F.translate("word", LATIN_LETTERS, CYRILLIC_LETTERS)
+        return self.words.join(lang, "video_id").withColumn(
+            "word", F.when(F.col("lang") == "fr", native).otherwise(F.col("word"))
+        )
+
     # ---- clips and manifests -------------------------------------------------
     def _clips(self):
         return self.lineitem.select(
@@ -478,6 +497,29 @@ TABLE_SQL = {
         select video_id, ord, word, cast(400 * ord + 700 * (ord // 10) as double) / 1000 as start_s,
                cast(400 * ord + 700 * (ord // 10) + 100 + 60 * length(word) as double) / 1000 as end_s
         from fx_doc_words""",
+    "placed": r"""
+        with recursive a as (select *, lead(start_s) over (partition by video_id order by ord) as nxt,
+            rtrim(word, '"''”’)]»') as bare from fx_words),
+          f as (select *, nxt is null or (bare <> '' and instr('.?!…।؟。', right(bare, 1)) > 0) or nxt - end_s > 0.6 as hard,
+                bare <> '' and instr(',;:，、', right(bare, 1)) > 0 as clause from a),
+          i as (select *, coalesce(sum(case when hard then 1 else 0 end) over (partition by video_id order by ord
+                rows between unbounded preceding and 1 preceding), 0) as isl from f),
+          p as (select *, row_number() over (partition by video_id, isl order by ord) as pos from i),
+          r as (select video_id, isl, pos, ord, word, start_s, end_s, ord as seg, hard as ends from p where pos = 1
+            union all
+            select p.video_id, p.isl, p.pos, p.ord, p.word, p.start_s, p.end_s,
+              case when r.ends then p.ord else r.seg end,
+              p.hard or p.ord - (case when r.ends then p.ord else r.seg end) + 1 >= 5
+                or (p.clause and p.ord - (case when r.ends then p.ord else r.seg end) + 1 >= 2)
+            from r join p on p.video_id = r.video_id and p.isl = r.isl and p.pos = r.pos + 1)
+        select video_id, ord, word, start_s, end_s, seg from r""",
+    "captions": """
+        select video_id, seg, min(start_s) as start_s, max(end_s) as end_s, count(*) as n_words,
+               string_agg(word, ' ' order by ord) as text from fx_placed group by video_id, seg""",
+    "script_words": f"""
+        select w.video_id, ord, start_s, end_s, lang,
+               case when lang = 'fr' then translate(word, '{LATIN_LETTERS}', '{CYRILLIC_LETTERS}') else word end as word
+        from fx_words w join documents on doc_id = w.video_id""",
     "doc_clips": """
         select video_id, ord, cast(s as double) / 1000 as start_time, cast(s + n as double) / 1000 as end_time,
                50 + (video_id * 31 + ord * 17) % 50 as viral_score
