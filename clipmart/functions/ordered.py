@@ -71,7 +71,10 @@ def scan(
 
     along = (Window.partitionBy(*keys) if keys else Window).orderBy(*buckets)
     before = along.rowsBetween(Window.unboundedPreceding, -1)
-    after = along.rowsBetween(1, Window.unboundedFollowing)
+    # "All later rows" as "all earlier rows of the reversed order": a frame that ends at
+    # unboundedFollowing is re-aggregated for every row, a growing frame is not.
+    back = (Window.partitionBy(*keys) if keys else Window).orderBy(*[F.desc(b) for b in buckets])
+    after = back.rowsBetween(Window.unboundedPreceding, -1)
     carried = []
     if lag:
         carried.append(F.lag("_last").over(along).alias("_carry_last"))
@@ -85,7 +88,8 @@ def scan(
     inside = Window.partitionBy(*cell).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-    onward = inside.rowsBetween(0, Window.unboundedFollowing)
+    reverse = Window.partitionBy(*cell).orderBy(*[F.desc(c) for c in order])
+    onward = reverse.rowsBetween(Window.unboundedPreceding, 0)
     local = {}
     if lag:
         local["_lag"] = F.lag(F.struct(*lag)).over(inside)

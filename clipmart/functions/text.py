@@ -61,8 +61,8 @@ def distinct_ignoring_case(items: Column, limit: int, key=F.lower) -> Column:
     ``array_distinct`` keeps first occurrences, so the keys give the kept positions.
     """
     keys = F.transform(items, key)
-    firsts = F.transform(F.array_distinct(keys), lambda k: F.element_at(items, F.array_position(keys, k).cast("int")))
-    return F.slice(firsts, 1, limit)
+    wanted = F.slice(F.array_distinct(keys), 1, limit)
+    return F.transform(wanted, lambda k: F.element_at(items, F.array_position(keys, k).cast("int")))
 
 
 def non_latin(value: str | Column) -> Column:

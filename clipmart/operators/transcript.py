@@ -244,7 +244,7 @@ def speech_sessions(words: DataFrame, gap: float = PAUSE_S) -> DataFrame:
     seen = scan(words, ["video_id"], position_bucket("ord"), ["ord"], lag=["end_s"])
     opens = F.col("prev_end_s").isNull() | (F.col("start_s") - F.col("prev_end_s") > gap)
     burst = scan(
-        seen.drop("prev_end_s").withColumn("_opens", opens), ["video_id"], position_bucket("ord"), ["ord"],
+        seen.withColumn("_opens", opens).drop("prev_end_s"), ["video_id"], position_bucket("ord"), ["ord"],
         run_max={"burst": F.when(F.col("_opens"), F.col("ord"))},
     )
     return burst.groupBy("video_id", "burst").agg(

@@ -223,6 +223,54 @@ class Tables:
             F.expr("cast(50 + l_quantity as bigint)").alias("viral_score"),
         )
 
+    def _candidates(self):
+        """Raw clip candidates: text from the documents, timing with gaps and fallbacks."""
+        text = self.documents.select(F.col("doc_id").alias("video_id"), "text", "lang", "source")
+        span = "struct<start_time: double, end_time: double>"
+
+        def spans(*pairs):
+            inner = ", ".join(f"named_struct('start_time', {a}, 'end_time', {b})" for a, b in pairs)
+            return f"cast(array({inner}) as array<{span}>)"
+
+        three = spans(
+            ("start_time - 5", "start_time + 12"), ("start_time + 10", "start_time + 20"), ("start_time + 22", "end_time + 9")
+        )
+        short = spans(("start_time", "start_time + 6"))
+        return self.doc_clips.join(text, "video_id").selectExpr(
+            "video_id",
+            "ord",
+            "case when ord = 0 then 0.0D else start_time end as start_time",
+            "start_time as clip_start",
+            "cast(null as double) as start",
+            "end_time",
+            "cast(null as double) as clip_end",
+            "cast(null as double) as end",
+            "case when ord = 3 then 'n/a' when ord < 3 then concat(viral_score, '.9') end as viral_score",
+            "start_time - 2 + ord * 3 as hook_start_time",
+            "case when ord < 4 then start_time - 3 + ord * 5 end as hook_end_time",
+            "case when ord <> 2 then source end as hook_text",
+            "concat('“', text, '\"') as on_screen_hook",
+            "text as title",
+            "lang as description_hook",
+            "case when ord = 1 then 'From the whole talk' end as description_context",
+            "case when ord <> 3 then regexp_replace(text, '[ \\\\t\\\\n\\\\r\\\\f]+', ' #') end as hashtags",
+            "'#One #one #2024 #Two-Three' as hashtag",
+            "case when ord <> 4 then split(text, '[.]') end as keyword_tags",
+            f"case when ord in (1, 3) then {three} when ord = 4 then {short} end as keep_segments",
+            "case when ord = 1 then concat('https://tube.example/v/', video_id) end as source_url",
+        )
+
+    def _snap_input(self):
+        """Clips with a hook and two keep-segments each."""
+        span = "struct<start_time: double, end_time: double>"
+        return self.doc_clips.selectExpr(
+            "video_id", "ord", "start_time", "end_time",
+            "case when ord <> 1 then start_time + 1.03D end as hook_start_time",
+            "case when ord <> 1 then start_time + 6.11D end as hook_end_time",
+            f"""case when ord <> 2 then cast(array(named_struct('start_time', start_time, 'end_time', start_time + 12),
+                named_struct('start_time', start_time + 14, 'end_time', end_time - 0.5D)) as array<{span}>) end as keep_segments""",
+        )
+
     def _manifest(self):
         ranked = scan(
             self.lineitem,
@@ -343,7 +391,7 @@ class Tables:
 
     def _conv_clips(self):
         k = self.conversations.select(F.col("conv_id").alias("video_id")).distinct()
-        k = k.withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(2))).cast("long"))
+        k = k.withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("ord", F.col("ord").cast("long"))
         start = F.expr("ord * 30000 + (video_id * 137) % 9000")
         return k.select(
             "video_id",
@@ -532,6 +580,16 @@ TABLE_SQL = {
                cast(l_linenumber * 25 + l_orderkey % 40 + 20 as double) + l_quantity * 1.5 as end_time,
                cast(50 + l_quantity as bigint) as viral_score
         from lineitem""",
+    "candidates": r"""
+        select c.video_id, ord, case when ord = 0 then 0.0 else start_time end as start_time, start_time as clip_start,
+               end_time, case when ord = 3 then 'n/a' when ord < 3 then concat(viral_score, '.9') end as viral_score,
+               start_time - 2 + ord * 3 as hook_start_time, case when ord < 4 then start_time - 3 + ord * 5 end as hook_end_time,
+               case when ord <> 2 then source end as hook_text, concat('“', text, '"') as on_screen_hook, text as title,
+               lang as description_hook, case when ord = 1 then 'From the whole talk' end as description_context,
+               case when ord <> 3 then regexp_replace(text, '[ \t\n\r\f]+', ' #', 'g') end as hashtags,
+               '#One #one #2024 #Two-Three' as hashtag, case when ord <> 4 then string_split(text, '.') end as keyword_tags,
+               case when ord = 1 then concat('https://tube.example/v/', c.video_id) end as source_url
+        from fx_doc_clips c join documents on doc_id = c.video_id""",
     "manifest": f"""
         select l_orderkey as job_id, rank, case when l_returnflag = 'R' then 'failed' else 'success' end as status,
                case when l_linestatus = 'F' then 'uploaded' end as youtube_upload_status,

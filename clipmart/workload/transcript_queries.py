@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from clipmart.functions.text import bare_word
 from clipmart.operators import transcript as tr
 from clipmart.workload.registry import query
 
@@ -174,18 +175,14 @@ def emphasis_lookup(t):
 
 @query(r"""with m as (select key, arg_min(replacement, ord) as replacement from (
     select regexp_replace(lower(trim(text)), '^[\p{P}$+<=>^`|~]+|[\p{P}$+<=>^`|~]+$', '', 'g') as key,
-           upper(text) || cast(ord as varchar) as replacement, ord
+           regexp_replace(lower(trim(text)), '^[\p{P}$+<=>^`|~]+|[\p{P}$+<=>^`|~]+$', '', 'g') || cast(ord as varchar)
+           as replacement, ord
     from (select unnest(string_split(regexp_replace(trim(text), '\s+', ' ', 'g'), ' ')) as text, item_id as ord from benchmark))
    where key <> '' group by key)
   select video_id, w.ord, coalesce(m.replacement, word) as word, coalesce(m.replacement, word) <> word as changed
   from fx_words w left join m on m.key = regexp_replace(lower(w.word), '^[\p{P}$+<=>^`|~]+|[\p{P}$+<=>^`|~]+$', '', 'g')""")
 def apply_word_map(t):
-    pairs = t.benchmark.select(
+    mapping = t.benchmark.select(
         F.col("item_id").alias("ord"), F.explode(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")).alias("word")
-    )
-    mapping = pairs.withColumn("replacement", F.concat(F.upper("word"), F.col("ord").cast("string")))
-    # One item may hold a word in several spellings; make the first entry unique.
-    mapping = mapping.groupBy("ord", F.lower("word").alias("w")).agg(F.min("replacement").alias("replacement")).select(
-        "ord", F.col("w").alias("word"), "replacement"
-    )
+    ).withColumn("replacement", F.concat(bare_word("word"), F.col("ord").cast("string")))
     return tr.apply_word_map(t.words, mapping).select("video_id", "ord", "word", "changed")
