@@ -36,83 +36,99 @@ def scan(
     *,
     lag: Sequence[str] = (),
     lead: Sequence[str] = (),
-    run_max: Mapping[str, Column] | None = None,
+    run_last: Mapping[str, Column] | None = None,
+    prior_last: Mapping[str, Column] | None = None,
     prior_max: Mapping[str, Column] | None = None,
     run_sum: Mapping[str, Column] | None = None,
-    next_min: Mapping[str, Column] | None = None,
+    next_first: Mapping[str, Column] | None = None,
     ordinal: str | None = None,
 ) -> DataFrame:
     """Add neighbour and running columns along ``order`` within ``keys``.
 
-    ``lag``/``lead`` name columns; results are ``prev_<c>`` / ``next_<c>``.
-    ``run_max`` includes the current row, ``prior_max`` excludes it, ``next_min`` is the
-    minimum over the current and all later rows, ``ordinal`` is a 1-based row number.
+    ``lag``/``lead`` name columns; results are ``prev_<c>`` / ``next_<c>``. ``run_last`` is the
+    last non-null value up to the current row, ``prior_last`` and ``prior_max`` look at earlier
+    rows only, ``next_first`` is the first non-null value from the current row on, ``ordinal``
+    is a 1-based row number.
+
+    The bucket summaries are the last rows of the windowed buckets, so both uses of the rows
+    share one shuffle, and the join back is a broadcast whenever the summaries are small.
     """
-    run_max, prior_max = dict(run_max or {}), dict(prior_max or {})
-    run_sum, next_min = dict(run_sum or {}), dict(next_min or {})
+    run_last, prior_last, prior_max = dict(run_last or {}), dict(prior_last or {}), dict(prior_max or {})
+    run_sum, next_first = dict(run_sum or {}), dict(next_first or {})
     if ordinal:
         run_sum[ordinal] = F.lit(1).cast("long")
     buckets = {"_bucket": bucket} if isinstance(bucket, Column) else dict(bucket)
     keys, order = list(keys), list(order)
     cell = keys + list(buckets)
-    rows = df.withColumns(buckets)
 
-    position = F.struct(*order)
-    summary_cols = []
+    inside = Window.partitionBy(*cell).orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    # "All later rows" as "all earlier rows of the reversed order": a frame that ends at
+    # unboundedFollowing is re-aggregated for every row, a growing frame is not.
+    onward = Window.partitionBy(*cell).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+
+    local: dict[str, Column] = {"_tail": F.lead(F.lit(1)).over(inside).isNull()}
+    total: dict[str, Column] = {}
     if lag:
-        summary_cols.append(F.max_by(F.struct(*lag), position).alias("_last"))
+        local["_lag"] = F.lag(F.struct(*lag)).over(inside)
+        total["_end_row"] = F.struct(*lag)
     if lead:
-        summary_cols.append(F.min_by(F.struct(*lead), position).alias("_first"))
-    maxima = {**run_max, **prior_max}
-    summary_cols += [F.max(c).alias(f"_max_{n}") for n, c in maxima.items()]
-    summary_cols += [F.sum(c).alias(f"_sum_{n}") for n, c in run_sum.items()]
-    summary_cols += [F.min(c).alias(f"_min_{n}") for n, c in next_min.items()]
-    summary = rows.groupBy(*cell).agg(*summary_cols)
+        local["_lead"] = F.lead(F.struct(*lead)).over(inside)
+        local["_head"] = F.first(F.struct(*lead)).over(upto)
+        total["_head"] = F.col("_head")
+    for n, c in run_last.items():
+        local[f"_in_{n}"] = F.last(c, ignorenulls=True).over(upto)
+        total[f"_all_{n}"] = F.col(f"_in_{n}")
+    for n, c in prior_last.items():
+        local[f"_in_{n}"] = F.last(c, ignorenulls=True).over(earlier)
+        total[f"_all_{n}"] = F.coalesce(c, F.col(f"_in_{n}"))
+    for n, c in prior_max.items():
+        local[f"_in_{n}"] = F.max(c).over(earlier)
+        total[f"_all_{n}"] = F.greatest(c, F.col(f"_in_{n}"))
+    for n, c in run_sum.items():
+        local[f"_in_{n}"] = F.sum(c).over(upto)
+        total[f"_all_{n}"] = F.col(f"_in_{n}")
+    for n, c in next_first.items():
+        local[f"_in_{n}"] = F.last(c, ignorenulls=True).over(onward)
+        local[f"_any_{n}"] = F.first(c, ignorenulls=True).over(upto)
+        total[f"_all_{n}"] = F.col(f"_any_{n}")
+    rows = df.withColumns(buckets).withColumns(local)
 
     along = (Window.partitionBy(*keys) if keys else Window).orderBy(*buckets)
     before = along.rowsBetween(Window.unboundedPreceding, -1)
-    # "All later rows" as "all earlier rows of the reversed order": a frame that ends at
-    # unboundedFollowing is re-aggregated for every row, a growing frame is not.
     back = (Window.partitionBy(*keys) if keys else Window).orderBy(*[F.desc(b) for b in buckets])
     after = back.rowsBetween(Window.unboundedPreceding, -1)
-    carried = []
-    if lag:
-        carried.append(F.lag("_last").over(along).alias("_carry_last"))
-    if lead:
-        carried.append(F.lead("_first").over(along).alias("_carry_first"))
-    carried += [F.max(f"_max_{n}").over(before).alias(f"_carry_max_{n}") for n in maxima]
-    carried += [F.sum(f"_sum_{n}").over(before).alias(f"_carry_sum_{n}") for n in run_sum]
-    carried += [F.min(f"_min_{n}").over(after).alias(f"_carry_min_{n}") for n in next_min]
-    carry = summary.select(*cell, *carried)
-
-    inside = Window.partitionBy(*cell).orderBy(*order)
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-    reverse = Window.partitionBy(*cell).orderBy(*[F.desc(c) for c in order])
-    onward = reverse.rowsBetween(Window.unboundedPreceding, 0)
-    local = {}
+    carried: dict[str, Column] = {}
     if lag:
-        local["_lag"] = F.lag(F.struct(*lag)).over(inside)
+        carried["_carry_lag"] = F.lag("_end_row").over(along)
     if lead:
-        local["_lead"] = F.lead(F.struct(*lead)).over(inside)
-    local.update({f"_in_{n}": F.max(c).over(upto) for n, c in run_max.items()})
-    local.update({f"_in_{n}": F.max(c).over(earlier) for n, c in prior_max.items()})
-    local.update({f"_in_{n}": F.sum(c).over(upto) for n, c in run_sum.items()})
-    local.update({f"_in_{n}": F.min(c).over(onward) for n, c in next_min.items()})
-
-    joined = rows.withColumns(local).join(carry, cell, "left")
-    final = {}
+        carried["_carry_lead"] = F.lead("_head").over(along)
+    for n in [*run_last, *prior_last]:
+        carried[f"_carry_{n}"] = F.last(f"_all_{n}", ignorenulls=True).over(before)
+    for n in prior_max:
+        carried[f"_carry_{n}"] = F.max(f"_all_{n}").over(before)
+    for n in run_sum:
+        carried[f"_carry_{n}"] = F.sum(f"_all_{n}").over(before)
+    for n in next_first:
+        carried[f"_carry_{n}"] = F.last(f"_all_{n}", ignorenulls=True).over(after)
+    summary = rows.filter("_tail").select(*cell, *[c.alias(n) for n, c in total.items()])
+    carry = summary.select(*cell, *[c.alias(n) for n, c in carried.items()])
+
+    joined = rows.join(carry, cell, "left")
+    final: dict[str, Column] = {}
     if lag:
-        whole = F.coalesce("_lag", "_carry_last")
+        whole = F.coalesce("_lag", "_carry_lag")
         final.update({f"prev_{c}": whole[c] for c in lag})
     if lead:
-        whole = F.coalesce("_lead", "_carry_first")
+        whole = F.coalesce("_lead", "_carry_lead")
         final.update({f"next_{c}": whole[c] for c in lead})
-    final.update({n: F.greatest(f"_in_{n}", f"_carry_max_{n}") for n in maxima})
-    final.update(
-        {n: F.coalesce(f"_in_{n}", F.lit(0)) + F.coalesce(f"_carry_sum_{n}", F.lit(0)) for n in run_sum}
-    )
-    final.update({n: F.least(f"_in_{n}", f"_carry_min_{n}") for n in next_min})
+    for n in [*run_last, *prior_last, *next_first]:
+        final[n] = F.coalesce(f"_in_{n}", f"_carry_{n}")
+    for n in prior_max:
+        final[n] = F.greatest(f"_in_{n}", f"_carry_{n}")
+    for n in run_sum:
+        final[n] = F.coalesce(f"_in_{n}", F.lit(0)) + F.coalesce(f"_carry_{n}", F.lit(0))
     return joined.select(*df.columns, *[c.alias(n) for n, c in final.items()])
 
 

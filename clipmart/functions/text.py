@@ -47,22 +47,14 @@ def ends_cut_sentence(word: str | Column) -> Column:
     return ends_with_any(strip_end(squash(word), CUT_CLOSERS), CUT_SENTENCE_END)
 
 
-def cut_at_word(value: Column, limit: int, trailing: str = " ") -> Column:
-    """At most *limit* characters, cut back to the last space when one exists."""
-    head = F.substring(value, 1, limit)
-    back = F.when(F.instr(head, " ") > 0, F.regexp_extract(head, r"(?s)^(.*) ", 1)).otherwise(head)
-    back = F.rtrim(back, F.lit(trailing))
-    return F.when(F.length(value) <= limit, value).when(back == "", F.trim(head)).otherwise(back)
+def first_distinct(items: str, keys: str, limit: int) -> Column:
+    """First *limit* items of an array column with distinct keys, in order.
 
-
-def distinct_ignoring_case(items: Column, limit: int, key=F.lower) -> Column:
-    """First *limit* distinct items of an array in order; equality ignores case.
-
-    ``array_distinct`` keeps first occurrences, so the keys give the kept positions.
+    ``items`` and ``keys`` are aligned, finished columns (not expressions), so that looking an
+    item up does not recompute them.
     """
-    keys = F.transform(items, key)
-    wanted = F.slice(F.array_distinct(keys), 1, limit)
-    return F.transform(wanted, lambda k: F.element_at(items, F.array_position(keys, k).cast("int")))
+    wanted = F.slice(F.array_distinct(F.col(keys)), 1, limit)
+    return F.transform(wanted, lambda k: F.element_at(F.col(items), F.array_position(F.col(keys), k).cast("int")))
 
 
 def non_latin(value: str | Column) -> Column:

@@ -17,6 +17,7 @@ SHORT_TOLERANCE = 0.9
 MAX_OVERLAP = 0.25
 MIN_SCORE = 60
 MIN_HASHTAGS, MAX_HASHTAGS = 10, 15
+ON_SCREEN_CHARS = 42
 SPAN = "struct<start_time: double, end_time: double>"
 
 
@@ -30,50 +31,62 @@ def _truthy(value: Column) -> Column:
 
 
 # ---- metadata text -------------------------------------------------------------------
-def clean_hashtags(value: Column) -> Column:
-    """Up to 15 distinct tags of letters, digits and underscores; digit-only tags are dropped."""
-    bodies = F.transform(
-        F.split(tx.squash(value), " "), lambda p: F.regexp_replace(F.ltrim(p, F.lit("#")), r"[^\p{L}\p{N}_]", "")
-    )
-    usable = F.filter(bodies, lambda b: (b != "") & ~b.rlike(r"^\p{Nd}+$"))
-    return tx.distinct_ignoring_case(F.transform(usable, lambda b: F.concat(F.lit("#"), b)), MAX_HASHTAGS)
-
-
-def clean_keywords(tags: Column, limit: int = 8) -> Column:
-    items = F.filter(F.transform(F.coalesce(tags, F.array().cast("array<string>")), tx.squash), lambda t: t != "")
-    return tx.distinct_ignoring_case(items, limit)
-
-
-def clean_on_screen_hook(value: Column, limit: int = 42) -> Column:
-    """No surrounding quotes, no hashtags, cut at a word boundary."""
-    bare = F.trim(tx.squash(value), F.lit("\"'“”‘’"))
-    words = F.filter(F.split(tx.squash(bare), " "), lambda w: ~F.startswith(w, F.lit("#")))
-    joined = F.array_join(words, " ")
-    head = F.substring(joined, 1, limit)
-    back = F.when(F.instr(head, " ") > 0, F.regexp_extract(head, r"(?s)^(.*) ", 1)).otherwise(head)
-    back = F.rtrim(back, F.lit(",;:-–— "))
-    return F.when(F.length(joined) <= limit, joined).when(back == "", head).otherwise(back)
-
-
 def clip_metadata_text(cands: DataFrame) -> DataFrame:
-    """Publishable title, headline, hashtags, keywords and description of each candidate."""
+    """Publishable title, headline, hashtags, keywords and description of each candidate.
+
+    Staged so that each long text is cleaned once: a stage only refers to finished columns.
+    A hashtag keeps letters, digits and underscores; digit-only tags are dropped. The headline
+    loses surrounding quotes and hashtags and is cut at a word boundary.
+    """
     tags = F.coalesce(F.when(F.col("hashtags") != "", F.col("hashtags")), F.col("hashtag"), F.lit(""))
-    out = cands.withColumns(
+    bodies = F.regexp_replace(tx.squash(tags), r"[^\p{L}\p{N}_ ]+", "")
+    bodies = F.regexp_replace(bodies, r"(?<![^ ])\p{Nd}+(?![^ ])", "")
+    keywords = F.filter(
+        F.transform(F.coalesce("keyword_tags", F.array().cast("array<string>")), tx.squash), lambda t: t != ""
+    )
+    staged = cands.withColumns(
         {
             "hook_text": tx.squash("hook_text"),
-            "on_screen_hook": clean_on_screen_hook(F.col("on_screen_hook")),
-            "title": tx.cut_at_word(tx.squash("title"), 100),
             "description_hook": tx.squash("description_hook"),
             "description_context": tx.squash("description_context"),
-            "_tags": clean_hashtags(tags),
-            "keyword_tags": clean_keywords(F.col("keyword_tags")),
+            "_title": tx.squash("title"),
+            "_hook": tx.squash(F.trim(tx.squash("on_screen_hook"), F.lit("\"'“”‘’"))),
+            "_tag_text": bodies,
+            "_words": keywords,
         }
-    ).withColumns({"hashtags": F.array_join("_tags", " "), "n_hashtags": F.size("_tags")}).drop("_tags")
+    ).withColumns(
+        {
+            "_hook": F.array_join(F.filter(F.split("_hook", " "), lambda w: ~F.startswith(w, F.lit("#"))), " "),
+            "_tags": F.array_remove(F.split("_tag_text", " "), ""),
+            "_tag_keys": F.array_remove(F.split(F.lower("_tag_text"), " "), ""),
+            "_word_keys": F.transform("_words", F.lower),
+            "_title_head": F.substring("_title", 1, 100),
+        }
+    ).withColumn("_hook_head", F.substring("_hook", 1, ON_SCREEN_CHARS))
+
+    def before_last_space(head: str) -> Column:
+        return F.when(F.instr(head, " ") > 0, F.regexp_extract(head, r"(?s)^(.*) ", 1)).otherwise(F.col(head))
+
+    title_cut = F.trim(before_last_space("_title_head"))
+    hook_cut = F.rtrim(before_last_space("_hook_head"), F.lit(",;:-–— "))
+    shaped = staged.withColumns(
+        {
+            "title": F.when(F.length("_title") <= 100, F.col("_title")).otherwise(title_cut),
+            "on_screen_hook": F.when(F.length("_hook") <= ON_SCREEN_CHARS, F.col("_hook"))
+            .when(hook_cut == "", F.col("_hook_head")).otherwise(hook_cut),
+            "_tags": F.transform(
+                tx.first_distinct("_tags", "_tag_keys", MAX_HASHTAGS), lambda b: F.concat(F.lit("#"), b)
+            ),
+            "keyword_tags": tx.first_distinct("_words", "_word_keys", 8),
+        }
+    ).withColumns({"hashtags": F.array_join("_tags", " "), "n_hashtags": F.size("_tags")})
     parts = F.filter(F.array("description_hook", "description_context", "hashtags"), lambda p: p != "")
     source = F.when(
         F.coalesce("source_url", F.lit("")) != "", F.concat(F.lit("\n\nSource: "), F.col("source_url"))
     ).otherwise(F.lit(""))
-    return out.withColumn("youtube_description", F.concat(F.array_join(parts, "\n\n"), source))
+    return shaped.withColumn("youtube_description", F.concat(F.array_join(parts, "\n\n"), source)).drop(
+        "_title", "_title_head", "_hook", "_hook_head", "_tag_text", "_tags", "_tag_keys", "_words", "_word_keys"
+    )
 
 
 # ---- spans ----------------------------------------------------------------------------
@@ -101,7 +114,7 @@ def merge_segments(segments: DataFrame, key: str = "video_id", start: str = "sta
     seen = scan(rows, [key], time_bucket("_s"), ["_s", "_e"], prior_max={"_reach": F.col("_e")})
     opens = F.col("_reach").isNull() | (F.col("_s") > F.col("_reach"))
     flagged = seen.select(key, "_s", "_e", F.when(opens, F.col("_s")).alias("_open"))
-    marked = scan(flagged, [key], time_bucket("_s"), ["_s", "_e"], run_max={"_island": F.col("_open")})
+    marked = scan(flagged, [key], time_bucket("_s"), ["_s", "_e"], run_last={"_island": F.col("_open")})
     return marked.groupBy(key, "_island").agg(F.min("_s").alias(start), F.max("_e").alias(end)).drop("_island")
 
 
@@ -316,7 +329,7 @@ def _lookup(words: DataFrame, probes: DataFrame, word_fields: Sequence[str]) ->
     )
     seen = scan(
         w.unionByName(p), ["video_id"], time_bucket("t"), ["t", "kind", "_tie"],
-        run_max={"at": F.col("w")}, next_min={"after": F.col("w")},
+        run_last={"at": F.col("w")}, next_first={"after": F.col("w")},
     )
     return seen.filter("kind = 1").select("video_id", "payload", "at", "after")
 
@@ -344,19 +357,28 @@ def _snapped_start(at: Column, after: Column, t: Column) -> Column:
 
 def _sentence_words(words: DataFrame) -> DataFrame:
     """Words with the previous word's end and the nearest sentence ends (and their snapped ends)."""
-    ends = words.filter("is_end").select(
-        "video_id", (F.col("end_s") - SNAP_EPS).alias("t"), F.struct("start_s", "end_s").alias("payload")
+    near = scan(words, ["video_id"], time_bucket("start_s"), ["start_s", "end_s"], lag=["end_s"], lead=["start_s"])
+    near = near.withColumn(
+        "snap_s", F.greatest("end_s", F.least(F.col("end_s") + TAIL_S, F.coalesce(F.col("next_start_s") - SNAP_EPS, F.col("end_s") + TAIL_S)))
     )
-    snapped = _lookup(words, ends, []).select(
+    # Looking a sentence end up by its own end time finds the word itself, unless words
+    # overlap or are very short; those few are looked up properly.
+    probe = F.col("end_s") - SNAP_EPS
+    odd = near.filter(F.col("is_end") & ((F.col("next_start_s") <= probe) | (F.col("start_s") > probe))).select(
+        "video_id", probe.alias("t"), F.struct("start_s", "end_s").alias("payload")
+    )
+    around = words.join(odd.select("video_id").distinct(), "video_id", "left_semi")
+    fixed = _lookup(around, odd, []).select(
         "video_id", F.col("payload.start_s").alias("start_s"), F.col("payload.end_s").alias("end_s"),
-        _snapped_end(F.col("at"), F.col("after"), F.col("payload.end_s") ).alias("snap_s"),
+        _snapped_end(F.col("at"), F.col("after"), F.col("payload.end_s")).alias("_snap"),
     ).distinct()
-    marked = words.join(snapped, ["video_id", "start_s", "end_s"], "left")
-    sentence = F.when(F.col("is_end"), F.struct("start_s", "end_s", "snap_s"))
+    marked = near.join(fixed, ["video_id", "start_s", "end_s"], "left")
+    sentence = F.when(F.col("is_end"), F.struct("start_s", "end_s", F.coalesce("_snap", "snap_s").alias("snap_s")))
     return scan(
-        marked, ["video_id"], time_bucket("start_s"), ["start_s", "end_s"], lag=["end_s"],
-        run_max={"last_sentence": sentence}, next_min={"next_sentence": sentence},
-    )
+        marked.withColumn("_sentence", sentence).drop("_snap", "snap_s", "next_start_s"),
+        ["video_id"], time_bucket("start_s"), ["start_s", "end_s"],
+        run_last={"last_sentence": F.col("_sentence")}, next_first={"next_sentence": F.col("_sentence")},
+    ).drop("_sentence")
 
 
 WORD_FIELDS = ["prev_end_s", "is_end", "last_sentence", "next_sentence"]

@@ -50,7 +50,7 @@ def _caption_islands(words: DataFrame, keys: list[str]) -> DataFrame:
     flagged = seen.withColumns({"_hard": hard, "_clause": tx.ends_clause("word")}).drop("next_start_s")
     return scan(
         flagged, keys, position_bucket("ord"), ["ord"],
-        prior_max={"_island": F.when(F.col("_hard"), F.col("ord") + 1)},
+        prior_last={"_island": F.when(F.col("_hard"), F.col("ord") + 1)},
     ).withColumn("_island", F.coalesce("_island", F.lit(0).cast("long")))
 
 
@@ -82,9 +82,8 @@ def caption_positions(words: DataFrame, max_words: int = 5, keys: tuple[str, ...
         F.sort_array(F.collect_list(F.struct("ord", "_hard", "_clause", "word", "start_s", "end_s"))).alias("_words")
     )
     # Chaining is needed for long islands only: most hold a single piece.
-    long_pieces = pieces.join(
-        pieces.filter("_piece > 0").select(*keys, "_island").distinct(), keys + ["_island"], "left_semi"
-    )
+    long_islands = words.filter("_piece > 0").select(*keys, "_island").distinct()
+    long_pieces = pieces.join(long_islands, keys + ["_island"], "left_semi")
     tables = long_pieces.select(
         *keys, "_island", "_piece",
         F.transform(
@@ -135,7 +134,7 @@ def transcript_lines(words: DataFrame, max_words: int = LINE_WORDS) -> DataFrame
     """Lines of one sentence or *max_words* words: (video_id, line, start_s, end_s, text)."""
     seen = scan(
         words, ["video_id"], position_bucket("ord"), ["ord"],
-        prior_max={"_start": F.when(tx.ends_line("word"), F.col("ord") + 1)},
+        prior_last={"_start": F.when(tx.ends_line("word"), F.col("ord") + 1)},
     )
     start = F.coalesce(F.col("_start"), F.lit(0).cast("long"))
     line = start + F.floor((F.col("ord") - start) / max_words) * max_words
@@ -245,7 +244,7 @@ def speech_sessions(words: DataFrame, gap: float = PAUSE_S) -> DataFrame:
     opens = F.col("prev_end_s").isNull() | (F.col("start_s") - F.col("prev_end_s") > gap)
     burst = scan(
         seen.withColumn("_opens", opens).drop("prev_end_s"), ["video_id"], position_bucket("ord"), ["ord"],
-        run_max={"burst": F.when(F.col("_opens"), F.col("ord"))},
+        run_last={"burst": F.when(F.col("_opens"), F.col("ord"))},
     )
     return burst.groupBy("video_id", "burst").agg(
         F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count("*").alias("n_words")
