@@ -1,9 +1,11 @@
 """Ordered-series helpers that survive hot keys.
 
-A plain ``Window.partitionBy(key)`` sends every row of a key to one task. Here each
-key is cut into *buckets* (columns that never decrease along the order, for example
-``ord div 4096``). Windows run inside a bucket; one small summary row per bucket
-carries the state across bucket edges. Results equal the plain window.
+A plain ``Window.partitionBy(key)`` sends every row of a key to one task. That is the
+cheapest plan while every key is small: consecutive windows over one key share one
+shuffle and one sort. Where a key is larger than a task should sort, each key is cut into
+*buckets* (columns that never decrease along the order, for example ``ord div 4096``):
+windows run inside a bucket and one small summary row per bucket carries the state
+across bucket edges. Both plans give the same result; ``has_hot_keys`` decides.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 4096
+# A key with more rows than this is split. 200,000 timed words are more than 20 hours of speech.
+HOT_KEY_ROWS = 200_000
 
 
 def position_bucket(ordinal: str | Column, rows: int = ROWS_PER_BUCKET) -> Column:
@@ -28,6 +32,15 @@ def time_bucket(seconds: str | Column, width: float = 600.0) -> Column:
     return F.floor(col / F.lit(float(width))).cast("long")
 
 
+def has_hot_keys(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> bool:
+    """Whether any key has more rows than one task should sort.
+
+    One narrow job: only the key columns are read, and counts combine map-side.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return not counts.filter(F.col("_n") > (HOT_KEY_ROWS if limit is None else limit)).isEmpty()
+
+
 def scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -42,15 +55,17 @@ def scan(
     run_sum: Mapping[str, Column] | None = None,
     next_first: Mapping[str, Column] | None = None,
     ordinal: str | None = None,
+    split: bool | None = None,
 ) -> DataFrame:
     """Add neighbour and running columns along ``order`` within ``keys``.
 
     ``lag``/``lead`` name columns; results are ``prev_<c>`` / ``next_<c>``. ``run_last`` is the
     last non-null value up to the current row, ``prior_last`` and ``prior_max`` look at earlier
     rows only, ``next_first`` is the first non-null value from the current row on, ``ordinal``
-    is a 1-based row number.
+    is a 1-based row number. ``split`` says whether keys must be cut into buckets; by default
+    that is looked up with ``has_hot_keys``. Chained scans of one table should look it up once.
 
-    The bucket summaries are the last rows of the windowed buckets, so both uses of the rows
+    When split, the bucket summaries are the last rows of the windowed buckets, so both uses of the rows
     share one shuffle, and the join back is a broadcast whenever the summaries are small.
     """
     run_last, prior_last, prior_max = dict(run_last or {}), dict(prior_last or {}), dict(prior_max or {})
@@ -59,6 +74,26 @@ def scan(
         run_sum[ordinal] = F.lit(1).cast("long")
     buckets = {"_bucket": bucket} if isinstance(bucket, Column) else dict(bucket)
     keys, order = list(keys), list(order)
+    if split is None:
+        split = not keys or has_hot_keys(df, keys)
+    if not split:
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        upto = whole.rowsBetween(Window.unboundedPreceding, 0)
+        earlier = whole.rowsBetween(Window.unboundedPreceding, -1)
+        reverse = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+        added = {f"prev_{c}": F.lag(c).over(whole) for c in lag}
+        added.update({f"next_{c}": F.lead(c).over(whole) for c in lead})
+        added.update({n: F.last(c, ignorenulls=True).over(upto) for n, c in run_last.items()})
+        added.update({n: F.last(c, ignorenulls=True).over(earlier) for n, c in prior_last.items()})
+        added.update({n: F.max(c).over(earlier) for n, c in prior_max.items()})
+        added.update({n: F.coalesce(F.sum(c).over(upto), F.lit(0)) for n, c in run_sum.items()})
+        added.update(
+            {
+                n: F.last(c, ignorenulls=True).over(reverse.rowsBetween(Window.unboundedPreceding, 0))
+                for n, c in next_first.items()
+            }
+        )
+        return df.withColumns(added)
     cell = keys + list(buckets)
 
     inside = Window.partitionBy(*cell).orderBy(*order)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipmart.functions import text as tx
-from clipmart.functions.ordered import scan, time_bucket
+from clipmart.functions.ordered import has_hot_keys, scan, time_bucket
 from clipmart.functions.ranges import overlap_join
 from clipmart.session import ensure_checkpoint_dir
 
@@ -111,10 +111,11 @@ def spans_length(spans: Column) -> Column:
 def merge_segments(segments: DataFrame, key: str = "video_id", start: str = "start_time", end: str = "end_time") -> DataFrame:
     """Union of overlapping or touching intervals per key, as a table."""
     rows = segments.select(key, F.col(start).alias("_s"), F.col(end).alias("_e"))
-    seen = scan(rows, [key], time_bucket("_s"), ["_s", "_e"], prior_max={"_reach": F.col("_e")})
+    split = has_hot_keys(rows, [key])
+    seen = scan(rows, [key], time_bucket("_s"), ["_s", "_e"], prior_max={"_reach": F.col("_e")}, split=split)
     opens = F.col("_reach").isNull() | (F.col("_s") > F.col("_reach"))
     flagged = seen.select(key, "_s", "_e", F.when(opens, F.col("_s")).alias("_open"))
-    marked = scan(flagged, [key], time_bucket("_s"), ["_s", "_e"], run_last={"_island": F.col("_open")})
+    marked = scan(flagged, [key], time_bucket("_s"), ["_s", "_e"], run_last={"_island": F.col("_open")}, split=split)
     return marked.groupBy(key, "_island").agg(F.min("_s").alias(start), F.max("_e").alias(end)).drop("_island")
 
 
@@ -316,7 +317,7 @@ LEAD_IN_S, TAIL_S, SNAP_EPS = 0.12, 0.35, 0.05
 EXTEND_S, RETREAT_S = 2.5, 6.0
 
 
-def _lookup(words: DataFrame, probes: DataFrame, word_fields: Sequence[str]) -> DataFrame:
+def _lookup(words: DataFrame, probes: DataFrame, word_fields: Sequence[str], split: bool) -> DataFrame:
     """As-of lookup: for each probe (video_id, t, payload) the last word starting at or before ``t``
     (``at``) and the first one after it (``after``)."""
     w = words.select(
@@ -329,7 +330,7 @@ def _lookup(words: DataFrame, probes: DataFrame, word_fields: Sequence[str]) ->
     )
     seen = scan(
         w.unionByName(p), ["video_id"], time_bucket("t"), ["t", "kind", "_tie"],
-        run_last={"at": F.col("w")}, next_first={"after": F.col("w")},
+        run_last={"at": F.col("w")}, next_first={"after": F.col("w")}, split=split,
     )
     return seen.filter("kind = 1").select("video_id", "payload", "at", "after")
 
@@ -355,9 +356,9 @@ def _snapped_start(at: Column, after: Column, t: Column) -> Column:
     return F.when(word_start.isNull(), t).otherwise(snapped)
 
 
-def _sentence_words(words: DataFrame) -> DataFrame:
+def _sentence_words(words: DataFrame, split: bool) -> DataFrame:
     """Words with the previous word's end and the nearest sentence ends (and their snapped ends)."""
-    near = scan(words, ["video_id"], time_bucket("start_s"), ["start_s", "end_s"], lag=["end_s"], lead=["start_s"])
+    near = scan(words, ["video_id"], time_bucket("start_s"), ["start_s", "end_s"], lag=["end_s"], lead=["start_s"], split=split)
     near = near.withColumn(
         "snap_s", F.greatest("end_s", F.least(F.col("end_s") + TAIL_S, F.coalesce(F.col("next_start_s") - SNAP_EPS, F.col("end_s") + TAIL_S)))
     )
@@ -368,7 +369,7 @@ def _sentence_words(words: DataFrame) -> DataFrame:
         "video_id", probe.alias("t"), F.struct("start_s", "end_s").alias("payload")
     )
     around = words.join(odd.select("video_id").distinct(), "video_id", "left_semi")
-    fixed = _lookup(around, odd, []).select(
+    fixed = _lookup(around, odd, [], split).select(
         "video_id", F.col("payload.start_s").alias("start_s"), F.col("payload.end_s").alias("end_s"),
         _snapped_end(F.col("at"), F.col("after"), F.col("payload.end_s")).alias("_snap"),
     ).distinct()
@@ -377,7 +378,7 @@ def _sentence_words(words: DataFrame) -> DataFrame:
     return scan(
         marked.withColumn("_sentence", sentence).drop("_snap", "snap_s", "next_start_s"),
         ["video_id"], time_bucket("start_s"), ["start_s", "end_s"],
-        run_last={"last_sentence": F.col("_sentence")}, next_first={"next_sentence": F.col("_sentence")},
+        run_last={"last_sentence": F.col("_sentence")}, next_first={"next_sentence": F.col("_sentence")}, split=split,
     ).drop("_sentence")
 
 
@@ -400,14 +401,19 @@ def finish_sentence(clips: DataFrame, words: DataFrame, min_s: float = MIN_CLIP_
     Words must be free of overlaps (see ``clamp_word_overlaps``), so that their ends follow
     their starts.
     """
-    return _finish_on(clips, _sentence_words(_clean_words(words)), min_s)
+    split = _must_split(words, clips)
+    return _finish_on(clips, _sentence_words(_clean_words(words), split), min_s, split)
 
 
-def _finish_on(clips: DataFrame, words: DataFrame, min_s: float) -> DataFrame:
+def _must_split(words: DataFrame, clips: DataFrame) -> bool:
+    return has_hot_keys(words, ["video_id"]) or has_hot_keys(clips, ["video_id"])
+
+
+def _finish_on(clips: DataFrame, words: DataFrame, min_s: float, split: bool) -> DataFrame:
     probes = clips.select(
         "video_id", (F.col("end_time") - SNAP_EPS).alias("t"), F.struct(*clips.columns).alias("payload")
     )
-    found = _lookup(words, probes, WORD_FIELDS)
+    found = _lookup(words, probes, WORD_FIELDS, split)
     c = F.col("payload")
     earliest = c["start_time"] + min_s * SHORT_TOLERANCE
     done = _finish(c["end_time"], F.col("at"), F.col("after"), earliest)
@@ -420,8 +426,10 @@ def snap_clips_to_words(clips: DataFrame, words: DataFrame, min_s: float = MIN_C
     ``clips``: (video_id, ord, start_time, end_time, hook_start_time, hook_end_time, keep_segments).
     Videos without words keep their clips unchanged.
     """
-    indexed = _sentence_words(_clean_words(words))
-    transcribed = indexed.groupBy("video_id").agg(F.max("is_end").alias("punctuated"))
+    split = _must_split(words, clips)
+    cleaned = _clean_words(words)
+    indexed = _sentence_words(cleaned, split)
+    transcribed = cleaned.groupBy("video_id").agg(F.max("is_end").alias("punctuated"))
     spans = F.array_compact(
         F.concat(
             F.array(
@@ -444,7 +452,7 @@ def snap_clips_to_words(clips: DataFrame, words: DataFrame, min_s: float = MIN_C
     probes = parts.withColumn(
         "edge", F.explode(F.array(F.struct(F.lit("start").alias("side"), F.col("s").alias("t")), F.struct(F.lit("end").alias("side"), (F.col("e") - SNAP_EPS).alias("t"))))
     ).select("video_id", "edge.t", F.struct("ord", "part", "k", "s", "e", "edge.side").alias("payload"))
-    found = _lookup(indexed, probes, WORD_FIELDS)
+    found = _lookup(indexed, probes, WORD_FIELDS, split)
     p, at, after = F.col("payload"), F.col("at"), F.col("after")
     value = F.when(p["side"] == "start", _snapped_start(at, after, p["s"])).otherwise(_snapped_end(at, after, p["e"]))
     edges = found.select("video_id", "payload.*", value.alias("v"))
@@ -459,7 +467,7 @@ def snap_clips_to_words(clips: DataFrame, words: DataFrame, min_s: float = MIN_C
         "video_id", "ord", F.col("_ns").alias("start_time"), F.col("_ne").alias("end_time"), F.col("e").alias("old_end"),
         F.col("_ne").alias("raw_end"),
     )
-    main = _finish_on(main, indexed, min_s)
+    main = _finish_on(main, indexed, min_s, split)
     pieces = snapped.filter("part <> 'clip'").groupBy("video_id", "ord").agg(
         F.max(F.when(F.col("part") == "hook", F.struct("_ns", "_ne"))).alias("hook"),
         F.sort_array(F.collect_list(F.when(F.col("part") == "keep", F.struct("k", "_ns", "_ne", "e")))).alias("keeps"),

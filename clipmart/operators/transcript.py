@@ -11,7 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipmart.functions import text as tx
-from clipmart.functions.ordered import first_per_key, last_per_key, position_bucket, scan, time_bucket
+from clipmart.functions.ordered import (
+    first_per_key,
+    has_hot_keys,
+    last_per_key,
+    position_bucket,
+    scan,
+    time_bucket,
+)
 from clipmart.functions.ranges import overlap_join
 
 PAUSE_S = 0.6
@@ -36,12 +43,12 @@ def clamp_word_overlaps(words: DataFrame) -> DataFrame:
     return seen.withColumn("end_s", end).drop("next_start_s")
 
 
-def _caption_islands(words: DataFrame, keys: list[str]) -> DataFrame:
+def _caption_islands(words: DataFrame, keys: list[str], split: bool) -> DataFrame:
     """Words with the position of the hard break they follow.
 
     Sentence ends, pauses and the last word always end a caption, whatever its length.
     """
-    seen = scan(words, keys, position_bucket("ord"), ["ord"], lead=["start_s"])
+    seen = scan(words, keys, position_bucket("ord"), ["ord"], lead=["start_s"], split=split)
     hard = (
         F.col("next_start_s").isNull()
         | tx.ends_caption_sentence("word")
@@ -50,7 +57,7 @@ def _caption_islands(words: DataFrame, keys: list[str]) -> DataFrame:
     flagged = seen.withColumns({"_hard": hard, "_clause": tx.ends_clause("word")}).drop("next_start_s")
     return scan(
         flagged, keys, position_bucket("ord"), ["ord"],
-        prior_last={"_island": F.when(F.col("_hard"), F.col("ord") + 1)},
+        prior_last={"_island": F.when(F.col("_hard"), F.col("ord") + 1)}, split=split,
     ).withColumn("_island", F.coalesce("_island", F.lit(0).cast("long")))
 
 
@@ -65,47 +72,64 @@ def _step(max_words: int):
     return step
 
 
-def caption_positions(words: DataFrame, max_words: int = 5, keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
-    """Words with ``seg``: the position of the first word of their caption.
+WORD_FIELDS = ("ord", "_hard", "_clause", "word", "start_s", "end_s")
 
-    Between hard breaks, a caption ends at ``max_words`` or at a clause end with two or more
-    words. That needs the running length, so each island is folded; islands longer than
-    ``PIECE`` words are folded in pieces. The running length has only ``max_words`` possible
-    values, so every piece is summarised as a table *entry length -> exit length* and the
-    entry lengths follow by chaining those small tables.
+
+def _captions_as_arrays(islands: DataFrame, max_words: int, keys: list[str]) -> DataFrame:
+    """One row per caption with its words, by folding each island once.
+
+    The fold lists the positions where captions start; the island is then sliced there.
+    """
+    step = _step(max_words)
+    whole = islands.groupBy(*keys, "_island").agg(F.sort_array(F.collect_list(F.struct(*WORD_FIELDS))).alias("_words"))
+
+    def walk(acc: Column, word: Column) -> Column:
+        starts = F.when(acc["length"] == 0, F.array_append(acc["starts"], acc["i"])).otherwise(acc["starts"])
+        return F.struct(step(acc["length"], word).alias("length"), (acc["i"] + 1).alias("i"), starts.alias("starts"))
+
+    first = F.struct(
+        F.lit(0).alias("length"), F.lit(1).alias("i"), F.array().cast("array<int>").alias("starts")
+    )
+    walked = whole.withColumn("_starts", F.aggregate("_words", first, walk, lambda acc: acc["starts"]))
+    ends = F.array_append(F.slice(F.col("_starts"), F.lit(2), F.size("_starts")), F.size("_words") + 1)
+    cuts = walked.withColumn("_cut", F.explode(F.arrays_zip(F.col("_starts").alias("a"), ends.alias("b"))))
+    return cuts.select(
+        *keys, F.slice(F.col("_words"), F.col("_cut.a"), F.col("_cut.b") - F.col("_cut.a")).alias("_words")
+    )
+
+
+def _positions_in_pieces(islands: DataFrame, max_words: int, keys: list[str]) -> DataFrame:
+    """Caption positions when islands may be too long for one array.
+
+    Islands are folded in pieces of ``PIECE`` words. The running length has only ``max_words``
+    possible values, so every piece is summarised as a table *entry length -> exit length*,
+    and the entry lengths follow by chaining those small tables.
     """
-    keys = list(keys)
     step = _step(max_words)
     zero = F.lit(0)
-    words = _caption_islands(words, keys).withColumn("_piece", F.floor((F.col("ord") - F.col("_island")) / PIECE))
+    words = islands.withColumn("_piece", F.floor((F.col("ord") - F.col("_island")) / PIECE))
     pieces = words.groupBy(*keys, "_island", "_piece").agg(
-        F.sort_array(F.collect_list(F.struct("ord", "_hard", "_clause", "word", "start_s", "end_s"))).alias("_words")
+        F.sort_array(F.collect_list(F.struct(*WORD_FIELDS))).alias("_words")
     )
-    # Chaining is needed for long islands only: most hold a single piece.
     long_islands = words.filter("_piece > 0").select(*keys, "_island").distinct()
-    long_pieces = pieces.join(long_islands, keys + ["_island"], "left_semi")
-    tables = long_pieces.select(
+    tables = pieces.join(long_islands, keys + ["_island"], "left_semi").select(
         *keys, "_island", "_piece",
-        F.transform(
-            F.sequence(zero, F.lit(max_words - 1)), lambda s: F.aggregate("_words", s, step)
-        ).alias("_exit"),
+        F.transform(F.sequence(zero, F.lit(max_words - 1)), lambda s: F.aggregate("_words", s, step)).alias("_exit"),
     )
     chained = tables.groupBy(*keys, "_island").agg(
         F.sort_array(F.collect_list(F.struct("_piece", "_exit"))).alias("_tables")
     )
     entries = F.aggregate(
-        "_tables",
-        F.array(zero),
-        lambda acc, t: F.array_append(acc, F.get(t["_exit"], F.element_at(acc, -1))),
+        "_tables", F.array(zero), lambda acc, t: F.array_append(acc, F.get(t["_exit"], F.element_at(acc, -1)))
     )
     entry = chained.select(*keys, "_island", F.posexplode(entries).alias("_piece", "_entry")).withColumn(
         "_piece", F.col("_piece").cast("long")
     )
     folded = pieces.join(entry, keys + ["_island", "_piece"], "left")
-    start = F.struct(F.coalesce("_entry", zero).alias("length"), F.array().cast("array<int>").alias("before"))
+    first = F.struct(F.coalesce("_entry", zero).alias("length"), F.array().cast("array<int>").alias("before"))
     lengths = F.aggregate(
         "_words",
-        start,
+        first,
         lambda acc, w: F.struct(
             step(acc["length"], w).alias("length"), F.array_append(acc["before"], acc["length"]).alias("before")
         ),
@@ -119,9 +143,38 @@ def caption_positions(words: DataFrame, max_words: int = 5, keys: tuple[str, ...
     )
 
 
-def group_captions(words: DataFrame, max_words: int = 5, keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
+def caption_positions(
+    words: DataFrame, max_words: int = 5, keys: tuple[str, ...] = ("video_id",), split: bool | None = None
+) -> DataFrame:
+    """Words with ``seg``: the position of the first word of their caption.
+
+    Between hard breaks, a caption ends at ``max_words`` or at a clause end with two or more
+    words. That needs the running length, so the words between hard breaks are folded.
+    """
+    keys = list(keys)
+    split = has_hot_keys(words, keys) if split is None else split
+    islands = _caption_islands(words, keys, split)
+    if split:
+        return _positions_in_pieces(islands, max_words, keys)
+    rows = _captions_as_arrays(islands, max_words, keys).select(
+        *keys, F.col("_words")[0]["ord"].alias("seg"), F.explode("_words").alias("_w")
+    )
+    return rows.select(*keys, "_w.ord", "_w.word", "_w.start_s", "_w.end_s", "seg")
+
+
+def group_captions(
+    words: DataFrame, max_words: int = 5, keys: tuple[str, ...] = ("video_id",), split: bool | None = None
+) -> DataFrame:
     """Captions: (video_id, seg, start_s, end_s, n_words, text)."""
-    placed = caption_positions(words, max_words, keys)
+    split = has_hot_keys(words, list(keys)) if split is None else split
+    if not split:
+        arrays = _captions_as_arrays(_caption_islands(words, list(keys), split), max_words, list(keys))
+        return arrays.select(
+            *keys, F.col("_words")[0]["ord"].alias("seg"), F.col("_words")[0]["start_s"].alias("start_s"),
+            F.element_at("_words", -1)["end_s"].alias("end_s"), F.size("_words").cast("long").alias("n_words"),
+            F.array_join("_words.word", " ").alias("text"),
+        )
+    placed = caption_positions(words, max_words, keys, split)
     return placed.groupBy(*keys, "seg").agg(
         F.min_by("start_s", "ord").alias("start_s"),
         F.max_by("end_s", "ord").alias("end_s"),
@@ -240,11 +293,12 @@ def chunk_words(words: DataFrame, size: int = 3) -> DataFrame:
 
 def speech_sessions(words: DataFrame, gap: float = PAUSE_S) -> DataFrame:
     """Speech bursts separated by a pause longer than *gap*."""
-    seen = scan(words, ["video_id"], position_bucket("ord"), ["ord"], lag=["end_s"])
+    split = has_hot_keys(words, ["video_id"])
+    seen = scan(words, ["video_id"], position_bucket("ord"), ["ord"], lag=["end_s"], split=split)
     opens = F.col("prev_end_s").isNull() | (F.col("start_s") - F.col("prev_end_s") > gap)
     burst = scan(
         seen.withColumn("_opens", opens).drop("prev_end_s"), ["video_id"], position_bucket("ord"), ["ord"],
-        run_last={"burst": F.when(F.col("_opens"), F.col("ord"))},
+        run_last={"burst": F.when(F.col("_opens"), F.col("ord"))}, split=split,
     )
     return burst.groupBy("video_id", "burst").agg(
         F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count("*").alias("n_words")
