@@ -10,7 +10,7 @@ across bucket edges. Both plans give the same result; ``has_hot_keys`` decides.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -179,3 +179,22 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | st
     others = [c for c in df.columns if c not in keys]
     best = df.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("_row"))
     return best.select(*keys, "_row.*").select(*df.columns)
+
+
+def haloed(
+    df: DataFrame, keys: Sequence[str], position: str, before: int, after: int, columns: Mapping[str, Callable], rows: int = ROWS_PER_BUCKET
+) -> DataFrame:
+    """Windows that look a bounded distance around ``position``, in one shuffle whatever the key size.
+
+    Each key is cut into runs of ``rows`` positions; rows near an edge are copied to the
+    neighbouring run, so every window finds its whole neighbourhood locally. ``columns``
+    maps a name to a function of the window (ordered by position).
+    """
+    at = F.col(position)
+    home = F.floor(at / rows)
+    spread = df.withColumn(
+        "_run", F.explode(F.sequence(F.floor((at - after) / rows), F.floor((at + before) / rows)))
+    )
+    window = Window.partitionBy(*keys, "_run").orderBy(position)
+    added = {n: make(window) for n, make in columns.items()}
+    return spread.withColumns(added).filter(F.col("_run") == home).drop("_run")

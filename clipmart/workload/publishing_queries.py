@@ -402,18 +402,16 @@ def publish_text(t):
     return pub.publish_text(rows, "https://cdn.example").select("doc_id", "publish_title", "description", "caption", "public_url")
 
 
-@query(r"""with recursive items as (select doc_id, unnest(range(1, len(parts) + 1)) as i,
-     regexp_replace(trim(regexp_replace(unnest(parts), '[\s\p{Z}\x0b\x85]+', ' ', 'g')), '[<>]', '', 'g') as tag from
-     (select doc_id, list_concat(string_split(text, '.'), [lang, source, 'The', 'the']) as parts from documents)),
+@query(r"""with recursive items as (select doc_id, list_transform(list_concat(string_split(text, '.'), [lang, source, 'The', 'the']),
+     lambda x: regexp_replace(trim(regexp_replace(x, '[\s\p{Z}\x0b\x85]+', ' ', 'g')), '[<>]', '', 'g')) as tags from documents),
   walk as (select doc_id, 0 as i, [] :: varchar[] as tags, [] :: varchar[] as seen, 0 as used from documents
     union all select w.doc_id, w.i + 1,
       case when ok then list_append(w.tags, tag) else w.tags end, case when ok then list_append(w.seen, key) else w.seen end,
       case when ok then w.used + cost else w.used end
-    from (select w.*, x.tag, replace(lower(x.tag), ' ', '') as key,
-        length(x.tag) + case when instr(x.tag, ' ') > 0 then 2 else 0 end + case when len(w.tags) > 0 then 1 else 0 end as cost,
-        x.tag <> '' and not list_contains(w.seen, replace(lower(x.tag), ' ', '')) and w.used + length(x.tag) +
-        case when instr(x.tag, ' ') > 0 then 2 else 0 end + case when len(w.tags) > 0 then 1 else 0 end <= 500 as ok
-      from walk w join items x on x.doc_id = w.doc_id and x.i = w.i + 1) w)
+    from (select *, tag <> '' and not list_contains(seen, key) and used + cost <= 500 as ok from (
+      select w.*, x.tags[w.i + 1] as tag, replace(lower(x.tags[w.i + 1]), ' ', '') as key, length(x.tags[w.i + 1])
+        + case when instr(x.tags[w.i + 1], ' ') > 0 then 2 else 0 end + case when len(w.tags) > 0 then 1 else 0 end as cost
+      from walk w join items x on x.doc_id = w.doc_id where w.i < len(x.tags))) w)
   select doc_id, array_to_string(arg_max(tags, i), '|') as tags, max(used) as used from walk group by doc_id""")
 def budgeted_tags(t):
     rows = t.documents.select(

@@ -400,6 +400,14 @@ class Tables:
             ((start + 40000).cast("double") / 1000).alias("end_time"),
         )
 
+    def _grid(self):
+        """Half-second samples of every conversation clip; ``t`` is absolute, ``rel_t`` relative."""
+        rows = self.conv_clips.withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(79))))
+        return rows.select(
+            "video_id", "ord", F.col("idx").cast("long").alias("idx"), (F.col("idx") * 0.5).alias("rel_t"),
+            F.round(F.col("start_time") + F.col("idx") * 0.5, 3).alias("t"),
+        )
+
     def _event_order(self):
         return scan(
             self.events.select("user_id", "ts", "event_id", "event_type", "value"),
@@ -643,6 +651,9 @@ TABLE_SQL = {
         select video_id, ord, cast(ord * 30000 + (video_id * 137) % 9000 as double) / 1000 as start_time,
                cast(ord * 30000 + (video_id * 137) % 9000 + 40000 as double) / 1000 as end_time
         from (select video_id, unnest(range(3)) as ord from (select distinct conv_id as video_id from conversations))""",
+    "grid": """
+        select video_id, ord, idx, idx * 0.5 :: double as rel_t, round(start_time + idx * 0.5 :: double, 3) as t
+        from (select *, unnest(range(80)) as idx from fx_conv_clips)""",
     "event_order": """
         select user_id, ts, event_id, event_type, value,
                row_number() over (partition by user_id order by ts, event_id) as rn from events""",
