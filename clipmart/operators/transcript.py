@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipmart.functions import text as tx
+from clipmart.functions.folds import states_before
 from clipmart.functions.ordered import (
     first_per_key,
     has_hot_keys,
@@ -24,7 +25,6 @@ from clipmart.functions.ranges import overlap_join
 PAUSE_S = 0.6
 LINE_WORDS = 14
 WINDOW_S = 600.0
-PIECE = 256  # longest array a caption fold works on
 
 
 def ordered_text(ord_col: str, word_col: str) -> Column:
@@ -98,51 +98,6 @@ def _captions_as_arrays(islands: DataFrame, max_words: int, keys: list[str]) ->
     )
 
 
-def _positions_in_pieces(islands: DataFrame, max_words: int, keys: list[str]) -> DataFrame:
-    """Caption positions when islands may be too long for one array.
-
-    Islands are folded in pieces of ``PIECE`` words. The running length has only ``max_words``
-    possible values, so every piece is summarised as a table *entry length -> exit length*,
-    and the entry lengths follow by chaining those small tables.
-    """
-    step = _step(max_words)
-    zero = F.lit(0)
-    words = islands.withColumn("_piece", F.floor((F.col("ord") - F.col("_island")) / PIECE))
-    pieces = words.groupBy(*keys, "_island", "_piece").agg(
-        F.sort_array(F.collect_list(F.struct(*WORD_FIELDS))).alias("_words")
-    )
-    long_islands = words.filter("_piece > 0").select(*keys, "_island").distinct()
-    tables = pieces.join(long_islands, keys + ["_island"], "left_semi").select(
-        *keys, "_island", "_piece",
-        F.transform(F.sequence(zero, F.lit(max_words - 1)), lambda s: F.aggregate("_words", s, step)).alias("_exit"),
-    )
-    chained = tables.groupBy(*keys, "_island").agg(
-        F.sort_array(F.collect_list(F.struct("_piece", "_exit"))).alias("_tables")
-    )
-    entries = F.aggregate(
-        "_tables", F.array(zero), lambda acc, t: F.array_append(acc, F.get(t["_exit"], F.element_at(acc, -1)))
-    )
-    entry = chained.select(*keys, "_island", F.posexplode(entries).alias("_piece", "_entry")).withColumn(
-        "_piece", F.col("_piece").cast("long")
-    )
-    folded = pieces.join(entry, keys + ["_island", "_piece"], "left")
-    first = F.struct(F.coalesce("_entry", zero).alias("length"), F.array().cast("array<int>").alias("before"))
-    lengths = F.aggregate(
-        "_words",
-        first,
-        lambda acc, w: F.struct(
-            step(acc["length"], w).alias("length"), F.array_append(acc["before"], acc["length"]).alias("before")
-        ),
-        lambda acc: acc["before"],
-    )
-    out = folded.select(*keys, F.explode(F.arrays_zip("_words", lengths.alias("_before"))).alias("_w"))
-    word = F.col("_w._words")
-    return out.select(
-        *keys, word["ord"].alias("ord"), word["word"].alias("word"), word["start_s"].alias("start_s"),
-        word["end_s"].alias("end_s"), (word["ord"] - F.col("_w._before")).cast("long").alias("seg"),
-    )
-
-
 def caption_positions(
     words: DataFrame, max_words: int = 5, keys: tuple[str, ...] = ("video_id",), split: bool | None = None
 ) -> DataFrame:
@@ -155,7 +110,11 @@ def caption_positions(
     split = has_hot_keys(words, keys) if split is None else split
     islands = _caption_islands(words, keys, split)
     if split:
-        return _positions_in_pieces(islands, max_words, keys)
+        # Very long islands: fold in pieces; the running length has ``max_words`` possible values.
+        placed = states_before(islands, keys, "_island", "ord", WORD_FIELDS[1:], _step(max_words), max_words, split)
+        return placed.select(
+            *keys, "ord", "word", "start_s", "end_s", (F.col("ord") - F.col("before")).cast("long").alias("seg")
+        )
     rows = _captions_as_arrays(islands, max_words, keys).select(
         *keys, F.col("_words")[0]["ord"].alias("seg"), F.explode("_words").alias("_w")
     )

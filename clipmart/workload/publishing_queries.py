@@ -402,7 +402,7 @@ def publish_text(t):
     return pub.publish_text(rows, "https://cdn.example").select("doc_id", "publish_title", "description", "caption", "public_url")
 
 
-@query(r"""with recursive items as (select doc_id, list_transform(list_concat(string_split(text, '.'), [lang, source, 'The', 'the']),
+@query(r"""with recursive items as materialized (select doc_id, list_transform(list_concat(string_split(text, '.'), [lang, source, 'The', 'the']),
      lambda x: regexp_replace(trim(regexp_replace(x, '[\s\p{Z}\x0b\x85]+', ' ', 'g')), '[<>]', '', 'g')) as tags from documents),
   walk as (select doc_id, 0 as i, [] :: varchar[] as tags, [] :: varchar[] as seen, 0 as used from documents
     union all select w.doc_id, w.i + 1,
