@@ -333,12 +333,13 @@ def non_latin_words(t):
     return ro.non_latin_words(t.script_words).select("video_id", "ord", "word")
 
 
-@query("""select video_id, seg, seg % 3 <> 0 as accepted, case when seg % 3 <> 0 then upper(text) end as answer
+@query("""select video_id, seg, seg % 3 <> 0 as accepted, case when seg % 3 <> 0 then
+  array_to_string(list_transform(string_split(text, ' '), lambda x: x || '~'), ' ') end as answer
   from fx_captions""")
 def aligned_lines(t):
     line = F.struct("video_id", "seg")
     lines = t.captions.select(line.alias("line_id"), F.split("text", " ").alias("words"))
-    good = F.transform("words", lambda w: F.concat(F.lit(" "), F.upper(w)))
+    good = F.transform("words", lambda w: F.concat(F.lit(" "), w, F.lit("~")))
     answer = F.when(F.expr("line_id.seg % 3 <> 0"), good).when(F.size("words") > 1, F.slice("words", 1, 1)).otherwise(F.array(F.lit(" ")))
     out = ro.aligned_lines(lines, lines.select("line_id", answer.alias("words")))
     return out.select("line_id.video_id", "line_id.seg", "accepted", F.array_join("answer", " ").alias("answer"))
