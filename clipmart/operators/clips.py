@@ -16,6 +16,7 @@ MIN_CLIP_S, MAX_CLIP_S = 30.0, 80.0
 SHORT_TOLERANCE = 0.9
 MAX_OVERLAP = 0.25
 MIN_SCORE = 60
+BAND = 1000  # most candidates of one video that are held in one array
 MIN_HASHTAGS, MAX_HASHTAGS = 10, 15
 ON_SCREEN_CHARS = 42
 SPAN = "struct<start_time: double, end_time: double>"
@@ -130,11 +131,10 @@ def _overlap_share(a_start, a_end, b_start, b_end) -> Column:
     return F.when((shared > 0) & (shortest > 0), shared / shortest).otherwise(F.lit(0.0))
 
 
-def _greedy(rows: DataFrame, limit: float) -> DataFrame:
-    """Best first per video, skipping clips that overlap a kept one too much."""
+def _greedy_arrays(rows: DataFrame, limit: float) -> DataFrame:
+    """Per video the kept clips (array ``_kept``): best first, skipping clips that overlap a kept one too much."""
     payload = [c for c in rows.columns if c not in CLIP_ORDER and c != "video_id"]
-    entry = F.struct(*CLIP_ORDER, *payload)
-    ranked = rows.groupBy("video_id").agg(F.sort_array(F.collect_list(entry)).alias("_all"))
+    ranked = rows.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct(*CLIP_ORDER, *payload))).alias("_all"))
 
     def take(kept: Column, x: Column) -> Column:
         clash = F.exists(
@@ -143,12 +143,15 @@ def _greedy(rows: DataFrame, limit: float) -> DataFrame:
         )
         return F.when(clash, kept).otherwise(F.array_append(kept, x))
 
-    empty = F.slice(F.col("_all"), 1, 0)
-    kept = F.aggregate("_all", empty, take)
-    return ranked.select("video_id", F.explode(kept).alias("_c")).select("video_id", "_c.*").select(*rows.columns)
+    return ranked.select("video_id", F.aggregate("_all", F.slice(F.col("_all"), 1, 0), take).alias("_kept"))
+
 
+def _greedy(rows: DataFrame, limit: float) -> DataFrame:
+    kept = _greedy_arrays(rows, limit)
+    return kept.select("video_id", F.explode("_kept").alias("_c")).select("video_id", "_c.*").select(*rows.columns)
 
-def drop_overlapping_clips(clips: DataFrame, limit: float = MAX_OVERLAP, band: int = 1000) -> DataFrame:
+
+def drop_overlapping_clips(clips: DataFrame, limit: float = MAX_OVERLAP, band: int = BAND) -> DataFrame:
     """Greedy by score: a clip goes when it overlaps a better kept clip by more than *limit* of the shorter.
 
     Videos with up to *band* candidates are folded in one array. A larger video is worked
@@ -157,11 +160,10 @@ def drop_overlapping_clips(clips: DataFrame, limit: float = MAX_OVERLAP, band: i
     The result is the same as one long fold.
     """
     rows = clips.withColumn("_neg", -clip_score("viral_score"))
-    hot = rows.groupBy("video_id").count().filter(F.col("count") > band).select("video_id")
-    if hot.isEmpty():
+    if not has_hot_keys(rows, ["video_id"], band):
         return _greedy(rows, limit).drop("_neg")
     ensure_checkpoint_dir(clips.sparkSession)
-    hot = hot.checkpoint()
+    hot = rows.groupBy("video_id").count().filter(F.col("count") > band).select("video_id").checkpoint()
     kept = _greedy(rows.join(hot, "video_id", "left_anti"), limit)
     rest = rows.join(hot, "video_id", "left_semi").checkpoint()
     best_first = Window.partitionBy("video_id").orderBy(*CLIP_ORDER)
@@ -204,15 +206,23 @@ def rank_clips(clips: DataFrame) -> DataFrame:
 
 
 # ---- normalisation -------------------------------------------------------------------------
-def clean_candidates(cands: DataFrame, min_s: float = MIN_CLIP_S, max_s: float = MAX_CLIP_S) -> DataFrame:
-    """Row-wise clean-up of raw candidates: timing, hook, keep-segments, text and warnings."""
-    floor_s = min_s * SHORT_TOLERANCE
+def _timed(cands: DataFrame, min_s: float, max_s: float) -> DataFrame:
+    """Start and end with their fallbacks, trimmed to the maximum; too short clips are dropped.
+
+    A start or end of 0 falls through to the next field.
+    """
     start = F.coalesce(_truthy(F.col("start_time")), _truthy(F.col("clip_start")), F.col("start"), F.lit(0.0))
     end = F.coalesce(_truthy(F.col("end_time")), _truthy(F.col("clip_end")), F.col("end"), F.lit(0.0))
     timed = cands.withColumns({"_s": start, "_e": end}).withColumn("_span", F.col("_e") - F.col("_s"))
-    timed = timed.withColumns(
+    return timed.withColumns(
         {"start_time": F.col("_s"), "end_time": F.when(F.col("_span") > max_s, F.col("_s") + max_s).otherwise(F.col("_e"))}
-    ).filter(F.least(F.col("_span"), F.lit(max_s)) >= floor_s)
+    ).filter(F.least(F.col("_span"), F.lit(max_s)) >= min_s * SHORT_TOLERANCE)
+
+
+def clean_candidates(cands: DataFrame, min_s: float = MIN_CLIP_S, max_s: float = MAX_CLIP_S) -> DataFrame:
+    """Row-wise clean-up of raw candidates: timing, hook, keep-segments, text and warnings."""
+    floor_s = min_s * SHORT_TOLERANCE
+    timed = _timed(cands, min_s, max_s)
 
     has_hook = F.col("hook_start_time").isNotNull() & F.col("hook_end_time").isNotNull()
     hook_start = F.least(F.greatest("hook_start_time", "start_time"), F.col("end_time"))
@@ -273,9 +283,30 @@ def clean_candidates(cands: DataFrame, min_s: float = MIN_CLIP_S, max_s: float =
     ).drop("_s", "_e", "_span", "_hook_start", "_hook_end", "_lost_hook", "_given", "_merged", "_kept_s")
 
 
+def select_clips(clips: DataFrame, limit: float = MAX_OVERLAP, minimum: int = MIN_SCORE, band: int = BAND) -> DataFrame:
+    """De-overlapped, weak clips dropped, ranked. Small videos do all three on one array."""
+    rows = clips.withColumn("_neg", -clip_score("viral_score"))
+    if has_hot_keys(rows, ["video_id"], band):
+        return rank_clips(drop_weak_clips(drop_overlapping_clips(clips, limit, band), minimum))
+    kept = _greedy_arrays(rows, limit)
+    strong = F.filter("_kept", lambda c: -c["_neg"] >= minimum)
+    final = F.when(F.size(strong) > 0, strong).otherwise(F.col("_kept"))
+    placed = kept.select("video_id", F.posexplode(final).alias("_pos", "_c"))
+    return placed.select("video_id", "_c.*", (F.col("_pos") + 1).alias("rank")).select(*clips.columns, "rank")
+
+
 def normalize_clips(cands: DataFrame, min_s: float = MIN_CLIP_S, max_s: float = MAX_CLIP_S) -> DataFrame:
-    """The whole candidate job: clean, drop overlaps, drop weak clips, rank."""
-    return rank_clips(drop_weak_clips(drop_overlapping_clips(clean_candidates(cands, min_s, max_s))))
+    """The whole candidate job: clean, drop overlaps, drop weak clips, rank.
+
+    The selection needs times and scores only, so it runs on narrow rows first; text is
+    cleaned for the clips that stay. (video_id, ord) identifies a candidate.
+    """
+    cands = cands.drop("rank")
+    narrow = _timed(cands, min_s, max_s).select(
+        "video_id", "ord", "start_time", "end_time", clip_score("viral_score").alias("viral_score")
+    )
+    chosen = select_clips(narrow).select("video_id", "ord", "rank")
+    return clean_candidates(cands.join(chosen, ["video_id", "ord"]), min_s, max_s)
 
 
 def rendered_duration(clips: DataFrame) -> DataFrame:

@@ -19,14 +19,14 @@ def non_latin_words(words: DataFrame) -> DataFrame:
     return words.filter(tx.non_latin("word"))
 
 
-def romanisation_lines(captions: DataFrame, clips: DataFrame, max_words: int = LINE_WORDS) -> DataFrame:
+def romanisation_lines(captions: DataFrame, clips: DataFrame, max_words: int = LINE_WORDS, split: bool | None = None) -> DataFrame:
     """Lines of consecutive non-Latin captions inside the padded clips, at most *max_words* words each.
 
     ``captions``: (video_id, seg, start_s, end_s, n_words, text). A line starts when the
     previous caption was left out or the line would grow too long. Adds ``idx`` (position of
     the caption) and ``line`` (position of the line's first caption).
     """
-    split = has_hot_keys(captions, ["video_id"])
+    split = has_hot_keys(captions, ["video_id"]) if split is None else split
     numbered = scan(captions, ["video_id"], position_bucket("seg"), ["seg"], ordinal="idx", split=split)
     foreign = numbered.filter(tx.non_latin("text"))
     padded = clips.select(

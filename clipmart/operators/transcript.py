@@ -34,9 +34,9 @@ def ordered_text(ord_col: str, word_col: str) -> Column:
     )
 
 
-def clamp_word_overlaps(words: DataFrame) -> DataFrame:
+def clamp_word_overlaps(words: DataFrame, split: bool | None = None) -> DataFrame:
     """Pull an overlapping word's end back to the next word's start (at least 0.1 s long)."""
-    seen = scan(words, ["video_id"], position_bucket("ord"), ["ord"], lead=["start_s"])
+    seen = scan(words, ["video_id"], position_bucket("ord"), ["ord"], lead=["start_s"], split=split)
     end = F.when(
         F.col("end_s") > F.col("next_start_s"), F.greatest(F.col("start_s") + 0.1, F.col("next_start_s"))
     ).otherwise(F.col("end_s"))
@@ -161,9 +161,9 @@ def transcript_lines(words: DataFrame, max_words: int = LINE_WORDS) -> DataFrame
     )
 
 
-def caption_hold(captions: DataFrame) -> DataFrame:
+def caption_hold(captions: DataFrame, split: bool | None = None) -> DataFrame:
     """``held_end_s``: a caption stays until the next one when the gap is at most 0.6 s."""
-    seen = scan(captions, ["video_id"], position_bucket("seg"), ["seg"], lead=["start_s"])
+    seen = scan(captions, ["video_id"], position_bucket("seg"), ["seg"], lead=["start_s"], split=split)
     gap = F.col("next_start_s") - F.col("end_s")
     held = F.when((gap >= 0) & (gap <= PAUSE_S), F.col("next_start_s")).otherwise(F.col("end_s"))
     return seen.withColumn("held_end_s", held).drop("next_start_s")
@@ -272,19 +272,19 @@ def _clip_relative(start: Column, end: Column) -> dict[str, Column]:
     }
 
 
-def caption_cues(captions: DataFrame, clips: DataFrame) -> DataFrame:
+def caption_cues(captions: DataFrame, clips: DataFrame, split: bool | None = None) -> DataFrame:
     """Clip-relative caption times; empty cues are dropped."""
-    held = caption_hold(captions)
+    held = caption_hold(captions, split)
     pairs = overlap_join(clips, held, "video_id", ("start_time", "end_time"), ("start_s", "held_end_s"))
     return pairs.withColumns(_clip_relative(F.col("start_s"), F.col("held_end_s"))).filter("cue_start < cue_end")
 
 
-def word_cues(placed: DataFrame, clips: DataFrame) -> DataFrame:
+def word_cues(placed: DataFrame, clips: DataFrame, split: bool | None = None) -> DataFrame:
     """Clip-relative word times: a word lasts to the next word of its caption, the last to the held end.
 
     ``placed`` are words with their caption ``seg``.
     """
-    seen = scan(placed, ["video_id"], position_bucket("ord"), ["ord"], lead=["start_s", "seg"])
+    seen = scan(placed, ["video_id"], position_bucket("ord"), ["ord"], lead=["start_s", "seg"], split=split)
     gap = F.col("next_start_s") - F.col("end_s")
     same = F.col("next_seg") == F.col("seg")
     until = F.when(same | ((gap >= 0) & (gap <= PAUSE_S)), F.col("next_start_s")).otherwise(F.col("end_s"))

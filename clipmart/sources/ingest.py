@@ -214,7 +214,9 @@ def words_from_json3(raw: DataFrame) -> DataFrame:
     without length last one second. Text is cleaned, split evenly into words, and word ends
     are pulled back from the following word.
     """
-    events = raw.select("video_id", F.posexplode(F.from_json("payload", CAPTION_PAYLOAD)["events"]).alias("ev", "e"))
+    # One payload holds a whole video, so a window over a video sorts no more than the task
+    # that parsed it; spreading the payloads first saves a shuffle of every word.
+    events = raw.repartition("video_id").select("video_id", F.posexplode(F.from_json("payload", CAPTION_PAYLOAD)["events"]).alias("ev", "e"))
     begin = F.coalesce(F.col("e.tStartMs"), F.lit(0)) / F.lit(1000.0).cast("double")
     segs = events.select(
         "video_id", "ev", begin.alias("t0"),
@@ -234,9 +236,9 @@ def words_from_json3(raw: DataFrame) -> DataFrame:
     words = split.select("video_id", "ev", "sg", "s0", per_word.alias("per"), F.posexplode("parts").alias("w", "word"))
     words = words.withColumn("start_s", F.col("s0") + F.col("w") * F.col("per")).withColumn("end_s", F.col("start_s") + F.col("per"))
     numbered = scan(
-        words, ["video_id"], {"_block": F.floor(F.col("ev") / 512)}, ["ev", "sg", "w"], ordinal="ord"
+        words, ["video_id"], {"_block": F.floor(F.col("ev") / 512)}, ["ev", "sg", "w"], ordinal="ord", split=False
     ).select("video_id", (F.col("ord") - 1).alias("ord"), "word", "start_s", "end_s")
-    return clamp_word_overlaps(numbered)
+    return clamp_word_overlaps(numbered, split=False)
 
 
 CANDIDATE = (

@@ -132,19 +132,22 @@ def source_info(t):
   select video_id, ord, word, round(start_s, 3) as start_s, round(case when nxt < end_s then greatest(start_s + 0.1, nxt) else end_s end, 3)
     as end_s from (select *, lead(start_s) over (partition by video_id order by ord) as nxt from n)""")
 def words_from_json3(t):
-    seg = t.words.groupBy("video_id", F.expr("ord div 10").alias("ev"), F.expr("(ord % 10) div 5").alias("sg")).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "word"))), lambda x: x["word"]), " ").alias("body")
+    # Events of ten words in two segments, straight from each document's word array.
+    words = F.split(F.trim(F.regexp_replace("text", r"[ \t\n\r\f]+", " ")), " ")
+    docs = t.texts.select(F.col("doc_id").alias("video_id"), words.alias("w")).filter("w[0] <> ''")
+    segment = (
+        "named_struct('utf8', concat({mark}, array_join(slice(w, e * 10 + {at} + 1, 5), ' '), '</i>\n'), 'tOffsetMs', {at} * 400)"
     )
-    marked = F.concat(F.when(F.col("sg") == 0, F.lit(">> <i>[Music]")).otherwise(F.lit("♪ ")), "body", F.lit("</i>\n"))
-    event = seg.groupBy("video_id", "ev").agg(
-        F.sort_array(F.collect_list(F.struct("sg", F.struct(marked.alias("utf8"), (F.col("sg") * 2000).alias("tOffsetMs")).alias("s")))).alias("x")
-    )
-    shaped = F.struct(
-        (F.col("ev") * 4700).alias("tStartMs"), F.expr("case when ev % 3 = 0 then 6000 else 4000 end").alias("dDurationMs"),
-        F.transform("x", lambda x: x["s"]).alias("segs"),
+    first, second = segment.format(mark="'>> <i>[Music]'", at=0), segment.format(mark="'♪ '", at=5)
+    docs = docs.withColumn(
+        "events",
+        F.expr(
+            "transform(sequence(0, (size(w) - 1) div 10), e -> named_struct('tStartMs', e * 4700, "
+            "'dDurationMs', case when e % 3 = 0 then 6000 else 4000 end, "
+            f"'segs', case when size(w) > e * 10 + 5 then array({first}, {second}) else array({first}) end))"
+        ),
     )
-    docs = event.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("ev", shaped.alias("e")))).alias("x"))
-    payload = F.to_json(F.struct(F.transform("x", lambda x: x["e"]).alias("events")))
+    payload = F.to_json(F.struct("events"))
     rows = ingest.words_from_json3(docs.select("video_id", payload.alias("payload")))
     return rows.select("video_id", "ord", "word", r3("start_s"), r3("end_s"))
 
@@ -361,4 +364,4 @@ def romanisation_lines(t):
         F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count("*").alias("n_words"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "word"))), lambda x: x["word"]), " ").alias("text"),
     )
-    return ro.romanisation_lines(captions, t.doc_clips).select("video_id", "idx", "line")
+    return ro.romanisation_lines(captions, t.doc_clips, split=t.words_split).select("video_id", "idx", "line")

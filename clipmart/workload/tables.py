@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipmart.functions.ordered import position_bucket, scan
+from clipmart.functions.ordered import has_hot_keys, position_bucket, scan
 from clipmart.operators import transcript
 from clipmart.session import tune
 
@@ -161,9 +161,24 @@ class Tables:
         )
 
     # ---- transcripts ---------------------------------------------------------
+    def _texts(self):
+        """Documents spread by id before they are taken apart.
+
+        Windows over a video then need no shuffle of their own: the compact text travels once
+        instead of every word row, and one large row group does not keep a single core busy.
+        """
+        return self.documents.repartition("doc_id")
+
+    @property
+    def words_split(self) -> bool:
+        """Whether any transcript is too long for one task (looked up once per query)."""
+        if "words_split" not in self._built:
+            self._built["words_split"] = has_hot_keys(self.words, ["video_id"])
+        return self._built["words_split"]
+
     def _doc_words(self):
         clean = F.trim(F.regexp_replace("text", r"[ \t\n\r\f]+", " "))
-        return self.documents.select(
+        return self.texts.select(
             F.col("doc_id").alias("video_id"), F.posexplode(F.split(clean, " ")).alias("ord", "word")
         ).filter("word <> ''")
 
@@ -188,22 +203,28 @@ class Tables:
         )
 
     def _doc_clips(self):
-        k = self.documents.select(F.col("doc_id").alias("video_id"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("ord"))
+        return self._clips_of(self.documents.select(F.col("doc_id").alias("video_id")))
+
+    @staticmethod
+    def _clips_of(videos: DataFrame) -> DataFrame:
+        """Five candidate clips per video; other columns are kept."""
+        k = videos.withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(4))))
         start = F.expr("ord * 20000 + (video_id * 137) % 9000").cast("long")
         length = F.expr("30000 + (video_id * 71 + ord * 4099) % 30000").cast("long")
-        return k.select(
-            "video_id",
-            F.col("ord").cast("long").alias("ord"),
-            (start.cast("double") / 1000).alias("start_time"),
-            ((start + length).cast("double") / 1000).alias("end_time"),
-            F.expr("50 + (video_id * 31 + ord * 17) % 50").cast("long").alias("viral_score"),
+        return k.withColumns(
+            {
+                "start_time": start.cast("double") / 1000,
+                "end_time": (start + length).cast("double") / 1000,
+                "viral_score": F.expr("50 + (video_id * 31 + ord * 17) % 50").cast("long"),
+                "ord": F.col("ord").cast("long"),
+            }
         )
 
     def _placed(self):
-        return transcript.caption_positions(self.words)
+        return transcript.caption_positions(self.words, split=self.words_split)
 
     def _captions(self):
-        return transcript.group_captions(self.words)
+        return transcript.group_captions(self.words, split=self.words_split)
 
     def _script_words(self):
         """Words of French documents written in Cyrillic letters, the others unchanged."""
@@ -225,7 +246,7 @@ class Tables:
 
     def _candidates(self):
         """Raw clip candidates: text from the documents, timing with gaps and fallbacks."""
-        text = self.documents.select(F.col("doc_id").alias("video_id"), "text", "lang", "source")
+        clips = self._clips_of(self.texts.select(F.col("doc_id").alias("video_id"), "text", "lang", "source"))
         span = "struct<start_time: double, end_time: double>"
 
         def spans(*pairs):
@@ -236,7 +257,7 @@ class Tables:
             ("start_time - 5", "start_time + 12"), ("start_time + 10", "start_time + 20"), ("start_time + 22", "end_time + 9")
         )
         short = spans(("start_time", "start_time + 6"))
-        return self.doc_clips.join(text, "video_id").selectExpr(
+        return clips.selectExpr(
             "video_id",
             "ord",
             "case when ord = 0 then 0.0D else start_time end as start_time",

@@ -39,7 +39,7 @@ def transcript_lines(t):
 @query("""select video_id, seg, end_s, case when nxt - end_s between 0 and 0.6 then nxt else end_s end as held_end_s
   from (select *, lead(start_s) over (partition by video_id order by seg) as nxt from fx_captions)""")
 def caption_hold(t):
-    return tr.caption_hold(t.captions).select("video_id", "seg", "end_s", "held_end_s")
+    return tr.caption_hold(t.captions, t.words_split).select("video_id", "seg", "end_s", "held_end_s")
 
 
 @query("""select doc_id as video_id, round(coalesce(c, 0), 3) as covered_s,
@@ -139,7 +139,7 @@ def speech_sessions(t):
     select *, lead(start_s) over (partition by video_id order by seg) as nxt from fx_captions)) s
   on s.video_id = c.video_id and s.held > c.start_time and s.start_s < c.end_time""")
 def caption_cues(t):
-    return tr.caption_cues(t.captions, t.doc_clips).select("video_id", "ord", "seg", r3("cue_start"), r3("cue_end"))
+    return tr.caption_cues(t.captions, t.doc_clips, t.words_split).select("video_id", "ord", "seg", r3("cue_start"), r3("cue_end"))
 
 
 @query("""select c.video_id, c.ord as clip_ord, s.ord, round(greatest(0, s.start_s - c.start_time), 3) as cue_start,
@@ -149,7 +149,7 @@ def caption_cues(t):
     (partition by video_id order by ord)) p) s
   on s.video_id = c.video_id and s.until > c.start_time and s.start_s < c.end_time""")
 def word_cues(t):
-    return tr.word_cues(t.placed, t.doc_clips).select("video_id", "clip_ord", "ord", r3("cue_start"), r3("cue_end"))
+    return tr.word_cues(t.placed, t.doc_clips, t.words_split).select("video_id", "clip_ord", "ord", r3("cue_start"), r3("cue_end"))
 
 
 PUNCT = "'!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~'"
