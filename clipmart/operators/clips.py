@@ -388,26 +388,18 @@ def _snapped_start(at: Column, after: Column, t: Column) -> Column:
 
 
 def _sentence_words(words: DataFrame, split: bool) -> DataFrame:
-    """Words with the previous word's end and the nearest sentence ends (and their snapped ends)."""
+    """Words with the previous word's end and the nearest sentence ends.
+
+    A sentence end carries its snapped end. Looking it up by its own end time finds the word
+    itself, unless words overlap or are very short: those are marked ``odd``.
+    """
     near = scan(words, ["video_id"], time_bucket("start_s"), ["start_s", "end_s"], lag=["end_s"], lead=["start_s"], split=split)
-    near = near.withColumn(
-        "snap_s", F.greatest("end_s", F.least(F.col("end_s") + TAIL_S, F.coalesce(F.col("next_start_s") - SNAP_EPS, F.col("end_s") + TAIL_S)))
-    )
-    # Looking a sentence end up by its own end time finds the word itself, unless words
-    # overlap or are very short; those few are looked up properly.
-    probe = F.col("end_s") - SNAP_EPS
-    odd = near.filter(F.col("is_end") & ((F.col("next_start_s") <= probe) | (F.col("start_s") > probe))).select(
-        "video_id", probe.alias("t"), F.struct("start_s", "end_s").alias("payload")
-    )
-    around = words.join(odd.select("video_id").distinct(), "video_id", "left_semi")
-    fixed = _lookup(around, odd, [], split).select(
-        "video_id", F.col("payload.start_s").alias("start_s"), F.col("payload.end_s").alias("end_s"),
-        _snapped_end(F.col("at"), F.col("after"), F.col("payload.end_s")).alias("_snap"),
-    ).distinct()
-    marked = near.join(fixed, ["video_id", "start_s", "end_s"], "left")
-    sentence = F.when(F.col("is_end"), F.struct("start_s", "end_s", F.coalesce("_snap", "snap_s").alias("snap_s")))
+    probe, tail = F.col("end_s") - SNAP_EPS, F.col("end_s") + TAIL_S
+    snap = F.greatest("end_s", F.least(tail, F.coalesce(F.col("next_start_s") - SNAP_EPS, tail)))
+    odd = F.coalesce(F.col("next_start_s") <= probe, F.lit(False)) | (F.col("start_s") > probe)
+    sentence = F.when(F.col("is_end"), F.struct("start_s", "end_s", snap.alias("snap_s"), odd.alias("odd")))
     return scan(
-        marked.withColumn("_sentence", sentence).drop("_snap", "snap_s", "next_start_s"),
+        near.withColumn("_sentence", sentence).drop("next_start_s"),
         ["video_id"], time_bucket("start_s"), ["start_s", "end_s"],
         run_last={"last_sentence": F.col("_sentence")}, next_first={"next_sentence": F.col("_sentence")}, split=split,
     ).drop("_sentence")
@@ -416,51 +408,69 @@ def _sentence_words(words: DataFrame, split: bool) -> DataFrame:
 WORD_FIELDS = ["prev_end_s", "is_end", "last_sentence", "next_sentence"]
 
 
-def _finish(end: Column, at: Column, after: Column, earliest: Column) -> Column:
-    """Extend to the coming sentence end within 2.5 s, else retreat up to 6 s but not before *earliest*."""
-    coming = F.when(at["is_end"], F.lit(None)).otherwise(at["next_sentence"])
-    past = at["last_sentence"]
-    stay = at.isNull() | at["is_end"]
-    extend = coming.isNotNull() & (coming["end_s"] - end <= EXTEND_S)
-    retreat = past.isNotNull() & (end - past["end_s"] <= RETREAT_S) & (past["end_s"] >= earliest)
-    return F.when(stay, end).when(extend, coming["snap_s"]).when(retreat, past["snap_s"]).otherwise(end)
+def _look_again(points: DataFrame, words: DataFrame, t: Column, split: bool) -> DataFrame:
+    """The same rows with ``at`` and ``after`` looked up at another time."""
+    rest = [c for c in points.columns if c not in ("at", "after")]
+    found = _lookup(words, points.select("video_id", t.alias("t"), F.struct(*rest).alias("payload")), WORD_FIELDS, split)
+    return found.select("payload.*", "at", "after").select(*points.columns)
 
 
-def finish_sentence(clips: DataFrame, words: DataFrame, min_s: float = MIN_CLIP_S) -> DataFrame:
-    """Move clip ends onto sentence ends (clips and words as in ``snap_clips_to_words``).
+def _finish_points(points: DataFrame, words: DataFrame, min_s: float, split: bool) -> DataFrame:
+    """Move ``end_time`` onto a sentence end: forward within 2.5 s, else back up to 6 s but not below the minimum.
 
-    Words must be free of overlaps (see ``clamp_word_overlaps``), so that their ends follow
-    their starts.
+    ``points`` (small, checkpointed) hold the words around the end before it was snapped; those
+    are still the right ones unless words overlap, which is checked.
     """
-    split = _must_split(words, clips)
-    return _finish_on(clips, _sentence_words(_clean_words(words), split), min_s, split)
+    probe, at, after = F.col("end_time") - SNAP_EPS, F.col("at"), F.col("after")
+    same = F.coalesce(at["start_s"] <= probe, F.lit(True)) & F.coalesce(after["start_s"] > probe, F.lit(True))
+    moved = points.filter(~same)
+    if not moved.isEmpty():
+        points = points.filter(same).unionByName(_look_again(moved, words, probe, split))
+    coming, past = at["next_sentence"], at["last_sentence"]
+    extend = coming.isNotNull() & (coming["end_s"] - F.col("end_time") <= EXTEND_S)
+    earliest = F.col("start_time") + min_s * SHORT_TOLERANCE
+    retreat = past.isNotNull() & (F.col("end_time") - past["end_s"] <= RETREAT_S) & (past["end_s"] >= earliest)
+    chosen = F.when(~at["is_end"], F.when(extend, coming).when(retreat, past))
+    points = points.withColumn("_goal", chosen)
+    odd = points.filter("_goal.odd")
+    snapped = F.coalesce(F.col("_goal.snap_s"), F.col("end_time"))
+    done = points.withColumn("end_time", F.round(snapped, 3))
+    if not odd.isEmpty():
+        again = _look_again(odd, words, F.col("_goal.end_s") - SNAP_EPS, split)
+        exact = again.withColumn("end_time", F.round(_snapped_end(at, after, F.col("_goal.end_s")), 3))
+        done = done.filter("_goal is null or not _goal.odd").unionByName(exact)
+    return done.drop("at", "after", "_goal")
 
 
 def _must_split(words: DataFrame, clips: DataFrame) -> bool:
     return has_hot_keys(words, ["video_id"]) or has_hot_keys(clips, ["video_id"])
 
 
-def _finish_on(clips: DataFrame, words: DataFrame, min_s: float, split: bool) -> DataFrame:
+def finish_sentence(clips: DataFrame, words: DataFrame, min_s: float = MIN_CLIP_S) -> DataFrame:
+    """Move clip ends onto sentence ends (clips and words as in ``snap_clips_to_words``).
+
+    Word ends must not decrease in start order (see ``clamp_word_overlaps``).
+    """
+    ensure_checkpoint_dir(clips.sparkSession)
+    split = _must_split(words, clips)
+    indexed = _sentence_words(_clean_words(words), split)
     probes = clips.select(
         "video_id", (F.col("end_time") - SNAP_EPS).alias("t"), F.struct(*clips.columns).alias("payload")
     )
-    found = _lookup(words, probes, WORD_FIELDS, split)
-    c = F.col("payload")
-    earliest = c["start_time"] + min_s * SHORT_TOLERANCE
-    done = _finish(c["end_time"], F.col("at"), F.col("after"), earliest)
-    return found.select("payload.*", F.round(done, 3).alias("_end")).withColumn("end_time", F.col("_end")).drop("_end")
+    points = _lookup(indexed, probes, WORD_FIELDS, split).select("payload.*", "at", "after").checkpoint()
+    return _finish_points(points, indexed, min_s, split)
 
 
 def snap_clips_to_words(clips: DataFrame, words: DataFrame, min_s: float = MIN_CLIP_S) -> DataFrame:
     """Snap clip, hook and keep-segment edges to word edges and end clips on a sentence end.
 
     ``clips``: (video_id, ord, start_time, end_time, hook_start_time, hook_end_time, keep_segments).
-    Videos without words keep their clips unchanged.
+    Videos without words keep their clips unchanged. The words are passed over once: the
+    lookup result, a few rows per clip, is checkpointed and everything else works on that.
     """
+    ensure_checkpoint_dir(clips.sparkSession)
     split = _must_split(words, clips)
-    cleaned = _clean_words(words)
-    indexed = _sentence_words(cleaned, split)
-    transcribed = cleaned.groupBy("video_id").agg(F.max("is_end").alias("punctuated"))
+    indexed = _sentence_words(_clean_words(words), split)
     spans = F.array_compact(
         F.concat(
             F.array(
@@ -483,28 +493,38 @@ def snap_clips_to_words(clips: DataFrame, words: DataFrame, min_s: float = MIN_C
     probes = parts.withColumn(
         "edge", F.explode(F.array(F.struct(F.lit("start").alias("side"), F.col("s").alias("t")), F.struct(F.lit("end").alias("side"), (F.col("e") - SNAP_EPS).alias("t"))))
     ).select("video_id", "edge.t", F.struct("ord", "part", "k", "s", "e", "edge.side").alias("payload"))
-    found = _lookup(indexed, probes, WORD_FIELDS, split)
+    found = _lookup(indexed, probes, WORD_FIELDS, split).checkpoint()
     p, at, after = F.col("payload"), F.col("at"), F.col("after")
     value = F.when(p["side"] == "start", _snapped_start(at, after, p["s"])).otherwise(_snapped_end(at, after, p["e"]))
-    edges = found.select("video_id", "payload.*", value.alias("v"))
-    snapped = edges.groupBy("video_id", "ord", "part", "k", "s", "e").agg(
-        F.max(F.when(F.col("side") == "start", F.col("v"))).alias("ns"), F.max(F.when(F.col("side") == "end", F.col("v"))).alias("ne")
+    is_end = p["side"] == "end"
+    snapped = (
+        found.withColumn("v", value)
+        .groupBy("video_id", p["ord"].alias("ord"), p["part"].alias("part"), p["k"].alias("k"), p["s"].alias("s"), p["e"].alias("e"))
+        .agg(
+            F.max(F.when(~is_end, F.col("v"))).alias("ns"),
+            F.max(F.when(is_end, F.col("v"))).alias("ne"),
+            F.first(F.when(is_end, at), ignorenulls=True).alias("at"),
+            F.first(F.when(is_end, after), ignorenulls=True).alias("after"),
+        )
     )
     upside_down = F.col("ne") <= F.col("ns")
     snapped = snapped.withColumns(
         {"_ns": F.when(upside_down, F.col("s")).otherwise(F.round("ns", 3)), "_ne": F.when(upside_down, F.col("e")).otherwise(F.round("ne", 3))}
     )
-    main = snapped.filter("part = 'clip'").select(
+    main = snapped.filter("part = 'clip' and (at is not null or after is not null)").select(
         "video_id", "ord", F.col("_ns").alias("start_time"), F.col("_ne").alias("end_time"), F.col("e").alias("old_end"),
-        F.col("_ne").alias("raw_end"),
+        F.col("_ne").alias("raw_end"), "at", "after",
+        # A video is punctuated when there is a sentence end before or after any of its points.
+        F.coalesce("at.last_sentence", "at.next_sentence", "after.last_sentence", "after.next_sentence").isNotNull().alias("punctuated"),
+    )
+    main = _finish_points(main, indexed, min_s, split).withColumn(
+        "end_time", F.when(F.col("punctuated"), F.col("end_time")).otherwise(F.col("raw_end"))
     )
-    main = _finish_on(main, indexed, min_s, split)
     pieces = snapped.filter("part <> 'clip'").groupBy("video_id", "ord").agg(
         F.max(F.when(F.col("part") == "hook", F.struct("_ns", "_ne"))).alias("hook"),
         F.sort_array(F.collect_list(F.when(F.col("part") == "keep", F.struct("k", "_ns", "_ne", "e")))).alias("keeps"),
     )
-    moved = main.join(pieces, ["video_id", "ord"], "left").join(transcribed, "video_id")
-    moved = moved.withColumn("end_time", F.when(F.col("punctuated"), F.col("end_time")).otherwise(F.col("raw_end")))
+    moved = main.join(pieces, ["video_id", "ord"], "left")
     kept = F.filter(
         F.transform(
             "keeps",
