@@ -13,25 +13,20 @@ from clipmart.operators import catalogue as cat
 from clipmart.session import ensure_checkpoint_dir
 from clipmart.sources import ingest
 
-CORRUPT = "_corrupt_record"
-
-
 def read_json_rows(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
     """JSON array files as rows; a missing path or unreadable content gives no rows.
 
-    With ``multi_line`` off, each line may hold an object or an array of objects, and large
+    With ``multi_line`` off, each line holds an object or an array of objects, and large
     files are split between tasks.
     """
-    reader = spark.read.schema(f"{schema}, {CORRUPT} string").option("multiLine", multi_line).option(
-        "columnNameOfCorruptRecord", CORRUPT
-    )
     try:
-        rows = reader.json(path)
+        text = spark.read.text(path, wholetext=multi_line)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
-    return rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    rows = text.select(F.explode(F.from_json("value", f"array<struct<{schema}>>")).alias("r"))
+    return rows.filter("r is not null").select("r.*")
 
 
 def write_rows(df: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -261,8 +261,11 @@ def ingest_clip_candidates(raw: DataFrame) -> DataFrame:
     for w in wrapped:
         listed = F.coalesce(listed, F.when(w.startswith("["), w))
     listed = F.coalesce(listed, F.when(body.startswith("{"), F.concat(F.lit("["), body, F.lit("]"))))
-    shape = f"array<struct<{CANDIDATE}, metadata struct<{CANDIDATE}>>>"
-    clips = raw.select("video_id", F.posexplode(F.from_json(listed, shape)).alias("ord", "c")).filter("c is not null")
+    # Element by element, so that one entry that is no object does not spoil the others.
+    items = raw.select("video_id", F.posexplode(F.from_json(listed, "array<string>")).alias("ord", "item"))
+    clips = items.filter(F.col("item").startswith("{")).withColumn(
+        "c", F.from_json("item", f"{CANDIDATE}, metadata struct<{CANDIDATE}>")
+    )
     names = [f.split(" ")[0].strip("`") for f in _top_level(CANDIDATE)]
     return clips.select(
         "video_id", F.col("ord").cast("long").alias("ord"),
