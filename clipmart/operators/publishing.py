@@ -28,9 +28,20 @@ def _filled(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit("")) != ""
 
 
-def in_order(df: DataFrame, order: Sequence[str], coarse: Column, name: str = "i") -> DataFrame:
-    """A global 1-based position. ``coarse`` never decreases along ``order``; it spreads the numbering."""
-    return scan(df, [], {"_coarse": coarse}, list(order), ordinal=name)
+def in_order(df: DataFrame, order: Sequence[str], coarse: Column) -> DataFrame:
+    """A global 1-based position ``i`` along two order columns.
+
+    ``coarse`` never decreases along ``order``. Rows are numbered within each coarse group (split
+    further by the order columns where a group is hot) and shifted by the rows of earlier groups.
+    """
+    rows = df.withColumn("_coarse", coarse)
+    fine = {"_a": F.col(order[0]), "_b": F.floor(F.col(order[1]) / 4096)}
+    local = scan(rows, ["_coarse"], fine, list(order), ordinal="_local")
+    before = Window.orderBy("_coarse").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("_coarse").agg(F.count("*").alias("_n")).select(
+        "_coarse", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+    )
+    return local.join(offsets, "_coarse").withColumn("i", F.col("_offset") + F.col("_local")).drop("_coarse", "_local", "_offset")
 
 
 # ---- what can be uploaded -----------------------------------------------------------
@@ -281,7 +292,7 @@ def enqueue_slots(
     fresh = refs.join(taken, ["job_id", "rank"], "left_anti").join(ready, ["job_id", "rank"])
     waiting = queue.filter("status = 'queued'").agg(F.max(due_time()).alias("latest")).scalar()
     base = F.greatest(at(start), waiting)
-    numbered = in_order(fresh, ["ord", "job_id", "rank"], F.floor(F.col("ord") / 1000))
+    numbered = in_order(fresh, ["ord", "rank"], F.floor(F.col("ord") / 1000))
     return numbered.withColumn("scheduled_at", base + hours((F.col("i") - 1) * interval_min / 60)).withColumn(
         "title", _display_title()
     )
