@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -348,22 +346,37 @@ LEAD_IN_S, TAIL_S, SNAP_EPS = 0.12, 0.35, 0.05
 EXTEND_S, RETREAT_S = 2.5, 6.0
 
 
-def _lookup(words: DataFrame, probes: DataFrame, word_fields: Sequence[str], split: bool) -> DataFrame:
-    """As-of lookup: for each probe (video_id, t, payload) the last word starting at or before ``t``
-    (``at``) and the first one after it (``after``)."""
-    w = words.select(
-        "video_id", F.col("start_s").alias("t"), F.lit(0).alias("kind"), F.col("end_s").alias("_tie"),
-        F.struct("start_s", "end_s", *word_fields).alias("w"), F.lit(None).cast(probes.schema["payload"].dataType).alias("payload"),
+BEFORE_ALL = -1e12  # time of the entry that stands before a video's first word
+
+
+def _lookup(words: DataFrame, probes: DataFrame, split: bool) -> DataFrame:
+    """As-of lookup: for each probe (video_id, t, payload) the last word starting at or before ``t``.
+
+    ``at`` is that word with its neighbours. Before the first word it is an entry without
+    start or end whose ``next_start_s`` is the first word; in a video without words it is null.
+    """
+    entry = F.struct(*AT_FIELDS)
+    none = F.lit(None).cast("double")
+    start = F.struct(
+        none.alias("start_s"), none.alias("end_s"), none.alias("prev_end_s"), F.col("start_s").alias("next_start_s"),
+        F.lit(False).alias("is_end"), F.lit(None).cast(words.schema["last_sentence"].dataType).alias("last_sentence"),
+        F.col("next_sentence"),
+    )
+    opening = F.struct(F.lit(BEFORE_ALL).alias("t"), F.lit(0.0).alias("_tie"), start.alias("w"))
+    own = F.struct(F.col("start_s").alias("t"), F.col("end_s").alias("_tie"), entry.alias("w"))
+    items = F.when(F.col("prev_end_s").isNull(), F.array(opening, own)).otherwise(F.array(own))
+    w = words.select("video_id", F.explode(items).alias("x")).select(
+        "video_id", "x.t", F.lit(0).alias("kind"), "x._tie", "x.w",
+        F.lit(None).cast(probes.schema["payload"].dataType).alias("payload"),
     )
     p = probes.select(
         "video_id", "t", F.lit(1).alias("kind"), F.lit(0.0).alias("_tie"),
         F.lit(None).cast(w.schema["w"].dataType).alias("w"), "payload",
     )
     seen = scan(
-        w.unionByName(p), ["video_id"], time_bucket("t"), ["t", "kind", "_tie"],
-        run_last={"at": F.col("w")}, next_first={"after": F.col("w")}, split=split,
+        w.unionByName(p), ["video_id"], time_bucket("t"), ["t", "kind", "_tie"], run_last={"at": F.col("w")}, split=split
     )
-    return seen.filter("kind = 1").select("video_id", "payload", "at", "after")
+    return seen.filter("kind = 1").select("video_id", "payload", "at")
 
 
 def _clean_words(words: DataFrame) -> DataFrame:
@@ -372,17 +385,17 @@ def _clean_words(words: DataFrame) -> DataFrame:
     )
 
 
-def _snapped_end(at: Column, after: Column, t: Column) -> Column:
+def _snapped_end(at: Column, t: Column) -> Column:
     """End of the word at ``t`` plus a tail that stops short of the next word."""
-    tail = F.least(at["end_s"] + TAIL_S, F.coalesce(after["start_s"] - SNAP_EPS, at["end_s"] + TAIL_S))
-    return F.when(at.isNull(), t).otherwise(F.greatest(at["end_s"], tail))
+    tail = F.least(at["end_s"] + TAIL_S, F.coalesce(at["next_start_s"] - SNAP_EPS, at["end_s"] + TAIL_S))
+    return F.when(at["start_s"].isNull(), t).otherwise(F.greatest(at["end_s"], tail))
 
 
-def _snapped_start(at: Column, after: Column, t: Column) -> Column:
+def _snapped_start(at: Column, t: Column) -> Column:
     """Start of the word that covers ``t``, else of the next word, with a little lead-in."""
-    covers = at.isNotNull() & (at["end_s"] > t)
-    word_start = F.when(covers, at["start_s"]).otherwise(after["start_s"])
-    before = F.when(covers, F.coalesce(at["prev_end_s"], F.lit(0.0))).otherwise(F.coalesce(at["end_s"], F.lit(0.0)))
+    covers = at["end_s"].isNotNull() & (at["end_s"] > t)
+    word_start = F.when(covers, at["start_s"]).otherwise(at["next_start_s"])
+    before = F.coalesce(F.when(covers, at["prev_end_s"]).otherwise(at["end_s"]), F.lit(0.0))
     snapped = F.greatest(word_start - LEAD_IN_S, F.least(before, word_start), F.lit(0.0))
     return F.when(word_start.isNull(), t).otherwise(snapped)
 
@@ -399,30 +412,30 @@ def _sentence_words(words: DataFrame, split: bool) -> DataFrame:
     odd = F.coalesce(F.col("next_start_s") <= probe, F.lit(False)) | (F.col("start_s") > probe)
     sentence = F.when(F.col("is_end"), F.struct("start_s", "end_s", snap.alias("snap_s"), odd.alias("odd")))
     return scan(
-        near.withColumn("_sentence", sentence).drop("next_start_s"),
+        near.withColumn("_sentence", sentence),
         ["video_id"], time_bucket("start_s"), ["start_s", "end_s"],
         run_last={"last_sentence": F.col("_sentence")}, next_first={"next_sentence": F.col("_sentence")}, split=split,
     ).drop("_sentence")
 
 
-WORD_FIELDS = ["prev_end_s", "is_end", "last_sentence", "next_sentence"]
+AT_FIELDS = ["start_s", "end_s", "prev_end_s", "next_start_s", "is_end", "last_sentence", "next_sentence"]
 
 
 def _look_again(points: DataFrame, words: DataFrame, t: Column, split: bool) -> DataFrame:
-    """The same rows with ``at`` and ``after`` looked up at another time."""
-    rest = [c for c in points.columns if c not in ("at", "after")]
-    found = _lookup(words, points.select("video_id", t.alias("t"), F.struct(*rest).alias("payload")), WORD_FIELDS, split)
-    return found.select("payload.*", "at", "after").select(*points.columns)
+    """The same rows with ``at`` looked up at another time."""
+    rest = [c for c in points.columns if c != "at"]
+    found = _lookup(words, points.select("video_id", t.alias("t"), F.struct(*rest).alias("payload")), split)
+    return found.select("payload.*", "at").select(*points.columns)
 
 
 def _finish_points(points: DataFrame, words: DataFrame, min_s: float, split: bool) -> DataFrame:
     """Move ``end_time`` onto a sentence end: forward within 2.5 s, else back up to 6 s but not below the minimum.
 
-    ``points`` (small, checkpointed) hold the words around the end before it was snapped; those
-    are still the right ones unless words overlap, which is checked.
+    ``points`` (small, checkpointed) hold the word around the end before it was snapped; that
+    is still the right one unless words overlap, which is checked.
     """
-    probe, at, after = F.col("end_time") - SNAP_EPS, F.col("at"), F.col("after")
-    same = F.coalesce(at["start_s"] <= probe, F.lit(True)) & F.coalesce(after["start_s"] > probe, F.lit(True))
+    probe, at = F.col("end_time") - SNAP_EPS, F.col("at")
+    same = F.coalesce(at["start_s"] <= probe, F.lit(True)) & F.coalesce(at["next_start_s"] > probe, F.lit(True))
     moved = points.filter(~same)
     if not moved.isEmpty():
         points = points.filter(same).unionByName(_look_again(moved, words, probe, split))
@@ -430,16 +443,16 @@ def _finish_points(points: DataFrame, words: DataFrame, min_s: float, split: boo
     extend = coming.isNotNull() & (coming["end_s"] - F.col("end_time") <= EXTEND_S)
     earliest = F.col("start_time") + min_s * SHORT_TOLERANCE
     retreat = past.isNotNull() & (F.col("end_time") - past["end_s"] <= RETREAT_S) & (past["end_s"] >= earliest)
-    chosen = F.when(~at["is_end"], F.when(extend, coming).when(retreat, past))
-    points = points.withColumn("_goal", chosen)
+    inside = at["start_s"].isNotNull() & ~at["is_end"]
+    points = points.withColumn("_goal", F.when(inside, F.when(extend, coming).when(retreat, past)))
     odd = points.filter("_goal.odd")
     snapped = F.coalesce(F.col("_goal.snap_s"), F.col("end_time"))
     done = points.withColumn("end_time", F.round(snapped, 3))
     if not odd.isEmpty():
         again = _look_again(odd, words, F.col("_goal.end_s") - SNAP_EPS, split)
-        exact = again.withColumn("end_time", F.round(_snapped_end(at, after, F.col("_goal.end_s")), 3))
+        exact = again.withColumn("end_time", F.round(_snapped_end(at, F.col("_goal.end_s")), 3))
         done = done.filter("_goal is null or not _goal.odd").unionByName(exact)
-    return done.drop("at", "after", "_goal")
+    return done.drop("at", "_goal")
 
 
 def _must_split(words: DataFrame, clips: DataFrame) -> bool:
@@ -457,7 +470,7 @@ def finish_sentence(clips: DataFrame, words: DataFrame, min_s: float = MIN_CLIP_
     probes = clips.select(
         "video_id", (F.col("end_time") - SNAP_EPS).alias("t"), F.struct(*clips.columns).alias("payload")
     )
-    points = _lookup(indexed, probes, WORD_FIELDS, split).select("payload.*", "at", "after").checkpoint()
+    points = _lookup(indexed, probes, split).select("payload.*", "at").checkpoint()
     return _finish_points(points, indexed, min_s, split)
 
 
@@ -493,9 +506,9 @@ def snap_clips_to_words(clips: DataFrame, words: DataFrame, min_s: float = MIN_C
     probes = parts.withColumn(
         "edge", F.explode(F.array(F.struct(F.lit("start").alias("side"), F.col("s").alias("t")), F.struct(F.lit("end").alias("side"), (F.col("e") - SNAP_EPS).alias("t"))))
     ).select("video_id", "edge.t", F.struct("ord", "part", "k", "s", "e", "edge.side").alias("payload"))
-    found = _lookup(indexed, probes, WORD_FIELDS, split).checkpoint()
-    p, at, after = F.col("payload"), F.col("at"), F.col("after")
-    value = F.when(p["side"] == "start", _snapped_start(at, after, p["s"])).otherwise(_snapped_end(at, after, p["e"]))
+    found = _lookup(indexed, probes, split).checkpoint()
+    p, at = F.col("payload"), F.col("at")
+    value = F.when(p["side"] == "start", _snapped_start(at, p["s"])).otherwise(_snapped_end(at, p["e"]))
     is_end = p["side"] == "end"
     snapped = (
         found.withColumn("v", value)
@@ -504,18 +517,17 @@ def snap_clips_to_words(clips: DataFrame, words: DataFrame, min_s: float = MIN_C
             F.max(F.when(~is_end, F.col("v"))).alias("ns"),
             F.max(F.when(is_end, F.col("v"))).alias("ne"),
             F.first(F.when(is_end, at), ignorenulls=True).alias("at"),
-            F.first(F.when(is_end, after), ignorenulls=True).alias("after"),
         )
     )
     upside_down = F.col("ne") <= F.col("ns")
     snapped = snapped.withColumns(
         {"_ns": F.when(upside_down, F.col("s")).otherwise(F.round("ns", 3)), "_ne": F.when(upside_down, F.col("e")).otherwise(F.round("ne", 3))}
     )
-    main = snapped.filter("part = 'clip' and (at is not null or after is not null)").select(
+    main = snapped.filter("part = 'clip' and at is not null").select(
         "video_id", "ord", F.col("_ns").alias("start_time"), F.col("_ne").alias("end_time"), F.col("e").alias("old_end"),
-        F.col("_ne").alias("raw_end"), "at", "after",
+        F.col("_ne").alias("raw_end"), "at",
         # A video is punctuated when there is a sentence end before or after any of its points.
-        F.coalesce("at.last_sentence", "at.next_sentence", "after.last_sentence", "after.next_sentence").isNotNull().alias("punctuated"),
+        F.coalesce("at.last_sentence", "at.next_sentence").isNotNull().alias("punctuated"),
     )
     main = _finish_points(main, indexed, min_s, split).withColumn(
         "end_time", F.when(F.col("punctuated"), F.col("end_time")).otherwise(F.col("raw_end"))

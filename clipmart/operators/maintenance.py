@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipmart.functions.ordered import first_per_key, last_per_key
-from clipmart.operators.catalogue import effective_status, missing_from_pull
+from clipmart.operators.catalogue import missing_from_pull
 
 
 def at(now: str | Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipmart.functions import text as tx
-from clipmart.functions.ordered import first_per_key, last_per_key, scan
+from clipmart.functions.ordered import last_per_key, scan
 
 PUBLISH_CAP_24H = 50
 MANIFEST_ORDER = ("job_id", "rank")
@@ -28,7 +28,7 @@ def _filled(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit("")) != ""
 
 
-def in_order(df: DataFrame, order: Sequence[str], coarse: Column) -> DataFrame:
+def in_order(df: DataFrame, order: Sequence[str], coarse: Column, split: bool | None = None) -> DataFrame:
     """A global 1-based position ``i`` along two order columns.
 
     ``coarse`` never decreases along ``order``. Rows are numbered within each coarse group (split
@@ -36,7 +36,7 @@ def in_order(df: DataFrame, order: Sequence[str], coarse: Column) -> DataFrame:
     """
     rows = df.withColumn("_coarse", coarse)
     fine = {"_a": F.col(order[0]), "_b": F.floor(F.col(order[1]) / 4096)}
-    local = scan(rows, ["_coarse"], fine, list(order), ordinal="_local")
+    local = scan(rows, ["_coarse"], fine, list(order), ordinal="_local", split=split)
     before = Window.orderBy("_coarse").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("_coarse").agg(F.count("*").alias("_n")).select(
         "_coarse", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
@@ -242,12 +242,12 @@ def cap_per_run(pending: DataFrame, n: int, order: Sequence[str] = MANIFEST_ORDE
 
 def publish_slots(
     pending: DataFrame, first: str | Column, interval_h: float, minimum_h: float = 0.0,
-    order: Sequence[str] = MANIFEST_ORDER, coarse: Column | None = None,
+    order: Sequence[str] = MANIFEST_ORDER, coarse: Column | None = None, split: bool | None = None,
 ) -> DataFrame:
     """The i-th pending item is published at ``first + i * interval``."""
     gap = max(interval_h, minimum_h)
     coarse = F.floor(F.col(order[0]) / 1000) if coarse is None else coarse
-    numbered = in_order(pending, order, coarse)
+    numbered = in_order(pending, order, coarse, split)
     return numbered.withColumn("slot", at(first) + hours((F.col("i") - 1) * gap))
 
 

@@ -43,4 +43,5 @@ def publish_plan(
     chosen = pub.cap_per_run(pending, limits.per_run).filter(
         (uploads_today.scalar() < limits.per_day) & (queued.scalar() < limits.max_queue)
     )
-    return pub.publish_slots(chosen, first.scalar(), gap)
+    # At most per_run rows are left: no need to look for hot groups among them.
+    return pub.publish_slots(chosen, first.scalar(), gap, split=False)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipmart.functions import text as tx
-from clipmart.functions.ordered import first_per_key, position_bucket, scan
+from clipmart.functions.ordered import first_per_key, scan
 from clipmart.operators.transcript import clamp_word_overlaps
 
 # URL patterns of the video platforms.
