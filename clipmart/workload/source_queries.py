@@ -307,7 +307,7 @@ SCENE_ORDER = ", ".join(LINE_ORDER[1:])
 @query(f"""select l_orderkey as clip_id, case when l_linenumber % 2 = 0 then 'hook' else 'highlight' end as section,
   row_number() over (partition by l_orderkey, l_linenumber % 2 order by l_partkey, l_quantity, l_extendedprice) - 1 as scene_idx,
   cast(l_partkey as varchar) as source_id, case when l_quantity > 5 then l_quantity end as start_s, '9:16' as ratio,
-  case when l_orderkey % 2 = 0 then 20.0 else 15.0 end as min_duration from lineitem""")
+  cast(case when l_orderkey % 2 = 0 then 20 else 15 end as double) as min_duration from lineitem""")
 def read_story_scenes(t):
     scene = F.struct("l_partkey", "l_quantity", "l_extendedprice")
     shaped = lambda c: F.transform(

@@ -80,7 +80,7 @@ def left_right_positions(t):
     return sp.left_right_positions(t.frame_faces, WIDTH)
 
 
-DIST = f"""(select clip_id, idx, face_no, coalesce(least(cx - lag(cx) over w, lead(cx) over w - cx), {WIDTH}) as distance
+DIST = f"""(select clip_id, idx, face_no, cast(coalesce(least(cx - lag(cx) over w, lead(cx) over w - cx), {WIDTH}) as double) as distance
   from fx_frame_faces window w as (partition by clip_id, idx order by cx, face_no))"""
 
 
