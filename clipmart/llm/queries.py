@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipmart.llm import decontaminate, private_data
+from clipmart.llm import decontaminate, language, private_data, toxicity
+from clipmart.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +36,22 @@ def as_transcripts(docs: DataFrame) -> DataFrame:
     )
 
 
+def toxic_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels of the documents that may be learned from."""
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select(F.col("doc_id").alias("video_id"), "toxic")
+    return labels.filter(~held_out("video_id", 4))
+
+
+@query()
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    transcripts = documents(spark, folder)
+    scored = toxicity.toxicity(transcripts, toxicity.train_toxicity(transcripts, toxic_labels(spark, folder)))
+    return scored.select(
+        F.col("video_id").alias("doc_id"), held_out("video_id", 4).alias("held_out"), "score",
+        F.col("toxic").cast("int").alias("predicted"),
+    )
+
+
 @query()
 def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
@@ -44,6 +61,17 @@ def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query()
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    transcripts = documents(spark, folder)
+    codes = language.train_languages(transcripts.filter(~held_out("video_id", 4)))
+    told = language.identify_language(transcripts, codes)
+    return told.select(
+        F.col("video_id").alias("doc_id"), held_out("video_id", 4).alias("held_out"), F.col("language_pred").alias("lang_pred"),
+        "score", "ambiguous",
+    )
+
+
 @query()
 def op9_private_data(spark: SparkSession, folder: str) -> DataFrame:
     found = private_data.private_spans(documents(spark, folder))
