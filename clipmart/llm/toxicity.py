@@ -262,6 +262,11 @@ def _lexicon(toxic: dict[str, float], other: dict[str, float], n_toxic: int, n_o
             out[part] = min(6.0, max(1.0, odds))
         elif part in out and surprise < 1 and t + c >= 10:
             out[part] = 0.5
+    # A beginning or ending that one word explains says nothing about other words.
+    for word in [w for w in out if "*" not in w]:
+        for part in parts_of(word)[1:]:
+            if part in out and toxic.get(word, 0.0) >= 0.7 * toxic[part]:
+                del out[part]
     return out
 
 
