@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipmart.llm import decontaminate, language, private_data, toxicity
+from clipmart.llm import decontaminate, language, mixing, private_data, sharding, toxicity
 from clipmart.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,24 @@ def as_transcripts(docs: DataFrame) -> DataFrame:
     )
 
 
+@query()
+def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix_sources(documents(spark, folder))
+    return mixed.select(
+        F.col("video_id").alias("doc_id"), F.col("n_words").alias("size"), F.col("source_words").alias("source_size"),
+        F.col("target_words").alias("target"), F.col("taken_words").alias("taken"), F.col("source_key").alias("source"), "mix_start",
+    )
+
+
+@query()
+def op2_shard(spark: SparkSession, folder: str) -> DataFrame:
+    dealt = sharding.shard_transcripts(documents(spark, folder))
+    return dealt.select(
+        F.col("video_id").alias("doc_id"), F.col("n_bytes").alias("size"), "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def toxic_labels(spark: SparkSession, folder: str) -> DataFrame:
     """Labels of the documents that may be learned from."""
     labels = spark.read.parquet(f"{folder}/labels.parquet").select(F.col("doc_id").alias("video_id"), "toxic")
