@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipmart.llm import decontaminate, language, mixing, private_data, sharding, toxicity
+from clipmart.llm import decontaminate, language, language_model, line_dedup, mixing, private_data, sharding, toxicity
 from clipmart.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,15 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query()
+def op4_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    transcripts = documents(spark, folder).withColumn("learn", ~held_out("video_id", 7))
+    scored = language_model.score_transcripts(transcripts)
+    return scored.select(
+        F.col("video_id").alias("doc_id"), (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 @query()
 def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
@@ -99,3 +108,12 @@ def op9_private_data(spark: SparkSession, folder: str) -> DataFrame:
         *[private_data.count_of(spans, k).alias(f"n_{k}") for k in private_data.KINDS[:4]],
         private_data.base_digest(spans).alias("base_sha256"), private_data.joined(spans).alias("spans"),
     )
+
+
+@query()
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(documents(spark, folder))
+    return kept.select(
+        F.col("video_id").alias("doc_id"), "n_lines", "n_dropped", F.length("transcript").cast("long").alias("kept_chars"),
+        F.crc32("transcript").alias("kept_crc32"),
+    )
