@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clipmart.llm.common import kept
+
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 #: Times a source may be read.
@@ -71,7 +73,8 @@ def mix_sources(
     queued = transcripts.select(
         "video_id", F.col("source_key").cast("string").alias("source_key"), word_count(F.col("transcript").cast("string")).alias("n_words")
     ).withColumns({"_key": key, "_deal": F.xxhash64(F.lit(seed), F.col("video_id"))})
-    queued = queued.withColumn("_part", F.shiftright("_deal", 64 - QUEUE_PARTS_BITS))
+    # Written out, as four aggregates read these narrow rows and words should be counted once.
+    queued = kept(queued.withColumn("_part", F.shiftright("_deal", 64 - QUEUE_PARTS_BITS)))
 
     parts = queued.groupBy("_key", "_part").agg(F.sum("n_words").alias("_words"), F.first("source_key").alias("source_key"))
     along = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipmart.llm import decontaminate, language, language_model, line_dedup, mixing, private_data, sharding, toxicity
+from clipmart.llm import decontaminate, jaccard_join, language, language_model, line_dedup, mixing, neighbours, private_data, sharding, toxicity
 from clipmart.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,12 @@ def op4_language_model(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query()
+def op5_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 @query()
 def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
@@ -88,6 +94,11 @@ def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query()
+def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.near_duplicates(documents(spark, folder)).withColumnRenamed("video_id", "doc_id")
+
+
 @query()
 def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     transcripts = documents(spark, folder)
