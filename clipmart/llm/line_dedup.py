@@ -97,6 +97,12 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     return ends.between(0, width - 1) & (F.get(last, F.lit(edits)).bitwiseAND(wanted) > 0)
 
 
+def _settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """*df* with *columns* worked out once: a generator keeps them from being copied into later lambdas."""
+    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select("*", one.alias("_one")).select(*df.columns, "_one.*")
+
+
 def _lines(transcripts: DataFrame, min_chars: int) -> DataFrame:
     """Lines long enough to be compared, with the key of their row."""
     text = F.col("transcript").cast("string")
@@ -119,12 +125,12 @@ def similar_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     texts = distinct.select("line_id", "line")
     paired = met.join(texts.toDF("a", "_ta"), "a").join(texts.toDF("b", "_tb"), "b")
     ta, tb = F.col("_ta"), F.col("_tb")
-    paired = paired.withColumn("_head", _common(ta, tb, F.length(ta), True))
-    paired = paired.withColumn("_tail", _common(ta, tb, F.length(ta) - F.col("_head"), False))
+    paired = _settled(paired, _head=_common(ta, tb, F.length(ta), True))
+    paired = _settled(paired, _tail=_common(ta, tb, F.length(ta) - F.col("_head"), False))
     core = [F.substring(t, F.col("_head") + 1, F.length(t) - F.col("_head") - F.col("_tail")) for t in (ta, tb)]
     # A split of nothing would give one empty character.
     chars = [F.filter(F.split(c, ""), lambda x: x != "") for c in core]
-    paired = paired.withColumns({"_ca": chars[0], "_cb": chars[1]})
+    paired = _settled(paired.select("a", "b", chars[0].alias("_x"), chars[1].alias("_y")), _ca=F.col("_x"), _cb=F.col("_y"))
     return paired.filter(within_edits(F.col("_ca"), F.col("_cb"), edits)).select("a", "b")
 
 
