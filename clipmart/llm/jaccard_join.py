@@ -269,8 +269,9 @@ def near_duplicates(transcripts: DataFrame) -> DataFrame:
 
     ``transcripts``: ``video_id``, ``transcript``; other columns are ignored. A set holds the distinct runs of
     ``WORDS`` words (A-Z lower-cased); a shorter, not empty text is one run. Two transcripts link
-    when their sets share at least ``PERCENT`` per cent of their union. Returns one row per input row: ``video_id``, ``n_shingles``
-    and ``component_id``, the smallest ``video_id`` that links reach, itself included. A null or wordless transcript has
+    when their sets share at least ``PERCENT`` per cent of their union. Returns one row per input row: ``video_id``, ``n_shingles``,
+    ``component_id`` (the smallest ``video_id`` that links reach, itself included), ``text_hash`` (xxhash64 of the transcript) and ``stays``
+    (the row, or a row equal to the row, that stands for its component; wordless rows always). A null or wordless transcript has
     no set and links with nothing: its component is its own id. Equal sets are one node of the search; repeated rows and equal
     ids get the smallest id of their set's component. A null id is never the smallest unless there is no other. An empty table
     gives an empty result.
@@ -319,9 +320,12 @@ def near_duplicates(transcripts: DataFrame) -> DataFrame:
 
     reached = components(links.union(more)).toDF("set_id", "_c")
     smallest = sets.join(reached, "set_id").groupBy("_c").agg(F.min("first").alias("_least"))
-    reached = reached.join(smallest, "_c").select("set_id", F.col("_least.video_id").alias("_reached"))
-    named = sets.join(reached, "set_id", "left").select("set_id", F.coalesce("_reached", "first.video_id").alias("_component"))
-    out = sketch.select("video_id", "n_shingles", "set_id").join(named, "set_id", "left")
+    reached = reached.join(smallest, "_c").select("set_id", "_least")
+    named = sets.join(reached, "set_id", "left").select("set_id", F.coalesce("_least", "first").alias("_least"))
+    out = sketch.select("video_id", "n_shingles", "set_id", "_text").join(named, "set_id", "left")
+    wordless, least = F.col("set_id").isNull(), F.col("_least")
+    stays = F.col("video_id").eqNullSafe(least["video_id"]) & F.col("_text").eqNullSafe(least["_text"])
     return out.select(
-        "video_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("video_id")).otherwise(F.col("_component")).alias("component_id")
+        "video_id", "n_shingles", F.when(wordless, F.col("video_id")).otherwise(least["video_id"]).alias("component_id"),
+        F.col("_text").alias("text_hash"), (wordless | stays).alias("stays"),
     )

@@ -61,7 +61,7 @@ def mix_sources(
 
     Returns one row per input row: ``video_id``, ``source_key``, ``n_words``, ``source_words``,
     ``target_words`` (of its source), ``taken_words`` (repeats counted, at most ``repeats`` times its
-    words), ``finish`` (virtual time of the first reading) and ``mix_start`` (words of the mix before its first
+    words), ``text_hash`` (xxhash64 of the transcript), ``finish`` (virtual time of the first reading) and ``mix_start`` (words of the mix before its first
     taken word; null if none is taken). A null or empty transcript has no words and takes none. A null source is a source. Repeated
     rows queue one after the other. An empty table gives an empty result. Reruns give equal results.
 
@@ -71,7 +71,8 @@ def mix_sources(
     # A key that is never null, so that the parts join by plain equality.
     key = F.coalesce(F.concat(F.lit("="), F.col("source_key").cast("string")), F.lit("~"))
     queued = transcripts.select(
-        "video_id", F.col("source_key").cast("string").alias("source_key"), word_count(F.col("transcript").cast("string")).alias("n_words")
+        "video_id", F.col("source_key").cast("string").alias("source_key"), word_count(F.col("transcript").cast("string")).alias("n_words"),
+        F.xxhash64(F.col("transcript").cast("string")).alias("text_hash"),
     ).withColumns({"_key": key, "_deal": F.xxhash64(F.lit(seed), F.col("video_id"))})
     # Written out, as four aggregates read these narrow rows and words should be counted once.
     queued = kept(queued.withColumn("_part", F.shiftright("_deal", 64 - QUEUE_PARTS_BITS)))
@@ -126,7 +127,7 @@ def mix_sources(
         entries.groupBy("_key", "_part", "_row")
         .agg(
             F.first("video_id").alias("video_id"), F.first("source_key").alias("source_key"), F.first("n_words").alias("n_words"),
-            F.first("source_words").alias("source_words"), F.first("target_words").alias("target_words"),
+            F.first("text_hash").alias("text_hash"), F.first("source_words").alias("source_words"), F.first("target_words").alias("target_words"),
             F.sum("_taken").alias("taken_words"), F.min("finish").alias("finish"),
             F.min(F.when(F.col("_taken") > 0, F.col("_start"))).alias("mix_start"),
         )

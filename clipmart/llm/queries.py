@@ -96,7 +96,8 @@ def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard_join.near_duplicates(documents(spark, folder)).withColumnRenamed("video_id", "doc_id")
+    found = jaccard_join.near_duplicates(documents(spark, folder))
+    return found.select(F.col("video_id").alias("doc_id"), "n_shingles", "component_id")
 
 
 @query()
