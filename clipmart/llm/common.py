@@ -42,7 +42,7 @@ def bytes_of(column) -> list[bytes]:
 class Hashes(dict):
     """64-bit hashes of words, each computed once; forgets all when it holds *most*."""
 
-    most = 1_000_000
+    most = 400_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:

@@ -60,6 +60,8 @@ class LanguageCodes:
     def fitted(cls, languages: list[str], counts: np.ndarray) -> LanguageCodes:
         """From the trigram counts of each language (languages x cells)."""
         n = len(languages)
+        if n == 1:
+            return cls(languages, np.ones((1, 1)), np.zeros((counts.shape[1], 1), dtype=np.float32), np.ones(1))
         codes = _codewords(n)
         smooth = counts + 0.05
         rate = smooth / smooth.sum(axis=1, keepdims=True)

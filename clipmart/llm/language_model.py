@@ -151,22 +151,32 @@ def _cell(p: np.ndarray) -> np.ndarray:
 
 
 def _held_out_cells(train_tokens: int):
-    """Every token to learn from as an event of the model without that token, counted by bucket and cells."""
+    """Every token to learn from as an event of the model without that token, counted by bucket and cells.
+
+    Bucket -1 has the sum of 1 / count over all tokens: each distinct token adds one to it.
+    """
+    span = 1 << 12  # more than any cell
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, int, int], int] = {}
+        total: dict[int, int] = {}
+        distinct = 0.0
         for batch in batches:
+            codes = []
             for n, events in zip(batch.column("n_tokens").to_pylist(), batch.column("events").to_pylist(), strict=True):
                 pairs, contexts, words = unpacked(events, 3 * n).reshape(3, n)
-                bucket = bucket_of(contexts - 1)
-                p2 = (pairs - 1) / np.maximum(contexts - 1, 1)
-                p1 = (words - 1) / max(train_tokens - 1, 1)
-                cells, times = np.unique(np.stack([bucket, _cell(p2), _cell(p1)]), axis=1, return_counts=True)
-                for b, x, y, t in zip(*cells.tolist(), times.tolist(), strict=True):
-                    total[b, x, y] = total.get((b, x, y), 0) + t
-        rows = [(*k, v) for k, v in total.items()]
-        columns = zip(*rows, strict=True) if rows else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["bucket", "p2", "p1", "n"])
+                distinct += float((1.0 / words).sum())
+                p2 = _cell((pairs - 1) / np.maximum(contexts - 1, 1))
+                p1 = _cell((words - 1) / max(train_tokens - 1, 1))
+                codes.append((bucket_of(contexts - 1) * span + p2 + 1) * span + p1 + 1)
+            found, times = np.unique(np.concatenate(codes), return_counts=True) if codes else ([], [])
+            for code, t in zip(np.asarray(found).tolist(), np.asarray(times).tolist(), strict=True):
+                total[code] = total.get(code, 0) + t
+        code = np.array(list(total), dtype=np.int64)
+        columns = [code // span // span, code // span % span - 1, code % span - 1, np.array(list(total.values()), dtype=np.float64)]
+        for values, extra in zip(columns, (-1, 0, 0, distinct), strict=True):
+            values.resize(len(code) + 1, refcheck=False)
+            values[-1] = extra
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "p2", "p1", "n"])
 
     return count
 
@@ -249,19 +259,11 @@ def score_transcripts(transcripts: DataFrame, chunk_bytes: int = CHUNK_BYTES) ->
     learned = told.filter("learn")
     train_tokens = learned.agg(F.sum("n_tokens")).first()[0] or 0
 
-    def inverse_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = [
-                float((1.0 / unpacked(e, 3 * n)[2 * n :]).sum())
-                for n, e in zip(batch.column("n_tokens").to_pylist(), batch.column("events").to_pylist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.float64())], names=["v"])
-
-    # Every token's count once over all its occurrences is one: the sum is the number of distinct tokens.
     narrow = learned.select("n_tokens", "events")
-    vocabulary = round(narrow.mapInArrow(inverse_counts, "v double").agg(F.sum("v")).first()[0] or 0)
-    cells = narrow.mapInArrow(_held_out_cells(train_tokens), "bucket long, p2 long, p1 long, n long")
+    cells = narrow.mapInArrow(_held_out_cells(train_tokens), "bucket long, p2 long, p1 long, n double")
     cells = cells.groupBy("bucket", "p2", "p1").agg(F.sum("n").alias("n")).toPandas()
+    vocabulary = round(cells.loc[cells["bucket"] < 0, "n"].sum())
+    cells = cells[cells["bucket"] >= 0]
     weights = mixture_weights(cells, 1 / (vocabulary + 1))
     return told.mapInArrow(
         _scored(weights, train_tokens, vocabulary),
