@@ -16,6 +16,8 @@ from clipmart.llm.components import components
 EDITS = 1
 #: Shorter lines (bullets, headings, single words) are never dropped.
 MIN_CHARS = 24
+#: Line ids that are broadcast at most; beyond that they are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -30,28 +32,26 @@ def _key(length: Column, i: int, piece: Column) -> Column:
     return F.xxhash64(length, F.lit(i), piece)
 
 
-def index_keys(line: Column, length: Column, edits: int) -> Column:
+def index_keys(line: Column, length: Column, edits: int) -> list[Column]:
     """Keys under which a line is found: one for each of its segments."""
     keys = []
     for i in range(edits + 1):
         start, size = _segment(length, i, edits)
         keys.append(_key(length, i, F.substring(line, start + 1, size)))
-    return F.array(*keys)
+    return keys
 
 
-def probe_keys(line: Column, length: Column, edits: int) -> Column:
-    """Keys that a line looks up: for each length at most *edits* shorter and each of its segments, the places
-    to which edits before and after the segment can have moved it."""
+def probe_keys(line: Column, length: Column, edits: int, shorter: int) -> list[Column]:
+    """Keys that a line looks up among lines *shorter* characters shorter: for each of their segments, the places
+    to which edits before and after the segment can have moved it (null where there is none)."""
     keys = []
-    for shorter in range(edits + 1):
-        other = length - shorter
-        for i in range(edits + 1):
-            start, size = _segment(other, i, edits)
-            for move in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-                at = start + move
-                fits = (at >= 0) & (at + size <= length)
-                keys.append(F.when(fits, _key(other, i, F.substring(line, at + 1, size))))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+    other = length - shorter
+    for i in range(edits + 1):
+        start, size = _segment(other, i, edits)
+        for move in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
+            at = start + move
+            keys.append(F.when((at >= 0) & (at + size <= length), _key(other, i, F.substring(line, at + 1, size))))
+    return keys
 
 
 def _common(a: Column, b: Column, room: Column, head: bool) -> Column:
@@ -115,14 +115,22 @@ def similar_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
 
     Lines are made distinct first, so a line that is everywhere is indexed and probed once.
     """
-    distinct = lines.groupBy("line_id").agg(F.first("line").alias("line")).withColumn("_n", F.length("line"))
-    index = distinct.select("line_id", "_n", F.explode(index_keys(F.col("line"), F.col("_n"), edits)).alias("_key"))
-    probe = distinct.select("line_id", "_n", F.explode(probe_keys(F.col("line"), F.col("_n"), edits)).alias("_key"))
-    a, b = index.toDF("a", "_na", "_key"), probe.toDF("b", "_nb", "_key")
+    line, length = F.col("line"), F.length("line")
+    own, equal = index_keys(line, length, edits), probe_keys(line, length, edits, 0)
+    longer = [k for d in range(1, edits + 1) for k in probe_keys(line, length, edits, d)]
+    # A line travels as its keys; texts are fetched for lines that meet another one.
+    distinct = lines.select("line_id", F.array(*own, *equal, *longer).alias("_keys")).groupBy("line_id").agg(F.first("_keys").alias("_keys"))
+    keys = distinct.select("line_id", F.posexplode("_keys").alias("_at", "_key")).filter("_key is not null")
+    a = keys.filter(F.col("_at") < len(own)).select(F.col("line_id").alias("a"), "_key")
+    b = keys.filter(F.col("_at") >= len(own)).select(
+        F.col("line_id").alias("b"), "_key", (F.col("_at") < len(own) + len(equal)).alias("_equal")
+    )
     # Of two lines of one length, one direction is enough.
-    near = F.col("_nb").between(F.col("_na"), F.col("_na") + edits) & ((F.col("_na") < F.col("_nb")) | (F.col("a") < F.col("b")))
-    met = a.join(b, "_key").filter(near).select("a", "b").distinct()
-    texts = distinct.select("line_id", "line")
+    met = kept(a.join(b, "_key").filter((F.col("a") < F.col("b")) | (~F.col("_equal") & (F.col("a") != F.col("b")))).select("a", "b").distinct())
+    named = met.select(F.col("a").alias("line_id")).union(met.select("b")).distinct()
+    if named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        named = F.broadcast(named)
+    texts = lines.join(named, "line_id").dropDuplicates(["line_id"]).select("line_id", "line")
     paired = met.join(texts.toDF("a", "_ta"), "a").join(texts.toDF("b", "_tb"), "b")
     ta, tb = F.col("_ta"), F.col("_tb")
     paired = _settled(paired, _head=_common(ta, tb, F.length(ta), True))
