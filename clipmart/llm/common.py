@@ -8,7 +8,6 @@ space and 0x09-0x0D exactly, and ``bytes.lower`` changes A-Z only.
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,19 +38,60 @@ def bytes_of(column) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast("binary").to_pylist()]
 
 
-class Hashes(dict):
-    """64-bit hashes of words, each computed once; forgets all when it holds *most*."""
-
-    most = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+#: Bytes that are hashed at once.
+PIECE_BYTES = 1 << 20
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
+_PRIME_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BYTE_VALUES = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def _power_tables(length: int) -> list[np.ndarray]:
+    if len(_powers[0]) < length:
+        for i, base in enumerate((_PRIME, _PRIME_INVERSE)):
+            _powers[i] = np.concatenate(([np.uint64(1)], np.cumprod(np.full(length, base, dtype=np.uint64))))
+    return _powers
+
+
+def _pieces(text: bytes) -> list[bytes]:
+    """A text in pieces of about ``PIECE_BYTES`` that end at a blank."""
+    out, at = [], 0
+    while len(text) - at > PIECE_BYTES:
+        end = at + PIECE_BYTES
+        while end < len(text) and not _BLANK[text[end]]:
+            end += 1
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]]
+
+
+def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    """64-bit hashes of the words of each text, in order.
+
+    A word's hash is a difference of running polynomial sums over all bytes, moved to a common place: all
+    words of many texts are hashed in a few passes, and equal words are equal wherever they stand.
+    """
+    parts = [(i, p) for i, t in enumerate(texts) for p in _pieces(t)]
+    found: list[list[np.ndarray]] = [[] for _ in texts]
+    first = 0
+    while first < len(parts):
+        last, size = first, 0
+        while last < len(parts) and (last == first or size + len(parts[last][1]) <= PIECE_BYTES):
+            size += len(parts[last][1]) + 1
+            last += 1
+        joined = np.frombuffer(b"\n".join(p for _, p in parts[first:last]) + b"\n", dtype=np.uint8)
+        blank = _BLANK[joined]
+        edge = np.diff(blank.view(np.int8), prepend=np.int8(1))
+        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        power, inverse = _power_tables(len(joined) + 1)
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(_BYTE_VALUES[joined] * power[: len(joined)], dtype=np.uint64)))
+        hashes = mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+        bounds = np.cumsum([len(p) + 1 for _, p in parts[first:last]])
+        for (i, _), own in zip(parts[first:last], np.split(hashes, np.searchsorted(starts, bounds)[:-1]), strict=True):
+            found[i].append(own)
+        first = last
+    return [f[0] if len(f) == 1 else np.concatenate(f) for f in found]
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -68,5 +108,5 @@ def shingle_hashes(words: np.ndarray, width: int = 5) -> np.ndarray:
     width = min(width, len(words))
     out = np.full(len(words) - width + 1, width, dtype=np.uint64)
     for i in range(width):
-        out = mixed(out + words[i : len(words) - width + 1 + i])
-    return out
+        out = out * np.uint64(0xD6E8FEB86659FD93) + words[i : len(words) - width + 1 + i]
+    return mixed(out)

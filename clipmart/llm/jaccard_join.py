@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipmart.llm.common import Hashes, bytes_of, kept, mixed, shingle_hashes, small_batches
+from clipmart.llm.common import bytes_of, kept, mixed, shingle_hashes, small_batches, word_hashes
 from clipmart.llm.components import components
 
 WORDS = 5
@@ -23,6 +23,8 @@ WORDS = 5
 PERCENT = 80
 #: Sets of a tree, and of a leaf.
 BLOCK, LEAF = 1024, 8
+#: Bits of a bitmap for each shingle; trees work on bitmaps folded to a ``COARSE``-th of that.
+BITS, COARSE = 8, 8
 #: Sets that are compared with all others of a group before the group is searched.
 HUBS = 2
 #: Transcripts from which frequent shingles are learned, which go last in prefixes. Any order gives the same result.
@@ -32,9 +34,9 @@ FREQUENT_SHARE = 0.001
 BROADCAST_ROWS = 200_000
 
 
-def shingles(text: bytes, hashes: Hashes) -> np.ndarray:
-    """The distinct shingles of a text, ascending."""
-    return np.unique(shingle_hashes(hashes.of(text.lower().split()), WORDS))
+def shingles(texts: list[bytes]) -> list[np.ndarray]:
+    """The distinct shingles of each text, ascending."""
+    return [np.unique(shingle_hashes(words, WORDS)) for words in word_hashes([t.lower() for t in texts])]
 
 
 def set_name(own: np.ndarray) -> int:
@@ -57,10 +59,10 @@ def prefix(own: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def bitmap(own: np.ndarray) -> bytes:
-    """About one bit for each shingle: 64 or the next power of two."""
-    size = max(64, 1 << int(len(own) - 1).bit_length()) if len(own) else 64
+    """A bitmap of the power of two from ``BITS`` bits for each shingle: few shingles share a bit."""
+    size = max(64, 1 << int(BITS * len(own) - 1).bit_length())
     bits = np.zeros(size, dtype=np.uint8)
-    bits[(own >> np.uint64(40)) % np.uint64(size)] = 1
+    bits[(own >> np.uint64(32)) & np.uint64(size - 1)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
@@ -132,11 +134,10 @@ def _sketched(frequent: np.ndarray):
     """Size, name, bitmap and prefix of each transcript's set; a set's prefix once in a task."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = Hashes(), set()
+        seen = set()
         for batch in batches:
             sizes, names, bitmaps, ends, tokens = [], [], [], [0], []
-            for text in bytes_of(batch.column("transcript")):
-                own = shingles(text, hashes)
+            for own in shingles(bytes_of(batch.column("transcript"))):
                 name = set_name(own)
                 sizes.append(len(own))
                 names.append(name if len(own) else None)
@@ -162,11 +163,10 @@ def _frequent(rows: DataFrame) -> np.ndarray:
     sample = rows.filter(F.pmod(F.xxhash64("_text"), F.lit(max(1, total // ORDER_SAMPLE))) == 0).select("transcript")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = Hashes(), set()
+        seen = set()
         for batch in batches:
             sets = []
-            for text in bytes_of(batch.column("transcript")):
-                own = shingles(text, hashes)
+            for own in shingles(bytes_of(batch.column("transcript"))):
                 if (name := set_name(own)) not in seen:
                     seen.add(name)
                     sets.append(own)
@@ -178,33 +178,54 @@ def _frequent(rows: DataFrame) -> np.ndarray:
     return np.sort(often.toPandas()["token"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
-def _met(table: pa.Table) -> pa.Table:
-    """Pairs of a probe and a member of one cell that may be similar and are not yet in one component."""
-    column = {c: table.column(c).to_numpy() for c in ("token", "cell", "set_id", "n_shingles", "component")}
-    probe = np.array(table.column("probe").to_pylist(), dtype=bool)
-    raw = table.column("bits").to_pylist()
-    order = np.lexsort((column["cell"], column["token"]))
-    token, cell = column["token"][order], column["cell"][order]
-    edges = np.flatnonzero((token[1:] != token[:-1]) | (cell[1:] != cell[:-1])) + 1
-    out: set[tuple[int, int]] = set()
-    for rows in np.split(order, edges):
-        left, right = rows[probe[rows]], rows[~probe[rows]]
+def _met(rows: pa.Table, known: pa.Table) -> pa.Table:
+    """Pairs of a probe and a member of one cell that may be similar and are not yet in one component.
+
+    ``rows`` place sets in cells, ``known`` has each set of the bin once. A pair that meets in several cells of the
+    bin leaves it once.
+    """
+    names = known.column("set_id").to_numpy()
+    by_name = np.argsort(names)
+    names = names[by_name]
+    sizes, components = (known.column(c).to_numpy()[by_name] for c in ("n_shingles", "component"))
+    raw = known.column("bits").combine_chunks().take(pa.array(by_name))
+    bits = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in raw]
+    at = np.searchsorted(names, rows.column("set_id").to_numpy())
+    probe = np.array(rows.column("probe").to_pylist(), dtype=bool)
+    token, cell = rows.column("token").to_numpy(), rows.column("cell").to_numpy()
+    order = np.lexsort((cell, token))
+    edges = np.flatnonzero((np.diff(token[order]) != 0) | (np.diff(cell[order]) != 0)) + 1
+    codes: list[np.ndarray] = []
+    for group in np.split(order, edges):
+        left, right = at[group[probe[group]]], at[group[~probe[group]]]
         if not len(left) or not len(right):
             continue
-        # Bitmaps of one width: wide ones fold onto the narrowest that sets of similar size can have.
-        for a, b in _by_width(left, right, column["n_shingles"]):
-            words = min(len(raw[i]) for i in (*a, *b)) // 8
-            trees = [
-                Tree(column["n_shingles"][x], np.concatenate([_folded(np.frombuffer(raw[i], dtype=np.uint64)[None, :], words) for i in x]))
-                for x in (a, b)
-            ]
-            i, j = trees[0].join(trees[1])
-            x, y = a[i], b[j]
-            new = column["component"][x] != column["component"][y]
-            sx, sy = column["set_id"][x[new]], column["set_id"][y[new]]
-            out.update(zip(np.minimum(sx, sy).tolist(), np.maximum(sx, sy).tolist(), strict=True))
-    pairs = sorted(out)
-    return pa.Table.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        for a, b in _by_width(left, right, sizes):
+            # Bitmaps of one width: wide ones fold onto the narrowest of the part.
+            words = min(len(bits[i]) for i in (*a, *b))
+            fine = [np.concatenate([_folded(bits[i][None, :], words) for i in x]) for x in (a, b)]
+            thin = max(1, words // COARSE)
+            i, j = Tree(sizes[a], _folded(fine[0], thin)).join(Tree(sizes[b], _folded(fine[1], thin)))
+            new = components[a[i]] != components[b[j]]
+            i, j = i[new], j[new]
+            near = _near(sizes[a], fine[0], sizes[b], fine[1], i, j)
+            x, y = a[i[near]], b[j[near]]
+            codes.append(np.unique(np.minimum(x, y) * len(names) + np.maximum(x, y)))
+    found = np.unique(np.concatenate(codes)) if codes else np.zeros(0, dtype=np.int64)
+    ends = (names[found // len(names)], names[found % len(names)]) if len(found) else (found, found)
+    return pa.Table.from_arrays([pa.array(e, pa.int64()) for e in ends], names=["a", "b"])
+
+
+def _near(sizes_a: np.ndarray, bits_a: np.ndarray, sizes_b: np.ndarray, bits_b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether full bitmaps leave room for enough common shingles, for pairs (i, j) in blocks."""
+    slack = [n - np.bitwise_count(b).sum(axis=1, dtype=np.int64) for n, b in ((sizes_a, bits_a), (sizes_b, bits_b))]
+    out = []
+    step = max(1, (1 << 21) // max(1, bits_a.shape[1]))
+    for k in range(0, len(i), step):
+        x, y = i[k : k + step], j[k : k + step]
+        common = np.bitwise_count(bits_a[x] & bits_b[y]).sum(axis=1, dtype=np.int64)
+        out.append(common + np.minimum(slack[0][x], slack[1][y]) >= least_shared(sizes_a[x], sizes_b[y]))
+    return np.concatenate(out) if out else np.zeros(0, dtype=bool)
 
 
 def _by_width(left: np.ndarray, right: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -217,21 +238,27 @@ def _by_width(left: np.ndarray, right: np.ndarray, sizes: np.ndarray) -> Iterato
                 yield left[of_left == o], right[of_right == p]
 
 
-def _cells(members: DataFrame, probes: DataFrame, parts: int) -> DataFrame:
+def _cells(members: DataFrame, probes: DataFrame, known: DataFrame, parts: int) -> DataFrame:
     """Pairs from cells of at most about ``BLOCK`` members and ``BLOCK`` probes of one shingle.
 
-    Both carry ``token``, ``cnt`` (members of the shingle), ``probes`` (its probes), ``set_id``, ``n_shingles``, ``component``, ``bits``.
+    Both carry ``token``, ``cnt`` (members of the shingle), ``probes`` (its probes), ``home`` and ``set_id``; ``known`` has ``set_id``,
+    ``n_shingles``, ``component`` and ``bits``. Shingles with one home (mostly the same sets) share bins, to which a set travels once.
     """
     blocks = F.ceil(F.col("cnt") / BLOCK).cast("long")
     chunks = F.ceil(F.col("probes") / BLOCK).cast("long")
     own = F.pmod(F.xxhash64("set_id"), blocks)
     mine = F.pmod(F.xxhash64("set_id", F.lit(1)), chunks)
-    spread_members = members.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda c: c * blocks + own)))
-    spread_probes = probes.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda b: mine * blocks + b)))
-    columns = ["token", "cell", "set_id", "n_shingles", "component", "bits"]
-    both = spread_members.select(*columns, F.lit(False).alias("probe")).unionByName(spread_probes.select(*columns, F.lit(True).alias("probe")))
-    both = both.withColumn("_bin", F.pmod(F.xxhash64("token", "cell"), F.lit(parts)))
-    return both.groupBy("_bin").applyInArrow(lambda t: _met(t), "a long, b long").distinct()
+    zero = F.lit(0).cast("long")
+    spread = [
+        members.withColumn("cell", F.explode(F.transform(F.sequence(zero, chunks - 1), lambda c: c * blocks + own))),
+        probes.withColumn("cell", F.explode(F.transform(F.sequence(zero, blocks - 1), lambda b: mine * blocks + b))),
+    ]
+    bin_of = F.pmod(F.xxhash64("home", "cell"), F.lit(parts)).alias("_bin")
+    rows = [d.select(bin_of, "token", "cell", "set_id", F.lit(i == 1).alias("probe")) for i, d in enumerate(spread)]
+    rows = rows[0].unionByName(rows[1])
+    wide = rows.select("_bin", "set_id").distinct().join(known, "set_id").select("_bin", "set_id", "n_shingles", "component", "bits")
+    wide = wide.toDF("_wide_bin", *wide.columns[1:])
+    return rows.groupBy("_bin").cogroup(wide.groupBy("_wide_bin")).applyInArrow(lambda r, k: _met(r, k), "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -243,14 +270,14 @@ def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
     texts = rows.join(wanted, rows["_text"].eqNullSafe(F.col("_t")) & rows["video_id"].eqNullSafe(F.col("_id"))).select("set_id", "transcript")
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = Hashes(), set()
+        seen = set()
         for batch in batches:
             names, ends, parts = [], [0], []
-            for name, text in zip(batch.column("set_id").to_pylist(), bytes_of(batch.column("transcript")), strict=True):
+            for name, own in zip(batch.column("set_id").to_pylist(), shingles(bytes_of(batch.column("transcript"))), strict=True):
                 if name not in seen:
                     seen.add(name)
                     names.append(name)
-                    parts.append(shingles(text, hashes))
+                    parts.append(own)
                     ends.append(ends[-1] + len(parts[-1]))
             flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -292,9 +319,9 @@ def near_duplicates(transcripts: DataFrame) -> DataFrame:
 
     # One shuffle by shingle serves the distinct sets of a shingle, the counts and the join of both.
     tokens = sketch.select(F.explode("prefix").alias("token"), "set_id").repartition("token").dropDuplicates(["token", "set_id"])
-    groups = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("cnt"), F.bit_xor(F.xxhash64("set_id")).alias("_who")).filter("cnt > 1")
+    groups = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("cnt"), F.bit_xor(F.xxhash64("set_id")).alias("_who"), F.min("set_id").alias("home")).filter("cnt > 1")
     # Shingles of the same sets say the same: one of them is enough.
-    groups = groups.groupBy("cnt", "_who").agg(F.min("token").alias("token")).select("token", "cnt")
+    groups = groups.groupBy("cnt", "_who").agg(F.min(F.struct("token", "home")).alias("_t")).select("_t.token", "_t.home", "cnt")
     shared = kept(tokens.join(groups, "token"))
     marked = sketch.filter("bits is not null").select("set_id", "n_shingles", "bits").join(shared.select("set_id").distinct(), "set_id")
     marked = kept(marked.dropDuplicates(["set_id"]))
@@ -303,9 +330,10 @@ def near_duplicates(transcripts: DataFrame) -> DataFrame:
     # Round one: a few hubs of each group against all of it.
     hubs = shared.groupBy("token").agg(*[F.min_by("set_id", F.xxhash64("set_id", F.lit(i))).alias(f"_h{i}") for i in range(HUBS)])
     hubs = hubs.select("token", F.explode(F.array_distinct(F.array(*[f"_h{i}" for i in range(HUBS)]))).alias("set_id"))
-    members = shared.withColumn("probes", F.lit(HUBS).cast("long")).join(marked.withColumn("component", F.col("set_id")), "set_id")
+    members = shared.withColumn("probes", F.lit(HUBS).cast("long"))
     probes = members.join(hubs, ["token", "set_id"], "left_semi")
-    links = kept(_verified(kept(_cells(members, probes, parts)), rows, sets))
+    known = marked.withColumn("component", F.col("set_id"))
+    links = kept(_verified(kept(_cells(members, probes, known, parts)), rows, sets))
 
     # Round two: in groups of several components, all sets outside the largest one against the whole group.
     reached = components(links).toDF("set_id", "_c")
@@ -315,8 +343,9 @@ def near_duplicates(transcripts: DataFrame) -> DataFrame:
     largest = largest.filter(F.col("_top._n") < F.col("cnt")).select(
         "token", F.col("_top.component").alias("_main"), (F.col("cnt") - F.col("_top._n")).alias("probes")
     )
-    members = placed.join(largest, "token").join(marked, "set_id")
-    more = kept(_verified(kept(_cells(members, members.filter("component <> _main"), parts)), rows, sets))
+    members = placed.join(largest, "token")
+    known = marked.join(reached, "set_id", "left").withColumn("component", F.coalesce("_c", "set_id")).drop("_c")
+    more = kept(_verified(kept(_cells(members, members.filter("component <> _main"), known, parts)), rows, sets))
 
     reached = components(links.union(more)).toDF("set_id", "_c")
     smallest = sets.join(reached, "set_id").groupBy("_c").agg(F.min("first").alias("_least"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipmart.llm.common import Hashes, kept, shingle_hashes, small_batches
+from clipmart.llm.common import kept, shingle_hashes, small_batches, word_hashes
 
 THRESHOLD = 0.3
 #: Labelled transcripts that a fit reads at most: so many toxic ones, and so many others.
@@ -234,12 +234,11 @@ def train_toxicity(transcripts: DataFrame, labels: DataFrame, toxic_sample: int
 
 def _parts(batches: Iterator[pa.RecordBatch], wanted: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
     """Distinct (word part, copy class) of the batch; near copies mostly share the class."""
-    hashes = Hashes()
     for batch in batches:
         out: set[tuple[str, int]] = set()
         for text in batch.column("transcript").to_pylist():
             words = set(t for t in _TOKEN.findall(text.lower()) if t[0].isalnum())
-            run = shingle_hashes(hashes.of(text.encode().split()))
+            run = shingle_hashes(word_hashes([text.encode()])[0])
             copy = int(run.min()) >> 1 if len(run) else 0
             parts = {p for w in words for p in parts_of(w)}
             out.update((p, copy) for p in (parts if wanted is None else parts & wanted))

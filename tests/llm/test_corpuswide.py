@@ -153,7 +153,7 @@ def test_model_probabilities_sum_to_one_and_em_finds_the_mixture():
     assert w.sum(axis=1) == pytest.approx(np.ones(len(w))) and (w[3] > 0).all() and w[0].tolist() == [0, 0, 1]
 
     def likelihood(x):
-        p = np.where(cells.p2 < 0, 0, 2.0 ** (-(cells.p2 + 0.5) / 4)) * x[0] + 2.0 ** (-(cells.p1 + 0.5) / 4) * x[1] + 1e-4 * x[2]
+        p = np.where(cells.p2 < 0, 0, 2.0 ** (-(cells.p2 + 0.5) / 2)) * x[0] + 2.0 ** -(cells.p1 + 0.5) * x[1] + 1e-4 * x[2]
         return float((cells.n * np.log(p)).sum())
 
     near = [likelihood(np.abs(w[3] + d) / np.abs(w[3] + d).sum()) for d in dealt.normal(0, 0.02, (50, 3))]
@@ -251,8 +251,11 @@ def test_tree_join_keeps_all_similar_pairs():
     hashed = [np.sort(jaccard_join.mixed(np.array(sorted(s), dtype=np.uint64))) for s in sets]
     words = min(len(jaccard_join.bitmap(h)) for h in hashed) // 8
     bits = np.concatenate([jaccard_join._folded(np.frombuffer(jaccard_join.bitmap(h), dtype=np.uint64)[None, :], words) for h in hashed])
-    tree = jaccard_join.Tree(np.array([len(s) for s in sets]), bits)
-    got = set(zip(*(x.tolist() for x in tree.join(tree)), strict=True))
+    sizes = np.array([len(s) for s in sets])
+    tree = jaccard_join.Tree(sizes, jaccard_join._folded(bits, max(1, words // jaccard_join.COARSE)))
+    i, j = tree.join(tree)
+    near = jaccard_join._near(sizes, bits, sizes, bits, i, j)
+    got = set(zip(i[near].tolist(), j[near].tolist(), strict=True))
     similar = {(i, j) for i in range(150) for j in range(150) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
     assert similar <= got and len(got) < 150 * 150 / 4
 
