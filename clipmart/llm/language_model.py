@@ -10,23 +10,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipmart.llm.common import Hashes, bytes_of, kept, mixed, small_batches
+from clipmart.llm.common import bytes_of, kept, mixed, small_batches, word_hashes
 
 #: Text bytes of a chunk. A chunk's distinct words and pairs are what one task holds.
 CHUNK_BYTES = 16 << 20
 #: Context-frequency buckets: unseen, then one for each octave of the count, the last open.
 BUCKETS = 42
-#: Cells for an octave of probability in which held-out events are counted.
-PER_OCTAVE = 4
+#: Cells for an octave of the pair's and of the word's probability, in which held-out events are counted.
+PER_OCTAVE = (2, 1)
 EM_ROUNDS = 60
 
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x27D4EB2F165667C5)
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
 
-def token_hashes(text: bytes, hashes: Hashes) -> np.ndarray:
-    """The words of a text with A-Z lower-cased, then one end."""
-    return np.append(hashes.of(text.lower().split()), END)
+def token_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    """The words of each text with A-Z lower-cased, then one end."""
+    return [np.append(words, END) for words in word_hashes([t.lower() for t in texts])]
 
 
 def pair_keys(tokens: np.ndarray) -> np.ndarray:
@@ -39,8 +39,7 @@ class Chunk:
     """Token arrays of a chunk's texts and the distinct keys in them, in a fixed order."""
 
     def __init__(self, texts: list[bytes], parts: int):
-        hashes = Hashes()
-        self.tokens = [token_hashes(t, hashes) for t in texts]
+        self.tokens = token_hashes(texts)
         flat = np.concatenate(self.tokens)
         contexts = np.full(len(texts), START, dtype=np.uint64)
         self.keys, self.inverse = np.unique(
@@ -145,9 +144,9 @@ def bucket_of(contexts: np.ndarray) -> np.ndarray:
     return np.where(contexts > 0, np.minimum(1 + np.floor(np.log2(np.maximum(contexts, 1))).astype(np.int64), BUCKETS - 1), 0)
 
 
-def _cell(p: np.ndarray) -> np.ndarray:
+def _cell(p: np.ndarray, per_octave: int) -> np.ndarray:
     """Cell of a probability; -1 for none."""
-    return np.where(p > 0, np.floor(-np.log2(np.where(p > 0, p, 1.0)) * PER_OCTAVE).astype(np.int64), -1)
+    return np.where(p > 0, np.floor(-np.log2(np.where(p > 0, p, 1.0)) * per_octave).astype(np.int64), -1)
 
 
 def _held_out_cells(train_tokens: int):
@@ -165,8 +164,8 @@ def _held_out_cells(train_tokens: int):
             for n, events in zip(batch.column("n_tokens").to_pylist(), batch.column("events").to_pylist(), strict=True):
                 pairs, contexts, words = unpacked(events, 3 * n).reshape(3, n)
                 distinct += float((1.0 / words).sum())
-                p2 = _cell((pairs - 1) / np.maximum(contexts - 1, 1))
-                p1 = _cell((words - 1) / max(train_tokens - 1, 1))
+                p2 = _cell((pairs - 1) / np.maximum(contexts - 1, 1), PER_OCTAVE[0])
+                p1 = _cell((words - 1) / max(train_tokens - 1, 1), PER_OCTAVE[1])
                 codes.append((bucket_of(contexts - 1) * span + p2 + 1) * span + p1 + 1)
             found, times = np.unique(np.concatenate(codes), return_counts=True) if codes else ([], [])
             for code, t in zip(np.asarray(found).tolist(), np.asarray(times).tolist(), strict=True):
@@ -189,7 +188,10 @@ def mixture_weights(cells: pd.DataFrame, floor: float, rounds: int = EM_ROUNDS)
     weights = np.tile(np.array([0.0, 0.0, 1.0]), (BUCKETS, 1))
     for bucket, own in cells.groupby("bucket"):
         p = np.column_stack(
-            [*(np.where(own[c] < 0, 0.0, 2.0 ** (-(own[c] + 0.5) / PER_OCTAVE)) for c in ("p2", "p1")), np.full(len(own), floor)]
+            [
+                *(np.where(own[c] < 0, 0.0, 2.0 ** (-(own[c] + 0.5) / n)) for c, n in zip(("p2", "p1"), PER_OCTAVE, strict=True)),
+                np.full(len(own), floor),
+            ]
         )
         n = own["n"].to_numpy(dtype=float)
         w = np.full(3, 1 / 3)
