@@ -24,7 +24,7 @@ PERCENT = 80
 #: Sets of a tree, and of a leaf.
 BLOCK, LEAF = 1024, 8
 #: Bits of a bitmap for each shingle; trees work on bitmaps folded to a ``COARSE``-th of that.
-BITS, COARSE = 8, 8
+BITS, COARSE = 4, 4
 #: Sets that are compared with all others of a group before the group is searched.
 HUBS = 2
 #: Transcripts from which frequent shingles are learned, which go last in prefixes. Any order gives the same result.
