@@ -1,7 +1,7 @@
 """Nearest vectors by collision-counting hashing.
 
 Every projection sorts a block's vectors along one random direction. A query's window on each
-of these arrays is centred on the query and grows by virtual rehashing (twice as wide each round, over
+of these arrays is centred on the query and grows by virtual rehashing (wider each round, over
 the same sorted array). Vectors that fall into enough windows are verified on the vectors themselves.
 """
 
@@ -15,11 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Random directions, and the share of their windows that a vector must fall into to be verified.
-PROJECTIONS, THRESHOLD = 48, 0.6
+PROJECTIONS, THRESHOLD = 64, 0.58
 #: Vectors of a block, and queries of a block: what one task holds.
 BLOCK, QUERY_BLOCK = 4096, 256
-#: First half width of a window on unit vectors, and the rounds in which it doubles.
-WIDTH, ROUNDS = 0.05, 6
+#: First half width of a window on unit vectors, its growth in a round, and the rounds before windows hold everything.
+WIDTH, GROWTH, ROUNDS = 0.2, 2**0.5, 8
+#: Windows are counted once vectors fall, on average, into this share of the windows needed.
+SPARSE = 0.5
 SEED = 11
 
 
@@ -42,34 +44,50 @@ class Block:
         self.lengths = np.sqrt((self.vectors * self.vectors).sum(axis=1))
         self.ways = directions(vectors.shape[1], projections)
         along = (self.vectors / self.lengths[:, None]) @ self.ways.T
-        self.rank = np.argsort(along, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(along, self.rank, axis=0)
-
-    def search(self, query_id: int, query: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and cosines of the *k* nearest found in this block, ties by smaller id."""
-        length = np.sqrt((query * query).sum())
-        centre = self.ways @ (query / length)
-        hits = np.zeros(len(self.ids), dtype=np.int16)
-        low = np.array([np.searchsorted(self.sorted[:, j], c) for j, c in enumerate(centre)])
-        high = low.copy()
-        needed, own, width = int(np.ceil(threshold * len(centre))), self.ids == query_id, WIDTH
+        rank = np.argsort(along, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(along, rank, axis=0).T.copy()
+        # Where each vector stands in each sorted array: it is in a window when its place is between the window's ends.
+        small = np.int16 if len(ids) < 1 << 15 else np.int32
+        self.place = np.empty(rank.shape[::-1], dtype=small)
+        np.put_along_axis(self.place, rank.T, np.arange(len(ids), dtype=small)[None, :], axis=1)
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, threshold: float) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the ids and cosines of the *k* nearest found in this block, ties by smaller id."""
+        lengths = np.sqrt((queries * queries).sum(axis=1))
+        centres = (queries / lengths[:, None]) @ self.ways.T
+        needed, n = int(np.ceil(threshold * len(self.ways))), len(self.ids)
+        out: list = [None] * len(queries)
+        open_ones, width = np.arange(len(queries)), WIDTH
         for level in range(ROUNDS + 1):
-            for j, c in enumerate(centre):
-                # The window only grows, so the new ends are all that is counted.
-                lo = 0 if level == ROUNDS else np.searchsorted(self.sorted[:, j], c - width, "left")
-                hi = len(self.ids) if level == ROUNDS else np.searchsorted(self.sorted[:, j], c + width, "right")
-                hits[self.rank[lo : low[j], j]] += 1
-                hits[self.rank[high[j] : hi, j]] += 1
-                low[j], high[j] = min(lo, low[j]), max(hi, high[j])
-            found = np.flatnonzero((hits >= needed) & ~own)
-            if len(found) >= k or level == ROUNDS:
-                score = (self.vectors[found] * query).sum(axis=1) / (self.lengths[found] * length)
-                best = np.lexsort((self.ids[found], -score))[:k]
-                # Vectors that collide this often are near; go on only while the k-th may still be far outside.
-                if level == ROUNDS or len(best) == k and self._settled(score[best[-1]], width):
-                    return self.ids[found][best], score[best]
-            width *= 2
-        raise AssertionError("the last round takes every vector")
+            low = np.zeros((len(open_ones), len(self.ways)), dtype=self.place.dtype)
+            high = np.full_like(low, n)
+            if level < ROUNDS:
+                for j, line in enumerate(self.sorted):
+                    low[:, j] = np.searchsorted(line, centres[open_ones, j] - width, "left")
+                    high[:, j] = np.searchsorted(line, centres[open_ones, j] + width, "right")
+            unsigned = np.dtype(f"u{self.place.itemsize}")
+            spans = (high - low).view(unsigned)
+            # While windows are so narrow that hardly any vector can fall into enough of them, they only grow.
+            wide = spans.sum(axis=1) >= SPARSE * needed * n
+            left = [q for q, w in zip(open_ones, wide, strict=True) if not w and level < ROUNDS]
+            for i, q in enumerate(open_ones):
+                if not wide[i] and level < ROUNDS:
+                    continue
+                inside = (self.place - low[i][:, None]).view(unsigned) < spans[i][:, None]
+                hits = np.add.reduce(inside, axis=0, dtype=np.uint8)
+                found = np.flatnonzero((hits >= needed) & (self.ids != query_ids[q]))
+                if level == ROUNDS or len(found) >= k:
+                    score = (self.vectors[found] * queries[q]).sum(axis=1) / (self.lengths[found] * lengths[q])
+                    best = np.lexsort((self.ids[found], -score))[:k]
+                    # Vectors that collide this often are near; go on only while the k-th may still be far outside.
+                    if level == ROUNDS or self._settled(score[best[-1]], width):
+                        out[q] = (self.ids[found][best], score[best])
+                        continue
+                left.append(q)
+            open_ones, width = np.array(left, dtype=np.int64), width * GROWTH
+            if not left:
+                break
+        return out
 
     @staticmethod
     def _settled(cosine: float, width: float) -> bool:
@@ -82,10 +100,9 @@ def _searched(k: int, threshold: float):
         out: list[tuple] = []
         if left.num_rows and right.num_rows:
             block = Block(*_arrays(left, "vec_id", "vector"))
-            for query_id, query in zip(*_arrays(right, "query_id", "query"), strict=True):
-                if len(query) == block.vectors.shape[1]:
-                    ids, scores = block.search(query_id, query, k, threshold)
-                    out += [(int(query_id), int(i), float(s)) for i, s in zip(ids, scores, strict=True)]
+            names, queries = _arrays(right, "query_id", "query")
+            for name, (ids, scores) in zip(names, block.search(names, queries, k, threshold), strict=True):
+                out += [(int(name), int(i), float(s)) for i, s in zip(ids, scores, strict=True)]
         columns = zip(*out, strict=True) if out else ((), (), ())
         types = (pa.int64(), pa.int64(), pa.float64())
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["query_id", "vec_id", "score"])
