@@ -1,11 +1,10 @@
 """Ordered-series helpers that survive hot keys.
 
-A plain ``Window.partitionBy(key)`` sends every row of a key to one task. That is the
-cheapest plan while every key is small: consecutive windows over one key share one
-shuffle and one sort. Where a key is larger than a task should sort, each key is cut into
-*buckets* (columns that never decrease along the order, for example ``ord div 4096``):
-windows run inside a bucket and one small summary row per bucket carries the state
-across bucket edges. Both plans give the same result; ``has_hot_keys`` decides.
+A plain ``Window.partitionBy(key)`` sends every row of a key to one task. Here each key is cut
+into *buckets* (columns that never decrease along the order, for example ``ord div 4096``):
+windows run inside a cell, that is one bucket of one key, and one small summary row per
+cell carries the state across bucket edges. There is one plan for keys of any size, and nothing
+is looked up while it is built. Null keys and null order values are groups like any other.
 """
 
 from __future__ import annotations
@@ -16,8 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 4096
-# A key with more rows than this is split. 200,000 timed words are more than 20 hours of speech.
-HOT_KEY_ROWS = 200_000
 
 
 def position_bucket(ordinal: str | Column, rows: int = ROWS_PER_BUCKET) -> Column:
@@ -32,13 +29,42 @@ def time_bucket(seconds: str | Column, width: float = 600.0) -> Column:
     return F.floor(col / F.lit(float(width))).cast("long")
 
 
-def has_hot_keys(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> bool:
-    """Whether any key has more rows than one task should sort.
+CELL = "_cell"
 
-    One narrow job: only the key columns are read, and counts combine map-side.
+
+def _stand_in(column: Column, kind: str) -> Column:
+    """*column* with a value of its type for null."""
+    if kind == "string":
+        return F.coalesce(column, F.lit(""))
+    if kind in ("date", "timestamp", "timestamp_ntz"):
+        return F.coalesce(column, F.lit("1970-01-01").cast(kind))
+    if kind == "boolean":
+        return F.coalesce(column, F.lit(False))
+    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
+        return F.coalesce(column, F.lit(0).cast(kind))
+    return F.coalesce(F.to_json(F.struct(column.alias("x"))), F.lit(""))
+
+
+def with_cells(df: DataFrame, keys: Sequence[str], bucket: Mapping[str, Column] | Column) -> DataFrame:
+    """*df* with the columns that name each row's cell.
+
+    They are never null (a mask column tells nulls apart from their stand-ins), so rows and
+    summaries join by plain equality on the partitioning that the windows already have. Scans that follow
+    each other on one frame share cells, and with them one shuffle; ``without_cells`` removes them.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return not counts.filter(F.col("_n") > (HOT_KEY_ROWS if limit is None else limit)).isEmpty()
+    buckets = {"0": bucket} if isinstance(bucket, Column) else dict(bucket)
+    if buckets:
+        df = df.withColumns({f"{CELL}_at_{n}": c for n, c in buckets.items()})
+    named = [*keys, *(f"{CELL}_at_{n}" for n in buckets)]
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    mask = sum([F.when(F.col(c).isNull(), 1 << i).otherwise(0) for i, c in enumerate(named)], F.lit(0))
+    key_mask = sum([F.when(F.col(c).isNull(), 1 << i).otherwise(0) for i, c in enumerate(keys)], F.lit(0))
+    stand_ins = {f"{CELL}_{'k' if i < len(keys) else 'b'}{i}": _stand_in(F.col(c), kinds[c]) for i, c in enumerate(named)}
+    return df.withColumns({**stand_ins, f"{CELL}_m": mask, f"{CELL}_km": key_mask})
+
+
+def without_cells(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith(f"{CELL}_")])
 
 
 def scan(
@@ -55,46 +81,27 @@ def scan(
     run_sum: Mapping[str, Column] | None = None,
     next_first: Mapping[str, Column] | None = None,
     ordinal: str | None = None,
-    split: bool | None = None,
 ) -> DataFrame:
     """Add neighbour and running columns along ``order`` within ``keys``.
 
     ``lag``/``lead`` name columns; results are ``prev_<c>`` / ``next_<c>``. ``run_last`` is the
     last non-null value up to the current row, ``prior_last`` and ``prior_max`` look at earlier
     rows only, ``next_first`` is the first non-null value from the current row on, ``ordinal``
-    is a 1-based row number. ``split`` says whether keys must be cut into buckets; by default
-    that is looked up with ``has_hot_keys``. Chained scans of one table should look it up once.
+    is a 1-based row number. Where ``df`` already has cells (``with_cells``) they are used and kept.
 
-    When split, the bucket summaries are the last rows of the windowed buckets, so both uses of the rows
+    The summaries are the last rows of the windowed cells, so both uses of the rows
     share one shuffle, and the join back is a broadcast whenever the summaries are small.
     """
     run_last, prior_last, prior_max = dict(run_last or {}), dict(prior_last or {}), dict(prior_max or {})
     run_sum, next_first = dict(run_sum or {}), dict(next_first or {})
     if ordinal:
         run_sum[ordinal] = F.lit(1).cast("long")
-    buckets = {"_bucket": bucket} if isinstance(bucket, Column) else dict(bucket)
-    keys, order = list(keys), list(order)
-    if split is None:
-        split = not keys or has_hot_keys(df, keys)
-    if not split:
-        whole = Window.partitionBy(*keys).orderBy(*order)
-        upto = whole.rowsBetween(Window.unboundedPreceding, 0)
-        earlier = whole.rowsBetween(Window.unboundedPreceding, -1)
-        reverse = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-        added = {f"prev_{c}": F.lag(c).over(whole) for c in lag}
-        added.update({f"next_{c}": F.lead(c).over(whole) for c in lead})
-        added.update({n: F.last(c, ignorenulls=True).over(upto) for n, c in run_last.items()})
-        added.update({n: F.last(c, ignorenulls=True).over(earlier) for n, c in prior_last.items()})
-        added.update({n: F.max(c).over(earlier) for n, c in prior_max.items()})
-        added.update({n: F.coalesce(F.sum(c).over(upto), F.lit(0)) for n, c in run_sum.items()})
-        added.update(
-            {
-                n: F.last(c, ignorenulls=True).over(reverse.rowsBetween(Window.unboundedPreceding, 0))
-                for n, c in next_first.items()
-            }
-        )
-        return df.withColumns(added)
-    cell = keys + list(buckets)
+    order = list(order)
+    given = any(c.startswith(f"{CELL}_") for c in df.columns)
+    celled = df if given else with_cells(df, keys, bucket)
+    places = [c for c in celled.columns if c.startswith(f"{CELL}_at_")]
+    cell = [c for c in celled.columns if c.startswith(f"{CELL}_") and c not in places and c != f"{CELL}_km"]
+    key = [c for c in cell if c.startswith(f"{CELL}_k")] + [f"{CELL}_km"]
 
     inside = Window.partitionBy(*cell).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
@@ -128,11 +135,11 @@ def scan(
         local[f"_in_{n}"] = F.last(c, ignorenulls=True).over(onward)
         local[f"_any_{n}"] = F.first(c, ignorenulls=True).over(upto)
         total[f"_all_{n}"] = F.col(f"_any_{n}")
-    rows = df.withColumns(buckets).withColumns(local)
+    rows = celled.withColumns(local)
 
-    along = (Window.partitionBy(*keys) if keys else Window).orderBy(*buckets)
+    along = Window.partitionBy(*key).orderBy(*[F.asc_nulls_first(b) for b in places])
     before = along.rowsBetween(Window.unboundedPreceding, -1)
-    back = (Window.partitionBy(*keys) if keys else Window).orderBy(*[F.desc(b) for b in buckets])
+    back = Window.partitionBy(*key).orderBy(*[F.desc_nulls_last(b) for b in places])
     after = back.rowsBetween(Window.unboundedPreceding, -1)
     carried: dict[str, Column] = {}
     if lag:
@@ -147,7 +154,7 @@ def scan(
         carried[f"_carry_{n}"] = F.sum(f"_all_{n}").over(before)
     for n in next_first:
         carried[f"_carry_{n}"] = F.last(f"_all_{n}", ignorenulls=True).over(after)
-    summary = rows.filter("_tail").select(*cell, *[c.alias(n) for n, c in total.items()])
+    summary = rows.filter("_tail").select(*cell, f"{CELL}_km", *places, *[c.alias(n) for n, c in total.items()])
     carry = summary.select(*cell, *[c.alias(n) for n, c in carried.items()])
 
     joined = rows.join(carry, cell, "left")
@@ -164,7 +171,9 @@ def scan(
         final[n] = F.greatest(f"_in_{n}", f"_carry_{n}")
     for n in run_sum:
         final[n] = F.coalesce(f"_in_{n}", F.lit(0)) + F.coalesce(f"_carry_{n}", F.lit(0))
-    return joined.select(*df.columns, *[c.alias(n) for n, c in final.items()])
+    taken = set(final)
+    kept = [c for c in (celled if given else df).columns if c not in taken]
+    return joined.select(*kept, *[c.alias(n) for n, c in final.items()])
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:

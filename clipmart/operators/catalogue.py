@@ -286,8 +286,6 @@ def pull_run_stats(entries: DataFrame, videos: DataFrame, links: DataFrame) -> D
 
     ``entries`` may list one new video several times: only its first sighting adds it.
     """
-    known = videos.select("video_id").withColumn("_known", F.lit(True))
-    seen = entries.join(known, "video_id", "left")
     first = (
         entries_to_fetch(entries, videos)
         .groupBy("video_id")
@@ -296,7 +294,7 @@ def pull_run_stats(entries: DataFrame, videos: DataFrame, links: DataFrame) -> D
         .groupBy("source_id")
         .agg(F.count("*").alias("videos_added"))
     )
-    found = seen.groupBy("source_id").agg(F.count("*").alias("videos_found"))
+    found = entries.groupBy("source_id").agg(F.count("*").alias("videos_found"))
     gone = missing_from_pull(links, entries).groupBy("source_id").agg(F.count("*").alias("videos_missing"))
     out = found.join(first, "source_id", "left").join(gone, "source_id", "left").na.fill(0)
     return out.withColumn("videos_already_exists", F.col("videos_found") - F.col("videos_added"))

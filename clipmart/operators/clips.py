@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipmart.functions import text as tx
-from clipmart.functions.ordered import has_hot_keys, scan, time_bucket
+from clipmart.functions.ordered import scan, time_bucket, with_cells, without_cells
 from clipmart.functions.ranges import overlap_join
 from clipmart.session import ensure_checkpoint_dir
 
@@ -14,7 +14,6 @@ MIN_CLIP_S, MAX_CLIP_S = 30.0, 80.0
 SHORT_TOLERANCE = 0.9
 MAX_OVERLAP = 0.25
 MIN_SCORE = 60
-BAND = 1000  # most candidates of one video that are held in one array
 MIN_HASHTAGS, MAX_HASHTAGS = 10, 15
 ON_SCREEN_CHARS = 42
 SPAN = "struct<start_time: double, end_time: double>"
@@ -110,11 +109,7 @@ def spans_length(spans: Column) -> Column:
 def merge_segments(segments: DataFrame, key: str = "video_id", start: str = "start_time", end: str = "end_time") -> DataFrame:
     """Union of overlapping or touching intervals per key, as a table."""
     rows = segments.select(key, F.col(start).alias("_s"), F.col(end).alias("_e"))
-    split = has_hot_keys(rows, [key])
-    seen = scan(rows, [key], time_bucket("_s"), ["_s", "_e"], prior_max={"_reach": F.col("_e")}, split=split)
-    opens = F.col("_reach").isNull() | (F.col("_s") > F.col("_reach"))
-    flagged = seen.select(key, "_s", "_e", F.when(opens, F.col("_s")).alias("_open"))
-    marked = scan(flagged, [key], time_bucket("_s"), ["_s", "_e"], run_last={"_island": F.col("_open")}, split=split)
+    marked = _islands(rows, key, ["_s", "_e"], touching=True)
     return marked.groupBy(key, "_island").agg(F.min("_s").alias(start), F.max("_e").alias(end)).drop("_island")
 
 
@@ -129,10 +124,27 @@ def _overlap_share(a_start, a_end, b_start, b_end) -> Column:
     return F.when((shared > 0) & (shortest > 0), shared / shortest).otherwise(F.lit(0.0))
 
 
-def _greedy_arrays(rows: DataFrame, limit: float) -> DataFrame:
-    """Per video the kept clips (array ``_kept``): best first, skipping clips that overlap a kept one too much."""
+def _islands(rows: DataFrame, key: str, span: list[str], touching: bool) -> DataFrame:
+    """Rows with ``_island``, the start of the run of overlapping (or touching) spans they belong to."""
+    start, end = (F.col(c) for c in span)
+    seen = scan(with_cells(rows, [key], time_bucket(start)), [key], time_bucket(start), span, prior_max={"_reach": end})
+    apart = start > F.col("_reach") if touching else start >= F.col("_reach")
+    opened = seen.withColumn("_open", F.when(F.col("_reach").isNull() | apart, start)).drop("_reach")
+    return without_cells(scan(opened, [key], time_bucket(start), span, run_last={"_island": F.col("_open")})).drop("_open")
+
+
+def drop_overlapping_clips(clips: DataFrame, limit: float = MAX_OVERLAP) -> DataFrame:
+    """Greedy by score: a clip goes when it overlaps a better kept clip by more than *limit* of the shorter.
+
+    Clips that share no time cannot decide about each other, so a video is cut into runs of
+    overlapping clips and each run is folded for itself, whatever the video's size.
+    """
+    rows = clips.withColumn("_neg", -clip_score("viral_score"))
+    # Empty and upside-down clips overlap nothing; null times neither.
+    solid = F.coalesce(F.col("end_time") > F.col("start_time"), F.lit(False))
+    runs = _islands(rows.filter(solid), "video_id", ["start_time", "end_time"], touching=False)
     payload = [c for c in rows.columns if c not in CLIP_ORDER and c != "video_id"]
-    ranked = rows.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct(*CLIP_ORDER, *payload))).alias("_all"))
+    ranked = runs.groupBy("video_id", "_island").agg(F.sort_array(F.collect_list(F.struct(*CLIP_ORDER, *payload))).alias("_all"))
 
     def take(kept: Column, x: Column) -> Column:
         clash = F.exists(
@@ -141,49 +153,8 @@ def _greedy_arrays(rows: DataFrame, limit: float) -> DataFrame:
         )
         return F.when(clash, kept).otherwise(F.array_append(kept, x))
 
-    return ranked.select("video_id", F.aggregate("_all", F.slice(F.col("_all"), 1, 0), take).alias("_kept"))
-
-
-def _greedy(rows: DataFrame, limit: float) -> DataFrame:
-    kept = _greedy_arrays(rows, limit)
-    return kept.select("video_id", F.explode("_kept").alias("_c")).select("video_id", "_c.*").select(*rows.columns)
-
-
-def drop_overlapping_clips(clips: DataFrame, limit: float = MAX_OVERLAP, band: int = BAND) -> DataFrame:
-    """Greedy by score: a clip goes when it overlaps a better kept clip by more than *limit* of the shorter.
-
-    Videos with up to *band* candidates are folded in one array. A larger video is worked
-    off in bands: fold the best *band* clips, drop every remaining clip that clashes with one
-    of the kept (kept clips hardly overlap, so few pairs arise), and go on with what is left.
-    The result is the same as one long fold.
-    """
-    rows = clips.withColumn("_neg", -clip_score("viral_score"))
-    if not has_hot_keys(rows, ["video_id"], band):
-        return _greedy(rows, limit).drop("_neg")
-    ensure_checkpoint_dir(clips.sparkSession)
-    hot = rows.groupBy("video_id").count().filter(F.col("count") > band).select("video_id").checkpoint()
-    kept = _greedy(rows.join(hot, "video_id", "left_anti"), limit)
-    rest = rows.join(hot, "video_id", "left_semi").checkpoint()
-    best_first = Window.partitionBy("video_id").orderBy(*CLIP_ORDER)
-    position = F.struct(*CLIP_ORDER)
-    while not rest.isEmpty():
-        edge = (
-            rest.select("video_id", *CLIP_ORDER).withColumn("_rn", F.row_number().over(best_first)).filter(F.col("_rn") <= band)
-            .groupBy("video_id").agg(F.max(position).alias("_edge"))
-        )
-        split = rest.join(edge, "video_id")
-        chosen = _greedy(split.filter(position <= F.col("_edge")).drop("_edge"), limit).checkpoint()
-        later = split.filter(position > F.col("_edge")).drop("_edge")
-        spans = chosen.select("video_id", F.col("start_time").alias("_ks"), F.col("end_time").alias("_ke"))
-        probe = later.select("video_id", *CLIP_ORDER)
-        clash = (
-            overlap_join(probe, spans, "video_id", ("start_time", "end_time"), ("_ks", "_ke"))
-            .filter(_overlap_share(F.col("start_time"), F.col("end_time"), F.col("_ks"), F.col("_ke")) > limit)
-            .select("video_id", *CLIP_ORDER).distinct()
-        )
-        kept = kept.unionByName(chosen)
-        rest = later.join(clash, ["video_id", *CLIP_ORDER], "left_anti").checkpoint()
-    return kept.drop("_neg")
+    kept = ranked.select("video_id", F.explode(F.aggregate("_all", F.slice(F.col("_all"), 1, 0), take)).alias("_c"))
+    return kept.select("video_id", "_c.*").select(*rows.columns).unionByName(rows.filter(~solid)).drop("_neg")
 
 
 def drop_weak_clips(clips: DataFrame, minimum: int = MIN_SCORE) -> DataFrame:
@@ -256,19 +227,19 @@ def clean_candidates(cands: DataFrame, min_s: float = MIN_CLIP_S, max_s: float =
 
     limit_text = f"{max_s:g}"
     warnings = F.array(
-        warn(F.col("_span") > max_s, F.format_string(f"trimmed from %.1fs to the {limit_text}s limit", F.col("_span"))),
-        warn(F.col("_lost_hook"), "invalid hook timing; renderer will use its default"),
-        warn(F.col("hook_text") == "", "hook_text is empty"),
-        warn(short_trim, F.format_string("smart trim would leave %.1fs; rendering the full clip instead", F.col("_kept_s"))),
-        warn(F.col("title") == "", "title is empty"),
+        warn(F.col("_span") > max_s, F.format_string(f"cut to {limit_text}s, was %.1fs", F.col("_span"))),
+        warn(F.col("_lost_hook"), "hook ends before it begins, default hook used"),
+        warn(F.col("hook_text") == "", "no hook text"),
+        warn(short_trim, F.format_string("kept segments last only %.1fs, whole clip used", F.col("_kept_s"))),
+        warn(F.col("title") == "", "no title"),
         warn(
             F.col("n_hashtags") < MIN_HASHTAGS,
-            F.format_string(f"only %d hashtag(s), expected {MIN_HASHTAGS}-{MAX_HASHTAGS}", F.col("n_hashtags")),
+            F.format_string(f"%d of {MIN_HASHTAGS} to {MAX_HASHTAGS} hashtags", F.col("n_hashtags")),
         ),
-        warn(F.col("description_hook") == "", "description_hook is empty"),
-        warn(F.col("description_context") == "", "description_context is empty"),
-        warn(F.size("keyword_tags") < 5, F.format_string("only %d keyword_tags, expected 5-8", F.size("keyword_tags"))),
-        warn(F.length("youtube_description") < 30, "youtube_description is very short (< 30 chars)"),
+        warn(F.col("description_hook") == "", "no opening line in the description"),
+        warn(F.col("description_context") == "", "no context in the description"),
+        warn(F.size("keyword_tags") < 5, F.format_string("%d of 5 to 8 keyword tags", F.size("keyword_tags"))),
+        warn(F.length("youtube_description") < 30, "description under 30 characters"),
     )
     return shaped.withColumns(
         {
@@ -281,16 +252,9 @@ def clean_candidates(cands: DataFrame, min_s: float = MIN_CLIP_S, max_s: float =
     ).drop("_s", "_e", "_span", "_hook_start", "_hook_end", "_lost_hook", "_given", "_merged", "_kept_s")
 
 
-def select_clips(clips: DataFrame, limit: float = MAX_OVERLAP, minimum: int = MIN_SCORE, band: int = BAND) -> DataFrame:
-    """De-overlapped, weak clips dropped, ranked. Small videos do all three on one array."""
-    rows = clips.withColumn("_neg", -clip_score("viral_score"))
-    if has_hot_keys(rows, ["video_id"], band):
-        return rank_clips(drop_weak_clips(drop_overlapping_clips(clips, limit, band), minimum))
-    kept = _greedy_arrays(rows, limit)
-    strong = F.filter("_kept", lambda c: -c["_neg"] >= minimum)
-    final = F.when(F.size(strong) > 0, strong).otherwise(F.col("_kept"))
-    placed = kept.select("video_id", F.posexplode(final).alias("_pos", "_c"))
-    return placed.select("video_id", "_c.*", (F.col("_pos") + 1).alias("rank")).select(*clips.columns, "rank")
+def select_clips(clips: DataFrame, limit: float = MAX_OVERLAP, minimum: int = MIN_SCORE) -> DataFrame:
+    """De-overlapped, weak clips dropped, ranked."""
+    return rank_clips(drop_weak_clips(drop_overlapping_clips(clips, limit), minimum))
 
 
 def normalize_clips(cands: DataFrame, min_s: float = MIN_CLIP_S, max_s: float = MAX_CLIP_S) -> DataFrame:
@@ -349,7 +313,7 @@ EXTEND_S, RETREAT_S = 2.5, 6.0
 BEFORE_ALL = -1e12  # time of the entry that stands before a video's first word
 
 
-def _lookup(words: DataFrame, probes: DataFrame, split: bool) -> DataFrame:
+def _lookup(words: DataFrame, probes: DataFrame) -> DataFrame:
     """As-of lookup: for each probe (video_id, t, payload) the last word starting at or before ``t``.
 
     ``at`` is that word with its neighbours. Before the first word it is an entry without
@@ -374,7 +338,7 @@ def _lookup(words: DataFrame, probes: DataFrame, split: bool) -> DataFrame:
         F.lit(None).cast(w.schema["w"].dataType).alias("w"), "payload",
     )
     seen = scan(
-        w.unionByName(p), ["video_id"], time_bucket("t"), ["t", "kind", "_tie"], run_last={"at": F.col("w")}, split=split
+        w.unionByName(p), ["video_id"], time_bucket("t"), ["t", "kind", "_tie"], run_last={"at": F.col("w")}
     )
     return seen.filter("kind = 1").select("video_id", "payload", "at")
 
@@ -400,35 +364,37 @@ def _snapped_start(at: Column, t: Column) -> Column:
     return F.when(word_start.isNull(), t).otherwise(snapped)
 
 
-def _sentence_words(words: DataFrame, split: bool) -> DataFrame:
+def _sentence_words(words: DataFrame) -> DataFrame:
     """Words with the previous word's end and the nearest sentence ends.
 
     A sentence end carries its snapped end. Looking it up by its own end time finds the word
     itself, unless words overlap or are very short: those are marked ``odd``.
     """
-    near = scan(words, ["video_id"], time_bucket("start_s"), ["start_s", "end_s"], lag=["end_s"], lead=["start_s"], split=split)
+    cells = with_cells(words, ["video_id"], time_bucket("start_s"))
+    near = scan(cells, ["video_id"], time_bucket("start_s"), ["start_s", "end_s"], lag=["end_s"], lead=["start_s"])
     probe, tail = F.col("end_s") - SNAP_EPS, F.col("end_s") + TAIL_S
     snap = F.greatest("end_s", F.least(tail, F.coalesce(F.col("next_start_s") - SNAP_EPS, tail)))
     odd = F.coalesce(F.col("next_start_s") <= probe, F.lit(False)) | (F.col("start_s") > probe)
     sentence = F.when(F.col("is_end"), F.struct("start_s", "end_s", snap.alias("snap_s"), odd.alias("odd")))
-    return scan(
+    found = scan(
         near.withColumn("_sentence", sentence),
         ["video_id"], time_bucket("start_s"), ["start_s", "end_s"],
-        run_last={"last_sentence": F.col("_sentence")}, next_first={"next_sentence": F.col("_sentence")}, split=split,
-    ).drop("_sentence")
+        run_last={"last_sentence": F.col("_sentence")}, next_first={"next_sentence": F.col("_sentence")},
+    )
+    return without_cells(found).drop("_sentence")
 
 
 AT_FIELDS = ["start_s", "end_s", "prev_end_s", "next_start_s", "is_end", "last_sentence", "next_sentence"]
 
 
-def _look_again(points: DataFrame, words: DataFrame, t: Column, split: bool) -> DataFrame:
+def _look_again(points: DataFrame, words: DataFrame, t: Column) -> DataFrame:
     """The same rows with ``at`` looked up at another time."""
     rest = [c for c in points.columns if c != "at"]
-    found = _lookup(words, points.select("video_id", t.alias("t"), F.struct(*rest).alias("payload")), split)
+    found = _lookup(words, points.select("video_id", t.alias("t"), F.struct(*rest).alias("payload")))
     return found.select("payload.*", "at").select(*points.columns)
 
 
-def _finish_points(points: DataFrame, words: DataFrame, min_s: float, split: bool) -> DataFrame:
+def _finish_points(points: DataFrame, words: DataFrame, min_s: float) -> DataFrame:
     """Move ``end_time`` onto a sentence end: forward within 2.5 s, else back up to 6 s but not below the minimum.
 
     ``points`` (small, checkpointed) hold the word around the end before it was snapped; that
@@ -438,7 +404,7 @@ def _finish_points(points: DataFrame, words: DataFrame, min_s: float, split: boo
     same = F.coalesce(at["start_s"] <= probe, F.lit(True)) & F.coalesce(at["next_start_s"] > probe, F.lit(True))
     moved = points.filter(~same)
     if not moved.isEmpty():
-        points = points.filter(same).unionByName(_look_again(moved, words, probe, split))
+        points = points.filter(same).unionByName(_look_again(moved, words, probe))
     coming, past = at["next_sentence"], at["last_sentence"]
     extend = coming.isNotNull() & (coming["end_s"] - F.col("end_time") <= EXTEND_S)
     earliest = F.col("start_time") + min_s * SHORT_TOLERANCE
@@ -449,29 +415,24 @@ def _finish_points(points: DataFrame, words: DataFrame, min_s: float, split: boo
     snapped = F.coalesce(F.col("_goal.snap_s"), F.col("end_time"))
     done = points.withColumn("end_time", F.round(snapped, 3))
     if not odd.isEmpty():
-        again = _look_again(odd, words, F.col("_goal.end_s") - SNAP_EPS, split)
+        again = _look_again(odd, words, F.col("_goal.end_s") - SNAP_EPS)
         exact = again.withColumn("end_time", F.round(_snapped_end(at, F.col("_goal.end_s")), 3))
         done = done.filter("_goal is null or not _goal.odd").unionByName(exact)
     return done.drop("at", "_goal")
 
 
-def _must_split(words: DataFrame, clips: DataFrame) -> bool:
-    return has_hot_keys(words, ["video_id"]) or has_hot_keys(clips, ["video_id"])
-
-
 def finish_sentence(clips: DataFrame, words: DataFrame, min_s: float = MIN_CLIP_S) -> DataFrame:
     """Move clip ends onto sentence ends (clips and words as in ``snap_clips_to_words``).
 
     Word ends must not decrease in start order (see ``clamp_word_overlaps``).
     """
     ensure_checkpoint_dir(clips.sparkSession)
-    split = _must_split(words, clips)
-    indexed = _sentence_words(_clean_words(words), split)
+    indexed = _sentence_words(_clean_words(words))
     probes = clips.select(
         "video_id", (F.col("end_time") - SNAP_EPS).alias("t"), F.struct(*clips.columns).alias("payload")
     )
-    points = _lookup(indexed, probes, split).select("payload.*", "at").checkpoint()
-    return _finish_points(points, indexed, min_s, split)
+    points = _lookup(indexed, probes).select("payload.*", "at").checkpoint()
+    return _finish_points(points, indexed, min_s)
 
 
 def snap_clips_to_words(clips: DataFrame, words: DataFrame, min_s: float = MIN_CLIP_S) -> DataFrame:
@@ -482,8 +443,7 @@ def snap_clips_to_words(clips: DataFrame, words: DataFrame, min_s: float = MIN_C
     lookup result, a few rows per clip, is checkpointed and everything else works on that.
     """
     ensure_checkpoint_dir(clips.sparkSession)
-    split = _must_split(words, clips)
-    indexed = _sentence_words(_clean_words(words), split)
+    indexed = _sentence_words(_clean_words(words))
     spans = F.array_compact(
         F.concat(
             F.array(
@@ -506,7 +466,7 @@ def snap_clips_to_words(clips: DataFrame, words: DataFrame, min_s: float = MIN_C
     probes = parts.withColumn(
         "edge", F.explode(F.array(F.struct(F.lit("start").alias("side"), F.col("s").alias("t")), F.struct(F.lit("end").alias("side"), (F.col("e") - SNAP_EPS).alias("t"))))
     ).select("video_id", "edge.t", F.struct("ord", "part", "k", "s", "e", "edge.side").alias("payload"))
-    found = _lookup(indexed, probes, split).checkpoint()
+    found = _lookup(indexed, probes).checkpoint()
     p, at = F.col("payload"), F.col("at")
     value = F.when(p["side"] == "start", _snapped_start(at, p["s"])).otherwise(_snapped_end(at, p["e"]))
     is_end = p["side"] == "end"
@@ -529,7 +489,7 @@ def snap_clips_to_words(clips: DataFrame, words: DataFrame, min_s: float = MIN_C
         # A video is punctuated when there is a sentence end before or after any of its points.
         F.coalesce("at.last_sentence", "at.next_sentence").isNotNull().alias("punctuated"),
     )
-    main = _finish_points(main, indexed, min_s, split).withColumn(
+    main = _finish_points(main, indexed, min_s).withColumn(
         "end_time", F.when(F.col("punctuated"), F.col("end_time")).otherwise(F.col("raw_end"))
     )
     pieces = snapped.filter("part <> 'clip'").groupBy("video_id", "ord").agg(

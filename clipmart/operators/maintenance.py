@@ -51,6 +51,8 @@ def _upsert(
         out[c] = value
     out["created_at"] = F.when(was_new, at(now)).otherwise(F.col("old.created_at"))
     out["updated_at"] = F.when(touched, at(now)).otherwise(F.col("old.updated_at"))
+    # What the batch does not speak of stays as it is; new rows have nulls there.
+    out |= {c: F.col(f"old.{c}") for c in current.columns if c not in out}
     out["was_new"], out["touched"] = was_new, touched
     return joined.select(*[c.alias(n) for n, c in out.items()])
 
@@ -88,6 +90,7 @@ def upsert_videos(current: DataFrame, batch: DataFrame, now, order: str = "ord")
 def link_source_videos(links: DataFrame, batch: DataFrame, now, order: str = "ord") -> DataFrame:
     """Links seen again become present; new ones start now. ``batch``: source, video, position, run."""
     keys = ["source_id", "video_id"]
+    own = [c for c in links.columns if c not in keys]
     extra = [c for c in ("metadata_source",) if c in batch.columns]
     folded = fold_batch(batch, keys, ["position", "run_id", *extra], order)
     old, new = links.alias("old"), folded.withColumn("_in", F.lit(True)).alias("new")
@@ -104,6 +107,7 @@ def link_source_videos(links: DataFrame, batch: DataFrame, now, order: str = "or
     out["added_at"] = F.when(was_new, at(now)).otherwise(F.col("old.added_at"))
     for c in extra:
         out[c] = F.coalesce(f"new.{c}", f"old.{c}") if c in links.columns else F.col(f"new.{c}")
+    out |= {c: F.col(f"old.{c}") for c in own if c not in out}
     return joined.select(*[c.alias(n) for n, c in out.items()])
 
 
@@ -188,6 +192,13 @@ def record_pull(snapshot: DataFrame, entries: DataFrame, order: str = "position"
 STAT_COLUMNS = ("videos_found", "videos_added", "videos_already_exists", "videos_missing")
 
 
+def open_pull_runs(pulls: DataFrame, entries: DataFrame, now) -> DataFrame:
+    """Add a running run for every (run, source) of *entries* that has no row yet."""
+    fresh = entries.filter("run_id is not null").groupBy("run_id").agg(F.min("source_id").alias("source_id"))
+    fresh = fresh.join(pulls.select("run_id"), "run_id", "left_anti").withColumns({"status": F.lit("running"), "started_at": at(now)})
+    return pulls.unionByName(fresh, allowMissingColumns=True)
+
+
 def finish_pull_run(pulls: DataFrame, stats: DataFrame, now, status: str = "success") -> DataFrame:
     """Close the runs listed in ``stats`` (one row per run)."""
     fresh = stats.select("run_id", *[F.col(c).alias(f"_{c}") for c in STAT_COLUMNS], F.lit(True).alias("_hit"))
@@ -208,7 +219,7 @@ def reset_interrupted(pulls: DataFrame) -> DataFrame:
     """Runs still marked running after a restart have failed."""
     stuck = F.col("status") == "running"
     error = F.col("error_message") if "error_message" in pulls.columns else F.lit(None).cast("string")
-    return pulls.withColumn("error_message", F.when(stuck, F.lit("Interrupted by server restart")).otherwise(error)).withColumn(
+    return pulls.withColumn("error_message", F.when(stuck, F.lit("stopped by a restart")).otherwise(error)).withColumn(
         "status", F.when(stuck, F.lit("failed")).otherwise(F.col("status"))
     )
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipmart.functions import text as tx
-from clipmart.functions.ordered import last_per_key, scan
+from clipmart.functions.ordered import last_per_key
+from clipmart.session import ensure_checkpoint_dir
 
 PUBLISH_CAP_24H = 50
 MANIFEST_ORDER = ("job_id", "rank")
@@ -28,20 +29,22 @@ def _filled(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit("")) != ""
 
 
-def in_order(df: DataFrame, order: Sequence[str], coarse: Column, split: bool | None = None) -> DataFrame:
-    """A global 1-based position ``i`` along two order columns.
+def in_order(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """A global 1-based position ``i`` along columns of any type (nulls first).
 
-    ``coarse`` never decreases along ``order``. Rows are numbered within each coarse group (split
-    further by the order columns where a group is hot) and shifted by the rows of earlier groups.
+    Rows are range-partitioned and sorted within their partition, whose number of rows shifts the
+    positions of later partitions: only one count for each partition is put in one order. The ranges are drawn from a
+    sample, so the numbered rows are written out once.
     """
-    rows = df.withColumn("_coarse", coarse)
-    fine = {"_a": F.col(order[0]), "_b": F.floor(F.col(order[1]) / 4096)}
-    local = scan(rows, ["_coarse"], fine, list(order), ordinal="_local", split=split)
-    before = Window.orderBy("_coarse").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("_coarse").agg(F.count("*").alias("_n")).select(
-        "_coarse", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
-    )
-    return local.join(offsets, "_coarse").withColumn("i", F.col("_offset") + F.col("_local")).drop("_coarse", "_local", "_offset")
+    ensure_checkpoint_dir(df.sparkSession)
+    along = [F.asc_nulls_first(c) for c in order]
+    placed = df.repartitionByRange(*along).sortWithinPartitions(*along).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    rows = placed.withColumn("_part", F.shiftright("_id", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    position = F.col("_offset") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.join(offsets, "_part").withColumn("i", position).select(*df.columns, "i")
 
 
 # ---- what can be uploaded -----------------------------------------------------------
@@ -85,8 +88,10 @@ def job_clip_listing(manifest: DataFrame) -> DataFrame:
     )
 
 
-def _display_title() -> Column:
-    return F.coalesce(F.when(_filled("title"), F.col("title")), F.concat(F.lit("Clip "), F.col("rank").cast("string")))
+def _display_title(df: DataFrame) -> Column:
+    """The edited title where the manifest has one, else the clip's own, else its rank."""
+    titles = [F.when(_filled(c), F.col(c)) for c in ("youtube_title_final", "title") if c in df.columns]
+    return F.coalesce(*titles, F.concat(F.lit("Clip "), F.col("rank").cast("string")))
 
 
 def uploadable_clips(jobs: DataFrame, manifest: DataFrame, queue: DataFrame) -> DataFrame:
@@ -95,12 +100,12 @@ def uploadable_clips(jobs: DataFrame, manifest: DataFrame, queue: DataFrame) ->
     ready = manifest.filter(
         (F.col("status") == "success") & (F.coalesce("youtube_upload_status", F.lit("")) != "uploaded")
     )
-    return (
+    listed = (
         job_clip_listing(ready)
         .join(jobs.filter("status = 'completed'").select("job_id"), "job_id")
         .join(waiting, ["job_id", "rank"], "left_anti")
-        .withColumn("title", _display_title())
     )
+    return listed.withColumn("title", _display_title(listed))
 
 
 def uploadable_jobs(jobs: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -235,19 +240,20 @@ def job_counts(jobs: DataFrame) -> DataFrame:
 
 
 # ---- schedules --------------------------------------------------------------------------------
-def cap_per_run(pending: DataFrame, n: int, order: Sequence[str] = MANIFEST_ORDER) -> DataFrame:
-    """The first *n* pending items."""
-    return pending.orderBy(*order).limit(n)
+def cap_per_run(pending: DataFrame, n: int | Column, order: Sequence[str] = MANIFEST_ORDER) -> DataFrame:
+    """The first *n* pending items; *n* is a number or a scalar of the plan (such as what a quota leaves)."""
+    if isinstance(n, int):
+        return pending.orderBy(*order).limit(n)
+    return in_order(pending, order).filter(F.col("i") <= n).drop("i")
 
 
 def publish_slots(
     pending: DataFrame, first: str | Column, interval_h: float, minimum_h: float = 0.0,
-    order: Sequence[str] = MANIFEST_ORDER, coarse: Column | None = None, split: bool | None = None,
+    order: Sequence[str] = MANIFEST_ORDER,
 ) -> DataFrame:
     """The i-th pending item is published at ``first + i * interval``."""
     gap = max(interval_h, minimum_h)
-    coarse = F.floor(F.col(order[0]) / 1000) if coarse is None else coarse
-    numbered = in_order(pending, order, coarse, split)
+    numbered = in_order(pending, order)
     return numbered.withColumn("slot", at(first) + hours((F.col("i") - 1) * gap))
 
 
@@ -268,7 +274,7 @@ def reschedule_plan(
     """Future private videos in time order, re-spaced from the first slot; ``unsafe`` slots are too close."""
     future = future_scheduled(videos, now)
     first = at(start) if start else future.agg(F.min("publish_ts").alias("first")).scalar()
-    numbered = in_order(future, ["publish_ts", "video_id"], F.to_date("publish_ts"))
+    numbered = in_order(future, ["publish_ts", "video_id"])
     return numbered.withColumn("new_publish_at", first + hours((F.col("i") - 1) * interval_h)).withColumn(
         "unsafe", F.col("new_publish_at") <= at(now) + hours(0.25)
     )
@@ -288,13 +294,14 @@ def enqueue_slots(
     reference given twice is queued twice. The first item gets the latest waiting time itself.
     """
     taken = queue.filter("status <> 'failed'").select("job_id", "rank")
-    ready = manifest.filter("status = 'success'").select("job_id", "rank", "title", "video_path")
+    titles = [c for c in ("youtube_title_final", "title") if c in manifest.columns]
+    ready = manifest.filter("status = 'success'").select("job_id", "rank", *titles, "video_path")
     fresh = refs.join(taken, ["job_id", "rank"], "left_anti").join(ready, ["job_id", "rank"])
     waiting = queue.filter("status = 'queued'").agg(F.max(due_time()).alias("latest")).scalar()
     base = F.greatest(at(start), waiting)
-    numbered = in_order(fresh, ["ord", "rank"], F.floor(F.col("ord") / 1000))
+    numbered = in_order(fresh, ["ord", "rank"])
     return numbered.withColumn("scheduled_at", base + hours((F.col("i") - 1) * interval_min / 60)).withColumn(
-        "title", _display_title()
+        "title", _display_title(numbered)
     )
 
 
@@ -305,13 +312,23 @@ def instagram_slots(
     """Publish one clip when the interval has elapsed; the others are deferred to the next slot."""
     last = last_publish_time(manifest).scalar()
     due = last.isNull() | (at(now) >= last + hours(interval_h))
-    numbered = in_order(pending, order, F.floor(F.col(order[0]) / 1000))
+    numbered = in_order(pending, order)
     goes = due & ((F.col("i") == 1) | F.lit(interval_h <= 0))
     return numbered.withColumn("outcome", F.when(goes, "published").otherwise("deferred")).withColumn(
         "next_slot", F.when(goes, F.lit(None).cast("timestamp")).when(due, at(now) + hours(interval_h)).otherwise(last + hours(interval_h))
     )
 
 
+def instagram_plan(
+    manifest: DataFrame, now: str | Column, interval_h: float, window_hours: int = 24, cap: int = PUBLISH_CAP_24H,
+    order: Sequence[str] = MANIFEST_ORDER,
+) -> DataFrame:
+    """Pending clips within what the rolling quota leaves, with their outcome and slots."""
+    left = recent_publish_count(manifest, now, window_hours, cap).select("remaining").scalar()
+    allowed = cap_per_run(pending_uploads(manifest, "instagram"), left, order)
+    return instagram_slots(allowed, manifest, now, interval_h, order)
+
+
 def next_due(queue: DataFrame, now: str | Column) -> DataFrame:
     """The earliest waiting item that is due (none: no row)."""
     due = queue.withColumn("due_at", due_time()).filter((F.col("status") == "queued") & (F.col("due_at") <= at(now)))
@@ -381,7 +398,7 @@ def channel_video_listing(api: DataFrame, n: int = 25) -> DataFrame:
     """First *n* videos of each channel in listing order; absent like and comment counts stay null."""
     rows = api.select("channel_id", "ord", F.from_json("payload", API_VIDEO).alias("v")).select("channel_id", "ord", "v.*")
     first = Window.partitionBy("channel_id").orderBy("ord")
-    return rows.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= min(n, 50)).select(
+    return rows.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= n).select(
         "channel_id",
         F.col("id").alias("video_id"),
         F.col("snippet.title").alias("title"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clipmart.functions import text as tx
 from clipmart.functions.folds import states_before
-from clipmart.functions.ordered import has_hot_keys, position_bucket, scan
+from clipmart.functions.ordered import position_bucket, scan, with_cells, without_cells
 from clipmart.operators.transcript import interval_overlap_join
 
 LINE_WORDS = 12
@@ -19,15 +19,14 @@ def non_latin_words(words: DataFrame) -> DataFrame:
     return words.filter(tx.non_latin("word"))
 
 
-def romanisation_lines(captions: DataFrame, clips: DataFrame, max_words: int = LINE_WORDS, split: bool | None = None) -> DataFrame:
+def romanisation_lines(captions: DataFrame, clips: DataFrame, max_words: int = LINE_WORDS) -> DataFrame:
     """Lines of consecutive non-Latin captions inside the padded clips, at most *max_words* words each.
 
     ``captions``: (video_id, seg, start_s, end_s, n_words, text). A line starts when the
     previous caption was left out or the line would grow too long. Adds ``idx`` (position of
     the caption) and ``line`` (position of the line's first caption).
     """
-    split = has_hot_keys(captions, ["video_id"]) if split is None else split
-    numbered = scan(captions, ["video_id"], position_bucket("seg"), ["seg"], ordinal="idx", split=split)
+    numbered = scan(captions, ["video_id"], position_bucket("seg"), ["seg"], ordinal="idx")
     foreign = numbered.filter(tx.non_latin("text"))
     padded = clips.select(
         "video_id", (F.col("start_time") - PADDING_S).alias("start_time"), (F.col("end_time") + PADDING_S).alias("end_time")
@@ -35,9 +34,9 @@ def romanisation_lines(captions: DataFrame, clips: DataFrame, max_words: int = L
     inside = interval_overlap_join(padded, foreign.select("video_id", "idx", "start_s", "end_s")).select("video_id", "idx").distinct()
     wanted = foreign.join(inside, ["video_id", "idx"], "left_semi")
     bucket = position_bucket("idx")
-    seen = scan(wanted, ["video_id"], bucket, ["idx"], lag=["idx"], split=split)
+    seen = scan(with_cells(wanted, ["video_id"], bucket), ["video_id"], bucket, ["idx"], lag=["idx"])
     opened = seen.withColumn("_open", F.when(~F.coalesce(F.col("prev_idx") == F.col("idx") - 1, F.lit(False)), F.col("idx")))
-    islands = scan(opened.drop("prev_idx"), ["video_id"], bucket, ["idx"], run_last={"_island": F.col("_open")}, split=split)
+    islands = without_cells(scan(opened.drop("prev_idx"), ["video_id"], bucket, ["idx"], run_last={"_island": F.col("_open")}))
 
     def step(used: Column, row: Column) -> Column:
         n = row["n_words"].cast("int")
@@ -46,10 +45,10 @@ def romanisation_lines(captions: DataFrame, clips: DataFrame, max_words: int = L
         return F.least(F.when(full, n).otherwise(used + n), F.lit(max_words))
 
     fields = ["n_words", "seg", "text"]
-    packed = states_before(islands, ["video_id"], "_island", "idx", fields, step, max_words + 1, split)
+    packed = states_before(islands, ["video_id"], "_island", "idx", fields, step, max_words + 1)
     starts = (F.col("before") == 0) | (F.col("before") + F.col("n_words") > max_words)
     marked = packed.withColumn("_start", F.when(starts, F.col("idx")))
-    lined = scan(marked, ["video_id"], bucket, ["idx"], run_last={"line": F.col("_start")}, split=split)
+    lined = scan(marked, ["video_id"], bucket, ["idx"], run_last={"line": F.col("_start")})
     return lined.select("video_id", "seg", "idx", "line", "n_words", "text")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipmart.functions.ordered import has_hot_keys, haloed, position_bucket, scan
+from clipmart.functions.ordered import haloed, position_bucket, scan, with_cells, without_cells
 from clipmart.functions.ranges import overlap_join
 from clipmart.operators.transcript import interval_overlap_join
 
@@ -17,11 +17,11 @@ SMOOTH_SAMPLES = 12
 # ---- turns -------------------------------------------------------------------------
 def merge_turns(turns: DataFrame, max_gap: float = 0.5) -> DataFrame:
     """Join consecutive turns of one speaker closer than *max_gap*; the end is the last turn's end."""
-    split = has_hot_keys(turns, ["video_id"])
-    seen = scan(turns, ["video_id"], position_bucket("ord"), ["ord"], lag=["speaker", "end_s"], split=split)
+    cells = with_cells(turns, ["video_id"], position_bucket("ord"))
+    seen = scan(cells, ["video_id"], position_bucket("ord"), ["ord"], lag=["speaker", "end_s"])
     joins = (F.col("prev_speaker") == F.col("speaker")) & (F.col("start_s") - F.col("prev_end_s") < max_gap)
     opened = seen.withColumn("_open", F.when(~F.coalesce(joins, F.lit(False)), F.col("ord"))).drop("prev_speaker", "prev_end_s")
-    marked = scan(opened, ["video_id"], position_bucket("ord"), ["ord"], run_last={"turn": F.col("_open")}, split=split)
+    marked = scan(opened, ["video_id"], position_bucket("ord"), ["ord"], run_last={"turn": F.col("_open")})
     return marked.groupBy("video_id", "turn", "speaker").agg(
         F.min_by("start_s", "ord").alias("start_s"), F.max_by("end_s", "ord").alias("end_s")
     )
@@ -186,19 +186,18 @@ def confirmed_runs(series: DataFrame, hold: int) -> DataFrame:
 
     ``series``: (clip_id, idx, value) without gaps. The first value counts at once.
     """
-    split = has_hot_keys(series, ["clip_id"])
     bucket = position_bucket("idx")
-    seen = scan(series, ["clip_id"], bucket, ["idx"], lag=["idx", "value"], split=split)
+    seen = scan(with_cells(series, ["clip_id"], bucket), ["clip_id"], bucket, ["idx"], lag=["idx", "value"])
     opens = F.col("prev_idx").isNull() | ~F.col("prev_value").eqNullSafe(F.col("value"))
     opened = seen.withColumns({"_open": F.when(opens, F.col("idx")), "_first": F.col("prev_idx").isNull()})
-    runs = scan(
-        opened.drop("prev_idx", "prev_value"), ["clip_id"], bucket, ["idx"], run_last={"_run": F.col("_open")}, split=split
+    runs = without_cells(
+        scan(opened.drop("prev_idx", "prev_value"), ["clip_id"], bucket, ["idx"], run_last={"_run": F.col("_open")})
     )
     lengths = runs.groupBy("clip_id", "_run").agg(
         F.count("*").alias("_n"), F.max("_first").alias("_first"), F.first("value").alias("_value")
     )
     kept = F.when(F.col("_first") | (F.col("_n") >= hold), F.struct("_value"))
-    states = scan(lengths, ["clip_id"], position_bucket("_run"), ["_run"], run_last={"_kept": kept}, split=split)
+    states = scan(lengths, ["clip_id"], position_bucket("_run"), ["_run"], run_last={"_kept": kept})
     return runs.join(states.select("clip_id", "_run", "_kept"), ["clip_id", "_run"]).select(
         *series.columns, F.col("_kept._value").alias("confirmed")
     )

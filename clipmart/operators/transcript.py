@@ -14,11 +14,12 @@ from clipmart.functions import text as tx
 from clipmart.functions.folds import states_before
 from clipmart.functions.ordered import (
     first_per_key,
-    has_hot_keys,
     last_per_key,
     position_bucket,
     scan,
     time_bucket,
+    with_cells,
+    without_cells,
 )
 from clipmart.functions.ranges import overlap_join
 
@@ -34,31 +35,29 @@ def ordered_text(ord_col: str, word_col: str) -> Column:
     )
 
 
-def clamp_word_overlaps(words: DataFrame, split: bool | None = None) -> DataFrame:
+def clamp_word_overlaps(words: DataFrame) -> DataFrame:
     """Pull an overlapping word's end back to the next word's start (at least 0.1 s long)."""
-    seen = scan(words, ["video_id"], position_bucket("ord"), ["ord"], lead=["start_s"], split=split)
+    seen = scan(words, ["video_id"], position_bucket("ord"), ["ord"], lead=["start_s"])
     end = F.when(
         F.col("end_s") > F.col("next_start_s"), F.greatest(F.col("start_s") + 0.1, F.col("next_start_s"))
     ).otherwise(F.col("end_s"))
     return seen.withColumn("end_s", end).drop("next_start_s")
 
 
-def _caption_islands(words: DataFrame, keys: list[str], split: bool) -> DataFrame:
+def _caption_islands(words: DataFrame, keys: list[str]) -> DataFrame:
     """Words with the position of the hard break they follow.
 
     Sentence ends, pauses and the last word always end a caption, whatever its length.
     """
-    seen = scan(words, keys, position_bucket("ord"), ["ord"], lead=["start_s"], split=split)
+    seen = scan(with_cells(words, keys, position_bucket("ord")), keys, position_bucket("ord"), ["ord"], lead=["start_s"])
     hard = (
         F.col("next_start_s").isNull()
         | tx.ends_caption_sentence("word")
         | (F.col("next_start_s") - F.col("end_s") > PAUSE_S)
     )
     flagged = seen.withColumns({"_hard": hard, "_clause": tx.ends_clause("word")}).drop("next_start_s")
-    return scan(
-        flagged, keys, position_bucket("ord"), ["ord"],
-        prior_last={"_island": F.when(F.col("_hard"), F.col("ord") + 1)}, split=split,
-    ).withColumn("_island", F.coalesce("_island", F.lit(0).cast("long")))
+    marked = scan(flagged, keys, position_bucket("ord"), ["ord"], prior_last={"_island": F.when(F.col("_hard"), F.col("ord") + 1)})
+    return without_cells(marked).withColumn("_island", F.coalesce("_island", F.lit(0).cast("long")))
 
 
 def _step(max_words: int):
@@ -75,70 +74,27 @@ def _step(max_words: int):
 WORD_FIELDS = ("ord", "_hard", "_clause", "word", "start_s", "end_s")
 
 
-def _captions_as_arrays(islands: DataFrame, max_words: int, keys: list[str]) -> DataFrame:
-    """One row per caption with its words, by folding each island once.
-
-    The fold lists the positions where captions start; the island is then sliced there.
-    """
-    step = _step(max_words)
-    whole = islands.groupBy(*keys, "_island").agg(F.sort_array(F.collect_list(F.struct(*WORD_FIELDS))).alias("_words"))
-
-    def walk(acc: Column, word: Column) -> Column:
-        starts = F.when(acc["length"] == 0, F.array_append(acc["starts"], acc["i"])).otherwise(acc["starts"])
-        return F.struct(step(acc["length"], word).alias("length"), (acc["i"] + 1).alias("i"), starts.alias("starts"))
-
-    first = F.struct(
-        F.lit(0).alias("length"), F.lit(1).alias("i"), F.array().cast("array<int>").alias("starts")
-    )
-    walked = whole.withColumn("_starts", F.aggregate("_words", first, walk, lambda acc: acc["starts"]))
-    ends = F.array_append(F.slice(F.col("_starts"), F.lit(2), F.size("_starts")), F.size("_words") + 1)
-    cuts = walked.withColumn("_cut", F.explode(F.arrays_zip(F.col("_starts").alias("a"), ends.alias("b"))))
-    return cuts.select(
-        *keys, F.slice(F.col("_words"), F.col("_cut.a"), F.col("_cut.b") - F.col("_cut.a")).alias("_words")
-    )
-
-
-def caption_positions(
-    words: DataFrame, max_words: int = 5, keys: tuple[str, ...] = ("video_id",), split: bool | None = None
-) -> DataFrame:
+def caption_positions(words: DataFrame, max_words: int = 5, keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
     """Words with ``seg``: the position of the first word of their caption.
 
     Between hard breaks, a caption ends at ``max_words`` or at a clause end with two or more
-    words. That needs the running length, so the words between hard breaks are folded.
+    words. That needs the running length, which has ``max_words`` possible values: the words between hard breaks
+    are folded in pieces.
     """
     keys = list(keys)
-    split = has_hot_keys(words, keys) if split is None else split
-    islands = _caption_islands(words, keys, split)
-    if split:
-        # Very long islands: fold in pieces; the running length has ``max_words`` possible values.
-        placed = states_before(islands, keys, "_island", "ord", WORD_FIELDS[1:], _step(max_words), max_words, split)
-        return placed.select(
-            *keys, "ord", "word", "start_s", "end_s", (F.col("ord") - F.col("before")).cast("long").alias("seg")
-        )
-    rows = _captions_as_arrays(islands, max_words, keys).select(
-        *keys, F.col("_words")[0]["ord"].alias("seg"), F.explode("_words").alias("_w")
-    )
-    return rows.select(*keys, "_w.ord", "_w.word", "_w.start_s", "_w.end_s", "seg")
+    islands = _caption_islands(words, keys)
+    placed = states_before(islands, keys, "_island", "ord", WORD_FIELDS[1:], _step(max_words), max_words)
+    return placed.select(*keys, "ord", "word", "start_s", "end_s", (F.col("ord") - F.col("before")).cast("long").alias("seg"))
 
 
-def group_captions(
-    words: DataFrame, max_words: int = 5, keys: tuple[str, ...] = ("video_id",), split: bool | None = None
-) -> DataFrame:
+def group_captions(words: DataFrame, max_words: int = 5, keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
     """Captions: (video_id, seg, start_s, end_s, n_words, text)."""
-    split = has_hot_keys(words, list(keys)) if split is None else split
-    if not split:
-        arrays = _captions_as_arrays(_caption_islands(words, list(keys), split), max_words, list(keys))
-        return arrays.select(
-            *keys, F.col("_words")[0]["ord"].alias("seg"), F.col("_words")[0]["start_s"].alias("start_s"),
-            F.element_at("_words", -1)["end_s"].alias("end_s"), F.size("_words").cast("long").alias("n_words"),
-            F.array_join("_words.word", " ").alias("text"),
-        )
-    placed = caption_positions(words, max_words, keys, split)
-    return placed.groupBy(*keys, "seg").agg(
-        F.min_by("start_s", "ord").alias("start_s"),
-        F.max_by("end_s", "ord").alias("end_s"),
-        F.count("*").alias("n_words"),
-        ordered_text("ord", "word").alias("text"),
+    placed = caption_positions(words, max_words, keys)
+    # A caption holds at most max_words words, so one small array gives all of its columns.
+    whole = placed.groupBy(*keys, "seg").agg(F.sort_array(F.collect_list(F.struct("ord", "word", "start_s", "end_s"))).alias("_w"))
+    return whole.select(
+        *keys, "seg", F.col("_w")[0]["start_s"].alias("start_s"), F.element_at("_w", -1)["end_s"].alias("end_s"),
+        F.size("_w").cast("long").alias("n_words"), F.array_join("_w.word", " ").alias("text"),
     )
 
 
@@ -161,9 +117,9 @@ def transcript_lines(words: DataFrame, max_words: int = LINE_WORDS) -> DataFrame
     )
 
 
-def caption_hold(captions: DataFrame, split: bool | None = None) -> DataFrame:
+def caption_hold(captions: DataFrame) -> DataFrame:
     """``held_end_s``: a caption stays until the next one when the gap is at most 0.6 s."""
-    seen = scan(captions, ["video_id"], position_bucket("seg"), ["seg"], lead=["start_s"], split=split)
+    seen = scan(captions, ["video_id"], position_bucket("seg"), ["seg"], lead=["start_s"])
     gap = F.col("next_start_s") - F.col("end_s")
     held = F.when((gap >= 0) & (gap <= PAUSE_S), F.col("next_start_s")).otherwise(F.col("end_s"))
     return seen.withColumn("held_end_s", held).drop("next_start_s")
@@ -252,12 +208,11 @@ def chunk_words(words: DataFrame, size: int = 3) -> DataFrame:
 
 def speech_sessions(words: DataFrame, gap: float = PAUSE_S) -> DataFrame:
     """Speech bursts separated by a pause longer than *gap*."""
-    split = has_hot_keys(words, ["video_id"])
-    seen = scan(words, ["video_id"], position_bucket("ord"), ["ord"], lag=["end_s"], split=split)
+    seen = scan(with_cells(words, ["video_id"], position_bucket("ord")), ["video_id"], position_bucket("ord"), ["ord"], lag=["end_s"])
     opens = F.col("prev_end_s").isNull() | (F.col("start_s") - F.col("prev_end_s") > gap)
     burst = scan(
         seen.withColumn("_opens", opens).drop("prev_end_s"), ["video_id"], position_bucket("ord"), ["ord"],
-        run_last={"burst": F.when(F.col("_opens"), F.col("ord"))}, split=split,
+        run_last={"burst": F.when(F.col("_opens"), F.col("ord"))},
     )
     return burst.groupBy("video_id", "burst").agg(
         F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count("*").alias("n_words")
@@ -272,19 +227,19 @@ def _clip_relative(start: Column, end: Column) -> dict[str, Column]:
     }
 
 
-def caption_cues(captions: DataFrame, clips: DataFrame, split: bool | None = None) -> DataFrame:
+def caption_cues(captions: DataFrame, clips: DataFrame) -> DataFrame:
     """Clip-relative caption times; empty cues are dropped."""
-    held = caption_hold(captions, split)
+    held = caption_hold(captions)
     pairs = overlap_join(clips, held, "video_id", ("start_time", "end_time"), ("start_s", "held_end_s"))
     return pairs.withColumns(_clip_relative(F.col("start_s"), F.col("held_end_s"))).filter("cue_start < cue_end")
 
 
-def word_cues(placed: DataFrame, clips: DataFrame, split: bool | None = None) -> DataFrame:
+def word_cues(placed: DataFrame, clips: DataFrame) -> DataFrame:
     """Clip-relative word times: a word lasts to the next word of its caption, the last to the held end.
 
     ``placed`` are words with their caption ``seg``.
     """
-    seen = scan(placed, ["video_id"], position_bucket("ord"), ["ord"], lead=["start_s", "seg"], split=split)
+    seen = scan(placed, ["video_id"], position_bucket("ord"), ["ord"], lead=["start_s", "seg"])
     gap = F.col("next_start_s") - F.col("end_s")
     same = F.col("next_seg") == F.col("seg")
     until = F.when(same | ((gap >= 0) & (gap <= PAUSE_S)), F.col("next_start_s")).otherwise(F.col("end_s"))

@@ -35,9 +35,9 @@ def write_rows(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def read_link_file(spark: SparkSession, path: str) -> DataFrame:
-    """Links of a text file, in file order."""
-    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
-    return ingest.read_links(lines)
+    """Links of one or more text files; the first link of a video by file path and line wins."""
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    return ingest.read_links(spark.read.text(path).select("value", place.alias("line_no")))
 
 
 def _payloads(spark: SparkSession, path: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from clipmart.functions.ordered import has_hot_keys, scan
+from clipmart.functions.ordered import scan
 from clipmart.operators.transcript import PAUSE_S
 
 TERMINAL = ("completed", "failed", "cancelled")
@@ -98,10 +98,9 @@ def _state_text() -> Column:
 def job_changes(events: DataFrame) -> DataFrame:
     """Events whose state differs from the previous one of the job, up to its first terminal state."""
     rows = events.withColumn("state", _state_text())
-    split = has_hot_keys(rows, ["job_id"])
     bucket = {"_day": F.to_date("ts")}
     over = F.when(F.col("status").isin(*TERMINAL), F.lit(1))
-    seen = scan(rows, ["job_id"], bucket, ["ts", "event_id"], lag=["state"], prior_last={"_over": over}, split=split)
+    seen = scan(rows, ["job_id"], bucket, ["ts", "event_id"], lag=["state"], prior_last={"_over": over})
     return seen.filter("_over is null and (prev_state is null or prev_state <> state)").select(
         "job_id", "event_id", "status", "percent"
     )

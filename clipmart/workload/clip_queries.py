@@ -116,16 +116,16 @@ PICK = f"""(select *, row_number() over (partition by video_id order by viral_sc
     case when has_hook and h2 <= h1 then null when has_hook then round(h1, 3) else round(hs, 3) end as hook_start_time,
     case when has_hook and h2 <= h1 then null when has_hook then round(h2, 3) else round(he, 3) end as hook_end_time,
     case when trimmed >= {LOW} * 0.9 then round(trimmed, 3) end as kept_s, title, hashtags,
-    concat_ws('; ', case when span > {HIGH} then printf('trimmed from %.1fs to the 50s limit', span) end,
-      case when has_hook and h2 <= h1 then 'invalid hook timing; renderer will use its default' end,
-      case when hook_text = '' then 'hook_text is empty' end,
-      case when trimmed < {LOW} * 0.9 then printf('smart trim would leave %.1fs; rendering the full clip instead', trimmed) end,
-      case when title = '' then 'title is empty' end,
-      case when n_hashtags < 10 then printf('only %d hashtag(s), expected 10-15', n_hashtags) end,
-      case when description_hook = '' then 'description_hook is empty' end,
-      case when description_context = '' then 'description_context is empty' end,
-      case when n_keywords < 5 then printf('only %d keyword_tags, expected 5-8', n_keywords) end,
-      case when length(description) < 30 then 'youtube_description is very short (< 30 chars)' end) as warnings
+    concat_ws('; ', case when span > {HIGH} then printf('cut to 50s, was %.1fs', span) end,
+      case when has_hook and h2 <= h1 then 'hook ends before it begins, default hook used' end,
+      case when hook_text = '' then 'no hook text' end,
+      case when trimmed < {LOW} * 0.9 then printf('kept segments last only %.1fs, whole clip used', trimmed) end,
+      case when title = '' then 'no title' end,
+      case when n_hashtags < 10 then printf('%d of 10 to 15 hashtags', n_hashtags) end,
+      case when description_hook = '' then 'no opening line in the description' end,
+      case when description_context = '' then 'no context in the description' end,
+      case when n_keywords < 5 then printf('%d of 5 to 8 keyword tags', n_keywords) end,
+      case when length(description) < 30 then 'description under 30 characters' end) as warnings
   from strong k join shaped using (video_id, ord) join meta using (video_id, ord)"""
 )
 def normalize_clips(t):

@@ -165,7 +165,7 @@ def finish_pull_run(t):
 
 
 @query("""select run_id, case status when 'running' then 'failed' else status end as status,
-  case status when 'running' then 'Interrupted by server restart' end as error_message from fx_pull_runs""")
+  case status when 'running' then 'stopped by a restart' end as error_message from fx_pull_runs""")
 def reset_interrupted(t):
     return m.reset_interrupted(t.pull_runs).select("run_id", "status", "error_message")
 

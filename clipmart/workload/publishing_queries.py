@@ -78,7 +78,7 @@ def job_clip_listing(t):
     return pub.job_clip_listing(t.manifest).select("job_id", "rank", "filename", "download_url")
 
 
-@query("""select m.job_id, m.rank, coalesce(m.title, concat('Clip ', m.rank)) as title from fx_manifest m
+@query("""select m.job_id, m.rank, coalesce(nullif(m.youtube_title_final, ''), m.title, concat('Clip ', m.rank)) as title from fx_manifest m
   join fx_jobs j on j.job_id = m.job_id and j.status = 'completed' where m.status = 'success'
   and coalesce(m.youtube_upload_status, '') <> 'uploaded' and not exists (select 1 from fx_upload_queue q
   where q.job_id = m.job_id and q.rank = m.rank and q.status in ('queued', 'uploading'))""")
@@ -264,6 +264,23 @@ def instagram_slots(t):
     return late.unionByName(early).select("job_id", "rank", "outcome", stamp("next_slot"), "run")
 
 
+@query("""with used as (select count(*) as n, max(ig_published_at) as last from fx_manifest
+    where ig_published_at >= timestamp '1998-08-01 00:00:00' - interval '720' hour),
+  p as (select job_id, rank, row_number() over (order by job_id, rank) as i from fx_manifest where ig_media_id is null),
+  caps as (select unnest([1000000, 2, (select n from used) + 3]) as cap)
+  select cap, job_id, rank, 'deferred' as outcome,
+    strftime((select max(ig_published_at) from fx_manifest) + interval '6' hour, '%Y-%m-%d %H:%M:%S') as next_slot
+  from caps join p on i <= greatest(cap - (select n from used), 0) where cap <> 1000000 or i <= 1000000""")
+def instagram_plan(t):
+    now = "1998-08-01 00:00:00"
+    used = pub.recent_publish_count(t.manifest, now, 720).first()["recent"]
+    out = None
+    for cap in (1000000, 2, used + 3):
+        plan = pub.instagram_plan(t.manifest, now, 6, 720, cap).select(F.lit(cap).cast("long").alias("cap"), "job_id", "rank", "outcome", stamp("next_slot"))
+        out = plan if out is None else out.unionByName(plan)
+    return out
+
+
 @query("""select job_id, rank from (select *, coalesce(try_cast(scheduled_at as timestamp), timestamp '0001-01-01') as due
   from fx_upload_queue where status = 'queued') where due <= timestamp '2024-01-01 10:00:00' order by due, job_id, rank limit 1""")
 def next_due(t):

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipmart.functions.ordered import has_hot_keys, position_bucket, scan
+from clipmart.functions.ordered import position_bucket, scan
+from clipmart.session import ensure_checkpoint_dir
 from clipmart.operators import transcript
 from clipmart.session import tune
 
@@ -169,13 +170,6 @@ class Tables:
         """
         return self.documents.repartition("doc_id")
 
-    @property
-    def words_split(self) -> bool:
-        """Whether any transcript is too long for one task (looked up once per query)."""
-        if "words_split" not in self._built:
-            self._built["words_split"] = has_hot_keys(self.words, ["video_id"])
-        return self._built["words_split"]
-
     def _doc_words(self):
         clean = F.trim(F.regexp_replace("text", r"[ \t\n\r\f]+", " "))
         return self.texts.select(
@@ -183,14 +177,17 @@ class Tables:
         ).filter("word <> ''")
 
     def _words(self):
+        # A table in production: written out once, so that operators that read it again do not split the texts again.
         start = F.expr("400 * ord + 700 * (ord div 10)").cast("long")
-        return self.doc_words.select(
+        ensure_checkpoint_dir(self.spark)
+        words = self.doc_words.select(
             "video_id",
             F.col("ord").cast("long").alias("ord"),
             "word",
             (start.cast("double") / 1000).alias("start_s"),
             ((start + 350).cast("double") / 1000).alias("end_s"),
         )
+        return words if words.isStreaming else words.checkpoint()
 
     def _raw_words(self):
         start = F.expr("400 * ord + 700 * (ord div 10)").cast("long")
@@ -203,12 +200,14 @@ class Tables:
         )
 
     def _doc_clips(self):
-        return self._clips_of(self.documents.select(F.col("doc_id").alias("video_id")))
+        # As many clips as the document has room for: the last ones lie near its end.
+        last = F.greatest(F.lit(4), F.expr("cast(length(text) div 255 as int)"))
+        return self._clips_of(self.documents.select(F.col("doc_id").alias("video_id"), last.alias("_last"))).drop("_last")
 
     @staticmethod
     def _clips_of(videos: DataFrame) -> DataFrame:
-        """Five candidate clips per video; other columns are kept."""
-        k = videos.withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(4))))
+        """Candidate clips 0 to ``_last`` of each video; other columns are kept."""
+        k = videos.withColumn("ord", F.explode(F.sequence(F.lit(0), F.col("_last"))))
         start = F.expr("ord * 20000 + (video_id * 137) % 9000").cast("long")
         length = F.expr("30000 + (video_id * 71 + ord * 4099) % 30000").cast("long")
         return k.withColumns(
@@ -221,10 +220,10 @@ class Tables:
         )
 
     def _placed(self):
-        return transcript.caption_positions(self.words, split=self.words_split)
+        return transcript.caption_positions(self.words)
 
     def _captions(self):
-        return transcript.group_captions(self.words, split=self.words_split)
+        return transcript.group_captions(self.words)
 
     def _script_words(self):
         """Words of French documents written in Cyrillic letters, the others unchanged."""
@@ -246,7 +245,9 @@ class Tables:
 
     def _candidates(self):
         """Raw clip candidates: text from the documents, timing with gaps and fallbacks."""
-        clips = self._clips_of(self.texts.select(F.col("doc_id").alias("video_id"), "text", "lang", "source"))
+        clips = self._clips_of(
+            self.texts.select(F.col("doc_id").alias("video_id"), "text", "lang", "source", F.lit(4).alias("_last"))
+        )
         span = "struct<start_time: double, end_time: double>"
 
         def spans(*pairs):
@@ -319,6 +320,7 @@ class Tables:
             F.col("l_partkey").alias("video_id"),
             F.expr("concat('/out/', l_orderkey, '/clip_', rank, '.mp4')").alias("video_path"),
             F.expr("case when l_discount > 0.02D then concat('Clip of ', l_partkey) end").alias("title"),
+            F.expr("case l_linenumber % 5 when 1 then concat('Final ', l_orderkey) when 2 then '' end").alias("youtube_title_final"),
             (F.col("l_quantity") * 1.5).alias("duration"),
         )
 
@@ -411,8 +413,10 @@ class Tables:
         )
 
     def _conv_clips(self):
-        k = self.conversations.select(F.col("conv_id").alias("video_id")).distinct()
-        k = k.withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("ord", F.col("ord").cast("long"))
+        # A clip every 30 seconds, to the last turn.
+        spoken = (F.max("turn") * 1000 + F.coalesce(F.sum(F.length("text")), F.lit(0)) * 50) / 30000
+        k = self.conversations.groupBy(F.col("conv_id").alias("video_id")).agg(F.greatest(F.lit(2), F.floor(spoken)).alias("_last"))
+        k = k.withColumn("ord", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last").cast("long"))))
         start = F.expr("ord * 30000 + (video_id * 137) % 9000")
         return k.select(
             "video_id",
@@ -602,7 +606,7 @@ TABLE_SQL = {
                50 + (video_id * 31 + ord * 17) % 50 as viral_score
         from (select doc_id as video_id, ord, ord * 20000 + (doc_id * 137) % 9000 as s,
                      30000 + (doc_id * 71 + ord * 4099) % 30000 as n
-              from (select doc_id, unnest(range(5)) as ord from documents))""",
+              from (select doc_id, unnest(range(greatest(4, length(text) // 255) + 1)) as ord from documents))""",
     "clips": """
         select l_partkey as video_id, l_orderkey * 10 + l_linenumber as ord,
                cast(l_linenumber * 25 + l_orderkey % 40 as double) as start_time,
@@ -618,7 +622,7 @@ TABLE_SQL = {
                case when ord <> 3 then regexp_replace(text, '[ \t\n\r\f]+', ' #', 'g') end as hashtags,
                '#One #one #2024 #Two-Three' as hashtag, case when ord <> 4 then string_split(text, '.') end as keyword_tags,
                case when ord = 1 then concat('https://tube.example/v/', c.video_id) end as source_url
-        from fx_doc_clips c join documents on doc_id = c.video_id""",
+        from fx_doc_clips c join documents on doc_id = c.video_id where ord < 5""",
     "manifest": f"""
         select l_orderkey as job_id, rank, case when l_returnflag = 'R' then 'failed' else 'success' end as status,
                case when l_linestatus = 'F' then 'uploaded' end as youtube_upload_status,
@@ -629,6 +633,7 @@ TABLE_SQL = {
                cast(50 + l_quantity as bigint) as viral_score, l_partkey as video_id,
                concat('/out/', l_orderkey, '/clip_', rank, '.mp4') as video_path,
                case when l_discount > 0.02 then concat('Clip of ', l_partkey) end as title,
+               case l_linenumber % 5 when 1 then concat('Final ', l_orderkey) when 2 then '' end as youtube_title_final,
                l_quantity * 1.5 as duration
         from (select *, row_number() over (partition by l_orderkey order by {', '.join(LINE_ORDER[1:])}) as rank
               from lineitem)""",
@@ -671,7 +676,9 @@ TABLE_SQL = {
     "conv_clips": """
         select video_id, ord, cast(ord * 30000 + (video_id * 137) % 9000 as double) / 1000 as start_time,
                cast(ord * 30000 + (video_id * 137) % 9000 + 40000 as double) / 1000 as end_time
-        from (select video_id, unnest(range(3)) as ord from (select distinct conv_id as video_id from conversations))""",
+        from (select video_id, unnest(range(cast(greatest(2, floor(spoken)) as bigint) + 1)) as ord
+              from (select conv_id as video_id, (max(turn) * 1000 + coalesce(sum(length(text)), 0) * 50) / 30000 as spoken
+                    from conversations group by conv_id))""",
     "grid": """
         select video_id, ord, idx, idx * 0.5 :: double as rel_t, round(start_time + idx * 0.5 :: double, 3) as t
         from (select *, unnest(range(80)) as idx from fx_conv_clips)""",

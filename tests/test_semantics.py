@@ -71,8 +71,8 @@ def test_caption_breaks(spark):
     assert texts(tr.group_captions(pause)) == ["a b", "c"]
 
 
-def test_split_plans_give_the_same_result(spark, monkeypatch):
-    """Bucketed scans and piecewise folds equal the single-window plans."""
+def test_small_buckets_give_the_same_result(spark, monkeypatch):
+    """Results do not depend on where keys and islands are cut."""
     from clipmart.functions import folds, ordered
 
     words = ["w%d%s" % (i, {3: ",", 5: ",", 11: "."}.get(i % 13, "")) for i in range(150)] + ["x" * (i % 4 + 1) for i in range(120)]
@@ -90,7 +90,6 @@ def test_split_plans_give_the_same_result(spark, monkeypatch):
     def everything():
         return [
             rows(tr.group_captions(data), "seg"),
-            rows(tr.caption_positions(data).select("ord", "seg"), "ord"),
             rows(tr.transcript_lines(data), "line"),
             rows(tr.speech_sessions(data), "burst"),
             rows(tr.chunk_words(data), "chunk"),
@@ -102,13 +101,40 @@ def test_split_plans_give_the_same_result(spark, monkeypatch):
         ]
 
     whole = everything()
-    monkeypatch.setattr(ordered, "HOT_KEY_ROWS", 1)
     monkeypatch.setattr(ordered.position_bucket, "__defaults__", (7,))
     monkeypatch.setattr(ordered.time_bucket, "__defaults__", (5.0,))
     monkeypatch.setattr(folds, "PIECE", 4)
     assert everything() == whole
 
 
+def test_scan_equals_plain_windows(spark):
+    """Null keys, null order values, ties in the key, one large key: as one window over each key gives it."""
+    import random
+
+    from pyspark.sql import Window
+
+    from clipmart.functions.ordered import position_bucket, scan
+
+    dealt = random.Random(1)
+    data = [(dealt.choice([None, 1, 2, 3]), dealt.choice([None, *range(40)]), i, dealt.choice([None, i])) for i in range(400)]
+    df = spark.createDataFrame(data, "k long, o long, id long, v long").union(spark.range(20000).selectExpr("9L", "id div 3", "id", "if(id % 7 = 0, id, null)"))
+    w = Window.partitionBy("k").orderBy("o", "id")
+    upto, earlier, onward = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(0, 9)
+    own = {
+        "prev_v": F.lag("v").over(w), "next_v": F.lead("v").over(w), "a": F.last("v", True).over(upto), "b": F.last("v", True).over(earlier),
+        "c": F.max("v").over(earlier), "s": F.coalesce(F.sum("v").over(upto), F.lit(0)), "n": F.row_number().over(w).cast("long"),
+    }
+    want = df.select("*", *[c.alias(n) for n, c in own.items()], F.first("v", True).over(onward).alias("f10"))
+    v = F.col("v")
+    got = scan(
+        df, ["k"], position_bucket("o", 7), ["o", "id"], lag=["v"], lead=["v"], run_last={"a": v}, prior_last={"b": v}, prior_max={"c": v},
+        run_sum={"s": v}, next_first={"f": v}, ordinal="n",
+    )
+    assert got.select(want.columns[:-1]).exceptAll(want.drop("f10")).count() == 0 and got.count() == want.count()
+    both = got.join(want.select("id", "k", "f10"), ["id", "k"])
+    assert both.filter("f10 is not null and f10 <> f").count() == 0
+
+
 def test_captions_partition_the_words(spark):
     words = timed(spark, ["a,", "b", "c;", "d."] * 40)
     assert " ".join(texts(tr.group_captions(words))) == " ".join(r["word"] for r in words.orderBy("ord").collect())
@@ -125,14 +151,19 @@ def test_overlap_selection(spark):
     assert sorted(r["ord"] for r in cl.drop_overlapping_clips(edge).collect()) == [0, 1, 2]
 
 
-def test_hot_video_in_bands_equals_one_fold(spark):
-    data = [(1, i, float((i * 37) % 400), float((i * 37) % 400 + 20 + i % 30), (i * 13) % 50) for i in range(300)]
-    data += [(2, i, float(i * 10), float(i * 10 + 25), i) for i in range(20)]
-    clips = clip_table(spark, data)
-    one = sorted(rows(cl.drop_overlapping_clips(clips, band=10_000)))
-    assert sorted(rows(cl.drop_overlapping_clips(clips, band=30))) == one
-    ranked = sorted(rows(cl.select_clips(clips, minimum=40, band=10_000)))
-    assert sorted(rows(cl.select_clips(clips, minimum=40, band=30))) == ranked
+def test_overlap_selection_equals_one_greedy_pass(spark):
+    data = [(1, i, float((i * 37) % 4000), float((i * 37) % 4000 + 20 + i % 30), (i * 13) % 50) for i in range(300)]
+    data += [(2, i, float(i * 10), float(i * 10 + 25), i) for i in range(20)] + [(3, 0, 5.0, 5.0, 9), (3, 1, 7.0, 3.0, 9), (3, 2, 1.0, 9.0, 9), (None, 0, 1.0, 9.0, 1)]
+    kept = set()
+    for video in (1, 2, 3, None):
+        own = []
+        for _, i, s, e, v in sorted((r for r in data if r[0] == video), key=lambda r: (-r[4], r[1], r[2], r[3])):
+            share = [(min(e, b) - max(s, a)) / min(e - s, b - a) if min(e, b) > max(s, a) and min(e - s, b - a) > 0 else 0 for a, b in own]
+            if not any(x > 0.25 for x in share):
+                own.append((s, e))
+                kept.add((video, i))
+    got = cl.drop_overlapping_clips(clip_table(spark, data)).collect()
+    assert {(r["video_id"], r["ord"]) for r in got} == kept and len(got) == len(kept)
 
 
 def test_merge_segments_touching_and_contained(spark):
@@ -177,6 +208,8 @@ def test_queue_slots(spark):
         [(1, 1, "success", "a", "/a"), (2, 1, "success", None, "/b"), (3, 1, "failed", "c", "/c")],
         "job_id int, rank int, status string, title string, video_path string",
     )
+    named = manifest.withColumn("youtube_title_final", F.when(F.col("job_id") == 1, "Edited"))
+    assert pub._display_title(named) is not None and named.select(pub._display_title(named)).first()[0] == "Edited"
     refs = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 1, 2), (2, 1, 3)], "job_id int, rank int, ord int")
     out = pub.enqueue_slots(queue, refs, manifest, "2024-01-01 09:00:00", 30).orderBy("ord").collect()
     assert [(r["job_id"], r["scheduled_at"].strftime("%H:%M"), r["title"]) for r in out] == [(2, "10:00", "Clip 1"), (2, "10:30", "Clip 1")]
@@ -184,6 +217,55 @@ def test_queue_slots(spark):
     assert empty["scheduled_at"].strftime("%H:%M") == "09:00"
 
 
+def test_global_order_of_any_key(spark):
+    data = [("b", 1), (None, 2), ("a", 5), ("a", None), ("c", 0)] * 50
+    df = spark.createDataFrame(data, "job_id string, rank int")
+    out = pub.in_order(df, ["job_id", "rank"]).orderBy("i").collect()
+    assert [r["i"] for r in out] == list(range(1, 251))
+    key = lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0)
+    assert [(r["job_id"], r["rank"]) for r in out] == sorted(data, key=key)
+
+
+def test_tables_keep_their_columns(spark):
+    sources = spark.createDataFrame([("k", 7, "playlist", "Old")], "source_key string, source_id long, source_type string, title string")
+    sources = sources.withColumns({"last_pulled_at": F.lit("x"), "created_at": F.lit(None).cast("timestamp"), "updated_at": F.lit(None).cast("timestamp")})
+    out = mt.upsert_sources(sources, spark.createDataFrame([("k", "New", 0)], "source_key string, title string, ord int"), "2024-01-01").first()
+    assert (out["source_id"], out["last_pulled_at"], out["title"]) == (7, "x", "New")
+
+
+def test_snapshot_job_writes_all_tables(spark):
+    from clipmart.plans.snapshot import apply_playlist_pull
+
+    stamps = {"created_at": F.lit(None).cast("timestamp"), "updated_at": F.lit(None).cast("timestamp")}
+    make = spark.createDataFrame
+    tables = {
+        "channels": make([(1, "One", None, None)], "channel_id long, name string, url string, handle string").withColumns(stamps),
+        "videos": make([(10, "Old")], "video_id long, title string").withColumns(stamps),
+        "video_status": make([(10, "used")], "video_id long, status string").withColumn("updated_at", F.lit(None).cast("timestamp")),
+        "pull_run_videos": make([], "run_id long, source_id long, video_id long, position int"),
+        "source_videos": make([(7, 10, 0, 1, 1, True, None, None, None, "manual"), (7, 99, 1, 1, 1, True, None, None, None, "manual")],
+            "source_id long, video_id long, position int, first_seen_run long, last_seen_run long, is_present boolean, missing_since timestamp, last_seen_at timestamp, added_at timestamp, metadata_source string"),
+        "pull_runs": make([(1, 7, "success")], "run_id long, source_id long, status string"),
+        "sources": make([("k7", 7, "playlist", "Seven", None)], "source_key string, source_id long, source_type string, title string, url string").withColumns(stamps),
+    }
+    entries = make([(7, 0, 10, "Old", 1, "One", None, 2), (7, 1, 11, "New", 2, "Two", "@two", 2)],
+        "source_id long, position int, video_id long, title string, channel_id long, channel_name string, handle string, run_id long")
+    headers = make([("k7", "Seven again", "u", "3", "Owner", "o")], "source_key string, title string, url string, owner_channel_id string, owner_channel_name string, owner_channel_url string")
+    out = apply_playlist_pull(tables, entries, "2024-06-01 00:00:00", headers)
+    assert [(r["channel_id"], r["name"]) for r in out["channels"].orderBy("channel_id").collect()] == [(1, "One"), (2, "Two"), (3, "Owner")]
+    assert [(r["video_id"], r["was_new"]) for r in out["videos"].orderBy("video_id").collect()] == [(10, False), (11, True)]
+    assert [(r["video_id"], r["status"]) for r in out["video_status"].orderBy("video_id").collect()] == [(10, "used"), (11, "unused")]
+    assert out["pull_run_videos"].count() == 2
+    linked = {r["video_id"]: r for r in out["source_videos"].collect()}
+    assert {v: r["is_present"] for v, r in linked.items()} == {10: True, 11: True, 99: False}
+    assert {v: r["metadata_source"] for v, r in linked.items()} == {10: "playlist_pull", 11: "playlist_pull", 99: "manual"}
+    runs = {r["run_id"]: r for r in out["pull_runs"].collect()}
+    assert (runs[2]["status"], runs[2]["videos_found"], runs[2]["videos_added"], runs[2]["videos_missing"]) == ("success", 2, 1, 1)
+    source = out["sources"].first()
+    assert (source["source_id"], source["title"], source["last_pulled_at"] is not None) == (7, "Seven again", True)
+    assert out["stats"].first()["videos_already_exists"] == 1
+
+
 def test_tag_budget_skips_but_goes_on(spark):
     df = spark.createDataFrame([(["x" * 480, "y" * 40, "ab c", "ABC"], "#z")], "keyword_tags array<string>, hashtags string")
     out = pub.budgeted_tags(df).first()
