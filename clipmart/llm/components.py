@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from clipmart.llm.common import kept
 
 
+#: Edges for one task; fewer edges are read by fewer tasks.
+EDGES_PER_TASK = 100_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``component`` (its smallest node) for every node of *edges* (``a``, ``b``).
 
@@ -19,6 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
     stars = kept(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(stars)
     while mark[0]:
+        stars = stars.coalesce(1 + mark[0] // EDGES_PER_TASK)
         stars = kept(_small_star(_large_star(stars)).distinct())
         last, mark = mark, _mark(stars)
         if mark == last:

@@ -284,7 +284,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
                 [pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["set_id", "own"]
             )
 
-    own = kept(texts.mapInArrow(arrays, "set_id long, own array<long>").dropDuplicates(["set_id"]))
+    # Dealt by set once: both joins read the same shuffle.
+    own = texts.mapInArrow(arrays, "set_id long, own array<long>").dropDuplicates(["set_id"])
     joined = pairs.join(own.toDF("a", "_a"), "a").join(own.toDF("b", "_b"), "b")
     shared = F.size(F.array_intersect("_a", "_b"))
     similar = shared * 100 >= (F.size("_a") + F.size("_b") - shared) * PERCENT
