@@ -22,22 +22,27 @@ def read_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet", fi
     return source.option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def run_once(stream: DataFrame, path: str, mode: str) -> DataFrame:
+def run_once(stream: DataFrame, path: str, mode: str, state_store: str | None = None) -> DataFrame:
     """Process everything available, then return the written result.
 
-    ``append`` results are added batch by batch; a ``complete`` result replaces the table.
+    Each batch of an ``append`` stream has a folder of its own that a replay of the batch replaces, so a batch that
+    runs twice after a failure counts once; a ``complete`` result replaces the table. ``state_store`` holds for this
+    query only.
     """
-    spark = stream.sparkSession
-    write_mode = "overwrite" if mode == "complete" else "append"
-    query = (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(lambda batch, _: batch.write.mode(write_mode).parquet(f"{path}/data"))
-        .option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
+    spark, option = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(option)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/data/batch={0 if mode == 'complete' else number}")
+
+    writer = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint")
+    try:
+        spark.conf.set(option, state_store or before)
+        query = writer.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(option, before)
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/data")
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{path}/data")
 
 
 def job_status(events: DataFrame) -> DataFrame:
@@ -135,8 +140,10 @@ class _Changes(StatefulProcessor):
 
 
 def job_changes_stream(events: DataFrame) -> DataFrame:
-    """``job_changes`` as a stateful stream (needs the RocksDB state store)."""
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    """``job_changes`` as a stateful stream: run it with the ``ROCKSDB`` state store.
+
+    Events of a job must arrive in time order between triggers; within a trigger they are sorted.
+    """
     rows = events.withColumn("state", _state_text()).select("job_id", "ts", "event_id", "status", "percent", "state")
     return rows.groupBy("job_id").transformWithStateInPandas(
         statefulProcessor=_Changes(), outputStructType=CHANGE_SCHEMA, outputMode="Append", timeMode="None"

@@ -23,8 +23,8 @@ class Streams(Tables):
         return super().raw(name)
 
 
-def finish(t, stream, mode, name):
-    return jobs.run_once(stream, scratch_path(t.spark, name), mode)
+def finish(t, stream, mode, name, state_store=None):
+    return jobs.run_once(stream, scratch_path(t.spark, name), mode, state_store)
 
 
 @query("""select job_id, arg_max(status, (ts, event_id)) as status, arg_max(percent, (ts, event_id)) as percent
@@ -49,7 +49,7 @@ def job_changes(t):
 @query(CHANGES)
 def job_changes_stream(t):
     events = Streams(t, "events").job_events
-    return finish(t, jobs.job_changes_stream(events), "append", "job-changes")
+    return finish(t, jobs.job_changes_stream(events), "append", "job-changes", jobs.ROCKSDB)
 
 
 @query("""select user_id as run_id, arg_max(cast(floor(value) as bigint), (ts, event_id)) as current, 400 as total,
