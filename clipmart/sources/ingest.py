@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipmart.functions import text as tx
-from clipmart.functions.ordered import first_per_key, scan
-from clipmart.operators.transcript import clamp_word_overlaps
+from clipmart.functions.ordered import first_per_key
 
 # URL patterns of the video platforms.
 KEY_PATTERN = r"(?:v=|/shorts/|/live/|/embed/|youtu\.be/)([A-Za-z0-9_-]{11})"
@@ -211,34 +210,44 @@ def words_from_json3(raw: DataFrame) -> DataFrame:
     """Caption-event files (video_id, payload) → timed words.
 
     A segment ends where the next one of its event starts, the last with the event; segments
-    without length last one second. Text is cleaned, split evenly into words, and word ends
+    without length last one second. Text is cleaned once for each segment, split evenly into words, and word ends
     are pulled back from the following word.
     """
-    # One payload holds a whole video, so a window over a video sorts no more than the task
-    # that parsed it; spreading the payloads first saves a shuffle of every word.
-    events = raw.repartition("video_id").select("video_id", F.posexplode(F.from_json("payload", CAPTION_PAYLOAD)["events"]).alias("ev", "e"))
-    begin = F.coalesce(F.col("e.tStartMs"), F.lit(0)) / F.lit(1000.0).cast("double")
-    segs = events.select(
-        "video_id", "ev", begin.alias("t0"),
-        (begin + F.coalesce(F.col("e.dDurationMs"), F.lit(0)) / F.lit(1000.0).cast("double")).alias("t1"),
-        F.col("e.segs").alias("segs"), F.posexplode("e.segs").alias("sg", "s"),
+    # One payload is one video's file: words are numbered and clamped inside its row, so no word is shuffled.
+    seconds = lambda ms: F.coalesce(ms, F.lit(0)) / F.lit(1000.0).cast("double")
+    events = F.from_json("payload", CAPTION_PAYLOAD)["events"]
+
+    def segment(e: Column, s: Column, i: Column) -> Column:
+        begin = seconds(e["tStartMs"])
+        start = begin + seconds(s["tOffsetMs"])
+        following = begin + seconds(F.get(e["segs"], i + 1)["tOffsetMs"])
+        end = F.when(i < F.size(e["segs"]) - 1, following).otherwise(begin + seconds(e["dDurationMs"]))
+        clean = _stripped(F.replace(F.replace(F.coalesce(s["utf8"], F.lit("")), F.lit("\n"), F.lit(" ")), F.lit("\u200b"), F.lit("")))
+        for pattern, replacement in CAPTION_CLEANUP:
+            clean = F.regexp_replace(clean, "(?U)" + pattern, replacement)
+        return F.struct(start.alias("s0"), F.when(end <= start, start + 1.0).otherwise(end).alias("s1"), tx.squash(clean).alias("clean"))
+
+    timed = F.flatten(F.transform(F.filter(events, lambda e: e["segs"].isNotNull()), lambda e: F.transform(e["segs"], lambda s, i: segment(e, s, i))))
+    parts = F.transform(
+        F.filter(timed, lambda x: x["clean"] != ""),
+        lambda x: F.struct(x["s0"].alias("s0"), x["s1"].alias("s1"), F.split(x["clean"], " ").alias("parts")),
     )
-    offset = lambda s: F.coalesce(s["tOffsetMs"], F.lit(0)) / F.lit(1000.0).cast("double")
-    timed = segs.withColumn("s0", F.col("t0") + offset(F.col("s"))).withColumn(
-        "s1",
-        F.when(F.col("sg") < F.size("segs") - 1, F.col("t0") + offset(F.get("segs", F.col("sg") + 1))).otherwise(F.col("t1")),
-    ).withColumn("s1", F.when(F.col("s1") <= F.col("s0"), F.col("s0") + 1.0).otherwise(F.col("s1")))
-    clean = _stripped(F.replace(F.replace(F.coalesce("s.utf8", F.lit("")), F.lit("\n"), F.lit(" ")), F.lit("\u200b"), F.lit("")))
-    for pattern, replacement in CAPTION_CLEANUP:
-        clean = F.regexp_replace(clean, "(?U)" + pattern, replacement)
-    split = timed.withColumn("clean", tx.squash(clean)).filter("clean <> ''").withColumn("parts", F.split("clean", " "))
-    per_word = (F.col("s1") - F.col("s0")) / F.size("parts")
-    words = split.select("video_id", "ev", "sg", "s0", per_word.alias("per"), F.posexplode("parts").alias("w", "word"))
-    words = words.withColumn("start_s", F.col("s0") + F.col("w") * F.col("per")).withColumn("end_s", F.col("start_s") + F.col("per"))
-    numbered = scan(
-        words, ["video_id"], {"_block": F.floor(F.col("ev") / 512)}, ["ev", "sg", "w"], ordinal="ord"
-    ).select("video_id", (F.col("ord") - 1).alias("ord"), "word", "start_s", "end_s")
-    return clamp_word_overlaps(numbered)
+
+    def spread(x: Column) -> Column:
+        per = (x["s1"] - x["s0"]) / F.size(x["parts"])
+        start = lambda i: x["s0"] + i * per
+        return F.transform(x["parts"], lambda w, i: F.struct(w.alias("word"), start(i).alias("start_s"), (start(i) + per).alias("end_s")))
+
+    # The generator keeps the array from being worked out again for every word that looks at its successor.
+    whole = raw.select("video_id", F.explode(F.array(F.flatten(F.transform(parts, spread)))).alias("_words"))
+
+    def clamped(x: Column, i: Column) -> Column:
+        coming = F.get("_words", i + 1)["start_s"]
+        end = F.when(x["end_s"] > coming, F.greatest(x["start_s"] + 0.1, coming)).otherwise(x["end_s"])
+        return F.struct(x["word"].alias("word"), x["start_s"].alias("start_s"), end.alias("end_s"))
+
+    numbered = whole.select("video_id", F.posexplode(F.transform("_words", clamped)).alias("ord", "w"))
+    return numbered.select("video_id", F.col("ord").cast("long").alias("ord"), "w.word", "w.start_s", "w.end_s")
 
 
 CANDIDATE = (
