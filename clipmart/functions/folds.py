@@ -29,6 +29,28 @@ def _exits(tables: Column, at: str, start: Column) -> Column:
     return F.zip_with(F.transform(tables, lambda t: t[at]), states, lambda a, s: F.struct(a.alias("at"), s.alias("state")))
 
 
+def entry_states(tables: DataFrame, group: Sequence[str], n_states: int) -> DataFrame:
+    """``_entry`` of every piece that follows one of *tables* (``_piece``, ``_exit``: exit state by entry state).
+
+    The first piece of a group is entered in state 0. Two levels, the pieces of a span and the spans of a
+    group, so no array holds all pieces of a long series.
+    """
+    zero, group = F.lit(0), list(group)
+    spans = tables.withColumn("_span", F.floor(F.col("_piece") / PIECE)).groupBy(*group, "_span")
+    spans = spans.agg(F.sort_array(F.collect_list(F.struct("_piece", "_exit"))).alias("_tables"))
+    whole = spans.withColumn(
+        "_exit", F.aggregate("_tables", F.sequence(zero, F.lit(n_states - 1)), lambda acc, t: F.transform(acc, lambda s: F.get(t["_exit"], s)))
+    )
+    heads = whole.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("_span", "_exit"))).alias("_all"))
+    into_span = heads.select(*group, F.explode(_entries(F.col("_all"), "_span", zero)).alias("_e")).select(
+        *group, F.col("_e.at").alias("_span"), F.col("_e.state").alias("_from")
+    )
+    into_next = spans.join(into_span, [*group, "_span"]).select(
+        *group, F.explode(_exits(F.col("_tables"), "_piece", F.col("_from"))).alias("_e")
+    )
+    return into_next.select(*group, (F.col("_e.at") + 1).alias("_piece"), F.col("_e.state").alias("_entry"))
+
+
 def states_before(
     rows: DataFrame, keys: Sequence[str], island: str, position: str, fields: Sequence[str],
     step: Callable[[Column, Column], Column], n_states: int,
@@ -51,22 +73,10 @@ def states_before(
 
     full = pieces(*fields).filter(F.element_at("_rows", -1)[position] - F.col(island) == F.col("_piece") * PIECE + PIECE - 1)
     tables = full.select(
-        *group, "_piece", F.floor(F.col("_piece") / PIECE).alias("_span"),
+        *group, "_piece",
         F.transform(F.sequence(zero, F.lit(n_states - 1)), lambda s: F.aggregate("_rows", s, step)).alias("_exit"),
     )
-    # Two levels: the pieces of a span, then the spans of an island, so no array holds all pieces of a long island.
-    spans = tables.groupBy(*group, "_span").agg(F.sort_array(F.collect_list(F.struct("_piece", "_exit"))).alias("_tables"))
-    whole = spans.withColumn(
-        "_exit", F.aggregate("_tables", F.sequence(zero, F.lit(n_states - 1)), lambda acc, t: F.transform(acc, lambda s: F.get(t["_exit"], s)))
-    )
-    heads = whole.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("_span", "_exit"))).alias("_all"))
-    into_span = heads.select(*group, F.explode(_entries(F.col("_all"), "_span", zero)).alias("_e")).select(
-        *group, F.col("_e.at").alias("_span"), F.col("_e.state").alias("_from")
-    )
-    into_next = spans.join(into_span, [*group, "_span"]).select(
-        *group, F.explode(_exits(F.col("_tables"), "_piece", F.col("_from"))).alias("_e")
-    )
-    entries = into_next.select(*group, (F.col("_e.at") + 1).alias("_piece"), F.col("_e.state").alias("_entry"))
+    entries = entry_states(tables, group, n_states)
 
     placed = pieces(*fields).join(entries, [*group, "_piece"], "left")
     first = F.struct(F.coalesce("_entry", zero).alias("state"), F.array().cast("array<int>").alias("before"))

@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clipmart.functions import folds
 from clipmart.functions import text as tx
-from clipmart.functions.folds import states_before
 from clipmart.functions.ordered import (
+    CELL,
     first_per_key,
     last_per_key,
     position_bucket,
@@ -44,54 +45,75 @@ def clamp_word_overlaps(words: DataFrame) -> DataFrame:
     return seen.withColumn("end_s", end).drop("next_start_s")
 
 
-def _caption_islands(words: DataFrame, keys: list[str]) -> DataFrame:
-    """Words with the position of the hard break they follow.
-
-    Sentence ends, pauses and the last word always end a caption, whatever its length.
-    """
-    seen = scan(with_cells(words, keys, position_bucket("ord")), keys, position_bucket("ord"), ["ord"], lead=["start_s"])
-    hard = (
-        F.col("next_start_s").isNull()
-        | tx.ends_caption_sentence("word")
-        | (F.col("next_start_s") - F.col("end_s") > PAUSE_S)
-    )
-    flagged = seen.withColumns({"_hard": hard, "_clause": tx.ends_clause("word")}).drop("next_start_s")
-    marked = scan(flagged, keys, position_bucket("ord"), ["ord"], prior_last={"_island": F.when(F.col("_hard"), F.col("ord") + 1)})
-    return without_cells(marked).withColumn("_island", F.coalesce("_island", F.lit(0).cast("long")))
-
-
 def _step(max_words: int):
     """Caption length after a word, 0 when the caption ends there."""
 
     def step(length: Column, word: Column) -> Column:
         grown = length + 1
-        ends = word["_hard"] | (grown >= max_words) | ((grown >= 2) & word["_clause"])
+        ends = word["hard"] | (grown >= max_words) | ((grown >= 2) & word["clause"])
         return F.when(ends, F.lit(0)).otherwise(grown)
 
     return step
 
 
-WORD_FIELDS = ("ord", "_hard", "_clause", "word", "start_s", "end_s")
+def _caption_parts(words: DataFrame, max_words: int, keys: list[str]) -> DataFrame:
+    """(keys, seg, words): captions, those that cross the edge of a piece in two parts.
 
+    Sentence ends, pauses and the last word always end a caption; else it ends at ``max_words``, or at a clause end with two or
+    more words. That needs the running length, which has ``max_words`` values: words are folded in pieces of ``PIECE`` positions (which
+    are consecutive), with the first word of the next piece at hand for the pause, and pieces are chained by their exit tables.
+    """
+    celled = with_cells(words, keys, {})
+    own = [c for c in celled.columns if c.startswith(f"{CELL}_k")]
+    at = F.floor(F.col("ord") / folds.PIECE)
+    edge = (F.col("ord") % folds.PIECE == 0) & (F.col("ord") > 0)
+    spread = celled.withColumn("_piece", F.explode(F.when(edge, F.array(at, at - 1)).otherwise(F.array(at))))
+    pieces = spread.groupBy(*own, "_piece").agg(
+        F.sort_array(F.collect_list(F.struct("ord", "word", "start_s", "end_s"))).alias("_all"), *[F.first(k).alias(k) for k in keys]
+    )
 
-def caption_positions(words: DataFrame, max_words: int = 5, keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
-    """Words with ``seg``: the position of the first word of their caption.
+    def flagged(w: Column, i: Column) -> Column:
+        coming = F.get("_all", i + 1)["start_s"]
+        hard = coming.isNull() | tx.ends_caption_sentence(w["word"]) | (coming - w["end_s"] > PAUSE_S)
+        return F.struct(
+            w["ord"].alias("ord"), w["word"].alias("word"), w["start_s"].alias("start_s"), w["end_s"].alias("end_s"),
+            F.coalesce(hard, F.lit(False)).alias("hard"), tx.ends_clause(w["word"]).alias("clause"),
+        )
 
-    Between hard breaks, a caption ends at ``max_words`` or at a clause end with two or more
-    words. That needs the running length, which has ``max_words`` possible values: the words between hard breaks
-    are folded in pieces.
-    """
-    keys = list(keys)
-    islands = _caption_islands(words, keys)
-    placed = states_before(islands, keys, "_island", "ord", WORD_FIELDS[1:], _step(max_words), max_words)
-    return placed.select(*keys, "ord", "word", "start_s", "end_s", (F.col("ord") - F.col("before")).cast("long").alias("seg"))
+    # The generator keeps flags from being worked out again inside the folds.
+    mine = F.filter(F.transform("_all", flagged), lambda w: F.floor(w["ord"] / folds.PIECE) == F.col("_piece"))
+    held = pieces.select(*own, "_piece", *keys, F.size("_all").alias("_n"), F.explode(F.array(mine)).alias("_w"))
+    step, zero = _step(max_words), F.lit(0)
+    tables = held.filter(F.col("_n") > F.size("_w")).select(
+        *own, "_piece", F.transform(F.sequence(zero, F.lit(max_words - 1)), lambda s: F.aggregate("_w", s, step)).alias("_exit")
+    )
+    placed = held.join(folds.entry_states(tables, own, max_words), [*own, "_piece"], "left").withColumn("_entry", F.coalesce("_entry", zero))
+
+    def walk(acc: Column, word: Column) -> Column:
+        opens = (acc["length"] == 0) | (acc["i"] == 1)
+        starts = F.when(opens, F.array_append(acc["starts"], acc["i"])).otherwise(acc["starts"])
+        return F.struct(step(acc["length"], word).alias("length"), (acc["i"] + 1).alias("i"), starts.alias("starts"))
+
+    first = F.struct(F.col("_entry").alias("length"), F.lit(1).alias("i"), F.array().cast("array<int>").alias("starts"))
+    walked = placed.select(*keys, "_w", "_entry", F.explode(F.array(F.aggregate("_w", first, walk, lambda acc: acc["starts"]))).alias("_starts"))
+    ends = F.array_append(F.slice(F.col("_starts"), F.lit(2), F.size("_starts")), F.size("_w") + 1)
+    cuts = walked.withColumn("_cut", F.explode(F.arrays_zip(F.col("_starts").alias("a"), ends.alias("b"))))
+    part = F.slice(F.col("_w"), F.col("_cut.a"), F.col("_cut.b") - F.col("_cut.a"))
+    begun = F.when(F.col("_cut.a") == 1, F.col("_entry")).otherwise(zero)
+    return cuts.select(*keys, (part[0]["ord"] - begun).cast("long").alias("seg"), part.alias("words"))
+
+
+def caption_positions(words: DataFrame, max_words: int = 5, keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
+    """Words with ``seg``: the position of the first word of their caption."""
+    parts = _caption_parts(words, max_words, list(keys)).select(*keys, "seg", F.explode("words").alias("_w"))
+    return parts.select(*keys, "_w.ord", "_w.word", "_w.start_s", "_w.end_s", "seg")
 
 
 def group_captions(words: DataFrame, max_words: int = 5, keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
     """Captions: (video_id, seg, start_s, end_s, n_words, text)."""
-    placed = caption_positions(words, max_words, keys)
-    # A caption holds at most max_words words, so one small array gives all of its columns.
-    whole = placed.groupBy(*keys, "seg").agg(F.sort_array(F.collect_list(F.struct("ord", "word", "start_s", "end_s"))).alias("_w"))
+    whole = _caption_parts(words, max_words, list(keys)).groupBy(*keys, "seg").agg(
+        F.sort_array(F.flatten(F.collect_list("words"))).alias("_w")
+    )
     return whole.select(
         *keys, "seg", F.col("_w")[0]["start_s"].alias("start_s"), F.element_at("_w", -1)["end_s"].alias("end_s"),
         F.size("_w").cast("long").alias("n_words"), F.array_join("_w.word", " ").alias("text"),
