@@ -9,6 +9,7 @@ from clipmart.functions import text as tx
 from clipmart.functions.folds import states_before
 from clipmart.functions.ordered import position_bucket, scan, with_cells, without_cells
 from clipmart.operators.transcript import interval_overlap_join
+from clipmart.session import ensure_checkpoint_dir
 
 LINE_WORDS = 12
 PADDING_S = 1.0
@@ -27,7 +28,9 @@ def romanisation_lines(captions: DataFrame, clips: DataFrame, max_words: int = L
     the caption) and ``line`` (position of the line's first caption).
     """
     numbered = scan(captions, ["video_id"], position_bucket("seg"), ["seg"], ordinal="idx")
-    foreign = numbered.filter(tx.non_latin("text"))
+    # Only captions in other scripts go on; they are written out, as everything below reads them again and again.
+    ensure_checkpoint_dir(captions.sparkSession)
+    foreign = numbered.filter(tx.non_latin("text")).checkpoint()
     padded = clips.select(
         "video_id", (F.col("start_time") - PADDING_S).alias("start_time"), (F.col("end_time") + PADDING_S).alias("end_time")
     )
