@@ -254,7 +254,9 @@ CANDIDATE = (
     "rank string, viral_score string, start_time double, clip_start double, start double, end_time double, clip_end double, "
     "`end` double, hook_start_time double, hook_end_time double, hook_text string, on_screen_hook string, bgm_mood string, "
     "title string, hashtags string, hashtag string, description_hook string, description_context string, "
-    "keyword_tags array<string>, reason string, source_url string, keep_segments array<struct<start_time: double, end_time: double>>"
+    "keyword_tags array<string>, reason string, source_url string, keep_segments array<struct<start_time: double, end_time: double>>, "
+    "no string, account_classification struct<account_type: string, reason: string, alternative_account: struct<account_type: string, reason: string>>, "
+    "typography_plan array<struct<word: string, style: string, scale_level: string>>"
 )
 
 
@@ -276,10 +278,11 @@ def ingest_clip_candidates(raw: DataFrame) -> DataFrame:
         "c", F.from_json("item", f"{CANDIDATE}, metadata struct<{CANDIDATE}>")
     )
     names = [f.split(" ")[0].strip("`") for f in _top_level(CANDIDATE)]
-    return clips.select(
+    found = clips.select(
         "video_id", F.col("ord").cast("long").alias("ord"),
         *[F.coalesce(F.col("c")[n], F.col("c.metadata")[n]).alias(n) for n in names],
     )
+    return found.withColumn("rank", F.coalesce("rank", "no"))
 
 
 def _top_level(ddl: str) -> list[str]:

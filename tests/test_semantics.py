@@ -308,3 +308,19 @@ def test_candidate_shapes(spark):
     raw = spark.createDataFrame(list(enumerate(bodies)), "video_id int, payload string")
     got = rows(ingest.ingest_clip_candidates(raw).select("video_id", "title").filter("title is not null"), "video_id")
     assert got == [(0, "a"), (1, "b"), (2, "c")]
+
+
+def test_candidates_from_answer_to_preview(spark):
+    body = """[{"no": 3, "title": "A", "start_time": 1, "end_time": 50, "viral_score": "88", "account_classification": {"account_type": "tech"},
+        "typography_plan": [{"word": "w", "style": "bold", "scale_level": "2"}]}, {"rank": 1, "title": "B", "start_time": 100, "end_time": 150}]"""
+    cands = ingest.ingest_clip_candidates(spark.createDataFrame([(1, body)], "video_id int, payload string"))
+    assert rows(cands.select("rank", "typography_plan.word"), "rank") == [("1", None), ("3", ["w"])]
+    preview = cl.clip_preview(cl.normalize_clips(cands)).collect()
+    assert [(r["rank"], r["title"], r["account"]) for r in preview] == [(1, "A", "tech")]
+
+
+def test_link_files_in_order(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("https://youtu.be/aaaaaaaaaaa?t=1\n")
+    (tmp_path / "b.txt").write_text("# longer, so it is read first\n" * 200 + "https://youtu.be/aaaaaaaaaaa?t=2\nhttps://youtu.be/bbbbbbbbbbb\n")
+    links = files.read_link_file(spark, str(tmp_path)).collect()
+    assert sorted(r["url"] for r in links) == ["https://youtu.be/aaaaaaaaaaa?t=1", "https://youtu.be/bbbbbbbbbbb"]
