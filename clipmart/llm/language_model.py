@@ -36,23 +36,25 @@ def pair_keys(tokens: np.ndarray) -> np.ndarray:
 
 
 class Chunk:
-    """Token arrays of a chunk's texts and the distinct keys in them, in a fixed order."""
+    """The distinct keys of a chunk's texts, in a fixed order, and which of them each token has."""
 
     def __init__(self, texts: list[bytes], parts: int):
-        self.tokens = token_hashes(texts)
-        flat = np.concatenate(self.tokens)
+        tokens = token_hashes(texts)
+        self.lengths = [len(t) for t in tokens]
+        self.size = sum(self.lengths)
         contexts = np.full(len(texts), START, dtype=np.uint64)
-        self.keys, self.inverse = np.unique(
-            np.concatenate([flat, np.concatenate([pair_keys(t) for t in self.tokens]), contexts]), return_inverse=True
-        )
-        self.part = (self.keys % np.uint64(parts)).astype(np.int64)
+        every = np.concatenate([*tokens, *map(pair_keys, tokens), contexts])
+        del tokens
+        self.keys, inverse = np.unique(every, return_inverse=True)
+        del every
+        self.inverse = inverse.astype(np.int32 if len(self.keys) < 1 << 31 else np.int64)
+        self.part = (self.keys % np.uint64(parts)).astype(np.int32)
         # Keys stay ascending within a part, as both passes over the chunk need the same order.
         self.order = np.argsort(self.part, kind="stable")
-        self.size = len(flat)
 
     def counts(self, learn: np.ndarray) -> np.ndarray:
         """How often each key occurs in the texts to learn from."""
-        weight = np.repeat(learn, [len(t) for t in self.tokens])
+        weight = np.repeat(learn, self.lengths)
         return np.bincount(self.inverse, weights=np.concatenate([weight, weight, learn]), minlength=len(self.keys)).astype(np.int64)
 
     def by_part(self) -> Iterator[tuple[int, np.ndarray]]:
@@ -124,8 +126,7 @@ def _told(parts: int):
             all_pairs = totals[chunk.inverse[chunk.size : 2 * chunk.size]]
             starts = totals[chunk.inverse[2 * chunk.size :]]
             at = 0
-            for i, tokens in enumerate(chunk.tokens):
-                n = len(tokens)
+            for i, n in enumerate(chunk.lengths):
                 words, pairs = all_words[at : at + n], all_pairs[at : at + n]
                 contexts = np.concatenate((starts[i : i + 1], words[:-1]))
                 out.append((n, int((words > 0).sum()), packed(np.concatenate((pairs, contexts, words)))))
