@@ -7,6 +7,8 @@ space and 0x09-0x0D exactly, and ``bytes.lower`` changes A-Z only.
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,15 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files and checkpoints that nothing refers to any more.
+
+    They go when the driver's JVM collects its garbage, which may be long after a phase of many shuffles has ended.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def held_out(key: str, parts: int, part: int = 2):
     """The remainder of crc32 of the id's decimal text is *part*; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % parts == part, F.lit(False))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipmart.llm.common import bytes_of, kept, mixed, shingle_hashes, small_batches, word_hashes
+from clipmart.llm.common import bytes_of, kept, mixed, released, shingle_hashes, small_batches, word_hashes
 from clipmart.llm.components import components
 
 WORDS = 5
@@ -326,6 +326,8 @@ def near_duplicates(transcripts: DataFrame) -> DataFrame:
     shared = kept(tokens.join(groups, "token"))
     marked = sketch.filter("bits is not null").select("set_id", "n_shingles", "bits").join(shared.select("set_id").distinct(), "set_id")
     marked = kept(marked.dropDuplicates(["set_id"]))
+    del tokens, groups
+    released(spark)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shared.count() // 100_000))
 
     # Round one: a few hubs of each group against all of it.
@@ -335,6 +337,8 @@ def near_duplicates(transcripts: DataFrame) -> DataFrame:
     probes = members.join(hubs, ["token", "set_id"], "left_semi")
     known = marked.withColumn("component", F.col("set_id"))
     links = kept(_verified(kept(_cells(members, probes, known, parts)), rows, sets))
+    del hubs, members, probes, known
+    released(spark)
 
     # Round two: in groups of several components, all sets outside the largest one against the whole group.
     reached = components(links).toDF("set_id", "_c")
@@ -347,6 +351,8 @@ def near_duplicates(transcripts: DataFrame) -> DataFrame:
     members = placed.join(largest, "token")
     known = marked.join(reached, "set_id", "left").withColumn("component", F.coalesce("_c", "set_id")).drop("_c")
     more = kept(_verified(kept(_cells(members, members.filter("component <> _main"), known, parts)), rows, sets))
+    del members, known, placed, share, largest, reached
+    released(spark)
 
     reached = components(links.union(more)).toDF("set_id", "_c")
     smallest = sets.join(reached, "set_id").groupBy("_c").agg(F.min("first").alias("_least"))
