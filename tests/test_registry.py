@@ -26,9 +26,10 @@ def duck():
 
 
 def test_every_query_has_a_twin():
-    import __spark_entry__ as entry
+    from clipmart.workload import registered
 
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    queries, oracles = registered()
+    assert set(queries) == set(oracles)
 
 
 @pytest.mark.parametrize("name", SAMPLE)
