@@ -1,57 +1,52 @@
 """Line de-duplication by a segment-partition edit join, on DataFrame functions only.
 
-Two lines within *edits* edits share one of *edits + 1* even segments at nearly the same place.
-Segments of every distinct line are indexed by (length, segment, hash); a line probes the
-indexes of its own and the slightly shorter lengths, and what it meets is verified.
+Two lines within *edits* edits share one of *edits + 1* segments at nearly the same place.
+Segments of every distinct line are indexed by (size, segment, hash); a line probes the
+indexes of its own and the next smaller segment size, and what it meets is verified.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipmart.llm.common import kept
+from clipmart.llm.common import kept, released
 from clipmart.llm.components import components
 
-EDITS = 1
+EDITS = 3
 #: Shorter lines (bullets, headings, single words) are never dropped.
 MIN_CHARS = 24
 #: Line ids that are broadcast at most; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment *i* of a line; later segments take the odd characters."""
-    parts = edits + 1
-    base, odd = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    longer = F.greatest(F.lit(0), F.lit(i) - (F.lit(parts) - odd))
-    return base * i + longer, base + (F.lit(i) >= F.lit(parts) - odd).cast("int")
+def _size(length: Column, edits: int) -> Column:
+    """Size of the segments of a line: an even share, cut to its four leading bits so that near lengths agree."""
+    even = F.floor(length / (edits + 1)).cast("int")
+    step = F.call_function("shiftleft", F.lit(1), F.greatest(F.length(F.bin(even)) - 4, F.lit(0)))
+    return F.floor(even / step).cast("int") * step
 
 
-def _key(length: Column, i: int, piece: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), piece)
+def _keys(line: Column, length: Column, size: Column, edits: int) -> tuple[list[Column], list[Column]]:
+    """Keys of a line for segments of *size* characters: at their own places (a line is found and looks up under
+    these), and at the places to which edits outside of a segment can have moved it (it only looks up).
 
-
-def index_keys(line: Column, length: Column, edits: int) -> list[Column]:
-    """Keys under which a line is found: one for each of its segments."""
-    keys = []
-    for i in range(edits + 1):
-        start, size = _segment(length, i, edits)
-        keys.append(_key(length, i, F.substring(line, start + 1, size)))
-    return keys
-
-
-def probe_keys(line: Column, length: Column, edits: int, shorter: int) -> list[Column]:
-    """Keys that a line looks up among lines *shorter* characters shorter: for each of their segments, the places
-    to which edits before and after the segment can have moved it (null where there is none)."""
-    keys = []
-    other = length - shorter
+    The first half of the segments is laid from the beginning, the others from the end. Of the segments from one
+    side, either one without an edit has at most as many edits before it as segments, or each has cost
+    one edit at least; both sides together would then have cost *edits + 1*.
+    """
+    own, moved = [], []
     for i in range(edits + 1):
-        start, size = _segment(other, i, edits)
-        for move in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-            at = start + move
-            keys.append(F.when((at >= 0) & (at + size <= length), _key(other, i, F.substring(line, at + 1, size))))
-    return keys
+        near = min(i, edits - i)
+        head = i <= edits - i
+        for move in range(-near, near + 1):
+            at = size * near + move if head else length - size * (near + 1) + move
+            key = F.xxhash64(size, F.lit(i), F.substring(line, at + 1, size))
+            if move:
+                moved.append(F.when((at >= 0) & (at + size <= length), key))
+            else:
+                own.append(key)
+    return own, moved
 
 
 def _common(a: Column, b: Column, room: Column, head: bool) -> Column:
@@ -66,37 +61,6 @@ def _common(a: Column, b: Column, room: Column, head: bool) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= room) & same(at + step), at + step).otherwise(at))
 
 
-def within_edits(a: Column, b: Column, edits: int) -> Column:
-    """Whether two character arrays are within *edits* edits: a bit-parallel automaton over a band.
-
-    Bit k of state e says that, with at most e edits, the characters of *b* read so far have taken k - edits
-    more characters of *a*. One character of *b* moves all 2 * edits + 1 diagonals at once: a match keeps a bit, a
-    substitution keeps it one state on, an insertion shifts it down, a deletion up.
-    """
-    width = 2 * edits + 1
-    band = (1 << width) - 1
-    begin = F.array(*[F.lit(sum(1 << k for k in range(edits, edits + e + 1))) for e in range(edits + 1)])
-
-    def read(states: Column, j: Column) -> Column:
-        char = F.get(b, j)
-        equal = sum(
-            [F.when(F.coalesce(F.get(a, j + (k - edits)) == char, F.lit(False)), 1 << k).otherwise(0) for k in range(width)], F.lit(0)
-        )
-        after: list[Column] = []
-        for e in range(edits + 1):
-            stay = F.get(states, F.lit(e)).bitwiseAND(equal)
-            if e:
-                before = F.get(states, F.lit(e - 1))
-                stay = stay.bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(after[-1], 1)).bitwiseAND(F.lit(band))
-            after.append(stay)
-        return F.array(*after)
-
-    last = F.aggregate(F.when(F.size(b) > 0, F.sequence(F.lit(0), F.size(b) - 1)).otherwise(F.array().cast("array<int>")), begin, read)
-    ends = F.size(a) - F.size(b) + edits
-    wanted = F.coalesce(F.get(F.array(*[F.lit(1 << k) for k in range(width)]), ends), F.lit(0))
-    return ends.between(0, width - 1) & (F.get(last, F.lit(edits)).bitwiseAND(wanted) > 0)
-
-
 def _settled(df: DataFrame, **columns: Column) -> DataFrame:
     """*df* with *columns* worked out once: a generator keeps them from being copied into later lambdas."""
     one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
@@ -115,31 +79,38 @@ def similar_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
 
     Lines are made distinct first, so a line that is everywhere is indexed and probed once.
     """
+    lines = lines.withColumn("_h", F.xxhash64("line"))
     line, length = F.col("line"), F.length("line")
-    own, equal = index_keys(line, length, edits), probe_keys(line, length, edits, 0)
-    longer = [k for d in range(1, edits + 1) for k in probe_keys(line, length, edits, d)]
+    sized = lines.withColumns({"_size": _size(length, edits), "_less": _size(F.greatest(length - edits, F.lit(0)), edits)})
+    own, moved = _keys(line, length, F.col("_size"), edits)
+    # A line looks for those of its segment size and, where a slightly shorter line has smaller segments, of that.
+    below = [F.when(F.col("_less") < F.col("_size"), k) for ks in _keys(line, length, F.col("_less"), edits) for k in ks]
     # A line travels as its keys; texts are fetched for lines that meet another one.
-    distinct = lines.select("line_id", F.array(*own, *equal, *longer).alias("_keys")).groupBy("line_id").agg(F.first("_keys").alias("_keys"))
-    keys = distinct.select("line_id", F.posexplode("_keys").alias("_at", "_key")).filter("_key is not null")
-    a = keys.filter(F.col("_at") < len(own)).select(F.col("line_id").alias("a"), "_key")
-    b = keys.filter(F.col("_at") >= len(own)).select(
-        F.col("line_id").alias("b"), "_key", (F.col("_at") < len(own) + len(equal)).alias("_equal")
+    named = {f"_k{i}": k for i, k in enumerate([*own, *moved, *below])}
+    distinct = sized.groupBy("_h").agg(*[F.first(k).alias(n) for n, k in named.items()])
+    keys = distinct.select("_h", F.posexplode(F.array(*named)).alias("_at", "_key")).filter("_key is not null").select(
+        "_key", "_h", F.when(F.col("_at") < len(own), 0).when(F.col("_at") < len(own) + len(moved), 1).otherwise(2).cast("byte").alias("_role")
     )
-    # Of two lines of one length, one direction is enough.
-    met = kept(a.join(b, "_key").filter((F.col("a") < F.col("b")) | (~F.col("_equal") & (F.col("a") != F.col("b")))).select("a", "b").distinct())
-    named = met.select(F.col("a").alias("line_id")).union(met.select("b")).distinct()
+    group = Window.partitionBy("_key")
+    alone = F.min("_h").over(group) == F.max("_h").over(group)
+    shared = kept(keys.withColumn("_alone", alone | (F.min("_role").over(group) > 0)).filter("not _alone").select("_key", "_h", "_role"))
+    a = shared.filter("_role = 0").select(F.col("_h").alias("_ha"), "_key")
+    b = shared.withColumnRenamed("_h", "_hb")
+    # Of two lines with segments of one size, one direction is enough.
+    met = a.join(b, "_key").filter((F.col("_ha") < F.col("_hb")) | ((F.col("_role") == 2) & (F.col("_ha") != F.col("_hb"))))
+    met = kept(met.select("_ha", "_hb").distinct())
+    released(lines.sparkSession)
+    named = met.select(F.col("_ha").alias("_h")).union(met.select("_hb")).distinct()
     if named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         named = F.broadcast(named)
-    texts = lines.join(named, "line_id").dropDuplicates(["line_id"]).select("line_id", "line")
-    paired = met.join(texts.toDF("a", "_ta"), "a").join(texts.toDF("b", "_tb"), "b")
+    texts = lines.join(named, "_h").dropDuplicates(["line_id"]).select("_h", "line_id", "line")
+    paired = met.join(texts.toDF("_ha", "a", "_ta"), "_ha").join(texts.toDF("_hb", "b", "_tb"), "_hb")
     ta, tb = F.col("_ta"), F.col("_tb")
+    paired = paired.filter(F.abs(F.length(ta) - F.length(tb)) <= edits)
     paired = _settled(paired, _head=_common(ta, tb, F.length(ta), True))
     paired = _settled(paired, _tail=_common(ta, tb, F.length(ta) - F.col("_head"), False))
     core = [F.substring(t, F.col("_head") + 1, F.length(t) - F.col("_head") - F.col("_tail")) for t in (ta, tb)]
-    # A split of nothing would give one empty character.
-    chars = [F.filter(F.split(c, ""), lambda x: x != "") for c in core]
-    paired = _settled(paired.select("a", "b", chars[0].alias("_x"), chars[1].alias("_y")), _ca=F.col("_x"), _cb=F.col("_y"))
-    return paired.filter(within_edits(F.col("_ca"), F.col("_cb"), edits)).select("a", "b")
+    return paired.filter(F.levenshtein(core[0], core[1], edits) >= 0).select("a", "b")
 
 
 def dedup_lines(transcripts: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:

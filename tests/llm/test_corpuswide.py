@@ -301,3 +301,15 @@ def test_first_line_of_a_class_stays(spark):
         ("3", 3, 2, "short"), ("1", 4, 1, f"{a}x\n\nshort"), ("2", 3, 2, b), ("2", 3, 2, b), ("4", 0, 0, None), ("5", 1, 0, ""), ("None", 1, 0, c),
     ], key=str)
     assert line_dedup.dedup_lines(table(spark).limit(0)).count() == 0 and line_dedup.dedup_lines(table(spark)).count() == len(ROWS)
+
+
+def test_registered_line_dedup_drops_lines_with_three_errors(spark, tmp_path):
+    from clipmart.llm.queries import QUERIES
+
+    base = prose(1, 6)
+    near = [changed(base, 7 * i, 3) for i in range(1, 6)]
+    far = base[:10] + "????" + base[14:]
+    rows = [(i, line, "en", "a") for i, line in enumerate([base, *near, far])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.n_dropped for r in QUERIES["op10_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {0: 0, **{i: 1 for i in range(1, 6)}, 6: 0}
