@@ -14,8 +14,11 @@ from clipmart.llm.common import kept, released
 from clipmart.llm.components import components
 
 EDITS = 3
-#: Shorter lines (bullets, headings, single words) are never dropped.
+#: Shorter lines (bullets, headings, single words) are left as they are, unless a caller asks for them.
 MIN_CHARS = 24
+#: One edit for each so many characters of the shorter line: lines of fewer are classed by equality, those of up
+#: to ``NEAR_CHARS`` with one edit, and from there on with ``EDITS``.
+SHORT_CHARS, NEAR_CHARS = 8, 24
 #: Line ids that are broadcast at most; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -114,11 +117,13 @@ def similar_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
 
 
 def dedup_lines(transcripts: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Transcripts without the lines that repeat an earlier line up to *edits* edits.
+    """Transcripts without the lines that repeat an earlier line up to *edits* edits (short lines: one or none).
 
     ``transcripts``: ``video_id``, ``transcript``; other columns are ignored, whatever their names. Lines of at
     least ``min_chars`` characters that are linked by a chain of lines, each within ``edits`` edits of the next,
     are one class; the first of a class by (``video_id``, line number) stays, the others go. A null id comes first.
+    Where ``min_chars`` lets in lines under ``NEAR_CHARS`` characters, those of ``SHORT_CHARS`` or more are linked by one
+    edit (to lines up to one character longer as well) and still shorter ones are in one class if equal. Empty lines stay.
 
     Returns one row per input row: ``video_id``, ``n_lines``, ``n_dropped``, ``transcript`` (the lines that stay). A null transcript
     has no lines and stays null, an empty one has one empty line. Rows equal in id and text are one transcript
@@ -130,8 +135,13 @@ def dedup_lines(transcripts: DataFrame, edits: int = EDITS, min_chars: int = MIN
     rows = transcripts.select("video_id", F.col("transcript").cast("string").alias("transcript")).withColumns(
         {"_id": F.coalesce(F.col("video_id").cast("string"), F.lit("")), "_text": F.xxhash64("transcript")}
     )
-    lines = _lines(rows, min_chars)
-    links = kept(similar_lines(lines.select("line_id", "line"), edits))
+    min_chars = max(1, min_chars)
+    lines = _lines(rows, min_chars).select("line_id", "line")
+    links = similar_lines(lines.filter(F.length("line") >= max(NEAR_CHARS, min_chars)), edits)
+    if min_chars < NEAR_CHARS and edits:
+        short = lines.filter(F.length("line").between(SHORT_CHARS, NEAR_CHARS))
+        links = links.union(similar_lines(short, 1))
+    links = kept(links)
     classes = components(links)
 
     seen = rows.select("video_id", "_id", "_text", F.posexplode(F.split("transcript", "\n")).alias("line_no", "line"))

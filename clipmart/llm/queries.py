@@ -124,7 +124,7 @@ def op9_private_data(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    kept = line_dedup.dedup_lines(documents(spark, folder))
+    kept = line_dedup.dedup_lines(documents(spark, folder), min_chars=1)
     return kept.select(
         F.col("video_id").alias("doc_id"), "n_lines", "n_dropped", F.length("transcript").cast("long").alias("kept_chars"),
         F.crc32("transcript").alias("kept_crc32"),

@@ -313,3 +313,13 @@ def test_registered_line_dedup_drops_lines_with_three_errors(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.n_dropped for r in QUERIES["op10_line_dedup"](spark, str(tmp_path)).collect()}
     assert got == {0: 0, **{i: 1 for i in range(1, 6)}, 6: 0}
+
+
+def test_registered_line_dedup_drops_repeated_short_lines(spark, tmp_path):
+    from clipmart.llm.queries import QUERIES
+
+    texts = ["Les.\n\nAnd ornd.", "Les.\n\nLes!", "And ornb.\nOf, edti oner. It then.", "Of, edti oner. It then.x\nLes.", "\n"]
+    rows = [(i, text, "en", "a") for i, text in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in QUERIES["op10_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {0: (3, 0), 1: (3, 1), 2: (2, 1), 3: (2, 2), 4: (2, 0)}
