@@ -324,3 +324,27 @@ def test_link_files_in_order(spark, tmp_path):
     (tmp_path / "b.txt").write_text("# longer, so it is read first\n" * 200 + "https://youtu.be/aaaaaaaaaaa?t=2\nhttps://youtu.be/bbbbbbbbbbb\n")
     links = files.read_link_file(spark, str(tmp_path)).collect()
     assert sorted(r["url"] for r in links) == ["https://youtu.be/aaaaaaaaaaa?t=1", "https://youtu.be/bbbbbbbbbbb"]
+
+
+def test_recipe_rules_that_exploded_scenes_lose(spark):
+    import json
+
+    from clipmart.operators.story import recipe_validation
+
+    scene = {"source_id": "a", "start": 1, "end": 2.5}
+    clips = [
+        {"clip_id": 1, "title": "t", "hook": {"scenes": []}, "highlight": {"scenes": []}},
+        {"clip_id": 2, "title": "t", "hook": {"scenes": [scene]}, "highlight": {"scenes": [scene | {"start": "x"}]}},
+        {"clip_id": 2, "title": "t", "hook": {"scenes": [scene]}, "highlight": {"scenes": [scene | {"start": None, "end": None}]}},
+        {"clip_id": "3", "title": "t", "hook": {"scenes": [scene]}, "highlight": {"scenes": [scene | {"start": None}, {"start": 1, "end": 2}]}},
+        {"clip_id": 4, "hook": {"scenes": [scene | {"start": -1}]}, "highlight": {"scenes": [scene | {"end": 1}, scene | {"source_id": "b"}]}},
+    ]
+    recipes = spark.createDataFrame([(json.dumps({"clips": clips}),), ('{"clips": []}',)], "payload string")
+    sources = spark.createDataFrame([("a", "n", "youtube", "u", None)], "source_id string, name string, platform string, url string, local_path string")
+    got = sorted(tuple(r) for r in recipe_validation(sources, recipes).collect())
+    assert got == sorted([
+        ("recipe: no clips", "?"), ("clip: no hook scenes", "1"), ("clip: no highlight scenes", "1"), ("clip: duplicate id", "2"),
+        ("scene: time is no number", "2/highlight/0"), ("clip: id is no integer", "3"), ("scene: only one time", "3/highlight/0"),
+        ("scene: no source", "3/highlight/1"), ("clip: missing field", "4"),
+        ("scene: negative start", "4/hook/0"), ("scene: end before start", "4/highlight/0"), ("scene: unknown source", "4/highlight/1"),
+    ])
