@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipmart.llm import decontaminate, jaccard_join, language, language_model, line_dedup, mixing, neighbours, private_data, sharding, toxicity
+from clipmart.llm import (
+    decontaminate,
+    jaccard_join,
+    language,
+    language_model,
+    line_dedup,
+    mixing,
+    neighbours,
+    private_data,
+    sharding,
+    toxicity,
+    turn_repair,
+)
 from clipmart.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +141,30 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.col("video_id").alias("doc_id"), "n_lines", "n_dropped", F.length("transcript").cast("long").alias("kept_chars"),
         F.crc32("transcript").alias("kept_crc32"),
     )
+
+
+@query()
+def op11_repair_turns(spark: SparkSession, folder: str) -> DataFrame:
+    given = spark.read.parquet(f"{folder}/conversations.parquet")
+    damaged = damaged_turns(given)
+    videos, turns = turn_repair.repair_turns(damaged)
+    digests = turn_repair.turns_digest(turns).withColumnRenamed("video_id", "_digest_of")
+    told = given.select("conv_id").distinct().join(videos, F.col("conv_id").eqNullSafe(F.col("video_id")), "left")
+    told = told.join(digests, F.col("conv_id").eqNullSafe(F.col("_digest_of")), "left")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return told.select(
+        "conv_id", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def damaged_turns(conversations: DataFrame) -> DataFrame:
+    """The conversations' rows as turns of a dialogue, damaged by a checksum of their place."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    code = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn"))) % 20
+    rows = conversations.select(F.col("conv_id").alias("video_id"), F.col("turn").alias("ord"), space("role").alias("role"), space("text").alias("said"), code.alias("_code"))
+    text = F.when(F.col("_code") == 1, "").when(F.col("_code") == 2, F.regexp_replace("said", "[.!?]", "")).otherwise(F.col("said"))
+    twice = F.explode(F.when(F.col("_code") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return rows.filter("_code <> 0").withColumns(
+        {"speaker": F.when(F.col("_code") == 4, "user").otherwise(F.col("role")), "text": text, "_twice": twice}
+    ).select("video_id", "ord", "speaker", "text")
