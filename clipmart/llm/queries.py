@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clipmart.llm import (
     decontaminate,
+    hard_negatives,
     jaccard_join,
     language,
     language_model,
@@ -16,6 +17,7 @@ from clipmart.llm import (
     mixing,
     neighbours,
     private_data,
+    secret_scan,
     sharding,
     toxicity,
     turn_repair,
@@ -168,3 +170,57 @@ def damaged_turns(conversations: DataFrame) -> DataFrame:
     return rows.filter("_code <> 0").withColumns(
         {"speaker": F.when(F.col("_code") == 4, "user").otherwise(F.col("role")), "text": text, "_twice": twice}
     ).select("video_id", "ord", "speaker", "text")
+
+
+#: Kinds of the base, in the order of spans with one start.
+SECRETS = ("assign", "access", "hex")
+
+
+def _secret_sql() -> str:
+    """The rules in DuckDB: pieces between matches and the matches give the places."""
+    parts = []
+    for i, (name, rule) in enumerate(secret_scan.RULES.items()):
+        pattern = rule.pattern.replace("'", "''")
+        parts.append(
+            f"""select doc_id, text, row_nr, '{name}' as kind, {i} as nr, {rule.least} as least, string_split_regex(t, '{pattern}') as gaps,
+            regexp_extract_all(t, '{pattern}') as hits, regexp_extract_all(t, '{pattern}', {rule.group}) as parts from docs"""
+        )
+    return f"""with docs as (select *, coalesce(text, '') as t, row_number() over () as row_nr from documents),
+      m as ({' union all '.join(parts)}),
+      e as (select row_nr, kind, nr, least, unnest(range(1, len(hits) + 1)) as i, gaps, hits, parts from m),
+      p as (select row_nr, kind, nr, least, i, length(gaps[i]) as gap, length(hits[i]) as len, length(parts[i]) as part from e),
+      s as (select row_nr, kind, nr, part >= least as good, cast(sum(gap + len) over (partition by row_nr, nr order by i) as bigint) as fin, len from p),
+      g as (select row_nr, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access,
+        count(*) filter (kind = 'hex') as n_hex, string_agg(kind || ':' || (fin - len) || ':' || fin, ',' order by fin - len, nr) filter (nr < 3) as base,
+        string_agg(kind || ':' || (fin - len) || ':' || fin, ',' order by fin - len, nr) as spans from s where good group by 1)
+      select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+        sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from docs left join g using (row_nr)"""
+
+
+@query(_secret_sql())
+def op12_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    texts = documents(spark, folder).select("video_id", "transcript")
+    found = secret_scan.scan_versions(texts).paths
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["rule"].isin(*SECRETS))
+    return found.select(
+        F.col("video_id").alias("doc_id"), *[secret_scan.count_of(spans, k).alias(f"n_{k}") for k in SECRETS],
+        F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(spans).alias("spans"),
+    )
+
+
+@query("""with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * cast(x as double))) as vector from embeddings where vec_id is not null and label is not null
+    and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+  s as (select a.vec_id as anchor_id, v.vec_id, a.label = v.label as same, cast(list_dot_product(a.vector, v.vector) as bigint) as score
+    from v a join v on v.vec_id <> a.vec_id where a.vec_id % 100 = 0),
+  p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same
+    qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+  select anchor_id, positive_id, cast(row_number() over w as int) as rank, s.vec_id as negative_id, positive_score, score as negative_score
+  from p join s using (anchor_id) where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+  window w as (partition by anchor_id, positive_id order by score desc, s.vec_id) qualify row_number() over w <= 5""")
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    # Every seventh label is moved on, which makes negatives of true positives.
+    moved = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(moved, moved.filter("vec_id % 100 = 0"))
