@@ -14,12 +14,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clipmart.llm.common import kept
+
 #: Vectors of a tree, and anchors that visit it together: what one task holds.
 BLOCK, ANCHOR_BLOCK = 2048, 1024
 #: Vectors of a node that is not split further.
 LEAF = 16
 #: Slack of the bounds, as a share of the largest product; scores themselves are exact integers.
 SLACK = 1e-9
+#: Distances on the unit sphere below this are rounding.
+ROUNDING = 1e-6
 #: Integers below this are exact in double precision.
 _EXACT = 1 << 53
 
@@ -28,47 +32,51 @@ class CoverTree:
     """Nodes of a block, by levels: the children of a node stand side by side, and a node's centre is one of its vectors.
 
     Radii halve from level to level: a node's vectors lie within its level's radius of the centre, and
-    centres of one node are further apart than that. Nodes of at most ``LEAF`` vectors and nodes of equal vectors are leaves.
+    centres of one node are further apart than that. Nodes of at most ``LEAF`` vectors and nodes of equal vectors are leaves. Vectors
+    are kept in the order of the leaves, so those of a node's leaf children are one slice.
     """
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray):
-        self.ids, self.labels, self.vectors = ids, labels, vectors
         real = vectors.astype(np.float64)
         squares = (real * real).sum(axis=1)
         self.length = float(np.sqrt(squares.max()))
         unit = np.concatenate([real, np.sqrt(np.maximum(0.0, squares.max() - squares))[:, None]], axis=1)
-        self.unit = unit / (self.length or 1.0)
-        self.centres: list[int] = [0]
-        self.angles: list[float] = [np.pi]
-        self.children: list[range | None] = [None]
-        self.members: list[np.ndarray | None] = [None]
-        self._grow(np.arange(len(ids)))
-        self.angles_, self.centres_ = np.array(self.angles), np.array(self.centres)
-
-    def _grow(self, everything: np.ndarray) -> None:
-        open_nodes = [(0, everything, self._spread(0, everything))]
+        self._unit = unit / (self.length or 1.0)
+        self._cosines = self._unit @ self._unit.T
+        #: For each inner node: its children's centres, cosines and sines of their covering angles, numbers (-1: a leaf), and the leaves' slices.
+        self.nodes: list[tuple[np.ndarray, ...]] = []
+        order: list[np.ndarray] = []
+        self._placed = 0
+        self._grow(np.arange(len(ids)), order)
+        place = np.concatenate(order)
+        self.ids, self.labels, self.vectors = ids[place], labels[place], vectors[place]
+        del self._unit, self._cosines
+
+    def _grow(self, everything: np.ndarray, order: list[np.ndarray]) -> None:
+        """Nodes from the top; the top node has one child, which covers all."""
+        open_nodes = [[(0, everything, self._spread(0, everything))]]
+        numbered = 1
         while open_nodes:
-            node, own, away = open_nodes.pop()
-            radius = float(away.max())
-            # The covering angle of a chord, widened by rounding.
-            self.angles[node] = 2 * np.arcsin(min(1.0, radius / 2)) + 1e-7
-            if len(own) <= LEAF or radius == 0:
-                self.members[node] = own
-                continue
-            first = len(self.centres)
-            parts = self._cover(self.centres[node], own, away, radius / 2)
-            for centre, _, _ in parts:
-                self.centres.append(centre)
-                self.angles.append(0.0)
-                self.children.append(None)
-                self.members.append(None)
-            self.children[node] = range(first, first + len(parts))
-            open_nodes += [(first + i, part, near) for i, (_, part, near) in enumerate(parts)]
+            parts = open_nodes.pop(0)
+            angles, numbers, ends = [], [], [self._placed]
+            for centre, own, away in parts:
+                radius = float(away.max())
+                # The covering angle of a chord, widened by rounding.
+                angles.append(min(np.pi, 2 * np.arcsin(min(1.0, radius / 2)) + 2 * ROUNDING))
+                if len(own) <= LEAF or radius <= ROUNDING:
+                    numbers.append(-1)
+                    order.append(own)
+                    self._placed += len(own)
+                else:
+                    numbers.append(numbered)
+                    numbered += 1
+                    open_nodes.append(self._cover(centre, own, away, radius / 2))
+                ends.append(self._placed)
+            centres, wide = self._unit[[c for c, _, _ in parts]], np.array(angles)
+            self.nodes.append((centres, np.cos(wide), np.sin(wide), np.array(numbers), np.array(ends)))
 
     def _spread(self, centre: int, own: np.ndarray) -> np.ndarray:
-        """Distances from a centre (clipped rounding below zero)."""
-        gap = self.unit[own] - self.unit[centre]
-        return np.sqrt((gap * gap).sum(axis=1))
+        return np.sqrt(np.maximum(0.0, 2 - 2 * self._cosines[centre, own]))
 
     def _cover(self, centre: int, own: np.ndarray, away: np.ndarray, radius: float) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """Centres further than *radius* apart, the node's own first, each with the vectors that it is the first to cover."""
@@ -82,13 +90,10 @@ class CoverTree:
                 away = self._spread(centre, own)
         return parts
 
-    def scores(self, members: np.ndarray, query: np.ndarray) -> np.ndarray:
-        return self.vectors[members] @ query
-
     def search(self, query: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, usable: np.ndarray) -> list[list[tuple[int, int]]]:
         """For each window the *k* first (score, id) of the *usable* vectors with ``low <= 100 * score <= high``."""
         length = float(np.sqrt((query.astype(np.float64) ** 2).sum())) * self.length
-        slack = SLACK * length + 1e-9
+        slack = SLACK * length + ROUNDING
         toward = np.append(query.astype(np.float64), 0.0) / ((length / self.length) if length else 1.0)
         floor = low.astype(np.float64) / 100
         top = high.astype(np.float64) / 100
@@ -98,40 +103,33 @@ class CoverTree:
             _, node, upper, lower = heapq.heappop(heap)
             if not ((upper >= floor - slack) & (lower <= top + slack)).any():
                 continue
-            if self.members[node] is not None:
-                self._verify(self.members[node], query, low, high, k, usable, best, floor)
-                continue
-            below = self.children[node]
-            span = slice(below.start, below.stop)
-            angle = np.arccos(np.clip(self.unit[self.centres_[span]] @ toward, -1.0, 1.0))
-            uppers = length * np.cos(np.maximum(0.0, angle - self.angles_[span]))
-            lowers = length * np.cos(np.minimum(np.pi, angle + self.angles_[span]))
+            centres, cosines, sines, numbers, ends = self.nodes[node]
+            # Cosines of the angle to the centre minus and plus the covering angle, inside 0 and pi.
+            near = np.clip(centres @ toward, -1.0, 1.0)
+            both, apart = near * cosines, np.sqrt(1 - near * near) * sines
+            uppers = length * np.where(near >= cosines, 1.0, both + apart)
+            lowers = length * np.where(near <= -cosines, -1.0, both - apart)
             met = ((uppers[:, None] >= floor - slack) & (lowers[:, None] <= top + slack)).any(axis=1)
-            ready = []
-            for i in np.flatnonzero(met):
-                if self.members[below.start + i] is not None:
-                    ready.append(self.members[below.start + i])
-                else:
-                    heapq.heappush(heap, (-uppers[i], below.start + int(i), uppers[i], lowers[i]))
-            if ready:  # leaves are read together
-                self._verify(np.concatenate(ready), query, low, high, k, usable, best, floor)
+            for i in np.flatnonzero(met & (numbers >= 0)):
+                heapq.heappush(heap, (-uppers[i], int(numbers[i]), uppers[i], lowers[i]))
+            if ends[-1] > ends[0]:
+                reached = np.arange(ends[0], ends[-1])[np.repeat(met, np.diff(ends))]
+                whole = len(reached) == ends[-1] - ends[0]
+                self._verify(slice(ends[0], ends[-1]) if whole else reached, reached, query, low, high, k, usable, best, floor)
         return best
 
-    def _verify(self, members, query, low, high, k, usable, best, floor) -> None:
+    def _verify(self, place, members, query, low, high, k, usable, best, floor) -> None:
         """Exact scores of leaves; a window's floor rises to its *k*-th score."""
-        members = members[usable[members]]
-        if not len(members):
-            return
-        scores = self.scores(members, query)
-        hundred = scores * 100
+        scores = self.vectors[place] @ query
+        hundred, fit = scores * 100, usable[place]
         for j in range(len(low)):
-            inside = np.flatnonzero((hundred >= low[j]) & (hundred <= high[j]) & (scores >= floor[j] - 1))
+            inside = np.flatnonzero(fit & (hundred >= low[j]) & (hundred <= high[j]) & (scores >= floor[j] - 1))
             if not len(inside):
                 continue
-            if len(inside) > k:
-                order = np.lexsort((self.ids[members[inside]], -scores[inside].astype(np.int64)))[:k]
-                inside = inside[order]
-            best[j] = sorted(best[j] + [(int(scores[i]), int(self.ids[members[i]])) for i in inside], key=lambda x: (-x[0], x[1]))[:k]
+            if len(inside) > 4 * k:  # ties at the k-th score stay
+                inside = inside[scores[inside] >= np.partition(scores[inside], len(inside) - k)[len(inside) - k]]
+            found = best[j] + [(int(scores[i]), int(self.ids[members[i]])) for i in inside]
+            best[j] = sorted(found, key=lambda x: (-x[0], x[1]))[:k]
             if len(best[j]) == k:
                 floor[j] = max(floor[j], best[j][-1][0])
 
@@ -220,9 +218,9 @@ def hard_negatives(vectors: DataFrame, anchors: DataFrame, positives: int = 5, n
     use = use.withColumns({"_size": size, "_block": F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks))})
     far = 1 << 62
     open_window = F.array(F.struct(F.lit(1).cast("long").alias("place"), F.lit(-far).alias("low"), F.lit(far).alias("high")))
-    first = _meet(use, asked.withColumn("windows", open_window), blocks, anchor_blocks, positives, True).select(
+    first = kept(_meet(use, asked.withColumn("windows", open_window), blocks, anchor_blocks, positives, True).select(
         "anchor_id", F.col("rank").cast("long").alias("place"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")
-    )
+    ))
     # Below zero a window is empty.
     window = F.struct("place", (F.col("positive_score") * share).alias("low"), (F.col("positive_score") * 100).alias("high"))
     windows = first.filter("positive_score >= 0").groupBy("anchor_id").agg(F.sort_array(F.collect_list(window)).alias("windows"))

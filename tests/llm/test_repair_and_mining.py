@@ -220,9 +220,10 @@ def test_tree_skips_what_no_window_needs():
     vectors = np.floor(256 * np.array([v for _, v, _ in rows]))
     tree = hard_negatives.CoverTree(np.array([i for i, _, _ in rows]), np.array([lb for _, _, lb in rows]), vectors)
     read, verify = [], tree._verify
-    tree._verify = lambda members, *a: (read.append(len(members)), verify(members, *a))
+    tree._verify = lambda place, members, *a: (read.append(len(members)), verify(place, members, *a))
     low, high = np.array([-1e18]), np.array([1e18])
     best = tree.search(vectors[0], low, high, 5, np.ones(len(rows), dtype=bool))[0]
     scores = vectors @ vectors[0]
+    assert sorted(tree.ids) == list(range(len(rows)))
     assert [s for s, _ in best] == sorted(scores, reverse=True)[:5]
     assert sum(read) < len(rows) / 2
