@@ -80,20 +80,21 @@ def scan(
     prior_max: Mapping[str, Column] | None = None,
     run_sum: Mapping[str, Column] | None = None,
     next_first: Mapping[str, Column] | None = None,
+    later_first: Mapping[str, Column] | None = None,
     ordinal: str | None = None,
 ) -> DataFrame:
     """Add neighbour and running columns along ``order`` within ``keys``.
 
     ``lag``/``lead`` name columns; results are ``prev_<c>`` / ``next_<c>``. ``run_last`` is the
     last non-null value up to the current row, ``prior_last`` and ``prior_max`` look at earlier
-    rows only, ``next_first`` is the first non-null value from the current row on, ``ordinal``
-    is a 1-based row number. Where ``df`` already has cells (``with_cells``) they are used and kept.
+    rows only, ``next_first`` is the first non-null value from the current row on, ``later_first`` that of later
+    rows only, ``ordinal`` is a 1-based row number. Where ``df`` already has cells (``with_cells``) they are used and kept.
 
     The summaries are the last rows of the windowed cells, so both uses of the rows
     share one shuffle, and the join back is a broadcast whenever the summaries are small.
     """
     run_last, prior_last, prior_max = dict(run_last or {}), dict(prior_last or {}), dict(prior_max or {})
-    run_sum, next_first = dict(run_sum or {}), dict(next_first or {})
+    run_sum, next_first, later_first = dict(run_sum or {}), dict(next_first or {}), dict(later_first or {})
     if ordinal:
         run_sum[ordinal] = F.lit(1).cast("long")
     order = list(order)
@@ -108,7 +109,8 @@ def scan(
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     # "All later rows" as "all earlier rows of the reversed order": a frame that ends at
     # unboundedFollowing is re-aggregated for every row, a growing frame is not.
-    onward = Window.partitionBy(*cell).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    reverse = Window.partitionBy(*cell).orderBy(*[F.desc(c) for c in order])
+    onward, later = (reverse.rowsBetween(Window.unboundedPreceding, n) for n in (0, -1))
 
     local: dict[str, Column] = {"_tail": F.lead(F.lit(1)).over(inside).isNull()}
     total: dict[str, Column] = {}
@@ -131,8 +133,8 @@ def scan(
     for n, c in run_sum.items():
         local[f"_in_{n}"] = F.sum(c).over(upto)
         total[f"_all_{n}"] = F.col(f"_in_{n}")
-    for n, c in next_first.items():
-        local[f"_in_{n}"] = F.last(c, ignorenulls=True).over(onward)
+    for n, c in [*next_first.items(), *later_first.items()]:
+        local[f"_in_{n}"] = F.last(c, ignorenulls=True).over(onward if n in next_first else later)
         local[f"_any_{n}"] = F.first(c, ignorenulls=True).over(upto)
         total[f"_all_{n}"] = F.col(f"_any_{n}")
     rows = celled.withColumns(local)
@@ -152,7 +154,7 @@ def scan(
         carried[f"_carry_{n}"] = F.max(f"_all_{n}").over(before)
     for n in run_sum:
         carried[f"_carry_{n}"] = F.sum(f"_all_{n}").over(before)
-    for n in next_first:
+    for n in [*next_first, *later_first]:
         carried[f"_carry_{n}"] = F.last(f"_all_{n}", ignorenulls=True).over(after)
     summary = rows.filter("_tail").select(*cell, f"{CELL}_km", *places, *[c.alias(n) for n, c in total.items()])
     carry = summary.select(*cell, *[c.alias(n) for n, c in carried.items()])
@@ -165,7 +167,7 @@ def scan(
     if lead:
         whole = F.coalesce("_lead", "_carry_lead")
         final.update({f"next_{c}": whole[c] for c in lead})
-    for n in [*run_last, *prior_last, *next_first]:
+    for n in [*run_last, *prior_last, *next_first, *later_first]:
         final[n] = F.coalesce(f"_in_{n}", f"_carry_{n}")
     for n in prior_max:
         final[n] = F.greatest(f"_in_{n}", f"_carry_{n}")

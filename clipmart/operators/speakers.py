@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipmart.functions.ordered import haloed, position_bucket, scan, with_cells, without_cells
+from clipmart.functions.links import on_path
+from clipmart.functions.ordered import haloed, position_bucket, scan, time_bucket, with_cells, without_cells
 from clipmart.functions.ranges import overlap_join
 from clipmart.operators.transcript import interval_overlap_join
+from clipmart.session import kept
 
 MIN_ACTIVITY, LEAD_MARGIN, ACTIVITY_WINDOW_S = 0.012, 1.3, 1.5
 MIN_FACE_SHARE = 0.3
@@ -204,67 +206,167 @@ def confirmed_runs(series: DataFrame, hold: int) -> DataFrame:
 
 
 # ---- timelines ----------------------------------------------------------------------------
-def _timeline(samples: DataFrame, extra: list[str], start: Column, step) -> DataFrame:
-    """Fold a clip's samples in time order; a clip is at most a few minutes, so its samples fit one array."""
-    entry = F.struct("idx", "t", "speakers")
-    clips = samples.groupBy("video_id", "ord", *extra).agg(F.sort_array(F.collect_list(entry)).alias("_s"))
-    return clips.select(
-        "video_id", "ord", F.explode(F.aggregate("_s", start, step, lambda acc: acc["out"])).alias("o")
-    ).select("video_id", "ord", "o.*")
+CLIP = ["video_id", "ord"]
+#: Clips with sample numbers below this are folded as one array, longer ones follow links.
+FOLDED = 512
+OUT = "array<struct<idx: bigint, layout: string, speaker: string>>"
 
 
-def _state(layout: Column, speaker: Column, last: Column, out: Column) -> Column:
-    return F.struct(layout.alias("layout"), speaker.alias("speaker"), last.alias("last"), out.alias("out"))
+def _by_length(rows: DataFrame, fold, follow) -> DataFrame:
+    """*fold* of the clips that fit one array and *follow* of the others, both with the same columns."""
+    long = rows.filter(F.col("idx") >= FOLDED).select(*[F.col(c).alias(f"_{c}") for c in CLIP]).distinct()
+    if long.isEmpty():
+        return fold(rows)
+    same = F.col("video_id").eqNullSafe(F.col("_video_id")) & F.col("ord").eqNullSafe(F.col("_ord"))
+    return fold(rows.join(long, same, "left_anti")).unionByName(follow(kept(rows.join(long, same, "left_semi"))))
 
 
-OUT = "array<struct<idx: bigint, layout: string, speaker: string>>"
+def _folded(rows: DataFrame, fields: list[str], start: Column, step) -> DataFrame:
+    """The timeline of short clips: *step* leads from state (layout, speaker, last) and sample to the next state."""
+    clips = rows.groupBy(*CLIP).agg(F.sort_array(F.collect_list(F.struct("idx", "t", *fields))).alias("_s"))
+
+    def write(acc: Column, s: Column) -> Column:
+        layout, speaker, last = step(acc, s)
+        row = F.struct(s["idx"].cast("long").alias("idx"), layout.alias("layout"), speaker.alias("speaker"))
+        return F.struct(layout.alias("layout"), speaker.alias("speaker"), last.alias("last"), F.array_append(acc["out"], row).alias("out"))
+
+    first = F.struct(*[start[c].alias(c) for c in ("layout", "speaker", "last")], F.array().cast(OUT).alias("out"))
+    return clips.select(*CLIP, F.explode(F.aggregate("_s", first, write, lambda acc: acc["out"])).alias("_o")).select(
+        *CLIP, F.col("_o.idx").cast(dict(rows.dtypes)["idx"]).alias("idx"), "_o.layout", "_o.speaker"
+    )
 
 
-def _advance(acc: Column, s: Column, layout: Column, speaker: Column, last: Column) -> Column:
-    row = F.struct(s["idx"].cast("long").alias("idx"), layout.alias("layout"), speaker.alias("speaker"))
-    return _state(layout, speaker, last, F.array_append(acc["out"], row))
+def _start(layout: str, last: float) -> Column:
+    return F.struct(F.lit(layout).alias("layout"), F.lit(None).cast("string").alias("speaker"), F.lit(last).alias("last"))
+
+
+def _linked(nodes: DataFrame, hold: float, target: Column) -> DataFrame:
+    """Nodes with ``no``, ``later`` (the first *target* at or after ``t + hold`` whose token differs) and ``next_other`` (the next non-target)."""
+    bucket = position_bucket("idx")
+    one = F.when(target, F.struct("token"))
+    seen = scan(with_cells(nodes, CLIP, bucket), CLIP, bucket, ["idx"], prior_last={"_one": one}, ordinal="no")
+    opens = target & (F.col("_one").isNull() | ~F.col("_one.token").eqNullSafe(F.col("token")))
+    placed = without_cells(scan(
+        seen.withColumn("_opens", opens), CLIP, bucket, ["idx"],
+        later_first={"_change": F.when(F.col("_opens"), F.col("no")), "next_other": F.when(~target, F.col("no"))},
+    )).drop("_one", "_opens")
+    # As-of: the first target from the end of the hold on; where it has the same token, the next change after it.
+    columns = [*CLIP, "idx", "t", "no", "token", "next_other", *[c for c in placed.columns if c not in {*CLIP, "idx", "t", "no", "token", "next_other"}]]
+    asks = placed.select(*columns, (F.col("t") + hold).alias("_at"), F.lit(0).alias("_kind"))
+    told = placed.filter(target).select(*columns, F.col("t").alias("_at"), F.lit(1).alias("_kind"))
+    found = scan(
+        asks.unionByName(told), CLIP, time_bucket("_at"), ["_at", "_kind", "no"],
+        next_first={"_found": F.when(F.col("_kind") == 1, F.struct("no", "token", "_change"))},
+    ).filter("_kind = 0")
+    later = F.when(F.col("_found.token") == F.col("token"), F.col("_found._change")).otherwise(F.col("_found.no"))
+    return found.withColumn("later", later).drop("_at", "_kind", "_found", "_change")
+
+
+def _held(samples: DataFrame, taken: DataFrame, layout: Column) -> DataFrame:
+    """Each sample with what was taken last: ``_now`` (token, layout)."""
+    rows = samples.withColumns({"_kind": F.lit(1), "_taken": F.lit(None).cast("struct<token: string, layout: string>")})
+    news = taken.select(*CLIP, "idx", F.lit(0).alias("_kind"), F.struct("token", layout.alias("layout")).alias("_taken"))
+    both = rows.unionByName(news, allowMissingColumns=True)
+    return scan(both, CLIP, position_bucket("idx"), ["idx", "_kind"], run_last={"_now": F.col("_taken")}).filter("_kind = 1").drop("_kind", "_taken")
+
+
+def _silent_again(linked: DataFrame) -> DataFrame:
+    """(clip, _many, token, _exit): for a shot of several people and one of them, the next such shot without this person."""
+    seen = linked.filter("many").select(*CLIP, "no", "next_other", F.explode(F.array_distinct("speakers")).alias("token"))
+    keys, bucket = [*CLIP, "token"], position_bucket("no")
+    each = scan(with_cells(seen, keys, bucket), keys, bucket, ["no"], lead=["no"])
+    gone = F.when(~F.col("next_no").eqNullSafe(F.col("next_other")) | F.col("next_other").isNull(), F.struct("next_other"))
+    known = scan(each.withColumn("_gone", gone), keys, bucket, ["no"], next_first={"_exit": F.col("_gone")})
+    return known.select(*[F.col(c).alias(f"_{c}") for c in [*CLIP, "token"]], F.col("no").alias("_many"), F.struct(F.col("_exit.next_other").alias("no")).alias("_exit"))
 
 
 def speaker_switch_timeline(samples: DataFrame, solo: DataFrame, hold: float = 2.0) -> DataFrame:
     """Speaker on camera per sample.
 
-    ``samples``: (video_id, ord, idx, t, speakers); ``solo``: (video_id, speaker) of speakers mostly
-    seen alone. One active speaker takes over after *hold* seconds; when several talk and the
+    ``samples``: (video_id, ord, idx, t, speakers), one row for each ``idx``, ``t`` does not decrease along it; ``solo``: (video_id, speaker) of
+    speakers mostly seen alone. One active speaker takes over once ``t`` is *hold* seconds past the last change; when several talk and the
     current one is silent, the first takes over at once, and a scene of shared shots is blurred;
     silence keeps the current speaker.
+
+    Short clips are folded. In longer ones, the state after a change depends on its sample alone: each possible change links to the one that
+    would follow it, and the changes are those on the path from the first. No array holds a long clip's samples.
     """
     alone = solo.groupBy("video_id").agg(F.collect_set("speaker").alias("_solo"))
-    rows = samples.join(alone, "video_id", "left").withColumn("_solo", F.coalesce("_solo", F.array().cast("array<string>")))
-    nobody = F.lit(None).cast("string")
-    start = _state(F.lit("blur"), nobody, F.lit(0.0), F.array().cast(OUT))
-
-    def step(acc: Column, s: Column) -> Column:
-        n, first, now = F.size(s["speakers"]), F.get(s["speakers"], 0), acc["speaker"]
-        shared = (n >= 2) & ~F.arrays_overlap(s["speakers"], F.col("_solo"))
+    n = F.size("speakers")
+    # The series is passed over several times; written out, plans do not grow with the product of these passes.
+    rows = kept(samples.join(alone, "video_id", "left").select(
+        *CLIP, "idx", "t", "speakers", n.alias("n"),
+        ((n >= 2) & ~F.coalesce(F.arrays_overlap("speakers", "_solo"), F.lit(False))).alias("shared"),
+    ))
+    return _by_length(rows, lambda r: _folded_switches(r, hold), lambda r: _linked_switches(r, hold))
+
+
+def _folded_switches(rows: DataFrame, hold: float) -> DataFrame:
+    def step(acc: Column, s: Column) -> tuple[Column, Column, Column]:
+        n, first, now, shared = s["n"], F.get(s["speakers"], 0), acc["speaker"], s["shared"]
         silent = now.isNull() | ~F.array_contains(s["speakers"], now)
         take_many = (n >= 2) & ~shared & silent
-        take_one = (n == 1) & (now.isNull() | ((first != now) & (s["t"] - acc["last"] >= hold)))
+        take_one = (n == 1) & (now.isNull() | ((first != now) & (s["t"] >= acc["last"] + hold)))
         take = F.coalesce(take_many | take_one, F.lit(False))
-        speaker = F.when(take, first).otherwise(now)
         layout = F.when(shared | ((n == 0) & now.isNull()), "blur").otherwise("crop")
-        return _advance(acc, s, layout, speaker, F.when(take, s["t"]).otherwise(acc["last"]))
+        return layout, F.when(take, first).otherwise(now), F.when(take, s["t"]).otherwise(acc["last"])
 
-    return _timeline(rows, ["_solo"], start, step)
+    return _folded(rows, ["speakers", "n", "shared"], _start("blur", 0.0), step)
+
+
+def _linked_switches(rows: DataFrame, hold: float) -> DataFrame:
+    many = F.col("n") >= 2
+    nodes = rows.filter("n >= 1 and not shared").select(
+        *CLIP, "idx", "t", F.when(many, F.col("speakers")).alias("speakers"), F.col("speakers")[0].alias("token"), many.alias("many")
+    )
+    linked = kept(_linked(nodes, hold, ~F.col("many")))
+    same = F.lit(True)
+    for c in [*CLIP, "token"]:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    known = linked.join(_silent_again(linked), same & (F.col("next_other") == F.col("_many")), "left")
+    at_once = F.when(F.col("_exit").isNotNull(), F.col("_exit.no")).otherwise(F.col("next_other"))
+    taken = on_path(known.select(*CLIP, "no", F.least("later", at_once).alias("link"), "idx", "token"), CLIP, ["idx", "token"])
+    held = _held(rows.select(*CLIP, "idx", "n", "shared"), taken, F.lit("crop"))
+    blurred = F.col("shared") | ((F.col("n") == 0) & F.col("_now").isNull())
+    return held.select(*CLIP, "idx", F.when(blurred, "blur").otherwise("crop").alias("layout"), F.col("_now.token").alias("speaker"))
 
 
 def layout_timeline(samples: DataFrame, hold: float = 2.0) -> DataFrame:
-    """Full frame for one active speaker, split for several, with a minimum hold between changes."""
-    start = _state(F.lit("split"), F.lit(None).cast("string"), F.lit(-float(hold)), F.array().cast(OUT))
+    """Full frame for one active speaker, split for several, with a minimum hold between changes.
+
+    A change counts once ``t`` is *hold* seconds past the last one; it is a change of layout or, in full frame, of the speaker. Long clips follow
+    links as in ``speaker_switch_timeline``: shots of several people are one more speaker, which a clip starts with.
+    """
+    rows = kept(samples.select(*CLIP, "idx", "t", "speakers", F.size("speakers").alias("n")))
+    return _by_length(rows, lambda r: _folded_layouts(r, hold), lambda r: _linked_layouts(r, hold))
 
-    def step(acc: Column, s: Column) -> Column:
-        n, first = F.size(s["speakers"]), F.get(s["speakers"], 0)
+
+def _folded_layouts(rows: DataFrame, hold: float) -> DataFrame:
+    def step(acc: Column, s: Column) -> tuple[Column, Column, Column]:
+        n, first = s["n"], F.get(s["speakers"], 0)
         wanted = F.when(n == 1, "full").when(n >= 2, "split").otherwise(acc["layout"])
-        rested = s["t"] - acc["last"] >= hold
+        rested = s["t"] >= acc["last"] + hold
         change = (wanted != acc["layout"]) & rested
         layout = F.when(change, wanted).otherwise(acc["layout"])
         speaker = F.when(change, first).otherwise(acc["speaker"])
         # A layout change restarts the hold, so the speaker can only follow in a later sample.
         follow = ~change & rested & (layout == "full") & (n == 1) & ~first.eqNullSafe(speaker)
-        return _advance(acc, s, layout, F.when(follow, first).otherwise(speaker), F.when(change | follow, s["t"]).otherwise(acc["last"]))
+        return layout, F.when(follow, first).otherwise(speaker), F.when(change | follow, s["t"]).otherwise(acc["last"])
+
+    return _folded(rows, ["speakers", "n"], _start("split", -float(hold)), step)
 
-    return _timeline(samples, [], start, step)
+
+def _linked_layouts(rows: DataFrame, hold: float) -> DataFrame:
+    several = F.lit("")
+    token = F.when(F.col("n") == 1, F.concat(F.lit("1"), F.col("speakers")[0])).otherwise(several)
+    nodes = rows.filter("n >= 1").select(*CLIP, "idx", "t", token.alias("token"), F.col("speakers")[0].alias("first"))
+    # The opening split rests already when the clip starts.
+    opening = rows.select(*CLIP).distinct().select(
+        *CLIP, F.lit(-1).cast(dict(rows.dtypes)["idx"]).alias("idx"), F.lit(-float(hold)).alias("t"), several.alias("token"), F.lit(None).cast("string").alias("first")
+    )
+    linked = _linked(nodes.unionByName(opening), hold, F.lit(True))
+    taken = on_path(linked.select(*CLIP, "no", F.col("later").alias("link"), "idx", "token", "first"), CLIP, ["idx", "token", "first"]).filter("idx >= 0")
+    full = F.when(F.col("token") == several, "split").otherwise("full")
+    news = taken.select(*CLIP, "idx", F.col("first").alias("token"), full.alias("layout"))
+    held = _held(rows.select(*CLIP, "idx"), news, F.col("layout"))
+    return held.select(*CLIP, "idx", F.coalesce("_now.layout", F.lit("split")).alias("layout"), F.col("_now.token").alias("speaker"))

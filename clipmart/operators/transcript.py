@@ -56,67 +56,66 @@ def _step(max_words: int):
     return step
 
 
-def _caption_parts(words: DataFrame, max_words: int, keys: list[str]) -> DataFrame:
-    """(keys, seg, words): captions, those that cross the edge of a piece in two parts.
+def _captions(words: DataFrame, max_words: int, keys: list[str]) -> DataFrame:
+    """(keys, seg, words): the words of each caption.
 
     Sentence ends, pauses and the last word always end a caption; else it ends at ``max_words``, or at a clause end with two or
-    more words. That needs the running length, which has ``max_words`` values: words are folded in pieces of ``PIECE`` positions (which
-    are consecutive), with the first word of the next piece at hand for the pause, and pieces are chained by their exit tables.
+    more words. That needs the running length, an automaton of ``max_words`` states that every hard end resets: words are held in pieces of
+    ``PIECE`` positions (which are consecutive), and the state in which a piece is left follows from the words behind its last
+    hard end. Only a piece without any is summarised as a table *entry state -> exit state*.
+    A piece also holds the next ``max_words`` words, so it writes out whole captions: those that start in it.
     """
-    celled = with_cells(words, keys, {})
+    celled = with_cells(words, keys, {}).withColumns({"sentence": tx.ends_caption_sentence("word"), "clause": tx.ends_clause("word")})
     own = [c for c in celled.columns if c.startswith(f"{CELL}_k")]
     at = F.floor(F.col("ord") / folds.PIECE)
-    edge = (F.col("ord") % folds.PIECE == 0) & (F.col("ord") > 0)
-    spread = celled.withColumn("_piece", F.explode(F.when(edge, F.array(at, at - 1)).otherwise(F.array(at))))
+    back = F.greatest(F.floor((F.col("ord") - max_words) / folds.PIECE), F.lit(0).cast("long"))
+    spread = celled.withColumn("_piece", F.explode(F.sequence(F.least(back, at), at)))
     pieces = spread.groupBy(*own, "_piece").agg(
-        F.sort_array(F.collect_list(F.struct("ord", "word", "start_s", "end_s"))).alias("_all"), *[F.first(k).alias(k) for k in keys]
+        F.sort_array(F.collect_list(F.struct("ord", "word", "start_s", "end_s", "sentence", "clause"))).alias("_all"), *[F.first(k).alias(k) for k in keys]
     )
 
     def flagged(w: Column, i: Column) -> Column:
         coming = F.get("_all", i + 1)["start_s"]
-        hard = coming.isNull() | tx.ends_caption_sentence(w["word"]) | (coming - w["end_s"] > PAUSE_S)
-        return F.struct(
-            w["ord"].alias("ord"), w["word"].alias("word"), w["start_s"].alias("start_s"), w["end_s"].alias("end_s"),
-            F.coalesce(hard, F.lit(False)).alias("hard"), tx.ends_clause(w["word"]).alias("clause"),
-        )
+        hard = F.coalesce(coming.isNull() | w["sentence"] | (coming - w["end_s"] > PAUSE_S), F.lit(False))
+        return F.struct(hard.alias("hard"), w["clause"].alias("clause"))
 
     # The generator keeps flags from being worked out again inside the folds.
-    mine = F.filter(F.transform("_all", flagged), lambda w: F.floor(w["ord"] / folds.PIECE) == F.col("_piece"))
-    held = pieces.select(*own, "_piece", *keys, F.size("_all").alias("_n"), F.explode(F.array(mine)).alias("_w"))
-    step, zero = _step(max_words), F.lit(0)
-    tables = held.filter(F.col("_n") > F.size("_w")).select(
-        *own, "_piece", F.transform(F.sequence(zero, F.lit(max_words - 1)), lambda s: F.aggregate("_w", s, step)).alias("_exit")
+    held = pieces.select(
+        *own, "_piece", *keys, "_all", F.least(F.size("_all"), (F.col("_piece") + 1) * folds.PIECE - F.col("_all")[0]["ord"]).cast("int").alias("_n"),
+        F.explode(F.array(F.transform("_all", flagged))).alias("_w"),
     )
+    step, zero = _step(max_words), F.lit(0)
+    followed = held.filter(F.size("_all") > F.col("_n")).select(*own, "_piece", F.slice("_w", F.lit(1), F.col("_n")).alias("_w"))
+    followed = followed.withColumn("_last", F.size("_w") - F.array_position(F.reverse(F.transform("_w", lambda w: w["hard"])), True).cast("int") + 1)
+    known = F.aggregate(F.slice("_w", F.col("_last") + 1, F.size("_w")), zero, step)
+    table = F.transform(F.sequence(zero, F.lit(max_words - 1)), lambda s: F.aggregate("_w", s, step))
+    reset = F.col("_last") <= F.size("_w")
+    tables = followed.select(*own, "_piece", F.when(reset, F.array_repeat(known, F.lit(max_words))).otherwise(table).alias("_exit"))
     placed = held.join(folds.entry_states(tables, own, max_words), [*own, "_piece"], "left").withColumn("_entry", F.coalesce("_entry", zero))
 
     def walk(acc: Column, word: Column) -> Column:
-        opens = (acc["length"] == 0) | (acc["i"] == 1)
-        starts = F.when(opens, F.array_append(acc["starts"], acc["i"])).otherwise(acc["starts"])
+        starts = F.when(acc["length"] == 0, F.array_append(acc["starts"], acc["i"])).otherwise(acc["starts"])
         return F.struct(step(acc["length"], word).alias("length"), (acc["i"] + 1).alias("i"), starts.alias("starts"))
 
     first = F.struct(F.col("_entry").alias("length"), F.lit(1).alias("i"), F.array().cast("array<int>").alias("starts"))
-    walked = placed.select(*keys, "_w", "_entry", F.explode(F.array(F.aggregate("_w", first, walk, lambda acc: acc["starts"]))).alias("_starts"))
-    ends = F.array_append(F.slice(F.col("_starts"), F.lit(2), F.size("_starts")), F.size("_w") + 1)
-    cuts = walked.withColumn("_cut", F.explode(F.arrays_zip(F.col("_starts").alias("a"), ends.alias("b"))))
-    part = F.slice(F.col("_w"), F.col("_cut.a"), F.col("_cut.b") - F.col("_cut.a"))
-    begun = F.when(F.col("_cut.a") == 1, F.col("_entry")).otherwise(zero)
-    return cuts.select(*keys, (part[0]["ord"] - begun).cast("long").alias("seg"), part.alias("words"))
+    walked = placed.select(*keys, "_all", "_n", F.explode(F.array(F.aggregate("_w", first, walk, lambda acc: acc["starts"]))).alias("_starts"))
+    ends = F.array_append(F.slice(F.col("_starts"), F.lit(2), F.size("_starts")), F.size("_all") + 1)
+    cuts = walked.withColumn("_cut", F.explode(F.arrays_zip(F.col("_starts").alias("a"), ends.alias("b")))).filter(F.col("_cut.a") <= F.col("_n"))
+    part = F.slice(F.col("_all"), F.col("_cut.a"), F.col("_cut.b") - F.col("_cut.a"))
+    return cuts.select(*keys, F.get("_all", F.col("_cut.a") - 1)["ord"].cast("long").alias("seg"), part.alias("words"))
 
 
 def caption_positions(words: DataFrame, max_words: int = 5, keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
     """Words with ``seg``: the position of the first word of their caption."""
-    parts = _caption_parts(words, max_words, list(keys)).select(*keys, "seg", F.explode("words").alias("_w"))
+    parts = _captions(words, max_words, list(keys)).select(*keys, "seg", F.explode("words").alias("_w"))
     return parts.select(*keys, "_w.ord", "_w.word", "_w.start_s", "_w.end_s", "seg")
 
 
 def group_captions(words: DataFrame, max_words: int = 5, keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
     """Captions: (video_id, seg, start_s, end_s, n_words, text)."""
-    whole = _caption_parts(words, max_words, list(keys)).groupBy(*keys, "seg").agg(
-        F.sort_array(F.flatten(F.collect_list("words"))).alias("_w")
-    )
-    return whole.select(
-        *keys, "seg", F.col("_w")[0]["start_s"].alias("start_s"), F.element_at("_w", -1)["end_s"].alias("end_s"),
-        F.size("_w").cast("long").alias("n_words"), F.array_join("_w.word", " ").alias("text"),
+    return _captions(words, max_words, list(keys)).select(
+        *keys, "seg", F.col("words")[0]["start_s"].alias("start_s"), F.element_at("words", -1)["end_s"].alias("end_s"),
+        F.size("words").cast("long").alias("n_words"), F.array_join("words.word", " ").alias("text"),
     )
 
 
@@ -169,7 +168,7 @@ def better_transcript_run(runs: DataFrame) -> DataFrame:
 
 def interval_overlap_join(clips: DataFrame, segments: DataFrame, width: float = 30.0) -> DataFrame:
     """Segments (start_s, end_s) that overlap each clip (start_time, end_time), half-open."""
-    return overlap_join(clips, segments, "video_id", ("start_time", "end_time"), ("start_s", "end_s"), width=width)
+    return overlap_join(clips, segments, "video_id", ("start_time", "end_time"), ("start_s", "end_s"), width=width, look=("left",))
 
 
 def clip_text(clips: DataFrame, segments: DataFrame, order: str = "seg") -> DataFrame:
@@ -252,7 +251,7 @@ def _clip_relative(start: Column, end: Column) -> dict[str, Column]:
 def caption_cues(captions: DataFrame, clips: DataFrame) -> DataFrame:
     """Clip-relative caption times; empty cues are dropped."""
     held = caption_hold(captions)
-    pairs = overlap_join(clips, held, "video_id", ("start_time", "end_time"), ("start_s", "held_end_s"))
+    pairs = overlap_join(clips, held, "video_id", ("start_time", "end_time"), ("start_s", "held_end_s"), look=("left",))
     return pairs.withColumns(_clip_relative(F.col("start_s"), F.col("held_end_s"))).filter("cue_start < cue_end")
 
 
@@ -267,7 +266,7 @@ def word_cues(placed: DataFrame, clips: DataFrame) -> DataFrame:
     until = F.when(same | ((gap >= 0) & (gap <= PAUSE_S)), F.col("next_start_s")).otherwise(F.col("end_s"))
     spans = seen.withColumn("until_s", F.coalesce(until, F.col("end_s"))).drop("next_start_s", "next_seg")
     clip = clips.withColumnRenamed("ord", "clip_ord")
-    pairs = overlap_join(clip, spans, "video_id", ("start_time", "end_time"), ("start_s", "until_s"))
+    pairs = overlap_join(clip, spans, "video_id", ("start_time", "end_time"), ("start_s", "until_s"), look=("left",))
     return pairs.withColumns(_clip_relative(F.col("start_s"), F.col("until_s"))).filter("cue_start < cue_end")
 
 
