@@ -45,15 +45,18 @@ def clamp_word_overlaps(words: DataFrame) -> DataFrame:
     return seen.withColumn("end_s", end).drop("next_start_s")
 
 
-def _step(max_words: int):
-    """Caption length after a word, 0 when the caption ends there."""
+def _caption_pattern(max_words: int, whole: bool) -> str:
+    """One caption in a string of marks: ``h`` ends it, ``c`` does from the second word on, ``w`` only as the last of *max_words*.
 
-    def step(length: Column, word: Column) -> Column:
-        grown = length + 1
-        ends = word["hard"] | (grown >= max_words) | ((grown >= 2) & word["clause"])
-        return F.when(ends, F.lit(0)).otherwise(grown)
-
-    return step
+    With *whole*, captions that the string breaks off do not match.
+    """
+    if max_words == 1:
+        return "[hcw]"
+    more = "" if whole else "?"
+    tail = "[hcw]"
+    for _ in range(max_words - 2):
+        tail = f"(?:[hc]|w{tail}{more})"
+    return f"h|[cw]{tail}{more}"
 
 
 def _captions(words: DataFrame, max_words: int, keys: list[str]) -> DataFrame:
@@ -61,48 +64,51 @@ def _captions(words: DataFrame, max_words: int, keys: list[str]) -> DataFrame:
 
     Sentence ends, pauses and the last word always end a caption; else it ends at ``max_words``, or at a clause end with two or
     more words. That needs the running length, an automaton of ``max_words`` states that every hard end resets: words are held in pieces of
-    ``PIECE`` positions (which are consecutive), and the state in which a piece is left follows from the words behind its last
-    hard end. Only a piece without any is summarised as a table *entry state -> exit state*.
+    ``PIECE`` positions (which are consecutive) with one mark for each, a pattern cuts the marks into captions, and the state in which a piece
+    is left follows from the marks behind its last hard end. Only a piece without any is summarised as a table *entry state -> exit state*.
     A piece also holds the next ``max_words`` words, so it writes out whole captions: those that start in it.
     """
-    celled = with_cells(words, keys, {}).withColumns({"sentence": tx.ends_caption_sentence("word"), "clause": tx.ends_clause("word")})
+    mark = F.when(tx.ends_caption_sentence("word"), "h").when(tx.ends_clause("word"), "c").otherwise("w")
+    celled = with_cells(words, keys, {}).withColumn("mark", mark)
     own = [c for c in celled.columns if c.startswith(f"{CELL}_k")]
     at = F.floor(F.col("ord") / folds.PIECE)
     back = F.greatest(F.floor((F.col("ord") - max_words) / folds.PIECE), F.lit(0).cast("long"))
     spread = celled.withColumn("_piece", F.explode(F.sequence(F.least(back, at), at)))
     pieces = spread.groupBy(*own, "_piece").agg(
-        F.sort_array(F.collect_list(F.struct("ord", "word", "start_s", "end_s", "sentence", "clause"))).alias("_all"), *[F.first(k).alias(k) for k in keys]
+        F.sort_array(F.collect_list(F.struct("ord", "word", "start_s", "end_s", "mark"))).alias("_all"), *[F.first(k).alias(k) for k in keys]
     )
 
-    def flagged(w: Column, i: Column) -> Column:
-        coming = F.get("_all", i + 1)["start_s"]
-        hard = F.coalesce(coming.isNull() | w["sentence"] | (coming - w["end_s"] > PAUSE_S), F.lit(False))
-        return F.struct(hard.alias("hard"), w["clause"].alias("clause"))
+    def marked(w: Column, i: Column) -> Column:
+        gap = F.get("_all", i + 1)["start_s"] - w["end_s"]
+        return F.when((gap <= PAUSE_S) & (w["mark"] != "h"), w["mark"]).otherwise("h")
 
-    # The generator keeps flags from being worked out again inside the folds.
     held = pieces.select(
         *own, "_piece", *keys, "_all", F.least(F.size("_all"), (F.col("_piece") + 1) * folds.PIECE - F.col("_all")[0]["ord"]).cast("int").alias("_n"),
-        F.explode(F.array(F.transform("_all", flagged))).alias("_w"),
+        F.array_join(F.transform("_all", marked), "").alias("_marks"),
+    )
+    states = F.sequence(F.lit(0), F.lit(max_words - 1))
+
+    def left_over(marks: Column) -> Column:
+        return F.length(F.regexp_replace(marks, _caption_pattern(max_words, True), ""))
+
+    mine = F.substring("_marks", F.lit(1), F.col("_n"))
+    table = F.transform(states, lambda s: left_over(F.concat(F.repeat(F.lit("w"), s), mine)))
+    known = F.array_repeat(left_over(F.substring_index(mine, "h", -1)), F.lit(max_words))
+    tables = held.filter(F.size("_all") > F.col("_n")).select(*own, "_piece", F.when(F.contains(mine, F.lit("h")), known).otherwise(table).alias("_exit"))
+    placed = held.join(folds.entry_states(tables, own, max_words), [*own, "_piece"], "left").withColumn("_entry", F.coalesce("_entry", F.lit(0)))
+    # The words of an unfinished caption stand before the piece as plain marks.
+    found = F.regexp_extract_all(F.concat(F.repeat(F.lit("w"), F.col("_entry")), F.col("_marks")), F.lit(_caption_pattern(max_words, False)), F.lit(0))
+    cut = F.aggregate(
+        found, F.struct((1 - F.col("_entry")).alias("at"), F.array().cast("array<struct<at: int, n: int>>").alias("cuts")),
+        lambda acc, m: F.struct(
+            (acc["at"] + F.length(m)).alias("at"), F.array_append(acc["cuts"], F.struct(acc["at"].alias("at"), F.length(m).alias("n"))).alias("cuts")
+        ),
+        lambda acc: acc["cuts"],
     )
-    step, zero = _step(max_words), F.lit(0)
-    followed = held.filter(F.size("_all") > F.col("_n")).select(*own, "_piece", F.slice("_w", F.lit(1), F.col("_n")).alias("_w"))
-    followed = followed.withColumn("_last", F.size("_w") - F.array_position(F.reverse(F.transform("_w", lambda w: w["hard"])), True).cast("int") + 1)
-    known = F.aggregate(F.slice("_w", F.col("_last") + 1, F.size("_w")), zero, step)
-    table = F.transform(F.sequence(zero, F.lit(max_words - 1)), lambda s: F.aggregate("_w", s, step))
-    reset = F.col("_last") <= F.size("_w")
-    tables = followed.select(*own, "_piece", F.when(reset, F.array_repeat(known, F.lit(max_words))).otherwise(table).alias("_exit"))
-    placed = held.join(folds.entry_states(tables, own, max_words), [*own, "_piece"], "left").withColumn("_entry", F.coalesce("_entry", zero))
-
-    def walk(acc: Column, word: Column) -> Column:
-        starts = F.when(acc["length"] == 0, F.array_append(acc["starts"], acc["i"])).otherwise(acc["starts"])
-        return F.struct(step(acc["length"], word).alias("length"), (acc["i"] + 1).alias("i"), starts.alias("starts"))
-
-    first = F.struct(F.col("_entry").alias("length"), F.lit(1).alias("i"), F.array().cast("array<int>").alias("starts"))
-    walked = placed.select(*keys, "_all", "_n", F.explode(F.array(F.aggregate("_w", first, walk, lambda acc: acc["starts"]))).alias("_starts"))
-    ends = F.array_append(F.slice(F.col("_starts"), F.lit(2), F.size("_starts")), F.size("_all") + 1)
-    cuts = walked.withColumn("_cut", F.explode(F.arrays_zip(F.col("_starts").alias("a"), ends.alias("b")))).filter(F.col("_cut.a") <= F.col("_n"))
-    part = F.slice(F.col("_all"), F.col("_cut.a"), F.col("_cut.b") - F.col("_cut.a"))
-    return cuts.select(*keys, F.get("_all", F.col("_cut.a") - 1)["ord"].cast("long").alias("seg"), part.alias("words"))
+    opened = (F.col("_cut.at") > F.when(F.col("_entry") > 0, 1 - F.col("_entry")).otherwise(0)) & (F.col("_cut.at") <= F.col("_n"))
+    cuts = placed.select(*keys, "_all", "_n", "_entry", F.explode(cut).alias("_cut")).filter(opened)
+    part = F.slice(F.col("_all"), F.col("_cut.at"), F.col("_cut.n"))
+    return cuts.select(*keys, F.get("_all", F.col("_cut.at") - 1)["ord"].cast("long").alias("seg"), part.alias("words"))
 
 
 def caption_positions(words: DataFrame, max_words: int = 5, keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
