@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipmart.functions import text as tx
-from clipmart.functions.ordered import scan, time_bucket, with_cells, without_cells
+from clipmart.functions.ordered import CELL, first_per_key, scan, time_bucket, with_cells, without_cells
 from clipmart.functions.ranges import overlap_join
-from clipmart.session import ensure_checkpoint_dir
+from clipmart.session import ensure_checkpoint_dir, kept
 
 MIN_CLIP_S, MAX_CLIP_S = 30.0, 80.0
 SHORT_TOLERANCE = 0.9
@@ -133,28 +133,78 @@ def _islands(rows: DataFrame, key: str, span: list[str], touching: bool) -> Data
     return without_cells(scan(opened, [key], time_bucket(start), span, run_last={"_island": F.col("_open")})).drop("_open")
 
 
+#: Clips of a run that is folded as one array.
+RUN_CLIPS = 256
+
+
 def drop_overlapping_clips(clips: DataFrame, limit: float = MAX_OVERLAP) -> DataFrame:
     """Greedy by score: a clip goes when it overlaps a better kept clip by more than *limit* of the shorter.
 
-    Clips that share no time cannot decide about each other, so a video is cut into runs of
-    overlapping clips and each run is folded for itself, whatever the video's size.
+    Clips that share no time cannot decide about each other, so a video is cut into runs of overlapping clips. Short runs are
+    folded; of longer ones (``RUN_CLIPS``) the clips that clash are joined in pairs and decided in rounds (``_dropped_in_rounds``).
     """
     rows = clips.withColumn("_neg", -clip_score("viral_score"))
     # Empty and upside-down clips overlap nothing; null times neither.
     solid = F.coalesce(F.col("end_time") > F.col("start_time"), F.lit(False))
-    runs = _islands(rows.filter(solid), "video_id", ["start_time", "end_time"], touching=False)
-    payload = [c for c in rows.columns if c not in CLIP_ORDER and c != "video_id"]
-    ranked = runs.groupBy("video_id", "_island").agg(F.sort_array(F.collect_list(F.struct(*CLIP_ORDER, *payload))).alias("_all"))
-
-    def take(kept: Column, x: Column) -> Column:
+    runs = kept(_islands(rows.filter(solid), "video_id", ["start_time", "end_time"], touching=False))
+    sizes = runs.groupBy("video_id", "_island").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > RUN_CLIPS)
+    long = sizes.select(F.col("video_id").alias("_video"), F.col("_island").alias("_run"))
+    if long.isEmpty():
+        chosen = _folded_runs(runs, limit)
+    else:
+        same = F.col("video_id").eqNullSafe(F.col("_video")) & (F.col("_island") == F.col("_run"))
+        chosen = _folded_runs(runs.join(long, same, "left_anti"), limit).unionByName(_chosen_in_rounds(runs.join(long, same, "left_semi"), limit))
+    return chosen.select(*rows.columns).unionByName(rows.filter(~solid)).drop("_neg")
+
+
+def _folded_runs(runs: DataFrame, limit: float) -> DataFrame:
+    """The clips kept of runs that fit one array."""
+    payload = [c for c in runs.columns if c not in CLIP_ORDER and c != "video_id"]
+    ranked = runs.groupBy("video_id", F.col("_island").alias("_run")).agg(F.sort_array(F.collect_list(F.struct(*CLIP_ORDER, *payload))).alias("_all"))
+
+    def take(chosen: Column, x: Column) -> Column:
         clash = F.exists(
-            kept,
+            chosen,
             lambda k: _overlap_share(x["start_time"], x["end_time"], k["start_time"], k["end_time"]) > limit,
         )
-        return F.when(clash, kept).otherwise(F.array_append(kept, x))
+        return F.when(clash, chosen).otherwise(F.array_append(chosen, x))
+
+    return ranked.select("video_id", F.explode(F.aggregate("_all", F.slice(F.col("_all"), 1, 0), take)).alias("_c")).select("video_id", "_c.*")
+
 
-    kept = ranked.select("video_id", F.explode(F.aggregate("_all", F.slice(F.col("_all"), 1, 0), take)).alias("_c"))
-    return kept.select("video_id", "_c.*").select(*rows.columns).unionByName(rows.filter(~solid)).drop("_neg")
+def _chosen_in_rounds(runs: DataFrame, limit: float) -> DataFrame:
+    """The clips kept of long runs. Of clips with one and the same span only the best can stay, so only that one is paired."""
+    single = first_per_key(runs, ["video_id", "_island", "start_time", "end_time"], CLIP_ORDER)
+    rows = kept(single.withColumn("_id", F.monotonically_increasing_id()))
+    rank = F.struct(*CLIP_ORDER)
+    # Stand-ins for null keys, so that clips of no video meet as well.
+    keyed = with_cells(rows, ["video_id"], {})
+    group = F.struct(*[c for c in keyed.columns if c.startswith(f"{CELL}_k")])
+    a, b = (keyed.select(group.alias("_group"), F.col("_id").alias(f"_id_{s}"), rank.alias(f"_rank_{s}"), F.col("start_time").alias(f"_s_{s}"), F.col("end_time").alias(f"_e_{s}")) for s in "ab")
+    met = overlap_join(a, b, "_group", ("_s_a", "_e_a"), ("_s_b", "_e_b")).filter(F.col("_rank_a") < F.col("_rank_b"))
+    clash = _overlap_share(F.col("_s_a"), F.col("_e_a"), F.col("_s_b"), F.col("_e_b")) > limit
+    dropped = _dropped_in_rounds(met.filter(clash).select(F.col("_id_a").alias("better"), F.col("_id_b").alias("worse")))
+    return rows.join(dropped, "_id", "left_anti").drop("_id")
+
+
+def _dropped_in_rounds(clashes: DataFrame) -> DataFrame:
+    """(_id) of the clips that a kept one drops, from the pairs (better, worse) that clash.
+
+    In each round the clips that no open one beats are kept, and what they clash with is dropped; pairs with a dropped clip are
+    settled. A round decides all local bests at once: scores in any order take about log(n) rounds. The bound is the length of the
+    longest chain of clashing clips with falling rank, half of which rounds a run that only falls along time would take.
+    """
+    open_pairs, dropped = kept(clashes), []
+    while not open_pairs.isEmpty():
+        best = open_pairs.select(F.col("better").alias("_id")).distinct().join(open_pairs.select(F.col("worse").alias("_id")), "_id", "left_anti")
+        gone = kept(open_pairs.join(best, F.col("better") == F.col("_id"), "left_semi").select(F.col("worse").alias("_id")).distinct())
+        dropped.append(gone)
+        settled = open_pairs.join(gone, F.col("worse") == F.col("_id"), "left_anti").join(gone, F.col("better") == F.col("_id"), "left_anti")
+        open_pairs = kept(settled)
+    out = dropped[0] if dropped else clashes.select(F.col("worse").alias("_id"))
+    for more in dropped[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def drop_weak_clips(clips: DataFrame, minimum: int = MIN_SCORE) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Timelines of long clips, by links, against a plain walk over the samples."""
+"""Long series against plain walks: timelines by links, overlapping clips by rounds, range joins on levels."""
 
 import random
 
@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from clipmart.functions import links
+from clipmart.functions.ranges import overlap_join
+from clipmart.operators import clips as cl
 from clipmart.operators import speakers as sp
 
 SHAPE = "video_id long, ord long, idx long, t double, speakers array<string>"
@@ -79,3 +81,50 @@ def test_a_clip_of_a_million_samples(spark):
     got = sp.speaker_switch_timeline(samples, solo).toPandas().sort_values("idx")
     want = walked_switches(own, {"A"}, 2.0)
     assert got["layout"].tolist() == [w[1] for w in want] and got["speaker"].fillna("").tolist() == [w[2] or "" for w in want]
+
+
+# --- overlapping clips ------------------------------------------------------------------------
+def greedy(own, limit=0.25):
+    """Kept clips of (ord, start, end, score), best first; only the kept ones near a clip are looked at."""
+    near, out = {}, set()
+    for o, s, e, v in sorted(own, key=lambda r: (-r[3], r[0], r[1], r[2])):
+        cells = range(int(s // 100), int(e // 100) + 1)
+        others = {k for c in cells for k in near.get(c, ())}
+        if all(min(e, y) - max(s, x) <= limit * min(e - s, y - x) for x, y in others):
+            out.add((o, s, e, v))
+            for c in cells:
+                near.setdefault(c, set()).add((s, e))
+    return out
+
+
+def test_long_runs_of_overlapping_clips(spark, monkeypatch):
+    dealt = random.Random(3)
+    own = {1: [(i, 20.0 * i, 20.0 * i + dealt.choice([30.0, 45.0, 60.0]), dealt.randrange(100)) for i in range(100_000)]}
+    monkeypatch.setattr(cl, "RUN_CLIPS", 10)
+    # Copies, one clip over everything, a run that falls along time, a video without id, and short runs.
+    own[2] = [(i, 7.0 * (i // 3), 7.0 * (i // 3) + 25, dealt.randrange(4)) for i in range(90)] + [(500, 0.0, 900.0, 2)]
+    own[3] = [(i, 10.0 * i, 10.0 * i + 25, 50) for i in range(16)]
+    own[None] = [(i, 3.0 * i, 3.0 * i + 9, dealt.randrange(9)) for i in range(40)]
+    own[4] = [(i, 100.0 * i, 100.0 * i + 30, 7) for i in range(30)]
+    rows = [(v, *r) for v, r in own.items() for r in r]
+    clips = spark.createDataFrame(rows, "video_id long, ord long, start_time double, end_time double, viral_score int").repartition(8)
+    got = {tuple(r) for r in cl.drop_overlapping_clips(clips).collect()}
+    assert got == {(v, *r) for v, o in own.items() for r in greedy(o)}
+
+
+# --- range joins ------------------------------------------------------------------------------
+@pytest.mark.parametrize("look", [("left", "right"), ("left",), ()])
+@pytest.mark.parametrize("closed", [False, True])
+def test_spans_of_any_length_meet(spark, look, closed):
+    dealt = random.Random(4)
+    lengths = [0.0, 1.0, 29.0, 30.0, 500.0, 9000.0, 1e6, 1e12, -5.0]
+
+    def spans(n):
+        return [(dealt.randrange(3), i, s, s + dealt.choice(lengths)) for i in range(n) for s in [float(dealt.randrange(4000))]] + [(1, n, -50.0, 1e12)]
+
+    a, b = spans(60), spans(60)
+    left = spark.createDataFrame(a, "k long, i long, s double, e double")
+    right = spark.createDataFrame(b, "k long, j long, x double, y double")
+    got = sorted((r.i, r.j) for r in overlap_join(left, right, "k", ("s", "e"), ("x", "y"), closed=closed, look=look).collect())
+    hit = (lambda s, e, x, y: y >= s and x <= e) if closed else (lambda s, e, x, y: y > s and x < e)
+    assert got == sorted((i, j) for k, i, s, e in a for n, j, x, y in b if k == n and hit(s, e, x, y))
