@@ -23,15 +23,11 @@ class Streams(Tables):
         return super().raw(name)
 
 
-def finish(t, stream, mode, name, state_store=None):
-    return jobs.run_once(stream, scratch_path(t.spark, name), mode, state_store)
-
-
 @query("""select job_id, arg_max(status, (ts, event_id)) as status, arg_max(percent, (ts, event_id)) as percent
   from fx_job_events group by job_id""")
 def job_status_stream(t):
     events = Streams(t, "events").job_events
-    return finish(t, jobs.job_status(events), "complete", "job-status").select("job_id", "status", "percent")
+    return jobs.job_status(jobs.run_latest(events, scratch_path(t.spark, "job-status"), ["job_id"])).select("job_id", "status", "percent")
 
 
 CHANGES = """select job_id, event_id, status, percent from (select *, lag(state) over w as prev, max(case when status in
@@ -49,7 +45,7 @@ def job_changes(t):
 @query(CHANGES)
 def job_changes_stream(t):
     events = Streams(t, "events").job_events
-    return finish(t, jobs.job_changes_stream(events), "append", "job-changes", jobs.ROCKSDB)
+    return jobs.run_changes(jobs.job_changes_stream(events), scratch_path(t.spark, "job-changes")).drop("sealed")
 
 
 @query("""select user_id as run_id, arg_max(cast(floor(value) as bigint), (ts, event_id)) as current, 400 as total,
@@ -58,7 +54,7 @@ def pull_progress_stream(t):
     events = Streams(t, "events").events.select(
         F.col("user_id").alias("run_id"), "ts", "event_id", F.floor("value").alias("current"), F.lit(400).alias("total")
     )
-    return finish(t, jobs.pull_progress(events), "complete", "pull-progress")
+    return jobs.pull_progress(jobs.run_latest(events, scratch_path(t.spark, "pull-progress"), ["run_id"]))
 
 
 @query("""select strftime(start, '%Y-%m-%d %H:%M:%S') as start, count(*) as n, greatest(50 - count(*), 0) as remaining from (
@@ -66,14 +62,14 @@ def pull_progress_stream(t):
   group by 1""")
 def publish_rate_stream(t):
     events = Streams(t, "events").events.filter("event_type = 'purchase'").select(F.col("ts").cast("timestamp").alias("ts"))
-    out = finish(t, jobs.publish_rate(events), "complete", "publish-rate")
+    out = jobs.run_windows(jobs.publish_rate(events), scratch_path(t.spark, "publish-rate"), ["start"])
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "remaining")
 
 
 @query("""select strftime(ts + interval '330' minute, '%Y-%m-%d') as day, count(*) as uploads from events group by 1""")
 def daily_upload_stream(t):
     events = Streams(t, "events").events.select(F.col("ts").cast("timestamp").alias("ts"))
-    out = finish(t, jobs.daily_uploads(events, "Asia/Kolkata"), "complete", "daily-uploads")
+    out = jobs.run_windows(jobs.daily_uploads(events, "Asia/Kolkata"), scratch_path(t.spark, "daily-uploads"), ["day"])
     return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "uploads")
 
 
@@ -83,12 +79,12 @@ def daily_upload_stream(t):
   group by video_id, b""")
 def speech_sessions_stream(t):
     words = Streams(t, "documents").words
-    return finish(t, jobs.speech_sessions(words), "complete", "speech-sessions").select("video_id", "start_s", "end_s", "n_words")
+    return jobs.run_sessions(jobs.speech_sessions(words), scratch_path(t.spark, "speech-sessions")).select("video_id", "start_s", "end_s", "n_words")
 
 
 @query("""select h.video_id, h.title, p.views, p.channel_id from fx_history h left join fx_performance p on p.video_id = h.video_id""")
 def performance_refresh_stream(t):
     history = Streams(t, "orders").history
     clips = t.performance.select("video_id", "views", "channel_id")
-    out = finish(t, jobs.performance_refresh(history, clips), "append", "performance-refresh")
+    out = jobs.run_once(jobs.performance_refresh(history, clips), scratch_path(t.spark, "performance-refresh"))
     return out.select("video_id", "title", "views", "channel_id")
