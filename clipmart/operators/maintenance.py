@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipmart.functions.ordered import first_per_key, last_per_key
@@ -259,8 +259,14 @@ def history_rows(uploads: DataFrame, tz: str) -> DataFrame:
     return uploads.withColumn("date", F.to_date(local)).withColumn("uploaded_local", local)
 
 
-def append_history(uploads: DataFrame, tz: str, path: str) -> None:
-    history_rows(uploads, tz).write.mode("append").parquet(path)
+def append_history(uploads: DataFrame, tz: str, path: str, batch: str) -> None:
+    """Append a batch of uploads; a retry of the batch replaces what it wrote before, so it counts once."""
+    history_rows(uploads, tz).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """All batches of the upload history."""
+    return spark.read.option("basePath", path).parquet(path).drop("batch")
 
 
 def add_manual_videos(
@@ -332,35 +338,59 @@ REFERENCES = [
 
 
 def catalogue_constraints(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Violations of unique, allowed-value, required and reference rules: (rule, table_name, key, n)."""
-    reports = []
-
-    def report(rule: str, table: str, bad: DataFrame, keys: Sequence[str]) -> None:
-        key = F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
-        reports.append(
-            bad.groupBy(key.alias("key")).agg(F.count("*").alias("n")).select(
-                F.lit(rule).alias("rule"), F.lit(table).alias("table_name"), "key", "n"
-            )
-        )
+    """Violations of unique, allowed-value, required and reference rules: (rule, table_name, key, n).
 
-    for table, keys in UNIQUE.items():
-        if table in tables:
-            key = F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
-            counts = tables[table].groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
-            reports.append(counts.select(F.lit("unique").alias("rule"), F.lit(table).alias("table_name"), key.alias("key"), "n"))
-    for (table, column), values in ALLOWED.items():
-        if table in tables:
-            report(f"allowed:{column}", table, tables[table].filter(~F.col(column).isin(*values)), [column])
-    for table, column in REQUIRED:
-        if table in tables and column in tables[table].columns:
-            report(f"required:{column}", table, tables[table].filter(F.col(column).isNull()), UNIQUE[table])
-    for table, column, parent in REFERENCES:
-        if table in tables and parent in tables:
-            parent_key = UNIQUE[parent][0]
-            ids = tables[parent].select(F.col(parent_key).alias(column))
-            orphans = tables[table].filter(F.col(column).isNotNull()).join(ids, column, "left_anti")
-            report(f"reference:{column}", table, orphans, [column])
-    out = reports[0]
-    for other in reports[1:]:
-        out = out.unionByName(other)
-    return out
+    Each table is read once: its rows tell which keys they hold, which they refer to and which of their values are bad. One
+    aggregate over (entity, key) then sees duplicates (held twice), orphans (referred to, not held) and bad values together.
+    """
+    told = [c for t, df in tables.items() if (c := _claims(t, df, tables)) is not None]
+    union = told[0]
+    for other in told[1:]:
+        union = union.unionByName(other)
+    role = F.col("role")
+    references = [r for r in REFERENCES if r[0] in tables and r[2] in tables]
+    counts = union.groupBy("entity", "key").agg(
+        F.count_if(role == "own").alias("own"), F.count_if(role == "bad").alias("bad"),
+        *[F.count_if(role == f"{t}.{c}").alias(f"_ref{i}") for i, (t, c, _) in enumerate(references)],
+    )
+    part = F.split("entity", " ")
+
+    def finding(when: Column, rule: Column, table: Column, n: str) -> Column:
+        return F.when(when, F.struct(rule.alias("rule"), table.alias("table_name"), F.col(n).cast("long").alias("n")))
+
+    findings = [
+        finding(F.col("own") > 1, F.lit("unique"), F.col("entity"), "own"),
+        finding(F.col("bad") > 0, F.get(part, F.lit(0)), F.get(part, F.lit(1)), "bad"),
+        *[
+            finding((F.col(f"_ref{i}") > 0) & (F.col("own") == 0), F.lit(f"reference:{c}"), F.lit(t), f"_ref{i}")
+            for i, (t, c, _) in enumerate(references)
+        ],
+    ]
+    found = counts.select("key", F.explode(F.array_compact(F.array(*findings))).alias("_f"))
+    return found.select("_f.rule", "_f.table_name", F.translate("key", _SEPARATOR, "/").alias("key"), "_f.n")
+
+
+#: Stands between the parts of a key while rows are grouped.
+_SEPARATOR = "\x01"
+
+
+def _claims(table: str, rows: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame | None:
+    """(entity, key, role) of a table's rows: what they hold (``own``), refer to (``table.column``) and get wrong (``bad``)."""
+    key = lambda *names: F.concat_ws(_SEPARATOR, *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in names])
+
+    def claim(entity: str, value: Column, role: str) -> Column:
+        return F.struct(F.lit(entity).alias("entity"), value.alias("key"), F.lit(role).alias("role"))
+
+    claims = [claim(table, key(*UNIQUE[table]), "own")] if table in UNIQUE else []
+    for (t, column), values in ALLOWED.items():
+        if t == table:
+            claims.append(F.when(~F.col(column).isin(*values), claim(f"allowed:{column} {t}", key(column), "bad")))
+    for t, column in REQUIRED:
+        if t == table and column in rows.columns:
+            claims.append(F.when(F.col(column).isNull(), claim(f"required:{column} {t}", key(*UNIQUE[t]), "bad")))
+    for t, column, parent in REFERENCES:
+        if t == table and parent in tables:
+            claims.append(F.when(F.col(column).isNotNull(), claim(parent, key(column), f"{t}.{column}")))
+    if not claims:
+        return None
+    return rows.select(F.explode(F.array_compact(F.array(*claims))).alias("_c")).select("_c.*")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from clipmart.operators import maintenance as m
 from clipmart.plans.snapshot import apply_playlist_pull
+from clipmart.sources.files import scratch_path
 from clipmart.workload.catalogue_queries import stamp
 from clipmart.workload.registry import query
 
@@ -203,7 +204,13 @@ def requeue_stranded(t):
 @query("""select video_id, strftime(uploaded_at + interval '330' minute, '%Y-%m-%d') as date,
   strftime(uploaded_at + interval '330' minute, '%Y-%m-%d %H:%M:%S') as uploaded_local from fx_history""")
 def append_history(t):
-    rows = m.history_rows(t.history, "Asia/Kolkata")
+    path = scratch_path(t.spark, "upload-history")
+    halves = [t.history.filter(f"video_id % 2 = {i}") for i in (0, 1)]
+    m.append_history(halves[0], "Asia/Kolkata", path, "0")
+    m.append_history(halves[1], "Asia/Kolkata", path, "1")
+    # The second batch runs again, as after a failure.
+    m.append_history(halves[1], "Asia/Kolkata", path, "1")
+    rows = m.read_history(t.spark, path)
     return rows.select("video_id", F.date_format("date", "yyyy-MM-dd").alias("date"), stamp("uploaded_local"))
 
 
