@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from clipmart.operators import catalogue as cat
 from clipmart.operators import maintenance as m
+from clipmart.session import kept
 
 
 def apply_playlist_pull(
     tables: Mapping[str, DataFrame], entries: DataFrame, now: str, headers: DataFrame | None = None, fast: bool = False
 ) -> dict[str, DataFrame]:
-    """Merge a pull into the catalogue.
+    """Merge a pull into the catalogue. The entries are written out once, and all outputs start from there.
 
     ``entries`` holds one row per (source, position) with the video's metadata and ``run_id``.
     Entries of known videos without metadata (``fast``) still link and count. ``headers``, one row per pulled
@@ -22,6 +23,7 @@ def apply_playlist_pull(
     renews the playlists and their owners. Runs that are not there yet are opened, all are closed.
     Returns the new tables and ``stats`` (found, added, known, missing per run).
     """
+    entries = kept(entries)
     stats = cat.pull_run_stats(entries, tables["videos"], tables["source_videos"]).join(
         entries.groupBy("source_id").agg(F.max("run_id").alias("run_id")), "source_id"
     )

@@ -265,25 +265,81 @@ def catalogue_constraints(t):
     )
 
 
-PULLED = f"""with linked as ({LINK_SQL})
-  select source_id, count(*) as links, sum(case when is_present then 1 else 0 end) as present,
-  sum(case when was_present and not is_present then 1 else 0 end) as newly_missing, sum(fresh) as fresh from (
-   select k.source_id, k.is_present as was_present, case when k.first_seen_run = 9999 then 1 else 0 end as fresh,
-   k.is_present and (k.last_seen_run = 9999 or k.source_id not in (select source_id from fx_incoming)) as is_present
-   from linked k) group by source_id"""
+# A fast pull brings no metadata for videos that are known; playlists bring headers with their owners.
+PULLED = f"""with inc as (select source_id, position, video_id, source_id * 1000 + 999 as run_id, {", ".join(
+    f"case when video_id not in (select video_id from fx_videos) then {c} end as {c}"
+    for c in ("title", "duration_seconds", "channel_id", "channel_name", "handle")
+  )} from fx_incoming),
+  cb as (select channel_id, channel_name as name, handle, source_id as s, position as p from inc where channel_id is not null
+    union all select source_id * 5, concat('Owner ', source_id), null, -1, -1 from fx_sources where source_type = 'playlist'),
+  cf as (select channel_id, arg_max(name, (s, p)) filter (where name is not null) as name,
+    arg_max(handle, (s, p)) filter (where handle is not null) as handle from cb group by 1),
+  vf as (select video_id, {", ".join(f"arg_max({c}, (source_id, position)) filter (where {c} is not null) as {c}" for c in ("title", "duration_seconds", "channel_id"))}
+    from inc group by 1),
+  lf as (select source_id, video_id, max(position) as position, max(run_id) as run_id from inc group by 1, 2),
+  st as (select i.source_id, max(i.run_id) as run_id, count(*) as found, coalesce(any_value(a.added), 0) as added, coalesce(any_value(g.missing), 0) as missing
+    from inc i left join (select source_id, count(*) as added from (select source_id, row_number() over (partition by video_id
+      order by source_id, position) as rn from inc where video_id not in (select video_id from fx_videos)) where rn = 1 group by 1) a using (source_id)
+    left join (select source_id, count(*) as missing from fx_source_videos l where is_present and source_id in (select source_id from inc)
+      and not exists (select 1 from inc x where x.source_id = l.source_id and x.video_id = l.video_id) group by 1) g using (source_id) group by 1)
+  select 'channels' as table_name, cast(coalesce(b.channel_id, c.channel_id) as varchar) as key,
+    concat_ws('|', coalesce(b.name, c.name, '-'), coalesce(b.handle, c.handle, '-'), c.channel_id is null) as value
+    from fx_channels c full join cf b on b.channel_id = c.channel_id
+  union all select 'videos', cast(coalesce(b.video_id, v.video_id) as varchar), concat_ws('|', case when v.video_id is null then
+    coalesce(b.title, 'Untitled') else coalesce(b.title, v.title) end, coalesce(b.duration_seconds, v.duration_seconds, -1),
+    coalesce(b.channel_id, v.channel_id, -1), v.video_id is null) from fx_videos v full join vf b on b.video_id = v.video_id
+  union all select 'video_status', cast(video_id as varchar), status from (select video_id, status from fx_video_status
+    union all select distinct video_id, 'unused' from inc where video_id not in (select video_id from fx_video_status))
+  union all select 'pull_run_videos', concat_ws('/', run_id, video_id), cast(position as varchar) from (select run_id, video_id, position
+    from fx_pull_run_videos union all select run_id, video_id, min(position) from inc group by 1, 2)
+  union all select 'source_videos', concat_ws('/', coalesce(b.source_id, l.source_id), coalesce(b.video_id, l.video_id)), concat_ws('|',
+    coalesce(l.first_seen_run, b.run_id), coalesce(b.run_id, l.last_seen_run), b.source_id is not null or (l.is_present and
+    l.source_id not in (select source_id from inc)), b.source_id is null and l.is_present and l.source_id in (select source_id from inc),
+    case when b.source_id is null then '-' else 'playlist_pull_fast' end)
+    from fx_source_videos l full join lf b on b.source_id = l.source_id and b.video_id = l.video_id
+  union all select 'pull_runs', cast(run_id as varchar), concat_ws('|', source_id, status, found, added, missing) from (
+    select run_id, source_id, status, videos_found as found, 0 as added, 0 as missing from fx_pull_runs
+    union all select run_id, source_id, 'success', found, added, missing from st)
+  union all select 'sources', concat(source_type, ':', source_id), concat_ws('|', case when source_type = 'playlist' then concat('Pulled ', title)
+    else title end, coalesce(case when source_id in (select source_id from inc) then '{NOW}' end, '-')) from fx_sources
+  union all select 'stats', cast(source_id as varchar), concat_ws('|', found, added, found - added, missing) from st"""
+
+
+def told(name: str, key: list[str], values: list, out):
+    """Rows of one table as (table_name, key, value)."""
+    shown = [F.coalesce((F.col(v) if isinstance(v, str) else v).cast("string"), F.lit(none)) for v, none in values]
+    return out[name].select(F.lit(name).alias("table_name"), F.concat_ws("/", *key).alias("key"), F.concat_ws("|", *shown).alias("value"))
 
 
 @query(PULLED)
 def apply_playlist_pull(t, run=apply_playlist_pull):
+    sources = t.sources.withColumn("source_key", F.concat_ws(":", "source_type", "source_id"))
     tables = {
         "channels": aged(t.channels), "videos": aged(t.videos), "video_status": t.video_status,
-        "pull_run_videos": t.pull_run_videos, "source_videos": links(t), "pull_runs": t.pull_runs, "sources": t.sources,
+        "pull_run_videos": t.pull_run_videos, "source_videos": links(t), "pull_runs": t.pull_runs, "sources": aged(sources),
     }
-    out = run(tables, t.incoming.withColumn("run_id", F.lit(9999).cast("long")), NOW)
-    rows = out["source_videos"]
-    return rows.groupBy("source_id").agg(
-        F.count("*").alias("links"),
-        F.sum(F.col("is_present").cast("int")).alias("present"),
-        F.sum(F.when(F.col("missing_since").isNotNull(), 1).otherwise(0)).alias("newly_missing"),
-        F.sum(F.when(F.col("first_seen_run") == 9999, 1).otherwise(0)).alias("fresh"),
+    known = t.videos.select("video_id", F.lit(True).alias("known"))
+    metadata = ("title", "duration_seconds", "channel_id", "channel_name", "handle")
+    entries = next_run(t).join(known, "video_id", "left").withColumns({c: F.when(F.col("known").isNull(), F.col(c)) for c in metadata})
+    headers = sources.filter("source_type = 'playlist'").select(
+        "source_key", F.concat(F.lit("Pulled "), "title").alias("title"), "url", (F.col("source_id") * 5).alias("owner_channel_id"),
+        F.concat(F.lit("Owner "), F.col("source_id").cast("string")).alias("owner_channel_name"), F.lit(None).cast("string").alias("owner_channel_url"),
     )
+    out = run(tables, entries.drop("known"), NOW, headers, fast=True)
+    counts = [(c, "0") for c in ("videos_found", "videos_added", "videos_missing")]
+    parts = [
+        told("channels", ["channel_id"], [("name", "-"), ("handle", "-"), ("was_new", "-")], out),
+        told("videos", ["video_id"], [("title", "-"), ("duration_seconds", "-1"), ("channel_id", "-1"), ("was_new", "-")], out),
+        told("video_status", ["video_id"], [("status", "-")], out),
+        told("pull_run_videos", ["run_id", "video_id"], [("position", "-")], out),
+        told("source_videos", ["source_id", "video_id"], [
+            ("first_seen_run", "-"), ("last_seen_run", "-"), ("is_present", "-"), (F.col("missing_since").isNotNull(), "-"), ("metadata_source", "-"),
+        ], out),
+        told("pull_runs", ["run_id"], [("source_id", "-"), ("status", "-"), *counts], out),
+        told("sources", ["source_key"], [("title", "-"), (stamp("last_pulled_at"), "-")], out),
+        told("stats", ["source_id"], [*counts[:2], ("videos_already_exists", "0"), counts[2]], out),
+    ]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every
