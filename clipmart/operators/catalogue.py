@@ -310,12 +310,20 @@ def recently_used(videos: DataFrame, status: DataFrame, limit: int = 100) -> Dat
     )
 
 
-def random_unused(videos: DataFrame, status: DataFrame, seed: str = "0", pool: int = 50) -> DataFrame:
-    """One repeatable random pick among the newest unused videos."""
+def random_unused(
+    videos: DataFrame, status: DataFrame, links: DataFrame, sources: DataFrame, seed: str = "0", pool: int = 50
+) -> DataFrame:
+    """One repeatable random pick among the newest unused videos, with the sources it appears in.
+
+    A video is as new as its publication, else its upload date, else its row.
+    """
     unused = videos.join(status.filter("status = 'unused'").select("video_id", "status"), "video_id")
-    newest = unused.orderBy(F.desc(F.coalesce(F.col("upload_date").cast("timestamp"), "created_at")), "video_id")
+    dates = [F.col(c).cast("timestamp") for c in ("published_at", "upload_date", "created_at") if c in videos.columns]
+    newest = unused.orderBy(F.desc(F.coalesce(*dates)), "video_id")
     lot = F.md5(F.concat_ws("-", F.lit(seed), F.col("video_id").cast("string")))
-    return newest.limit(pool).orderBy(lot).limit(1)
+    pick = newest.limit(pool).orderBy(lot).limit(1)
+    # The sources of one video are read, not those of all.
+    return pick.join(nested_sources(links.join(pick.select("video_id"), "video_id", "left_semi"), sources), "video_id", "left")
 
 
 def recent_pull_runs(pulls: DataFrame, limit: int = 50) -> DataFrame:

@@ -305,6 +305,12 @@ def enqueue_slots(
     )
 
 
+def best_first(manifest: DataFrame) -> DataFrame:
+    """References for ``enqueue_slots`` to all rendered clips: job by job, each job's clips best first."""
+    order = F.struct("job_id", (-F.coalesce("viral_score", F.lit(0))).alias("score"))
+    return manifest.filter("status = 'success'").select("job_id", "rank", order.alias("ord"))
+
+
 def instagram_slots(
     pending: DataFrame, manifest: DataFrame, now: str | Column, interval_h: float,
     order: Sequence[str] = MANIFEST_ORDER,

@@ -183,10 +183,11 @@ def stable_face_count(samples: DataFrame, window_rows: int = SMOOTH_SAMPLES) ->
     return seen.withColumn("stable_count", -F.array_max(votes)["neg"]).drop("_recent")
 
 
-def confirmed_runs(series: DataFrame, hold: int) -> DataFrame:
+def confirmed_runs(series: DataFrame, hold: int, absent_hold: int | None = None) -> DataFrame:
     """A new value counts only once it has lasted *hold* samples; the change is dated back to its start.
 
-    ``series``: (clip_id, idx, value) without gaps. The first value counts at once.
+    ``series``: (clip_id, idx, value) without gaps. The first value counts at once. A null value (nobody is there) has a hold of its own,
+    *absent_hold*, so that a short loss of a face does not drop the person.
     """
     bucket = position_bucket("idx")
     seen = scan(with_cells(series, ["clip_id"], bucket), ["clip_id"], bucket, ["idx"], lag=["idx", "value"])
@@ -198,8 +199,9 @@ def confirmed_runs(series: DataFrame, hold: int) -> DataFrame:
     lengths = runs.groupBy("clip_id", "_run").agg(
         F.count("*").alias("_n"), F.max("_first").alias("_first"), F.first("value").alias("_value")
     )
-    kept = F.when(F.col("_first") | (F.col("_n") >= hold), F.struct("_value"))
-    states = scan(lengths, ["clip_id"], position_bucket("_run"), ["_run"], run_last={"_kept": kept})
+    needed = F.when(F.col("_value").isNull(), hold if absent_hold is None else absent_hold).otherwise(hold)
+    lasting = F.when(F.col("_first") | (F.col("_n") >= needed), F.struct("_value"))
+    states = scan(lengths, ["clip_id"], position_bucket("_run"), ["_run"], run_last={"_kept": lasting})
     return runs.join(states.select("clip_id", "_run", "_kept"), ["clip_id", "_run"]).select(
         *series.columns, F.col("_kept._value").alias("confirmed")
     )

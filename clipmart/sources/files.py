@@ -44,6 +44,11 @@ def _payloads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).withColumnRenamed("value", "payload")
 
 
+def read_recipes(spark: SparkSession, path: str) -> DataFrame:
+    """Recipes as they are written, one file each (``payload``)."""
+    return _payloads(spark, path).select("payload")
+
+
 def read_story_sources(spark: SparkSession, path: str) -> DataFrame:
     return ingest.story_sources(_payloads(spark, path))
 

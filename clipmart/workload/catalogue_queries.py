@@ -233,11 +233,17 @@ def recently_used(t):
     return cat.recently_used(t.videos, t.video_status).select("video_id", "title", stamp("used_at"))
 
 
-@query("""select video_id, title from (select v.video_id, v.title from fx_videos v join fx_video_status st using (video_id)
-  where st.status = 'unused' order by v.upload_date desc, v.video_id limit 50)
-  order by md5(concat('7-', video_id)) limit 1""")
+@query("""with pick as (select video_id, title from (select v.video_id, v.title from fx_videos v join fx_video_status st using (video_id)
+   where st.status = 'unused' order by case when v.video_id % 3 = 0 then timestamp '2020-06-01' + v.video_id * interval '7' hour
+     else v.upload_date end desc, v.video_id limit 50)
+  order by md5(concat('7-', video_id)) limit 1)
+  select video_id, title, (select string_agg(concat(s.source_type, ':', s.source_id), ',' order by s.source_type, s.title, s.source_id)
+    from fx_source_videos l join fx_sources s using (source_id) where l.video_id = pick.video_id) as sources from pick""")
 def random_unused(t):
-    return cat.random_unused(t.videos, t.video_status, seed="7").select("video_id", "title")
+    published = F.when(F.col("video_id") % 3 == 0, F.expr("timestamp '2020-06-01' + make_dt_interval(0, cast(video_id * 7 as int))"))
+    out = cat.random_unused(t.videos.withColumn("published_at", published), t.video_status, t.source_videos, t.sources, seed="7")
+    shown = F.transform("sources", lambda s: F.concat_ws(":", s["source_type"], s["source_id"].cast("string")))
+    return out.select("video_id", "title", F.when(F.col("sources").isNotNull(), F.array_join(shown, ",")).alias("sources"))
 
 
 @query("select run_id, source_id, status from fx_pull_runs order by run_id desc limit 50")

@@ -252,6 +252,18 @@ def enqueue_slots(t):
     return out.select("job_id", "rank", stamp("scheduled_at"))
 
 
+@query(f"""with taken as (select job_id, rank from fx_upload_queue where status <> 'failed'),
+  fresh as (select m.job_id, m.rank, m.viral_score from fx_manifest m where status = 'success' and
+    not exists (select 1 from taken k where k.job_id = m.job_id and k.rank = m.rank)),
+  base as (select greatest(timestamp '{NOW}', max(try_cast(scheduled_at as timestamp))) as t from fx_upload_queue
+    where status = 'queued')
+  select job_id, rank, {ts("(select t from base) + (row_number() over (order by job_id, coalesce(viral_score, 0) desc, rank) - 1) * interval '30' minute")}
+  as scheduled_at from fresh""")
+def enqueue_job_clips(t):
+    out = pub.enqueue_slots(t.upload_queue, pub.best_first(t.manifest), t.manifest, NOW, 30)
+    return out.select("job_id", "rank", stamp("scheduled_at"))
+
+
 @query(f"""with last as (select max(ig_published_at) as t from fx_manifest), p as (select job_id, rank,
     row_number() over (order by job_id, rank) as i from fx_manifest where ig_media_id is null)
   select job_id, rank, case when i = 1 then 'published' else 'deferred' end as outcome,

@@ -197,23 +197,38 @@ def write_rows(t):
     return t.spark.read.parquet(path)
 
 
-@query("""select cast(v.video_id as varchar) as video_id, v.title, cast(v.duration_seconds as varchar) as duration_seconds,
-  coalesce(s.status, 'unused') as status, s.clip_title from fx_videos v left join fx_video_status s using (video_id)""")
+@query("""select cast(v.video_id as varchar) as video_id, v.title, v.url, cast(v.duration_seconds as varchar) as duration_seconds,
+  strftime(v.upload_date, '%Y-%m-%d') as upload_date, v.channel_name, null :: varchar as channel_url, coalesce(s.status, 'unused') as status,
+  strftime(s.used_at, '%Y-%m-%dT%H:%M:%S.000Z') as used_at, s.clip_title, s.notes, null :: varchar as local_output_path,
+  null :: varchar as published_url from fx_videos v left join fx_video_status s using (video_id)""")
 def export_videos_csv(t):
     path = io.scratch_path(t.spark, "videos-csv")
     io.export_videos_csv(t.videos, t.video_status, path)
-    rows = t.spark.read.option("header", True).csv(path)
-    return rows.select("video_id", "title", "duration_seconds", "status", "clip_title")
+    return t.spark.read.option("header", True).csv(path).select(*io.CSV_COLUMNS)
 
 
-@query("""select (select count(*) from fx_sources) as total_sources, count(*) as total_videos,
-  (select count(*) from fx_channels) as total_channels, count(*) filter (where status = 'used') as total_used
-  from fx_videos left join fx_video_status using (video_id)""")
+@query("""select 'stats' as dataset, 'all' as key, concat_ws('|', (select count(*) from fx_sources), count(*), (select count(*) from fx_channels),
+   count(*) filter (where status = 'used')) as value from fx_videos left join fx_video_status using (video_id)
+  union all select 'sources', cast(s.source_id as varchar), concat_ws('|', s.title, count(distinct l.video_id),
+   count(*) filter (where st.status = 'used')) from fx_sources s left join fx_source_videos l using (source_id)
+   left join fx_video_status st on st.video_id = l.video_id group by s.source_id, s.title
+  union all select 'videos', cast(video_id as varchar), concat_ws('|', title, coalesce(status, 'unused')) from fx_videos
+   left join fx_video_status using (video_id)""")
 def export_snapshot_json(t):
     path = io.scratch_path(t.spark, "snapshot")
     io.export_snapshot_json(t.sources, t.videos, t.channels, t.video_status, t.source_videos, path)
-    shape = "total_sources bigint, total_videos bigint, total_channels bigint, total_used bigint"
-    return t.spark.read.schema(shape).json(f"{path}/stats")
+
+    def dataset(name, shape, key, *values):
+        rows = t.spark.read.schema(shape).json(f"{path}/{name}")
+        return rows.select(F.lit(name).alias("dataset"), key.cast("string").alias("key"), F.concat_ws("|", *values).alias("value"))
+
+    stats = dataset(
+        "stats", "total_sources bigint, total_videos bigint, total_channels bigint, total_used bigint", F.lit("all"),
+        "total_sources", "total_videos", "total_channels", "total_used",
+    )
+    sources = dataset("sources", "source_id bigint, title string, total_videos bigint, used_count bigint", F.col("source_id"), "title", "total_videos", "used_count")
+    videos = dataset("videos", "video_id bigint, title string, status string", F.col("video_id"), "title", "status")
+    return stats.unionByName(sources).unionByName(videos)
 
 
 @query("""select l_orderkey as asset_id, l_partkey as link from (select *, row_number() over (partition by l_orderkey order by
@@ -275,11 +290,13 @@ def story_transcript_index(t):
     return st.story_transcript_index(t.story_sources, t.scenes)
 
 
-@query("""select rule, key, count(*) as n from (
+SOURCE_RULES = """select rule, key, count(*) as n from (
   select 'source: unknown platform' as rule, cast(source_id as varchar) as key from fx_story_sources where platform = 'vimeo'
   union all select 'source: local without path', cast(source_id as varchar) from fx_story_sources where platform = 'local' and local_path is null
-  union all select 'source: no url', cast(source_id as varchar) from fx_story_sources where platform not in ('local', 'vimeo') and url is null
-  union all select 'scene: only one time', concat_ws('/', clip_id, section, scene_idx) from fx_scenes where (start_s is null) <> (end_s is null)
+  union all select 'source: no url', cast(source_id as varchar) from fx_story_sources where platform not in ('local', 'vimeo') and url is null"""
+
+
+@query(SOURCE_RULES + """  union all select 'scene: only one time', concat_ws('/', clip_id, section, scene_idx) from fx_scenes where (start_s is null) <> (end_s is null)
   union all select 'scene: end before start', concat_ws('/', clip_id, section, scene_idx) from fx_scenes where end_s <= start_s
   union all select 'scene: unknown source', concat_ws('/', clip_id, section, scene_idx) from fx_scenes
     where source_id not in (select source_id from fx_story_sources)
@@ -290,6 +307,42 @@ def story_validation(t):
     return st.story_validation(t.story_sources, t.scenes).groupBy("rule", "key").agg(F.count("*").alias("n"))
 
 
+# Recipes as files: some ids are repeated or are no integers, some times are no numbers.
+RECIPES = """with c as (select *, case when clip_id % 40 = 1 then clip_id - 1 else clip_id end as id, clip_id // 4000 as recipe,
+    row_number() over (partition by clip_id, section order by scene_idx, source_id, start_s nulls first, end_s nulls first) - 1 as i, scene_idx = 3 and clip_id % 7 = 0 as soon from fx_scenes),
+  s as (select *, concat_ws('/', id, section, i) as place from c),
+  clips as (select clip_id, id, recipe, count(*) filter (where section = 'hook') as h, count(*) filter (where section = 'highlight') as g from s group by 1, 2, 3)
+"""
+
+
+@query(RECIPES + SOURCE_RULES + """
+  union all select 'clip: id is no integer', cast(id as varchar) from clips where clip_id % 60 = 5
+  union all select 'clip: no hook scenes', cast(id as varchar) from clips where h = 0
+  union all select 'clip: no highlight scenes', cast(id as varchar) from clips where g = 0
+  union all select 'clip: duplicate id', cast(id as varchar) from clips group by recipe, id having count(*) > 1
+  union all select 'scene: only one time', place from s where (start_s is null and not soon) <> (end_s is null)
+  union all select 'scene: time is no number', place from s where soon
+  union all select 'scene: end before start', place from s where end_s <= start_s and not soon
+  union all select 'scene: unknown source', place from s where source_id not in (select source_id from fx_story_sources)) group by rule, key""")
+def recipe_validation(t):
+    time = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    start = F.when(F.expr("scene_idx = 3 and clip_id % 7 = 0"), '"soon"').otherwise(time("start_s"))
+    scene = F.concat(F.lit('{"source_id": "'), F.col("source_id").cast("string"), F.lit('", "start": '), start, F.lit(', "end": '), time("end_s"), F.lit("}"))
+    entry = F.struct("scene_idx", "source_id", "start_s", "end_s", scene.alias("text"))
+    clips = t.scenes.groupBy("clip_id").agg(
+        *[F.sort_array(F.collect_list(F.when(F.col("section") == s, entry)))["text"].alias(s) for s in ("hook", "highlight")]
+    )
+    number = F.expr("cast(case when clip_id % 40 = 1 then clip_id - 1 else clip_id end as string)")
+    shown = F.when(F.expr("clip_id % 60 = 5"), F.concat(F.lit('"'), number, F.lit('"'))).otherwise(number)
+    sections = [x for s in ("hook", "highlight") for x in (F.lit(f', "{s}": {{"scenes": ['), F.array_join(s, ", "), F.lit("]}"))]
+    texts = clips.select(F.expr("clip_id div 4000").alias("recipe"), F.concat(F.lit('{"clip_id": '), shown, F.lit(', "title": "t"'), *sections, F.lit("}")).alias("clip"))
+    recipes = texts.groupBy("recipe").agg(F.concat(F.lit('{"clips": ['), F.array_join(F.collect_list("clip"), ",\n"), F.lit("]}")).alias("value"))
+    path = io.scratch_path(t.spark, "recipes")
+    recipes.write.partitionBy("recipe").text(path)
+    found = st.recipe_validation(t.story_sources, io.read_recipes(t.spark, path))
+    return found.groupBy("rule", "key").agg(F.count("*").alias("n"))
+
+
 @query("select cast(source_id as varchar) as source_id, name, platform, url from fx_story_sources")
 def read_story_sources(t):
     one = F.struct(F.col("source_id").cast("string").alias("id"), "name", "platform", "url", "local_path")

@@ -136,15 +136,15 @@ def stable_face_count(t):
     return sp.stable_face_count(t.samples).select("clip_id", "idx", "stable_count")
 
 
-@query("""with o as (select clip_id, idx, faces, row_number() over w as n, case when lag(faces) over w = faces then 0 else 1 end as opens
-    from fx_samples window w as (partition by clip_id order by idx)),
+@query("""with o as (select clip_id, idx, nullif(faces, 0) as v, case when row_number() over w > 1 and lag(nullif(faces, 0)) over w
+    is not distinct from nullif(faces, 0) then 0 else 1 end as opens from fx_samples window w as (partition by clip_id order by idx)),
   g as (select *, sum(opens) over (partition by clip_id order by idx) as run from o),
-  k as (select clip_id, run, count(*) as len, any_value(faces) as v from g group by 1, 2)
+  k as (select clip_id, run, count(*) as len, {'v': any_value(v)} as v from g group by 1, 2)
   select g.clip_id, g.idx, (select arg_max(v, run) from k where k.clip_id = g.clip_id and k.run <= g.run
-    and (k.len >= 3 or k.run = 1)) as confirmed from g""")
+    and (k.len >= case when k.v.v is null then 2 else 3 end or k.run = 1)).v as confirmed from g""")
 def confirmed_runs(t):
-    series = t.samples.select("clip_id", "idx", F.col("faces").alias("value"))
-    return sp.confirmed_runs(series, 3).select("clip_id", "idx", "confirmed")
+    series = t.samples.select("clip_id", "idx", F.nullif("faces", F.lit(0)).alias("value"))
+    return sp.confirmed_runs(series, 3, absent_hold=2).select("clip_id", "idx", "confirmed")
 
 
 def timeline_samples(t):
