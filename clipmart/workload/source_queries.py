@@ -350,8 +350,7 @@ def read_story_sources(t):
     # One registry file per platform, as a user would keep them.
     docs = t.story_sources.groupBy("platform").agg(F.collect_list(one).alias("sources"))
     docs.select("platform", F.to_json(F.struct("sources")).alias("value")).write.partitionBy("platform").text(path)
-    rows = ingest.story_sources(t.spark.read.text(path).select(F.col("value").alias("payload")))
-    return rows.select("source_id", "name", "platform", "url")
+    return io.read_story_sources(t.spark, path).select("source_id", "name", "platform", "url")
 
 
 SCENE_ORDER = ", ".join(LINE_ORDER[1:])
@@ -377,10 +376,13 @@ def read_story_scenes(t):
         F.col("l_orderkey").alias("clip_id"), F.lit("Story").alias("title"),
         F.struct(shaped(F.col("h")).alias("scenes")).alias("hook"), F.struct(shaped(F.col("g")).alias("scenes")).alias("highlight"),
     )
-    settings = F.struct(F.expr("case when l_orderkey % 2 = 0 then 20.0D end").alias("min_duration"))
-    recipe = F.to_json(F.struct(F.lit("p").alias("project_name"), settings.alias("default_settings"), F.array(clip).alias("clips")))
-    rows = ingest.story_scenes(clips.select(recipe.alias("payload")))
-    return rows.select("clip_id", "section", "scene_idx", "source_id", "start_s", "ratio", "min_duration")
+    # Recipes of some hundred clips, one file each.
+    recipes = clips.groupBy(F.expr("l_orderkey div 4000").alias("no"), F.expr("l_orderkey % 2").alias("odd")).agg(F.collect_list(clip).alias("clips"))
+    settings = F.struct(F.expr("case when odd = 0 then 20.0D end").alias("min_duration"))
+    recipe = F.to_json(F.struct(F.lit("p").alias("project_name"), settings.alias("default_settings"), "clips"))
+    path = io.scratch_path(t.spark, "stories")
+    recipes.select("no", "odd", recipe.alias("value")).write.partitionBy("no", "odd").text(path)
+    return io.read_story_scenes(t.spark, path).select("clip_id", "section", "scene_idx", "source_id", "start_s", "ratio", "min_duration")
 
 
 # ---- scripts ---------------------------------------------------------------------------------------
