@@ -33,9 +33,9 @@ def letters_of(text: str) -> np.ndarray:
     """Code points of the lower-cased text with 32 for everything that is no letter."""
     global _LETTERS
     if _LETTERS is None:
-        _LETTERS = np.array([chr(i).isalpha() for i in range(0x20000)])
+        _LETTERS = np.array([chr(i).isalpha() for i in range(0x110000)])
     points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)
-    return np.where(_LETTERS[np.minimum(points, 0x1FFFF)], points, np.uint32(32))
+    return np.where(_LETTERS[points], points, np.uint32(32))
 
 
 def trigram_cells(letters: np.ndarray) -> np.ndarray:

@@ -128,6 +128,18 @@ def test_language_of_odd_rows_and_without_training(spark):
         assert language.identify_language(table(spark).limit(0), codes).count() == 0
 
 
+def test_letters_of_all_planes():
+    text = "aB1 \u00c4\u4e2d\U00020000\U00020001\U0001F600\U000E0041"
+    assert [chr(p) for p in language.letters_of(text)] == [c if c.isalpha() else " " for c in text.lower()]
+
+
+def test_items_without_id(spark):
+    bench = spark.createDataFrame([(None, "one two"), (3, "one two"), (None, None)], "item_id long, text string")
+    docs = table(spark, [(1, "x one two", "a", "en")])
+    row = decontaminate.contamination(docs, bench).first()
+    assert (row["items"], row.n_hit) == (["", "3"], 2)
+
+
 @pytest.mark.parametrize("n", [2, 3, 5, 6, 9, 30])
 def test_codewords_differ(n):
     codes = language._codewords(n)
