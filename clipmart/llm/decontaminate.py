@@ -102,7 +102,7 @@ def _search_udf(search: WordSearch):
 
 def _passes(benchmark: DataFrame, pass_bytes: int) -> list[DataFrame]:
     """The items with words, in parts of about *pass_bytes* by hash of the id."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter(
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text")).filter(
         "text is not null"
     )
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -159,8 +159,8 @@ def contamination(transcripts: DataFrame, benchmark: DataFrame, window: int = WI
     keeps no test sets, so these are general). Other columns are ignored, whatever their names.
     A window is ``window`` consecutive words of an item; an item with fewer words is one window,
     one without words none. Returns ``video_id``, ``n_words``, ``n_hit``, ``items`` (sorted ids)
-    and ``contaminated`` (hit words are 5 % or more), one row per input row. A null or empty
-    transcript has no words and is clean. Repeated rows are judged each for itself; items with
+    and ``contaminated`` (hit words are 5 % or more), one row per input row. An item without id is listed as ''. A null or empty
+    transcript has no words and is clean; an item without id is listed as an empty one. Repeated rows are judged each for itself; items with
     equal texts all count; an empty benchmark finds nothing.
 
     Only the benchmark is held by the tasks, ``pass_bytes`` of it at a time: a larger one is
