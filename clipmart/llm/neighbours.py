@@ -113,7 +113,12 @@ def _searched(k: int, threshold: float):
 def _arrays(table: pa.Table, name: str, vector: str) -> tuple[np.ndarray, np.ndarray]:
     flat = table.column(vector).combine_chunks()
     flat = flat if isinstance(flat, pa.Array) else flat.chunk(0)
-    return table.column(name).to_numpy(), flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
+    return table.column(name).to_numpy(), _scaled(flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1))
+
+
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two that bring their largest components near 1: cosines keep every bit, squares stay finite."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, threshold: float = THRESHOLD) -> DataFrame:

@@ -194,6 +194,17 @@ def test_nearest_recall_and_scores(spark, monkeypatch):
     assert total == 155 and hits >= 0.9 * total
 
 
+def test_nearest_of_extreme_numbers(spark):
+    base = [[3.0, 4.0, 0.5], [4.0, 3.0, 0.25], [-1.0, 2.0, 8.0], [5.0, 5.0, 5.0]]
+    rows = [(i, [x * s for x in v]) for i, (v, s) in enumerate(zip(base, (1e200, 1e-200, 1.0, 1e300), strict=True))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, df).collect()
+    for r in got:
+        a, b = np.array(base[r.query_id]), np.array(base[r.vec_id])
+        assert abs(r.score - a @ b / np.sqrt((a @ a) * (b @ b))) < 1e-12
+    assert len(got) == 12 and all(a.score >= b.score for a, b in zip(got, got[1:], strict=False) if a.query_id == b.query_id and a.rank < b.rank)
+
+
 def test_nearest_ties_few_and_none(spark):
     rows = [(i, [1.0, 1.0]) for i in (9, 3, 5)] + [(50, [1.0, 1.0]), (100, [-1.0, 0.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
