@@ -145,7 +145,69 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query()
+#: CRC-32 of the text ``k`` in DuckDB, which has no such function: eight shifts for each byte.
+_CRC_SQL = """xor(list_reduce(list_prepend(4294967295 :: bigint, list_transform(string_split(k, ''), lambda c: ord(c) :: bigint)), lambda crc, b:
+  list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0] :: bigint[], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295)"""
+
+
+def _repair_sql() -> str:
+    """The cheapest edits by dynamic programming: for each pattern state the least (cost, initials) after each row."""
+    blanks = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    after = (2, 2, 3, 2)
+    speaker = {2: "user:", 3: "assistant:"}
+    far = "{'c': 1000000000, 'a': '', 'r': [] :: varchar[]}"
+
+    def grown(way: str, cost: str, mark: str, line: str | None) -> str:
+        kept = f"list_append({way}.r, {line})" if line else f"{way}.r"
+        return f"{{'c': {way}.c + {cost}, 'a': {way}.a || '{mark}', 'r': {kept}}}"
+
+    def least(ways: list[str]) -> str:
+        return f"list_min([{', '.join(ways)}])"
+
+    # Before a row, up to two insertions; two steps let each state be reached through another one.
+    inserts = []
+    for step in range(2):
+        names = [f"{'sp'[step]}{q}" for q in range(4)]
+        new = [
+            least([names[q], *[grown(names[p], "3", "I", f"'{speaker[q]}'") for p in range(4) if after[p] == q]]) if q > 1 else names[q] for q in range(4)
+        ]
+        inserts.append(", ".join(f"{c} as {'pt'[step]}{q}" for q, c in enumerate(new)))
+    keep = {1: [("s", 0)], 2: [("u", 0), ("u", 1), ("u", 3)], 3: [("a", 2)]}
+    rows = []
+    for q in range(4):
+        ways = [grown(f"t{q}", "4", "D", None)]
+        for initial, p in keep.get(q, []):
+            ways.append(f"case when not gone and initial = '{initial}' then {grown(f't{p}', 'more', 'K', 'role || chr(58) || text')} else {far} end")
+        for p in range(4):
+            if after[p] == q:
+                ways.append(f"case when not gone then {grown(f't{p}', '3 + more', 'R', f"'{speaker[q]}' || text")} else {far} end")
+        rows.append(f"{least(ways)} as s{q}")
+    states = ", ".join(f"s{q}" for q in range(4))
+    return f"""with recursive raw as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+      coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as k from conversations),
+    coded as (select *, {_CRC_SQL} % 20 as code from raw),
+    damaged as (select conv_id, turn, case when code = 4 then 'user' else role end as role, case code when 1 then '' when 2 then
+      regexp_replace(text, '[.!?]', '', 'g') else text end as text from coded, range(case when code = 3 then 2 else 1 end) where code <> 0),
+    placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i, rtrim(text, {blanks}) as bare,
+      left(role, 1) as initial from damaged),
+    again as (select *, row_number() over (partition by conv_id, role, text order by i) > 1 as again from placed),
+    judged as (select *, bare = '' as blank, bare <> '' and again as dup, bare <> '' and not again and right(bare, 1) not in ('.', '!', '?') as cut,
+      bare = '' or again as gone, lag(initial) over (partition by conv_id order by i) || initial as pair from again),
+    j as (select *, case when cut then 3 else 0 end as more from judged),
+    faults as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank,
+      count(*) filter (dup) as duplicate, count(*) filter (cut) as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal,
+      count(*) as n from j group by 1),
+    f as (select conv_id, 0 :: bigint as i, {{'c': 0, 'a': '', 'r': [] :: varchar[]}} as s0, {far} as s1, {far} as s2, {far} as s3 from faults
+      union all select conv_id, i, {', '.join(rows)} from (select *, {inserts[1]} from (select f.conv_id, f.i + 1 as i, j.role, j.text, j.gone, j.more, j.initial,
+        {inserts[0]} from f join j on j.conv_id is not distinct from f.conv_id and j.i = f.i + 1) x) y)
+    select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+      coalesce(illegal, 0) as illegal, cast(coalesce(best.c, 0) as bigint) as cost, coalesce(best.a, '') as audit, sha256(coalesce(array_to_string(best.r, chr(10)), '')) as repaired_sha256
+    from (select distinct conv_id from conversations) c left join faults on faults.conv_id is not distinct from c.conv_id
+    left join (select f.conv_id, list_min([s0, s3, {grown('s2', '3', 'I', "'assistant:'")}, {{'c': s1.c + 6, 'a': s1.a || 'II', 'r': s1.r || ['user:', 'assistant:']}}]) as best
+      from f join faults on f.conv_id is not distinct from faults.conv_id and f.i = faults.n) b on b.conv_id is not distinct from c.conv_id"""
+
+
+@query(_repair_sql())
 def op11_repair_turns(spark: SparkSession, folder: str) -> DataFrame:
     given = spark.read.parquet(f"{folder}/conversations.parquet")
     damaged = damaged_turns(given)
