@@ -60,7 +60,7 @@ def _caption_pattern(max_words: int, whole: bool) -> str:
 
 
 def _captions(words: DataFrame, max_words: int, keys: list[str]) -> DataFrame:
-    """(keys, seg, words): the words of each caption.
+    """(keys, seg, words, coming): the words of each caption, and the start of the word behind each (none behind the last of all).
 
     Sentence ends, pauses and the last word always end a caption; else it ends at ``max_words``, or at a clause end with two or
     more words. That needs the running length, an automaton of ``max_words`` states that every hard end resets: words are held in pieces of
@@ -108,13 +108,18 @@ def _captions(words: DataFrame, max_words: int, keys: list[str]) -> DataFrame:
     opened = (F.col("_cut.at") > F.when(F.col("_entry") > 0, 1 - F.col("_entry")).otherwise(0)) & (F.col("_cut.at") <= F.col("_n"))
     cuts = placed.select(*keys, "_all", "_n", "_entry", F.explode(cut).alias("_cut")).filter(opened)
     part = F.slice(F.col("_all"), F.col("_cut.at"), F.col("_cut.n"))
-    return cuts.select(*keys, F.get("_all", F.col("_cut.at") - 1)["ord"].cast("long").alias("seg"), part.alias("words"))
+    coming = F.slice(F.col("_all.start_s"), F.col("_cut.at") + 1, F.col("_cut.n"))
+    return cuts.select(*keys, F.get("_all", F.col("_cut.at") - 1)["ord"].cast("long").alias("seg"), part.alias("words"), coming.alias("coming"))
 
 
 def caption_positions(words: DataFrame, max_words: int = 5, keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
-    """Words with ``seg``: the position of the first word of their caption."""
-    parts = _captions(words, max_words, list(keys)).select(*keys, "seg", F.explode("words").alias("_w"))
-    return parts.select(*keys, "_w.ord", "_w.word", "_w.start_s", "_w.end_s", "seg")
+    """Words with ``seg``, the position of the first word of their caption, and ``next_start_s``/``next_seg`` of the word behind them."""
+    each = _captions(words, max_words, list(keys)).select(
+        *keys, "seg", F.size("words").alias("_n"), F.posexplode(F.arrays_zip(F.col("words").alias("w"), F.col("coming").alias("c"))).alias("_i", "_w")
+    )
+    # Captions follow each other without gaps, so the next one starts with the next word.
+    behind = F.when(F.col("_i") + 1 < F.col("_n"), F.col("seg")).otherwise(F.when(F.col("_w.c").isNotNull(), F.col("_w.w.ord") + 1))
+    return each.select(*keys, "_w.w.ord", "_w.w.word", "_w.w.start_s", "_w.w.end_s", "seg", F.col("_w.c").alias("next_start_s"), behind.cast("long").alias("next_seg"))
 
 
 def group_captions(words: DataFrame, max_words: int = 5, keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
@@ -264,9 +269,10 @@ def caption_cues(captions: DataFrame, clips: DataFrame) -> DataFrame:
 def word_cues(placed: DataFrame, clips: DataFrame) -> DataFrame:
     """Clip-relative word times: a word lasts to the next word of its caption, the last to the held end.
 
-    ``placed`` are words with their caption ``seg``.
+    ``placed`` are words with their caption ``seg``; what comes behind them is looked up where ``caption_positions`` has not told it.
     """
-    seen = scan(placed, ["video_id"], position_bucket("ord"), ["ord"], lead=["start_s", "seg"])
+    told = "next_start_s" in placed.columns and "next_seg" in placed.columns
+    seen = placed if told else scan(placed, ["video_id"], position_bucket("ord"), ["ord"], lead=["start_s", "seg"])
     gap = F.col("next_start_s") - F.col("end_s")
     same = F.col("next_seg") == F.col("seg")
     until = F.when(same | ((gap >= 0) & (gap <= PAUSE_S)), F.col("next_start_s")).otherwise(F.col("end_s"))

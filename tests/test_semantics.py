@@ -140,6 +140,18 @@ def test_captions_partition_the_words(spark):
     assert " ".join(texts(tr.group_captions(words))) == " ".join(r["word"] for r in words.orderBy("ord").collect())
 
 
+def test_words_know_what_comes_behind(spark, monkeypatch):
+    from clipmart.functions import folds
+
+    monkeypatch.setattr(folds, "PIECE", 6)
+    words = timed(spark, ["w%d%s" % (i, {3: ",", 8: "."}.get(i % 9, "")) for i in range(60)], gaps=[(20, 0.9), (41, 0.4)])
+    clips = spark.createDataFrame([(1, 0, 3.0, 20.0), (1, 1, 15.0, 90.0)], "video_id int, ord int, start_time double, end_time double")
+    placed = tr.caption_positions(words)
+    looked_up = tr.word_cues(placed.drop("next_start_s", "next_seg"), clips)
+    told = tr.word_cues(placed, clips).select(*looked_up.columns)
+    assert told.exceptAll(looked_up).count() == 0 and told.count() == looked_up.count() > 0
+
+
 def clip_table(spark, data):
     return spark.createDataFrame(data, "video_id int, ord int, start_time double, end_time double, viral_score int")
 
