@@ -114,7 +114,7 @@ def test_all_queries_are_registered():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert {f"op{i}" for i in range(1, 11)} == {n.split("_")[0] for n in QUERIES} and "pipeline" in names and set(QUERIES) <= set(names)
+    assert {f"op{i}" for i in range(1, 14)} == {n.split("_")[0] for n in QUERIES} and "pipeline" in names and set(QUERIES) <= set(names)
 
 
 def test_the_rest_works_without_the_subpackage():
