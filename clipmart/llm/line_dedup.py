@@ -151,11 +151,15 @@ def dedup_lines(transcripts: DataFrame, edits: int = EDITS, min_chars: int = MIN
     seen = seen.join(classes.toDF("line_id", "_class"), "line_id", "left").withColumn("_class", F.coalesce("_class", "line_id"))
     first = seen.groupBy("_class").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     dropped = seen.join(first, "_class").filter(F.col("_at") != F.col("_first")).select("_id", "_text", "line_no")
-    dropped = dropped.distinct().groupBy("_id", "_text").agg(F.collect_list("line_no").alias("_gone"))
+    dropped = dropped.distinct().groupBy("_id", "_text").agg(F.array_sort(F.collect_list("line_no")).alias("_gone"))
 
     out = rows.join(dropped, ["_id", "_text"], "left").withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
-    stay = F.filter(F.split("transcript", "\n"), lambda line, i: ~F.array_contains("_gone", i))
+    # What lies between two dropped lines stays: the gaps are walked once.
+    out = _settled(out, _lines=F.split("transcript", "\n"))
+    after, upto = F.concat(F.array(F.lit(-1)), "_gone"), F.concat("_gone", F.array(F.size("_lines")))
+    out = _settled(out, _gaps=F.arrays_zip(after.alias("after"), upto.alias("upto")))
+    stay = F.flatten(F.transform("_gaps", lambda gap: F.slice("_lines", gap["after"] + 2, gap["upto"] - gap["after"] - 1)))
     return out.select(
-        "video_id", F.coalesce(F.size(F.split("transcript", "\n")), F.lit(0)).cast("long").alias("n_lines"),
+        "video_id", F.coalesce(F.when(F.col("_lines").isNotNull(), F.size("_lines")), F.lit(0)).cast("long").alias("n_lines"),
         F.size("_gone").cast("long").alias("n_dropped"), F.array_join(stay, "\n").alias("transcript"),
     )

@@ -314,6 +314,12 @@ def test_first_line_of_a_class_stays(spark):
     assert line_dedup.dedup_lines(table(spark).limit(0)).count() == 0 and line_dedup.dedup_lines(table(spark)).count() == len(ROWS)
 
 
+def test_repeated_lines_of_a_long_text_are_dropped_in_one_walk(spark):
+    text = "\n".join(["x" * 30, "", prose(1, 6)] * 20000)
+    got = line_dedup.dedup_lines(table(spark, [(1, text, None, None)])).first()
+    assert (got.n_lines, got.n_dropped, got.transcript) == (60000, 39998, "x" * 30 + "\n\n" + prose(1, 6) + "\n" * 19999)
+
+
 def test_registered_line_dedup_drops_lines_with_three_errors(spark, tmp_path):
     from clipmart.llm.queries import QUERIES
 
